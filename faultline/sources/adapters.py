@@ -268,7 +268,7 @@ solutions AS (
          'job-' || CAST(vec_id % 10 AS VARCHAR) AS job_name,
          'stage-' || CAST(vec_id % 3 AS VARCHAR) AS stage_name,
          CAST(vec_id % 50 AS INTEGER) AS build_number,
-         1.0 - 0.1 * (vec_id % 3) AS solution_score,
+         CAST(1.0 AS DOUBLE) - CAST(0.1 AS DOUBLE) * (vec_id % 3) AS solution_score,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id) AS created_at,
          embedding AS vector
   FROM embeddings
@@ -287,4 +287,6 @@ messages AS (
 def with_adapters(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named adapter CTEs (DuckDB dialect)."""
     ctes = ",\n".join(ADAPTER_SQL[n].strip() for n in names)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.strip()
+    sep = "\n" if body.startswith(",") else "\n"
+    return f"WITH {ctes}{sep}{body}"
