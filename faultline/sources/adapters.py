@@ -55,6 +55,28 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload corpus: every event's properties pretty-printed as a 6-line JSON block."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    block = F.array(
+        F.lit("{"),
+        F.format_string('  "event": %d,', F.col("event_id")),
+        F.format_string('  "k": %d,', F.col("event_id") % 100),
+        F.format_string('  "type": "%s",', F.col("event_type")),
+        F.format_string('  "value": %.2f', F.col("value")),
+        F.lit("}"),
+    )
+    df = ev.select("user_id", "ts", "event_id", F.posexplode(block).alias("pos", "raw"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id", "pos")) - 1
+    df = df.select("user_id", seq.alias("_seq"), "raw")
+    piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
+    return df.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit("-"), piece.cast("string")).alias("log_id"),
+        (F.col("_seq") - piece * LOG_PIECE_LINES).cast("int").alias("idx"),
+        "raw",
+    )
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole raw logs (one row per log) assembled from ``log_lines`` in order."""
     ll = log_lines(spark, sf_dir)
