@@ -69,7 +69,7 @@ class ShellDetector:
     def activates(self, probe: Column) -> Column:
         return F.lit(True)
 
-    def contribute(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def contribute(self, lines: DataFrame, reuse=lambda d: d) -> tuple[DataFrame, DataFrame]:
         live = ~F.col("drop") & (F.col("text") != "")
         rx = P.J(EXIT_NONZERO)
         hit = live & F.col("text").rlike(rx)
@@ -85,7 +85,7 @@ class ShellDetector:
         df = df.withColumn("_code", F.when(F.col("idx") == F.col("_exit"), F.coalesce(*codes, F.lit("1"))))
         cmd_ok = F.col("_cmd").isNotNull() & (F.col("_bar").isNull() | (F.col("_cmd") > F.col("_bar")))
         df = df.withColumn("_cmd_ok", cmd_ok)
-        marked = df.filter((F.col("idx") == F.col("_exit")) | (cmd_ok & (F.col("idx") == F.col("_cmd"))))
+        marked = reuse(df.filter((F.col("idx") == F.col("_exit")) | (cmd_ok & (F.col("idx") == F.col("_cmd")))))
         marks = marked.select(LOG, "idx", F.lit(self.name).alias("detector"), F.lit(2).alias("delta"),
                               F.lit(True).alias("keep"), F.lit(False).alias("drop"), F.lit("").alias("note"))
         # One location per log: command (if found) else the exit line itself.
@@ -119,24 +119,32 @@ def empty_marks(spark) -> DataFrame:
     return spark.createDataFrame([], "log_id string, idx int, detector string, delta int, keep boolean, drop boolean, note string")
 
 
-def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE,
+                  materialize=None, reuse=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run, cap (W20) and merge (U3) detector contributions.
 
     Returns (lines with merged marks and ``keep``, kept locations, per-log names
-    of the detectors that contributed, in priority order).
+    of the detectors that contributed, in priority order). ``materialize``
+    (DataFrame -> DataFrame) is applied to the unioned marks and locations, which
+    three later branches read.
     """
+    materialize = materialize or (lambda d: d)
+    reuse = reuse or (lambda d: d)
     dets = sorted(detectors, key=lambda d: -d.priority)  # stable: load order breaks ties
     spark = lines.sparkSession
     if not dets:
         names = lines.select(LOG).distinct().withColumn("detectors", F.array().cast("array<string>"))
         empty = spark.createDataFrame([], _loc_schema() + ", _seq int, _ord int")
         return lines.withColumn("keep", F.lit(False)), empty, names
-    pr = probes(lines)
+    pr = reuse(probes(lines))
     all_marks, all_locs = [], []
     for order, d in enumerate(dets):
         act = pr.filter(d.activates(F.col("probe"))).select(LOG)
         sub = lines.join(act, LOG, "left_semi")
-        m, loc = d.contribute(sub)
+        try:
+            m, loc = d.contribute(sub, reuse=reuse)
+        except TypeError:  # user detector without the reuse hook
+            m, loc = d.contribute(sub)
         all_marks.append(m.select(*MARK_COLS).withColumn("_ord", F.lit(order)))
         seq = F.col("_seq") if "_seq" in loc.columns else F.lit(0)
         all_locs.append(loc.select(*LOC_COLS, seq.alias("_seq")).withColumn("_ord", F.lit(order)))
@@ -146,6 +154,8 @@ def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE) -> tuple[D
     locs = all_locs[0]
     for x in all_locs[1:]:
         locs = locs.unionByName(x)
+    marks = materialize(marks)
+    locs = materialize(locs)
     contributed = marks.select(LOG, "detector", "_ord").unionByName(locs.select(LOG, "detector", "_ord")).distinct()
     kept = (contributed.withColumn("_r", F.row_number().over(Window.partitionBy(LOG).orderBy("_ord")))
             .filter(F.col("_r") <= max(1, int(cap))).select(LOG, "detector", "_ord"))

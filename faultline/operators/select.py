@@ -44,12 +44,14 @@ def score_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("score", F.when(live, F.greatest(F.lit(0), s)).otherwise(F.col("score")))
 
 
-def select_lines(lines: DataFrame, token_budget: int = P.BODY_MAX_TOKENS, min_score: int = P.MIN_ANCHOR_SCORE) -> DataFrame:
+def select_lines(lines: DataFrame, token_budget: int = P.BODY_MAX_TOKENS, min_score: int = P.MIN_ANCHOR_SCORE,
+                 reuse=lambda d: d) -> DataFrame:
     """K1/K2: adds boolean ``selected`` to every line."""
     live = ~F.col("drop") & (F.col("text") != "")
     wl = Window.partitionBy(LOG)
     df = (lines.withColumn("_cost", L.approx_tokens("text", "note")).withColumn("_n", F.count(F.lit(1)).over(wl))
           .withColumn("_has", F.max((live & (F.col("score") >= min_score)).cast("int")).over(wl) == 1))
+    df = reuse(df)
     anchors = df.filter(live & (F.col("score") >= min_score)).select(LOG, "idx", "_n")
     gap = F.col("idx") - F.lag("idx").over(_w())
     anchors = anchors.withColumn("_new", F.when(gap.isNull() | (gap > P.CLUSTER_MERGE_GAP), 1).otherwise(0))
@@ -65,7 +67,7 @@ def select_lines(lines: DataFrame, token_budget: int = P.BODY_MAX_TOKENS, min_sc
     # Peak and centre: over non-dropped lines of the expanded range.
     wc = Window.partitionBy(LOG, "_cid")
     inc = inc.withColumn("_peak", F.max(F.when(~F.col("drop"), F.col("score"))).over(wc))
-    inc = inc.withColumn("_ctr", F.min(F.when(~F.col("drop") & (F.col("score") == F.col("_peak")), F.col("idx"))).over(wc))
+    inc = reuse(inc.withColumn("_ctr", F.min(F.when(~F.col("drop") & (F.col("score") == F.col("_peak")), F.col("idx"))).over(wc)))
     ranks = (inc.select(LOG, "_cid", "_peak", "_lo").distinct()
              .withColumn("_rank", F.row_number().over(Window.partitionBy(LOG).orderBy(F.col("_peak").desc(), F.col("_lo"), F.col("_cid"))))
              .select(LOG, "_cid", "_rank"))

@@ -128,7 +128,7 @@ class GenericStackDetector:
     def activates(self, probe: Column) -> Column:
         return probe.rlike(P.J("(?m)" + self.lang.probe_pattern))
 
-    def contribute(self, lines: DataFrame):
+    def contribute(self, lines: DataFrame, reuse=lambda d: d):
         g = self.lang
         fr = P.J(g.frame_pattern)
         is_frame = F.col("raw").rlike(fr)
@@ -170,7 +170,7 @@ class GenericStackDetector:
         cause = F.max(F.when(F.col("idx") == F.col(anchor_pos), F.col("_cz"))).over(Window.partitionBy(LOG, "_run"))
         fr_df = fr_df.withColumn("_cause", cause)
         fr_df = fr_df.withColumn("_poff", F.sum(F.col("_proj").cast("int")).over(wr.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        fr_df = fr_df.withColumn("_nproj", F.sum(F.col("_proj").cast("int")).over(Window.partitionBy(LOG, "_run")))
+        fr_df = reuse(fr_df.withColumn("_nproj", F.sum(F.col("_proj").cast("int")).over(Window.partitionBy(LOG, "_run"))))
         first_proj = F.col("_proj") & (F.col("_poff") == 0)
         cls, msg = F.coalesce(F.col("_cause.cls"), F.lit("")), F.coalesce(F.col("_cause.msg"), F.lit(""))
         message = F.when(cls != "", F.regexp_replace(F.concat(cls, F.lit(": "), msg), r"[: ]+$", "")).otherwise(
@@ -204,7 +204,7 @@ class JavaStackDetector:
     def activates(self, probe: Column) -> Column:
         return probe.rlike(P.J(JAVA_PROBE))
 
-    def contribute(self, lines: DataFrame):
+    def contribute(self, lines: DataFrame, reuse=lambda d: d):
         fr = P.J(JAVA_FRAME)
         df = _runs(lines, F.col("raw").rlike(fr), None)
         cx = P.J(JAVA_CAUSE)
@@ -241,6 +241,7 @@ class JavaStackDetector:
              .withColumn("_poff", F.sum(F.col("_proj").cast("int")).over(Window.partitionBy(LOG, "_run").orderBy("idx")
                                                                         .rowsBetween(Window.unboundedPreceding, 0)) - 1)
              .withColumn("_nproj", F.sum(F.col("_proj").cast("int")).over(wa)))
+        f = reuse(f)
         disp = F.when(F.col("_mod") != "", F.concat(F.col("_mod"), F.lit("/"), F.col("_cls"))).otherwise(F.col("_cls"))
         function = F.when(disp != "", F.concat(disp, F.lit("."), F.col("_meth"))).otherwise(F.col("_meth"))
         cls, msg = F.coalesce(F.col("_cause.cls"), F.lit("")), F.coalesce(F.col("_cause.msg"), F.lit(""))
@@ -274,7 +275,7 @@ class PythonTracebackDetector:
     def activates(self, probe: Column) -> Column:
         return probe.rlike(P.J(PY_PROBE))
 
-    def contribute(self, lines: DataFrame):
+    def contribute(self, lines: DataFrame, reuse=lambda d: d):
         fr = P.J(PY_FRAME)
         is_frame = F.col("raw").rlike(fr)
         is_start = (F.col("text") != "") & F.col("text").rlike(P.J(PY_START))
@@ -307,6 +308,7 @@ class PythonTracebackDetector:
              .withColumn("_pos", F.row_number().over(wf.orderBy("idx")) - 1)
              .withColumn("_botp", F.max(F.when(F.col("_proj"), F.col("idx"))).over(wf))
              .withColumn("_lastf", F.max("idx").over(wf)))
+        f = reuse(f)
         depth = F.col("_nf") - 1 - F.col("_pos")
         is_bot = F.col("idx") == F.col("_botp")
         conf = F.when(is_bot, F.lit(0.85)).otherwise(F.greatest(F.lit(0.55), F.lit(0.85) - 0.10 * (depth + 1)))

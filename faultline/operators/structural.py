@@ -84,7 +84,11 @@ def collapse_stacks(df: DataFrame, keep_project: int = P.STACK_KEEP_PROJECT) ->
     )
 
 
-def fold_json(df: DataFrame, max_run: int = P.JSON_MAX_RUN, min_run: int = P.JSON_MIN_RUN) -> DataFrame:
+def _same(d: DataFrame) -> DataFrame:
+    return d
+
+
+def fold_json(df: DataFrame, max_run: int = P.JSON_MAX_RUN, min_run: int = P.JSON_MIN_RUN, reuse=_same) -> DataFrame:
     """Fold balanced multi-line JSON blocks opened by a JSON line.
 
     1. bracket balance per line, running prefix ``D``;
@@ -99,7 +103,7 @@ def fold_json(df: DataFrame, max_run: int = P.JSON_MAX_RUN, min_run: int = P.JSO
     delta = _count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]")
     df = df.withColumn("_delta", F.when(t == "", 0).otherwise(delta))
     df = df.withColumn("_D", F.sum("_delta").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(LOG)))
+    df = reuse(df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(LOG))))
     opener = (F.col("kind") == P.KIND_JSON) & ~F.col("drop") & (t != "") & (F.col("_delta") > 0)
     ops = df.filter(opener).select(LOG, F.col("idx").alias("_i"), (F.col("_D") - F.col("_delta")).alias("_base"), "_n")
     lines_b = df.select(LOG, F.col("idx").alias("_j"), "_D", F.floor(F.col("idx") / max_run).alias("_b"))
@@ -166,7 +170,7 @@ def summarize_values(tokens_in_order: Column) -> Column:
     return F.array_join(F.slice(F.array_distinct(short), 1, 3), ", ")
 
 
-def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT) -> DataFrame:
+def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT, reuse=_same) -> DataFrame:
     """Anchored repeat buckets per template; keep first and last, note on last.
 
     A bucket opened at eligible line ``s`` closes at the first eligible line
@@ -174,6 +178,7 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     matches. ``close`` is a range-frame min over eligible lines; assigning
     occurrences to buckets is a fold over the (log, template) occurrence list.
     """
+    df = reuse(df)
     eligible = ~F.col("drop") & (F.col("text") != "") & (F.col("severity") < P.SEV_ERROR)
     el = df.filter(eligible).select(LOG, "idx", "template", "var_tokens")
     wr = Window.partitionBy(LOG).orderBy("idx").rangeBetween(window + 1, Window.unboundedFollowing)
@@ -218,14 +223,18 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     )
 
 
-def collapse(lines: DataFrame) -> DataFrame:
-    """All five collapsers in their fixed order."""
+def collapse(lines: DataFrame, reuse=_same) -> DataFrame:
+    """All five collapsers in their fixed order.
+
+    ``reuse`` (e.g. persist) is applied where a pass reads its input in several
+    branches (the JSON band join, the repeat-bucket fold).
+    """
     df = init_state(lines)
     df = drop_banners(df)
     df = collapse_stacks(df)
-    df = fold_json(df)
+    df = fold_json(df, reuse=reuse)
     df = collapse_progress(df)
-    return dedupe_repeats(df)
+    return dedupe_repeats(df, reuse=reuse)
 
 
 def collapse_stats(collapsed: DataFrame) -> DataFrame:

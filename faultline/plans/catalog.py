@@ -31,7 +31,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every query module so their registrations run."""
     from . import q_lines, q_sessions  # noqa: F401
-    for mod in ("q_structural", "q_select", "q_ingest", "q_graph", "q_stream", "q_render"):
+    for mod in ("q_structural", "q_render", "q_ingest", "q_graph", "q_stream", "q_prompts"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as exc:  # module not written yet

@@ -46,19 +46,25 @@ def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Split (if needed) and annotate; hash-partition by ``log_id`` once."""
     lines = df if "idx" in df.columns else T.split_lines(df.select(LOG, "raw"))
     lines = lines.select(LOG, "idx", "raw")
-    lines = lines.repartition(partitions, LOG) if partitions else lines.repartition(LOG)
-    return T.annotate(lines)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return T.annotate(lines.repartition(n, LOG))
 
 
 def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,
                  logs_meta: DataFrame | None = None, token_budget: int = P.BODY_MAX_TOKENS,
                  body_max_chars: int = P.BODY_MAX_CHARS, max_active: int = D.MAX_ACTIVE,
-                 materialize: str | None = "checkpoint") -> tuple[DataFrame, DataFrame]:
-    """Run every pass on annotated lines; returns (results per log, final lines)."""
+                 materialize: str | None = "checkpoint", reuse: str | None = "persist") -> tuple[DataFrame, DataFrame]:
+    """Run every pass on annotated lines; returns (results per log, final lines).
+
+    ``materialize`` applies at pass boundaries (default: reliable checkpoint),
+    ``reuse`` inside a pass where one intermediate feeds several branches.
+    """
+    keep = lambda d: _materialize(d, reuse)
     lines = _materialize(lines, materialize)
-    collapsed = _materialize(ST.collapse(lines), materialize)
+    collapsed = _materialize(ST.collapse(lines, reuse=keep), materialize)
     dets = D.load_detectors(detectors) if isinstance(detectors, str) or detectors is None else list(detectors)
-    marked, locs, names = D.run_detectors(collapsed, dets, cap=max_active)
+    marked, locs, names = D.run_detectors(collapsed, dets, cap=max_active, materialize=lambda d: _materialize(d, materialize),
+                                          reuse=keep)
     locs = _materialize(locs, materialize)
     names = _materialize(names, materialize)
     marked = _materialize(marked, materialize)
@@ -66,7 +72,7 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
         marked = marked.join(logs_meta, LOG, "left")
     based = B.apply_baseline(marked, sketch) if sketch is not None else B.apply_baseline(marked)
     scored = _materialize(S.score_lines(based), materialize)
-    final = _materialize(S.select_lines(scored, token_budget=token_budget), materialize)
+    final = _materialize(S.select_lines(scored, token_budget=token_budget, reuse=keep), materialize)
     ranked = R.rank_locations(locs)
     results = R.render(final, ranked, names, logs_meta, body_max_chars=body_max_chars)
     return results, final
