@@ -135,7 +135,7 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     return ev.select(
         F.concat(F.lit("b"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("build_key"),
-        F.col("event_id").alias("stage_id"),
+        (F.col("event_id") * 10).alias("stage_id"),
         F.concat(F.lit("stage-"), F.col("event_type")).alias("name"),
         F.when(F.col("event_type") == "error", F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"),
@@ -143,6 +143,16 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow-node parallel markers: a block opens before each signup stage, closes before each purchase stage."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    return ev.filter(F.col("event_type").isin("signup", "purchase")).select(
+        F.concat(F.lit("b"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("build_key"),
+        (F.col("event_id") * 10 - 1).alias("node_id"),
+        F.when(F.col("event_type") == "signup", F.lit("start")).otherwise(F.lit("end")).alias("kind"),
+    )
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed-build feed items: one per error event (duplicates per build kept)."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
@@ -257,7 +267,7 @@ sessions AS (
     "stages": r"""
 stages AS (
   SELECT 'b' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS build_key,
-         event_id AS stage_id,
+         event_id * 10 AS stage_id,
          'stage-' || event_type AS name,
          CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
          epoch_ms(ts) AS start_ms,
