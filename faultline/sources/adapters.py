@@ -182,6 +182,19 @@ def ingest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "event_id")
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback decisions: one per session a minute after it, a contrary second one for every third."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
+    first = ev.select(F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("session_id"),
+                      F.when(F.col("event_id") % 2 == 0, F.lit("Accept")).otherwise(F.lit("reject ")).alias("decision"),
+                      (F.col("ts").cast("timestamp") + F.make_interval(mins=F.lit(1))).alias("ts"))
+    second = ev.filter(F.col("event_id") % 3 == 0).select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("session_id"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("reject")).otherwise(F.lit("accept")).alias("decision"),
+        (F.col("ts").cast("timestamp") + F.make_interval(mins=F.lit(2))).alias("ts"))
+    return first.unionByName(second)
+
+
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored solutions with their fingerprint vectors (from ``embeddings``)."""
     em = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
@@ -304,6 +317,14 @@ solutions AS (
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id) AS created_at,
          embedding AS vector
   FROM embeddings
+)""",
+    "decisions": r"""
+decisions AS (
+  SELECT 'run-' || CAST(event_id AS VARCHAR) AS session_id, CASE WHEN event_id % 2 = 0 THEN 'Accept' ELSE 'reject ' END AS decision,
+         ts + INTERVAL 1 MINUTE AS ts FROM events
+  UNION ALL
+  SELECT 'run-' || CAST(event_id AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN 'reject' ELSE 'accept' END, ts + INTERVAL 2 MINUTE
+  FROM events WHERE event_id % 3 = 0
 )""",
     "messages": r"""
 messages AS (
