@@ -400,3 +400,71 @@ def read_feed(spark, path: str) -> DataFrame:
     for x in out[1:]:
         df = df.unionByName(x)
     return df.filter((F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("link"), F.lit("")) != ""))
+
+
+# ── Failure events and stage-log sources ─────────────────────────────────────
+
+RAW_LOG_CHARS = 200_000
+EVENT_SCHEMA = ("struct<job_full_name:string,build_number:int,build_url:string,correlation_id:string,"
+                "failed_stages:array<struct<stage_name:string,stage_id:string,status:string,log_excerpt:string>>>")
+PAYLOAD_SCHEMA = f"struct<failures:array<{EVENT_SCHEMA}>,job_full_name:string,build_number:int,build_url:string," \
+                 "correlation_id:string,failed_stages:array<struct<stage_name:string,stage_id:string,status:string,log_excerpt:string>>>"
+
+
+def ingest_events(payloads: DataFrame, col: str = "body") -> DataFrame:
+    """S3: JSON bodies (one event or ``{"failures": [...]}``) to one row per non-blank failed stage.
+
+    The raw log is capped at 200,000 characters, as the analysis store does.
+    """
+    p = F.from_json(F.col(col), PAYLOAD_SCHEMA)
+    single = F.struct(p["job_full_name"].alias("job_full_name"), p["build_number"].alias("build_number"),
+                      p["build_url"].alias("build_url"), p["correlation_id"].alias("correlation_id"),
+                      p["failed_stages"].alias("failed_stages"))
+    events = payloads.select(F.explode(F.coalesce(p["failures"], F.array(single))).alias("e"))
+    st = events.select("e.job_full_name", "e.build_number", "e.build_url", "e.correlation_id",
+                       F.explode_outer("e.failed_stages").alias("s"))
+    st = st.filter(F.col("s").isNotNull() & (F.trim(F.coalesce(F.col("s.log_excerpt"), F.lit(""))) != ""))
+    return st.select("job_full_name", "build_number", "build_url", "correlation_id", F.col("s.stage_name").alias("stage_name"),
+                     F.col("s.stage_id").alias("stage_id"), F.col("s.status").alias("status"),
+                     F.substring(F.col("s.log_excerpt"), 1, RAW_LOG_CHARS).alias("raw"))
+
+
+def child_log_concat(child_logs: DataFrame, key: tuple[str, ...] = ("build_key", "stage_id")) -> DataFrame:
+    """Non-empty child-node logs of a stage joined in node order."""
+    kids = child_logs.filter(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
+    return kids.groupBy(*key).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda s: s["text"]), "\n").alias("child_log"))
+
+
+def stage_log_cascade(failed: DataFrame, node_logs: DataFrame, child_logs: DataFrame, console_lines: DataFrame,
+                      builds: DataFrame) -> DataFrame:
+    """Excerpt per failed stage: node log, else child logs, else the console section
+    naming the stage, else the whole console; builds without a failed stage get one
+    synthetic ``Build`` / ``FAILURE`` stage from the console (when it is not blank).
+
+    ``failed``: build_key, stage_id, name, status. ``node_logs``: build_key, stage_id, text.
+    ``child_logs``: build_key, stage_id, node_id, text. ``console_lines``: build_key, idx, raw.
+    ``builds``: build_key.
+    """
+    kids = child_log_concat(child_logs)
+    f = (failed.join(node_logs.select("build_key", "stage_id", F.col("text").alias("_node")), ["build_key", "stage_id"], "left")
+         .join(kids, ["build_key", "stage_id"], "left"))
+    sec = console_section(console_lines.join(failed.select("build_key", F.col("name").alias("stage_name")), "build_key")
+                          .withColumn("_k", F.concat_ws("\u0001", "build_key", "stage_name")), F.col("stage_name"), key="_k")
+    full = console_lines.groupBy("build_key").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("_console"))
+    full = full.select("build_key", F.when(F.trim("_console") != "", truncate_chars(F.trim("_console"))).alias("_full"))
+    f = f.withColumn("_k", F.concat_ws("\u0001", "build_key", "name")).join(sec.withColumnRenamed("excerpt", "_sec"), "_k", "left")
+    f = f.join(full, "build_key", "left")
+
+    def nz(c):
+        return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
+
+    excerpt = F.coalesce(nz(F.col("_node")), nz(F.col("child_log")), nz(F.col("_sec")), F.coalesce(F.col("_full"), F.lit("")))
+    staged = f.select("build_key", F.col("name").alias("stage_name"), F.col("stage_id").cast("string").alias("stage_id"),
+                      F.upper("status").alias("status"), excerpt.alias("log_excerpt"))
+    none_failed = builds.select("build_key").join(failed.select("build_key").distinct(), "build_key", "left_anti")
+    synth = none_failed.join(full, "build_key").filter(F.col("_full").isNotNull()).select(
+        "build_key", F.lit("Build").alias("stage_name"), F.lit(None).cast("string").alias("stage_id"),
+        F.lit("FAILURE").alias("status"), F.col("_full").alias("log_excerpt"))
+    return staged.unionByName(synth)

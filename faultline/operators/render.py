@@ -118,16 +118,18 @@ def rank_locations(locs: DataFrame) -> DataFrame:
 
 
 def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataFrame | None = None,
-           body_max_chars: int = P.BODY_MAX_CHARS) -> DataFrame:
+           body_max_chars: int = P.BODY_MAX_CHARS, with_citation: bool = True) -> DataFrame:
     """One result row per log from selected lines, ranked locations and detector names.
 
-    ``logs_meta`` (optional): log_id, job_name, stage_name.
+    ``logs_meta`` (optional): log_id, job_name, stage_name. ``with_citation=False``
+    gives the legacy plain body (X15): no ``L<idx>:`` prefixes.
     """
     live = ~F.col("drop") & (F.col("text") != "")
     w = Window.partitionBy(LOG).orderBy("idx")
     sel = lines.filter(F.col("selected"))
     gap = F.col("idx") - F.lag("idx").over(w) - 1
-    line_txt = F.concat(F.lit("L"), F.col("idx").cast("string"), F.lit(": "),
+    cite = F.concat(F.lit("L"), F.col("idx").cast("string"), F.lit(": ")) if with_citation else F.lit("")
+    line_txt = F.concat(cite,
                         F.when(F.col("note") != "", F.when(F.col("text") != "", F.concat(F.col("text"), F.lit("  "), F.col("note"))).otherwise(F.col("note")))
                         .otherwise(F.col("text")))
     piece = F.when(gap > 0, F.concat(F.format_string("... %d line(s) elided ...", gap), F.lit("\n"), line_txt)).otherwise(line_txt)

@@ -53,7 +53,8 @@ def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
 def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,
                  logs_meta: DataFrame | None = None, token_budget: int = P.BODY_MAX_TOKENS,
                  body_max_chars: int = P.BODY_MAX_CHARS, max_active: int = D.MAX_ACTIVE,
-                 materialize: str | None = "checkpoint", reuse: str | None = "persist") -> tuple[DataFrame, DataFrame]:
+                 materialize: str | None = "checkpoint", reuse: str | None = "persist",
+                 with_citation: bool = True) -> tuple[DataFrame, DataFrame]:
     """Run every pass on annotated lines; returns (results per log, final lines).
 
     ``materialize`` applies at pass boundaries (default: reliable checkpoint),
@@ -74,7 +75,7 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
     scored = _materialize(S.score_lines(based), materialize)
     final = _materialize(S.select_lines(scored, token_budget=token_budget, reuse=keep), materialize)
     ranked = R.rank_locations(locs)
-    results = R.render(final, ranked, names, logs_meta, body_max_chars=body_max_chars)
+    results = R.render(final, ranked, names, logs_meta, body_max_chars=body_max_chars, with_citation=with_citation)
     return results, final
 
 

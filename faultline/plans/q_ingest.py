@@ -238,3 +238,47 @@ def s1_tokenize_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     lines = T.tokenize(d.withColumnRenamed("doc_id", "log_id").withColumnRenamed("text", "raw"))
     return lines.groupBy("log_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _payloads(spark, sf_dir):
+    """One JSON body per error or purchase event; purchase events carry a blank excerpt."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"]).filter(F.col("event_type").isin("error", "purchase"))
+    stage = F.struct(F.lit("stage-error").alias("stage_name"), (F.col("event_id") * 10).cast("string").alias("stage_id"),
+                     F.lit("FAILED").alias("status"),
+                     F.when(F.col("event_type") == "error", A.event_log_line()).otherwise(F.lit("   ")).alias("log_excerpt"))
+    event = F.struct(F.concat(F.lit("team/job-"), (F.col("user_id") % 20).cast("string")).alias("job_full_name"),
+                     F.dayofmonth("ts").cast("int").alias("build_number"), F.lit("https://ci.example/b/").alias("build_url"),
+                     F.concat(F.lit("c-"), F.col("event_id").cast("string")).alias("correlation_id"),
+                     F.array(stage).alias("failed_stages"))
+    body = F.when(F.col("event_type") == "error", F.to_json(event)).otherwise(F.to_json(F.struct(F.array(event).alias("failures"))))
+    return ev.select(body.alias("body"))
+
+
+@register("s3_ingest_events", oracle=with_adapters("""
+SELECT 'team/job-' || CAST(user_id % 20 AS VARCHAR) AS job_full_name, CAST(day(ts) AS INTEGER) AS build_number,
+       'https://ci.example/b/' AS build_url, 'c-' || CAST(event_id AS VARCHAR) AS correlation_id, 'stage-error' AS stage_name,
+       CAST(event_id * 10 AS VARCHAR) AS stage_id, 'FAILED' AS status, substr(l.raw, 1, 200000) AS raw
+FROM events JOIN (
+  SELECT event_id AS eid,
+         CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' ELSE '' END ||
+         CASE WHEN event_id % 100 % 4 = 0 THEN 'script returned exit code ' || CAST(event_id % 100 % 3 + 1 AS VARCHAR)
+              WHEN event_id % 100 % 4 = 1 THEN 'Caused by: com.acme.Svc' || CAST(event_id % 100 % 7 AS VARCHAR) || 'Exception: code ' || CAST(event_id % 100 AS VARCHAR)
+              ELSE 'ERROR com.acme.Svc' || CAST(event_id % 100 % 7 AS VARCHAR) || 'Exception: code ' || CAST(event_id % 100 AS VARCHAR) END AS raw
+  FROM events WHERE event_type = 'error') l ON events.event_id = l.eid
+""", "log_lines"))
+def s3_ingest_events(spark, sf_dir):
+    return I.ingest_events(_payloads(spark, sf_dir))
+
+
+@register("s4_stage_log_cascade")
+def s4_stage_log_cascade(spark, sf_dir):
+    """Failed stages get node logs (Caused-by lines), child logs (exit lines) or the console of their build."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    bk = F.concat(F.lit("b"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd"))
+    lines = ev.select(bk.alias("build_key"), (F.col("event_id") * 10).alias("stage_id"), "ts", "event_id", A.event_log_line().alias("raw"))
+    console = lines.withColumn("idx", F.row_number().over(Window.partitionBy("build_key").orderBy("ts", "event_id")) - 1).select("build_key", "idx", "raw")
+    node = lines.filter(F.col("raw").contains("Caused by:")).select("build_key", "stage_id", F.col("raw").alias("text"))
+    kids = lines.filter(F.col("raw").contains("exit code")).select("build_key", "stage_id", F.col("event_id").alias("node_id"), F.col("raw").alias("text"))
+    failed = I.root_failures(A.stages(spark, sf_dir)).select("build_key", "stage_id", "name", "status")
+    builds = lines.select("build_key").distinct()
+    return I.stage_log_cascade(failed, node, kids, console, builds)

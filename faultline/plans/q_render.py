@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import baseline as B
+from ..operators import tokenize as T
 from ..sources import adapters as A
 from .catalog import register
+from .oracle import tokenized_sql
 from .filter import annotated_lines, filter_lines
 
 
@@ -65,3 +68,47 @@ def a12_location_clusters(spark, sf_dir):
     return res.select("log_id", F.posexplode("locations").alias("rank", "loc")).select(
         "log_id", "rank", "loc.kind", "loc.file", "loc.line", "loc.detector", F.round("loc.confidence", 4).alias("confidence"),
         "loc.log_line_idx", "loc.message")
+
+
+@register("x15_legacy_body")
+def x15_legacy_body(spark, sf_dir):
+    """Legacy variant: no detectors, no citation prefixes."""
+    ll = A.log_lines(spark, sf_dir)
+    res, _ = filter_lines(annotated_lines(ll), detectors="none", logs_meta=_meta(spark, sf_dir), with_citation=False)
+    return res.select("log_id", "confidence", "primary_error", "fingerprint", "body")
+
+
+def _history(spark, sf_dir):
+    """Template history per job: every derived log is one build of job ``job-<user % 20>``."""
+    lines = T.annotate(A.log_lines(spark, sf_dir))
+    uid = F.substring_index(F.substring(F.col("log_id"), 2, 100), "-", 1).cast("bigint")
+    return lines.withColumn("job_name", F.concat(F.lit("job-"), (uid % 20).cast("string"))).withColumn(
+        "stage_name", F.lit("build")).withColumn("build_id", F.col("log_id"))
+
+
+_SKETCH_SQL = A.ADAPTER_SQL["log_lines"].strip() + ",\n" + tokenized_sql("log_lines") + """,
+hist AS (
+  SELECT log_id, template, text, 'job-' || CAST(CAST(split_part(substr(log_id, 2), '-', 1) AS BIGINT) % 20 AS VARCHAR) AS job_name
+  FROM lines
+)
+SELECT h.job_name, 'build' AS stage_name, h.template, round(count(DISTINCT h.log_id) / t.builds, 6) AS fraction
+FROM hist h JOIN (SELECT job_name, count(DISTINCT log_id) AS builds FROM hist GROUP BY job_name) t ON h.job_name = t.job_name
+WHERE h.text <> ''
+GROUP BY h.job_name, h.template, t.builds"""
+
+
+@register("a10_counter_sketch", oracle="WITH " + _SKETCH_SQL)
+def a10_counter_sketch(spark, sf_dir):
+    return B.counter_sketch(_history(spark, sf_dir)).withColumn("fraction", F.round("fraction", 6))
+
+
+@register("j7_baseline_counter")
+def j7_baseline_counter(spark, sf_dir):
+    """Filter with the cross-build counter sketch instead of the self-baseline."""
+    ll = A.log_lines(spark, sf_dir)
+    sketch = B.counter_sketch(_history(spark, sf_dir))
+    uid = F.substring_index(F.substring(F.col("log_id"), 2, 100), "-", 1).cast("bigint")
+    meta = ll.select("log_id").distinct().select("log_id", F.concat(F.lit("job-"), (uid % 20).cast("string")).alias("job_name"),
+                                                 F.lit("build").alias("stage_name"))
+    res, _ = filter_lines(annotated_lines(ll), detectors="auto", sketch=sketch, logs_meta=meta)
+    return res.select("log_id", "baseline_version", "baseline_dropped", "baseline_novel", "confidence", "selected_count")

@@ -25,8 +25,8 @@ def _k() -> Column:
     return F.col("event_id") % 100
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+def event_log_line() -> Column:
+    """The raw log line of one event (see ``log_lines``)."""
     k = _k()
     body = (
         F.when((F.col("event_type") == "view") & (k < 10), F.lit("----------------"))
@@ -44,7 +44,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("ERROR com.acme.Svc"), (k % 7).cast("string"), F.lit("Exception: code "), k.cast("string")))
     )
     stamped = F.col("event_type").isin("error", "purchase")
-    raw = F.when(stamped, F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), body)).otherwise(body)
+    return F.when(stamped, F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), body)).otherwise(body)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    raw = event_log_line()
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     df = ev.select("user_id", "event_id", seq.alias("_seq"), raw.alias("raw"))
     piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
