@@ -167,12 +167,28 @@ def g1_typed_edges(spark, sf_dir):
     return _graph(spark, sf_dir)["edges"].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("g1_typed_nodes")
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace({v}, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), '_')"
+
+
+def _nid(prefix: str, v: str) -> str:
+    return f"'{prefix}:' || substr({_SLUG.format(v=v)}, 1, 120)"
+
+
+@register("g1_typed_nodes", oracle=with_adapters(_NODES_SQL + f"""
+, b AS (SELECT id, {_EC_SQL} AS ec, trim(coalesce(job_name, '')) AS job, trim(coalesce(stage_name, '')) AS stage, solution FROM nn)
+SELECT id, 'solution' AS kind, CASE WHEN coalesce(solution, '') <> '' THEN substr(split_part(trim(solution), chr(10), 1), 1, 80) ELSE ec END AS label FROM b
+UNION ALL SELECT DISTINCT {_nid('err', 'ec')}, 'error_class', ec FROM b
+UNION ALL SELECT DISTINCT {_nid('job', 'job')}, 'job', job FROM b WHERE job <> ''
+UNION ALL SELECT DISTINCT {_nid('stage', "CASE WHEN job <> '' THEN job || '__' || stage ELSE stage END")}, 'stage', stage FROM b WHERE stage <> ''
+""", "solutions"))
 def g1_typed_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)["nodes"].select("id", "kind", "label")
 
 
-@register("p8_kind_filter")
+@register("p8_kind_filter", oracle=with_adapters(_PAIRS_SQL + f"""
+SELECT target, source, 'similar' AS kind, weight FROM sim_edges
+UNION ALL SELECT {_nid('err', _EC_SQL)}, id, 'resolves', CAST(NULL AS DOUBLE) FROM nn
+""", "solutions"))
 def p8_kind_filter(spark, sf_dir):
     g = _graph(spark, sf_dir)
     _, e = G.kind_filter(g["nodes"], g["edges"], ("solution", "error_class"), ("similar", "resolves"))
@@ -189,7 +205,11 @@ def j8_node_neighbours(spark, sf_dir):
     return a.unionByName(b).orderBy(F.coalesce(F.col("weight"), F.lit(0.0)).desc(), "neighbour").limit(25)
 
 
-@register("j1_session_counts")
+@register("j1_session_counts", oracle=with_adapters(_NODES_SQL + """
+, fc AS (SELECT fingerprint, count(*) AS total FROM sessions WHERE fingerprint <> '' GROUP BY fingerprint)
+SELECT nn.id, CASE WHEN coalesce(nn.fingerprint_text, '') = '' THEN 0 ELSE coalesce(fc.total, 0) END AS pg_session_count
+FROM nn LEFT JOIN fc ON nn.fingerprint_text = fc.fingerprint
+""", "solutions", "sessions"))
 def j1_session_counts(spark, sf_dir):
     sol = _sol(spark, sf_dir)
     counts = S.fingerprint_counts(A.sessions(spark, sf_dir))
@@ -214,7 +234,14 @@ def j5_knn_search(spark, sf_dir):
     return SIM.knn_search(q, c, top_k=3, threshold=SEARCH_THRESHOLD).withColumn("rank", F.col("rank").cast("int"))
 
 
-@register("x27_route")
+@register("x27_route", oracle=with_adapters(_NODES_SQL + f"""
+, pairs AS (
+  SELECT a.id AS qkey, b.id AS key, b.ord AS ord, list_dot_product(a.v, b.v) / (a.nz * b.nz) AS sim FROM nn a CROSS JOIN nn b
+), k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY sim DESC, ord) AS r1 FROM pairs) WHERE r1 <= 5),
+best AS (SELECT qkey, max((1.0 + sim) / 2) AS best FROM k5 WHERE (1.0 + sim) / 2 >= {SEARCH_THRESHOLD} GROUP BY qkey)
+SELECT CASE WHEN coalesce(best, 0.0) >= 0.75 THEN 'verified_past_solution' ELSE 'fresh_analysis' END AS route, CAST(count(*) AS BIGINT) AS n
+FROM best GROUP BY 1
+""", "solutions"))
 def x27_route(spark, sf_dir):
     best = j5_knn_search(spark, sf_dir).groupBy("qkey").agg(F.max("score").alias("best"))
     return best.select("qkey", SIM.route(F.col("best"), 0.75).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))

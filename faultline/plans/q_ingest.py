@@ -223,7 +223,9 @@ def s6_console_section(spark, sf_dir):
     return I.console_section(ll, F.col("stage_name"))
 
 
-@register("s5_child_log_concat")
+@register("s5_child_log_concat", oracle="""
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS log FROM conversations WHERE trim(text) <> '' GROUP BY conv_id
+""")
 def s5_child_log_concat(spark, sf_dir):
     """Child-node logs of a stage concatenated in node order (conversation turns as child logs)."""
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
