@@ -137,10 +137,12 @@ def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE,
         empty = spark.createDataFrame([], _loc_schema() + ", _seq int, _ord int")
         return lines.withColumn("keep", F.lit(False)), empty, names
     pr = reuse(probes(lines))
+    # Detectors read only these columns: keep their sorts and shuffles narrow.
+    narrow = reuse(lines.select(LOG, "idx", "raw", "text", "kind", "severity", "drop"))
     all_marks, all_locs = [], []
     for order, d in enumerate(dets):
         act = pr.filter(d.activates(F.col("probe"))).select(LOG)
-        sub = lines.join(act, LOG, "left_semi")
+        sub = narrow.join(act, LOG, "left_semi")
         try:
             m, loc = d.contribute(sub, reuse=reuse)
         except TypeError:  # user detector without the reuse hook

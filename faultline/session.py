@@ -20,6 +20,8 @@ _DEFAULTS = {
     # Regex-heavy per-line stages are CPU bound: let AQE keep small partitions.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Joins on (log_id, idx) may reuse a log_id hash partitioning instead of reshuffling.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
