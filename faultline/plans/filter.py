@@ -66,13 +66,14 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
     dets = D.load_detectors(detectors) if isinstance(detectors, str) or detectors is None else list(detectors)
     marked, locs, names = D.run_detectors(collapsed, dets, cap=max_active, materialize=lambda d: _materialize(d, materialize),
                                           reuse=keep)
-    locs = _materialize(locs, materialize)
-    names = _materialize(names, materialize)
+    # Locations and names are small and already start from checkpointed tables.
+    locs = _materialize(locs, reuse)
+    names = _materialize(names, reuse)
     marked = _materialize(marked, materialize)
     if logs_meta is not None and sketch is not None:
         marked = marked.join(logs_meta, LOG, "left")
     based = B.apply_baseline(marked, sketch) if sketch is not None else B.apply_baseline(marked)
-    scored = _materialize(S.score_lines(based), materialize)
+    scored = _materialize(S.score_lines(based), reuse)
     final = _materialize(S.select_lines(scored, token_budget=token_budget, reuse=keep), materialize)
     ranked = R.rank_locations(locs)
     results = R.render(final, ranked, names, logs_meta, body_max_chars=body_max_chars, with_citation=with_citation)
