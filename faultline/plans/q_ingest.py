@@ -284,3 +284,22 @@ def s4_stage_log_cascade(spark, sf_dir):
     failed = I.root_failures(A.stages(spark, sf_dir)).select("build_key", "stage_id", "name", "status")
     builds = lines.select("build_key").distinct()
     return I.stage_log_cascade(failed, node, kids, console, builds)
+
+
+@register("p9_failing_status", oracle=with_adapters("""
+SELECT upper(status) IN ('FAILED', 'ERROR', 'ABORTED') AS failing, CAST(count(*) AS BIGINT) AS n FROM stages GROUP BY 1
+""", "stages"))
+def p9_failing_status(spark, sf_dir):
+    st = A.stages(spark, sf_dir)
+    return st.groupBy(I.failing_status(F.col("status")).alias("failing")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s2_feed_xml", oracle=with_adapters("SELECT title, link FROM feed", "feed"))
+def s2_feed_xml(spark, sf_dir):
+    """The feed landed as RSS XML in the shared scratch folder, then scanned back."""
+    import uuid
+    from ..session import checkpoint_dir
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/feed-xml-{uuid.uuid4().hex}"
+    A.feed(spark, sf_dir).select("title", "link").write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    return I.read_feed(spark, path)

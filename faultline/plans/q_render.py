@@ -112,3 +112,10 @@ def j7_baseline_counter(spark, sf_dir):
                                                  F.lit("build").alias("stage_name"))
     res, _ = filter_lines(annotated_lines(ll), detectors="auto", sketch=sketch, logs_meta=meta)
     return res.select("log_id", "baseline_version", "baseline_dropped", "baseline_novel", "confidence", "selected_count")
+
+
+@register("x8_line_scores")
+def x8_line_scores(spark, sf_dir):
+    """Pass-4 score of every live line after detectors and baseline."""
+    _, final = filtered(spark, sf_dir)
+    return final.filter(~F.col("drop") & (F.col("text") != "")).select("log_id", "idx", "severity", "score")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..operators import detectors as D
 from ..operators import structural as ST
 from ..operators import tokenize as T
 from ..sources import adapters as A
@@ -57,7 +58,7 @@ c0 AS (
             max(idx) OVER (PARTITION BY log_id, prun) AS plast
   FROM c6
 ), c8 AS (
-  SELECT log_id, idx, text, template, var_tokens, severity, score1 AS score,
+  SELECT log_id, idx, text, template, var_tokens, kind, severity, score1 AS score,
          drop1 OR (prun IS NOT NULL AND pfirst IS NOT NULL AND plast - pfirst + 1 >= 4 AND idx > pfirst) AS drop2,
          CASE WHEN prun IS NOT NULL AND pfirst IS NOT NULL AND plast - pfirst + 1 >= 4 AND idx > pfirst THEN 'progress-elided'
               WHEN prun IS NOT NULL AND pfirst IS NOT NULL AND plast - pfirst + 1 >= 4 AND idx = pfirst THEN 'progress-summary'
@@ -107,7 +108,7 @@ c0 AS (
   FROM bk LEFT JOIN vals ON bk.log_id = vals.log_id AND bk.head = vals.head
   WHERE cnt >= 3
 ), collapsed AS (
-  SELECT c8.log_id, c8.idx, c8.text, c8.severity, c8.score,
+  SELECT c8.log_id, c8.idx, c8.text, c8.kind, c8.severity, c8.score,
          drop2 OR coalesce(mid, false) AS drop,
          CASE WHEN coalesce(mid, false) THEN 'repeat-elided' WHEN coalesce(islast, false) THEN 'repeat-summary' ELSE reason2 END AS reason,
          CASE WHEN coalesce(islast, false) THEN rnote ELSE note2 END AS note
@@ -159,6 +160,47 @@ def w5_value_summary(spark, sf_dir):
     return df.filter(F.col("note").like("%values=%")).select("log_id", "idx", "note")
 
 
+_SHELL_RX = q(D.EXIT_NONZERO)
+
+
+@register("j11_shell_detector", oracle=f"""WITH {COLLAPSE_SQL},
+ex AS (SELECT log_id, max(idx) AS exit_idx FROM collapsed WHERE NOT drop AND text <> '' AND regexp_matches(text, {_SHELL_RX}) GROUP BY log_id),
+ctx AS (
+  SELECT ex.log_id, ex.exit_idx,
+         max(CASE WHEN c.kind = 1 AND NOT c.drop AND c.idx < ex.exit_idx AND c.idx >= ex.exit_idx - 59 THEN c.idx END) AS cmd,
+         max(CASE WHEN (c.kind = 4 OR c.severity >= 5) AND NOT c.drop AND c.idx < ex.exit_idx AND c.idx >= ex.exit_idx - 59 THEN c.idx END) AS bar
+  FROM ex JOIN collapsed c ON c.log_id = ex.log_id GROUP BY ex.log_id, ex.exit_idx
+), facts AS (
+  SELECT ctx.*, coalesce(nullif(regexp_extract(e.text, {_SHELL_RX}, 1), ''), nullif(regexp_extract(e.text, {_SHELL_RX}, 2), ''),
+                         nullif(regexp_extract(e.text, {_SHELL_RX}, 3), ''), '1') AS code,
+         substr(trim(regexp_replace(coalesce(m.text, ''), '^[+$> ]+', '')), 1, 200) AS ctext,
+         cmd IS NOT NULL AND (bar IS NULL OR cmd > bar) AS ok
+  FROM ctx JOIN collapsed e ON e.log_id = ctx.log_id AND e.idx = ctx.exit_idx
+  LEFT JOIN collapsed m ON m.log_id = ctx.log_id AND m.idx = ctx.cmd
+)
+SELECT log_id, CASE WHEN ok THEN 'command' ELSE 'log' END AS kind, CASE WHEN ok THEN ctext ELSE '' END AS command,
+       CAST(CASE WHEN ok THEN CASE WHEN ctext <> '' THEN 0.55 ELSE 0.40 END ELSE 0.30 END AS DOUBLE) AS confidence,
+       CAST(CASE WHEN ok THEN cmd ELSE exit_idx END AS INTEGER) AS log_line_idx,
+       CASE WHEN ok THEN 'exited with code ' || code ELSE 'non-zero exit (' || code || ')' END AS message
+FROM facts""")
+def j11_shell_detector(spark, sf_dir):
+    _, locs = D.ShellDetector().contribute(collapsed_lines(spark, sf_dir))
+    return locs.select("log_id", "kind", "command", "confidence", "log_line_idx", "message")
+
+
+_HINTS_SQL = " OR ".join(f"strpos(text, {q(h)}) > 0" for h in P.PKG_MGR_HINTS)
+
+
+@register("p12_project_frames", oracle=f"""WITH {A.ADAPTER_SQL["log_lines"].strip()},
+{tokenized_sql("log_lines")}
+SELECT log_id, CASE WHEN {_HINTS_SQL} THEN 'framework' ELSE 'project' END AS frame, CAST(count(*) AS BIGINT) AS n
+FROM lines WHERE kind = 4 GROUP BY 1, 2""")
+def p12_project_frames(spark, sf_dir):
+    df = T.annotate(A.log_lines(spark, sf_dir)).filter(F.col("kind") == P.KIND_STACK)
+    frame = F.when(ST.project_frame(F.col("text")), F.lit("project")).otherwise(F.lit("framework"))
+    return df.groupBy("log_id", frame.alias("frame")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("w3_json_fold")
 def w3_json_fold(spark, sf_dir):
     """JSON fold over the payload corpus: each event's props pretty-printed as a block."""
