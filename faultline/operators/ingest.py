@@ -212,6 +212,47 @@ def noise_line(line: Column) -> Column:
     return line.rlike(NOISE_LINE)
 
 
+def truncate_lines(lines: DataFrame, key: str, max_chars: int = STAGE_LOG_CHARS, raw_col: str = "raw",
+                   order_col: str = "idx") -> DataFrame:
+    """X16 over a text stored as line rows (text = lines joined by LF).
+
+    Only lines overlapping the first ``max_chars`` characters or the kept tail
+    are collected, so a group never holds more than about twice the cap,
+    however long the console is. Output: key, excerpt (same result as
+    ``truncate_chars`` on the joined text).
+    """
+    if max_chars < 280:
+        raise ValueError("truncate_lines supports max_chars >= 280")
+    w = Window.partitionBy(key).orderBy(order_col)
+    start = F.coalesce(F.sum(F.length(raw_col) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = lines.select(key, order_col, F.col(raw_col).alias("_r"), start.alias("_s"))
+    df = df.withColumn("_n", F.sum(F.length("_r") + 1).over(Window.partitionBy(key)) - 1)
+    inner = max(200, max_chars - 96)
+    head0 = max(80, int(inner * 0.55))
+    tail0 = max(80, inner - head0)
+    n = F.col("_n")
+    om0 = F.greatest(F.lit(0), n - head0 - tail0)
+    spare = F.lit(max_chars) - (head0 + F.length(F.format_string(TRUNC_NOTICE, om0)) + tail0)
+    head = F.lit(head0) + F.floor(spare / 2).cast("int")
+    tail = F.lit(tail0) + (spare - F.floor(spare / 2).cast("int"))
+    df = df.withColumn("_head", head).withColumn("_tail", tail)
+    small = n <= max_chars
+    keep_head = small | (F.col("_s") < F.greatest(F.col("_head"), F.lit(max_chars - 3)))
+    keep_tail = ~small & (F.col("_s") + F.length("_r") >= n - F.col("_tail"))
+    piece = df.filter(keep_head | keep_tail).select(key, order_col, "_r", "_n", "_head", "_tail",
+                                                   keep_head.alias("_h"), keep_tail.alias("_t"))
+    g = piece.groupBy(key).agg(
+        F.first("_n").alias("_n"), F.first("_head").alias("_head"), F.first("_tail").alias("_tail"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_h"), F.struct(order_col, "_r")))), lambda x: x["_r"]), "\n").alias("_ht"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_t"), F.struct(order_col, "_r")))), lambda x: x["_r"]), "\n").alias("_tt"))
+    n, hd, tl = F.col("_n"), F.col("_head"), F.col("_tail")
+    om = F.greatest(F.lit(0), n - hd - tl)
+    tail_text = F.substring(F.col("_tt"), F.length("_tt") - tl + 1, tl)
+    out = F.concat(F.substring(F.col("_ht"), F.lit(1), hd), F.format_string(TRUNC_NOTICE, om), tail_text)
+    fallback = F.concat(F.substring(F.col("_ht"), 1, max_chars - 3), F.lit("..."))
+    return g.select(key, F.when(n <= max_chars, F.col("_ht")).when(F.length(out) <= max_chars, out).otherwise(fallback).alias("excerpt"))
+
+
 # ── Stage grouping ───────────────────────────────────────────────────────────
 
 def overlap_groups(stages: DataFrame, slack_ms: int = OVERLAP_SLACK_MS, build: str = "build_key") -> DataFrame:
@@ -299,9 +340,7 @@ def console_section(lines: DataFrame, stage_name: Column, key: str = "log_id") -
     w = Window.partitionBy(key)
     df = lines.withColumn("_c", F.max(F.when(hit, F.col("idx"))).over(w))
     keep = F.col("_c").isNull() | ((F.col("idx") >= F.col("_c") - 50) & (F.col("idx") < F.col("_c") + 150))
-    g = df.filter(keep).groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("_t"))
-    return g.select(key, truncate_chars(F.col("_t")).alias("excerpt"))
+    return truncate_lines(df.filter(keep).select(key, "idx", "raw"), key)
 
 
 def error_snippets(lines: DataFrame, key: str = "log_id", scan_lines: int = SCAN_LINES,
@@ -451,9 +490,10 @@ def stage_log_cascade(failed: DataFrame, node_logs: DataFrame, child_logs: DataF
          .join(kids, ["build_key", "stage_id"], "left"))
     sec = console_section(console_lines.join(failed.select("build_key", F.col("name").alias("stage_name")), "build_key")
                           .withColumn("_k", F.concat_ws("\u0001", "build_key", "stage_name")), F.col("stage_name"), key="_k")
-    full = console_lines.groupBy("build_key").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("_console"))
-    full = full.select("build_key", F.when(F.trim("_console") != "", truncate_chars(F.trim("_console"))).alias("_full"))
+    # Whole-console excerpt over line rows (never the whole console in one group). Blank consoles give none.
+    nonblank = console_lines.groupBy("build_key").agg(F.max((F.trim("raw") != "").cast("int")).alias("_nb"))
+    full = truncate_lines(console_lines.select("build_key", "idx", "raw"), "build_key").join(nonblank, "build_key")
+    full = full.select("build_key", F.when(F.col("_nb") == 1, F.col("excerpt")).alias("_full"))
     f = f.withColumn("_k", F.concat_ws("\u0001", "build_key", "name")).join(sec.withColumnRenamed("excerpt", "_sec"), "_k", "left")
     f = f.join(full, "build_key", "left")
 

@@ -67,3 +67,18 @@ def test_snippets(spark):
     df = spark.createDataFrame([("L", i, l) for i, l in enumerate(lines)], "log_id string, idx int, raw string")
     snip = I.error_snippets(df).first().snippet
     assert "connection refused" in snip and "RuntimeException" in snip and "[Pipeline]" not in snip and "\n\n" in snip
+
+
+def test_truncate_lines_matches_text(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for k in range(12):
+        n = rng.choice([1, 5, 40, 400, 3000])
+        for i in range(n):
+            rows.append((f"k{k}", i, "x" * rng.randrange(0, 60) + str(i)))
+    df = spark.createDataFrame(rows, "key string, idx int, raw string")
+    got = {r.key: r.excerpt for r in I.truncate_lines(df, "key", 600).collect()}
+    full = df.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("t"))
+    want = {r.key: r.e for r in full.select("key", I.truncate_chars(F.col("t"), 600).alias("e")).collect()}
+    assert got == want
