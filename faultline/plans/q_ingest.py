@@ -135,12 +135,58 @@ def z7_event_type(spark, sf_dir):
                       F.coalesce(F.size("_fs"), F.lit(0)).cast("bigint").alias("failed_stages"))
 
 
-@register("w9_parallel_blocks")
+_W9_SQL = """
+, ev AS (
+  SELECT build_key, stage_id AS id, 0 AS k FROM stages
+  UNION ALL SELECT build_key, node_id, CASE kind WHEN 'start' THEN 1 ELSE 2 END FROM markers WHERE kind IN ('start', 'end')
+), evn AS (SELECT *, row_number() OVER (PARTITION BY build_key ORDER BY id, k) AS rn FROM ev),
+rec AS (
+  WITH RECURSIVE r(build_key, rn, id, k, st, blk) AS (
+    SELECT build_key, rn, id, k, CASE WHEN k = 1 THEN [id] ELSE CAST([] AS BIGINT[]) END, CAST(NULL AS BIGINT)
+    FROM evn WHERE rn = 1
+    UNION ALL
+    SELECT e.build_key, e.rn, e.id, e.k,
+           CASE WHEN e.k = 1 THEN list_append(r.st, e.id)
+                WHEN e.k = 2 AND len(r.st) > 0 THEN r.st[1:len(r.st) - 1] ELSE r.st END,
+           CASE WHEN e.k = 0 AND len(r.st) > 0 THEN r.st[len(r.st)] END
+    FROM r JOIN evn e ON e.build_key = r.build_key AND e.rn = r.rn + 1
+  ) SELECT * FROM r
+), fin AS (SELECT build_key, arg_max(len(st), rn) = 0 AS closed FROM rec GROUP BY build_key),
+ids0 AS (
+  SELECT build_key, CASE WHEN stage_id <= 0 OR stage_id <= coalesce(lag(stage_id) OVER (PARTITION BY build_key ORDER BY start_ms, stage_id), 0) THEN 1 ELSE 0 END AS bad
+  FROM stages
+), ids AS (SELECT build_key, max(bad) = 0 AS ids_ok FROM ids0 GROUP BY build_key)
+"""
+
+
+@register("w9_parallel_blocks", oracle=with_adapters(_W9_SQL + """
+SELECT s.build_key, s.stage_id, CASE WHEN f.closed AND i.ids_ok THEN r.blk END AS block, coalesce(f.closed AND i.ids_ok, false) AS valid
+FROM stages s LEFT JOIN rec r ON r.build_key = s.build_key AND r.id = s.stage_id AND r.k = 0
+LEFT JOIN fin f ON f.build_key = s.build_key LEFT JOIN ids i ON i.build_key = s.build_key
+""", "stages", "markers"))
 def w9_parallel_blocks(spark, sf_dir):
     return I.parallel_blocks(A.stages(spark, sf_dir), A.markers(spark, sf_dir)).select("build_key", "stage_id", "block", "valid")
 
 
-@register("w10_root_failures_markers")
+@register("w10_root_failures_markers", oracle=with_adapters(_W9_SQL.rstrip() + _W8_SQL.replace("\n, g AS (", ",\ng AS (", 1) + """
+, pb AS (
+  SELECT s.build_key, s.stage_id, s.status, s.start_ms, grp.group_no, coalesce(f.closed AND i.ids_ok, false) AS valid, r.blk
+  FROM stages s JOIN grp ON grp.build_key = s.build_key AND grp.stage_id = s.stage_id
+  LEFT JOIN rec r ON r.build_key = s.build_key AND r.id = s.stage_id AND r.k = 0
+  LEFT JOIN fin f ON f.build_key = s.build_key LEFT JOIN ids i ON i.build_key = s.build_key
+), gk AS (
+  SELECT *, CASE WHEN valid THEN coalesce('b' || CAST(blk AS VARCHAR), 's' || CAST(stage_id AS VARCHAR)) ELSE 'o' || CAST(group_no AS VARCHAR) END AS gkey FROM pb
+), gg AS (
+  SELECT *, min(start_ms) OVER (PARTITION BY build_key, gkey) AS gstart,
+         max(CASE WHEN upper(status) IN ('FAILED', 'ERROR', 'ABORTED') THEN 1 ELSE 0 END) OVER (PARTITION BY build_key, gkey) AS gfail
+  FROM gk
+), firstg AS (
+  SELECT build_key, gkey FROM (SELECT build_key, gkey, row_number() OVER (PARTITION BY build_key ORDER BY gstart, gkey) AS r
+                               FROM (SELECT DISTINCT build_key, gkey, gstart FROM gg WHERE gfail = 1)) WHERE r = 1
+)
+SELECT gg.build_key, gg.stage_id FROM gg JOIN firstg ON gg.build_key = firstg.build_key AND gg.gkey = firstg.gkey
+WHERE upper(gg.status) IN ('FAILED', 'ERROR', 'ABORTED')
+""", "stages", "markers"))
 def w10_root_failures_markers(spark, sf_dir):
     return I.root_failures(A.stages(spark, sf_dir), A.markers(spark, sf_dir)).select("build_key", "stage_id")
 

@@ -291,6 +291,12 @@ stages AS (
          epoch_ms(ts) AS start_ms,
          CAST(floor(value * 600000) AS BIGINT) AS duration_ms
   FROM events
+)""",
+    "markers": r"""
+markers AS (
+  SELECT 'b' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS build_key, event_id * 10 - 1 AS node_id,
+         CASE WHEN event_type = 'signup' THEN 'start' ELSE 'end' END AS kind
+  FROM events WHERE event_type IN ('signup', 'purchase')
 )""",
     "feed": r"""
 feed AS (
