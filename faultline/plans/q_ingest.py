@@ -258,12 +258,49 @@ def p11_error_signal(spark, sf_dir):
     return ll.groupBy("log_id").agg(F.bool_or((F.col("idx") < 200) & F.col("raw").rlike(I.FAILURE_SIGNAL)).alias("has_signal"))
 
 
-@register("w13_error_snippets")
+def _snippet_sql() -> str:
+    noise = f"(regexp_matches(raw, {q(I.NOISE_LINE)}) OR regexp_matches(raw, '^\\s*$'))"
+    return f"""
+, b AS (
+  SELECT log_id, idx, raw, n, idx - greatest(0, n - {I.SCAN_LINES}) AS i, least(n, {I.SCAN_LINES}) AS m
+  FROM (SELECT *, count(*) OVER (PARTITION BY log_id) AS n FROM log_lines) WHERE idx >= n - {I.SCAN_LINES}
+), sc AS (SELECT *, {_anchor_sql('raw')} AS s, {noise} AS noise FROM b),
+an AS (SELECT * FROM sc WHERE s >= {I.SNIPPET_MIN_SCORE}),
+an2 AS (SELECT *, i - lag(i) OVER (PARTITION BY log_id ORDER BY i) AS d FROM an),
+an3 AS (SELECT *, sum(CASE WHEN d IS NULL OR d > {I.SNIPPET_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS cid FROM an2),
+cl AS (SELECT log_id, cid, min(i) AS lo, max(i) AS hi, max(s) AS peak, max(m) AS m FROM an3 GROUP BY log_id, cid),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY peak DESC, hi DESC) AS r FROM cl) WHERE r <= {I.SNIPPET_REGIONS}),
+wn AS (SELECT log_id, greatest(0, lo - {I.SNIPPET_BEFORE}) AS wlo, least(m, hi + {I.SNIPPET_AFTER} + 1) AS whi FROM top),
+wn2 AS (SELECT *, max(whi) OVER (PARTITION BY log_id ORDER BY wlo, whi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pmax FROM wn),
+wn3 AS (SELECT *, sum(CASE WHEN pmax IS NULL OR wlo > pmax THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY wlo, whi ROWS UNBOUNDED PRECEDING) AS wid FROM wn2),
+wins AS (SELECT log_id, wid, min(wlo) AS wlo, max(whi) AS whi FROM wn3 GROUP BY log_id, wid),
+pw AS (
+  SELECT w.log_id, w.wid, string_agg(sc.raw, chr(10) ORDER BY sc.i) AS body
+  FROM wins w JOIN sc ON sc.log_id = w.log_id AND sc.i >= w.wlo AND sc.i < w.whi WHERE NOT sc.noise GROUP BY w.log_id, w.wid
+), sn AS (SELECT log_id, regexp_replace(string_agg(body, chr(10) || chr(10) ORDER BY wid), '^\\s+|\\s+$', '', 'g') AS s FROM pw GROUP BY log_id),
+tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY idx DESC) AS k FROM log_lines) WHERE k <= 30 AND NOT regexp_matches(raw, '^\\s*$')),
+tl2 AS (SELECT *, regexp_matches(raw, {q(I.NOISE_LINE)}) AS nz, max(CASE WHEN NOT regexp_matches(raw, {q(I.NOISE_LINE)}) THEN 1 ELSE 0 END) OVER (PARTITION BY log_id) AS anyclean FROM tl),
+tl3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY idx DESC) AS k2 FROM tl2 WHERE anyclean = 0 OR NOT nz) WHERE k2 <= 8),
+fb AS (SELECT log_id, string_agg(raw, chr(10) ORDER BY idx) AS f FROM tl3 GROUP BY log_id),
+txt AS (
+  SELECT k.log_id, CASE WHEN length(coalesce(sn.s, '')) > 0 THEN sn.s ELSE coalesce(fb.f, '') END AS t
+  FROM (SELECT DISTINCT log_id FROM log_lines) k LEFT JOIN sn ON sn.log_id = k.log_id LEFT JOIN fb ON fb.log_id = k.log_id
+)
+"""
+
+
+@register("w13_error_snippets", oracle=with_adapters(_snippet_sql() + f"SELECT log_id, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS snippet FROM txt", "log_lines"))
 def w13_error_snippets(spark, sf_dir):
     return I.error_snippets(A.log_lines(spark, sf_dir))
 
 
-@register("s6_console_section")
+@register("s6_console_section", oracle=with_adapters(f"""
+, c AS (SELECT log_id, max(CASE WHEN strpos(raw, '(task-7)') > 0 OR strpos(raw, 'task-7') > 0 THEN idx END) AS ctr FROM log_lines GROUP BY log_id),
+t AS (
+  SELECT l.log_id, string_agg(l.raw, chr(10) ORDER BY l.idx) AS t FROM log_lines l JOIN c ON c.log_id = l.log_id
+  WHERE c.ctr IS NULL OR (l.idx >= c.ctr - 50 AND l.idx < c.ctr + 150) GROUP BY l.log_id
+)
+SELECT log_id, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS excerpt FROM t""", "log_lines"))
 def s6_console_section(spark, sf_dir):
     ll = A.log_lines(spark, sf_dir).withColumn("stage_name", F.lit("task-7"))
     return I.console_section(ll, F.col("stage_name"))

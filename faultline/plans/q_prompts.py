@@ -49,7 +49,16 @@ def j6_chat_context(spark, sf_dir):
     return out.withColumn("seq", F.col("seq").cast("int"))
 
 
-@register("x24_reply_split")
+@register("x24_reply_split", oracle=r"""
+WITH a AS (
+  SELECT conv_id, turn, text, regexp_extract(text, '(?ims)^(.*?)(?:^(?:#{1,6}\s*|\d+\.\s*\**)Step[-\s]?by[-\s]?Step\s+Fix\**)', 1) AS pre,
+         regexp_matches(text, '(?im)^(?:#{1,6}\s*|\d+\.\s*\**)Step[-\s]?by[-\s]?Step\s+Fix\**') AS hit
+  FROM conversations WHERE role = 'assistant'
+)
+SELECT conv_id, turn,
+       regexp_replace(CASE WHEN hit THEN pre ELSE text END, '^\s+|\s+$', '', 'g') AS analysis,
+       CASE WHEN hit THEN regexp_replace(substr(text, length(pre) + 1), '^\s+|\s+$', '', 'g') ELSE '' END AS suggested_fix
+FROM a""")
 def x24_reply_split(spark, sf_dir):
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
     sp = PR.split_reply(F.col("text"))
@@ -62,7 +71,18 @@ def x25_preamble_strip(spark, sf_dir):
     return PR.strip_preamble(cv, "text").select("conv_id", "turn", F.length("text").alias("chars"), F.length("stripped").alias("kept_chars"))
 
 
-@register("x26_prompt_fill")
+def _fill_sql(template: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for name, col in (("job_name", "job_full_name"), ("build_number", "CAST(build_number AS VARCHAR)"), ("stage_name", "stage_name"),
+                      ("filtered_logs", "substr(coalesce(filtered_logs, ''), 1, 12000)"), ("past_fingerprint", "fingerprint")):
+        out = f"replace({out}, '{{{name}}}', coalesce({col}, ''))"
+    return out.replace(chr(10), "' || chr(10) || '")
+
+
+@register("x26_prompt_fill", oracle=with_adapters(f"""
+SELECT id, CASE WHEN coalesce(match_score, 0.0) >= 0.75 THEN 'verified_past_solution' ELSE 'fresh_analysis' END AS route,
+       CASE WHEN coalesce(match_score, 0.0) >= 0.75 THEN {_fill_sql(TEMPLATES['verified_past_solution'])} ELSE {_fill_sql(TEMPLATES['fresh_analysis'])} END AS prompt
+FROM sessions""", "sessions"))
 def x26_prompt_fill(spark, sf_dir):
     s = A.sessions(spark, sf_dir)
     route = SIM.route(F.col("match_score"), 0.75)

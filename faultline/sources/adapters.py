@@ -82,14 +82,6 @@ def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole raw logs (one row per log) assembled from ``log_lines`` in order."""
-    ll = log_lines(spark, sf_dir)
-    return ll.groupBy("log_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("raw")
-    )
-
-
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """analysis_sessions rows, one per event."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
