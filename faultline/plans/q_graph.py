@@ -195,7 +195,20 @@ def p8_kind_filter(spark, sf_dir):
     return e
 
 
-@register("j8_node_neighbours")
+@register("j8_node_neighbours", oracle=with_adapters(_PAIRS_SQL + f"""
+, deg AS (SELECT nn.id, nn.ord, count(e.id) AS degree FROM nn LEFT JOIN (SELECT source AS id FROM sim_edges UNION ALL SELECT target FROM sim_edges) e ON nn.id = e.id GROUP BY nn.id, nn.ord),
+hub AS (SELECT id FROM deg ORDER BY degree DESC, ord LIMIT 1),
+b AS (SELECT id, {_EC_SQL} AS ec, trim(coalesce(job_name, '')) AS job, trim(coalesce(stage_name, '')) AS stage FROM nn),
+edges AS (
+  SELECT 'similar' AS kind, source, target, weight FROM sim_edges
+  UNION ALL SELECT 'resolves', id, {_nid('err', 'ec')}, CAST(NULL AS DOUBLE) FROM b
+  UNION ALL SELECT 'occurs_in', id, {_nid('stage', "CASE WHEN job <> '' THEN job || '__' || stage ELSE stage END")}, CAST(NULL AS DOUBLE) FROM b WHERE stage <> ''
+), nb AS (
+  SELECT source AS node, target AS neighbour, weight, kind FROM edges WHERE source IN (SELECT id FROM hub)
+  UNION ALL SELECT target, source, weight, kind FROM edges WHERE target IN (SELECT id FROM hub)
+)
+SELECT node, neighbour, weight, kind FROM nb ORDER BY coalesce(weight, 0.0) DESC, neighbour LIMIT 25
+""", "solutions"))
 def j8_node_neighbours(spark, sf_dir):
     g = _graph(spark, sf_dir)
     hub = g["hubs"].select("id").limit(1)

@@ -65,7 +65,25 @@ def x24_reply_split(spark, sf_dir):
     return cv.select("conv_id", "turn", sp["analysis"].alias("analysis"), sp["suggested_fix"].alias("suggested_fix"))
 
 
-@register("x25_preamble_strip")
+def _preamble_sql() -> str:
+    strip = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    noise = ("((strpos(lower(c), 'exact match') > 0 AND (strpos(lower(c), 'similarity') > 0 OR strpos(c, '%') > 0))"
+             " OR strpos(lower(c), 'returning previously accepted') > 0"
+             " OR (regexp_matches(lower(c), 'similarity\\s*\\d+\\s*%') AND (strpos(lower(c), 'match') > 0 OR strpos(lower(c), 'returning') > 0 OR strpos(lower(c), 'accepted') > 0))"
+             " OR regexp_matches(c, '(?is)^(?:#+\\s*)?(?:\\*\\*)?\\s*exact\\s+match\\s+found\\b'))")
+    ctes = [f"s0 AS (SELECT conv_id, turn, text, {strip.format(x='coalesce(text, \'\')')} AS t, false AS stop FROM conversations WHERE role = 'assistant')"]
+    for i in range(1, 7):
+        prev = f"s{i - 1}"
+        ctes.append(
+            f"p{i} AS (SELECT *, strpos(t, chr(10) || chr(10)) AS pos FROM {prev}), "
+            f"q{i} AS (SELECT *, CASE WHEN pos > 0 THEN substr(t, 1, pos - 1) ELSE t END AS para, CASE WHEN pos > 0 THEN substr(t, pos + 2) ELSE '' END AS rest FROM p{i}), "
+            f"r{i} AS (SELECT *, {strip.format(x='para')} AS c FROM q{i}), "
+            f"d{i} AS (SELECT *, NOT stop AND t <> '' AND (c = '' OR {noise}) AS dr FROM r{i}), "
+            f"s{i} AS (SELECT conv_id, turn, text, CASE WHEN dr THEN {strip.format(x='rest')} ELSE t END AS t, stop OR NOT dr AS stop FROM d{i})")
+    return "WITH " + ", ".join(ctes) + f" SELECT conv_id, turn, length(text) AS chars, length({strip.format(x='t')}) AS kept_chars FROM s6"
+
+
+@register("x25_preamble_strip", oracle=_preamble_sql())
 def x25_preamble_strip(spark, sf_dir):
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
     return PR.strip_preamble(cv, "text").select("conv_id", "turn", F.length("text").alias("chars"), F.length("stripped").alias("kept_chars"))

@@ -101,7 +101,45 @@ def z4_stale_reclaim(spark, sf_dir):
     return ST.reclaim_stale(st, STATE_NOW).select("job_full_name", "build_number", "status", "last_error")
 
 
-@register("z3_status_fold")
+_Z3_SQL = _FEED_BUILDS_SQL + f"""
+, x AS (SELECT fb.job_full_name, fb.build_number, fb.item_id, e.ts FROM fb JOIN events e ON e.event_id = fb.item_id),
+ev AS (
+  SELECT job_full_name, build_number, ts, 'claim' AS action, CAST(NULL AS VARCHAR) AS error FROM x
+  UNION ALL
+  SELECT job_full_name, build_number, ts + INTERVAL 1 SECOND,
+         CASE WHEN item_id % 3 = 0 THEN 'failed' ELSE 'processed' END,
+         CASE WHEN item_id % 3 = 0 THEN 'worker forward: unavailable' END FROM x
+), evn AS (SELECT *, row_number() OVER (PARTITION BY job_full_name, build_number ORDER BY ts, action, error NULLS FIRST) AS rn FROM ev),
+rec AS (
+  WITH RECURSIVE r(job_full_name, build_number, rn, status, attempt_count, last_error, first_seen_at, processed_at, claims_granted) AS (
+    SELECT job_full_name, build_number, rn,
+           CASE WHEN action = 'claim' THEN 'processing' END, 0, CAST(NULL AS VARCHAR),
+           CASE WHEN action = 'claim' THEN ts END, CAST(NULL AS TIMESTAMP), CASE WHEN action = 'claim' THEN 1 ELSE 0 END
+    FROM evn WHERE rn = 1
+    UNION ALL
+    SELECT e.job_full_name, e.build_number, e.rn,
+           CASE WHEN e.action = 'claim' AND (r.status IS NULL OR r.status IN ('seen', 'failed')) THEN 'processing'
+                WHEN e.action = 'processed' AND r.status IS NOT NULL THEN 'processed'
+                WHEN e.action = 'failed' AND r.status IS NOT NULL THEN 'failed' ELSE r.status END,
+           r.attempt_count + CASE WHEN e.action IN ('processed', 'failed') AND r.status IS NOT NULL THEN 1 ELSE 0 END,
+           CASE WHEN e.action = 'processed' AND r.status IS NOT NULL THEN NULL
+                WHEN e.action = 'failed' AND r.status IS NOT NULL THEN substr(coalesce(e.error, ''), 1, 4000) ELSE r.last_error END,
+           CASE WHEN r.status IS NULL AND e.action = 'claim' THEN e.ts ELSE r.first_seen_at END,
+           CASE WHEN e.action = 'processed' AND r.status IS NOT NULL THEN e.ts ELSE r.processed_at END,
+           r.claims_granted + CASE WHEN e.action = 'claim' AND (r.status IS NULL OR r.status IN ('seen', 'failed')) THEN 1 ELSE 0 END
+    FROM r JOIN evn e ON e.job_full_name = r.job_full_name AND e.build_number = r.build_number AND e.rn = r.rn + 1
+  ) SELECT * FROM r
+), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_full_name, build_number ORDER BY rn DESC) AS k FROM rec) WHERE k = 1)
+SELECT job_full_name, build_number,
+       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'failed' ELSE status END AS status,
+       CAST(attempt_count AS INTEGER) AS attempt_count,
+       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'stale processing reclaim' ELSE last_error END AS last_error,
+       first_seen_at, processed_at, CAST(claims_granted AS INTEGER) AS claims_granted
+FROM last WHERE status IS NOT NULL
+"""
+
+
+@register("z3_status_fold", oracle=with_adapters(_Z3_SQL, "feed"))
 def z3_status_fold(spark, sf_dir):
     """Claims and outcomes replayed per (job, build) from the failed-build feed."""
     fb = I.feed_builds(A.feed(spark, sf_dir))
