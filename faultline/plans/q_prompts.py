@@ -86,7 +86,8 @@ def _preamble_sql() -> str:
 @register("x25_preamble_strip", oracle=_preamble_sql())
 def x25_preamble_strip(spark, sf_dir):
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
-    return PR.strip_preamble(cv, "text").select("conv_id", "turn", F.length("text").alias("chars"), F.length("stripped").alias("kept_chars"))
+    return PR.strip_preamble(cv, "text").select("conv_id", "turn", F.length("text").cast("bigint").alias("chars"),
+                                                F.length("stripped").cast("bigint").alias("kept_chars"))
 
 
 def _fill_sql(template: str) -> str:
