@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import baseline as B
+from ..operators import render as R
 from ..operators import tokenize as T
 from ..sources import adapters as A
 from .catalog import register
-from .oracle import tokenized_sql
+from ..sources.adapters import with_adapters
+from .oracle import q, tokenized_sql
 from .filter import annotated_lines, filter_lines
 
 
@@ -119,3 +121,44 @@ def x8_line_scores(spark, sf_dir):
     """Pass-4 score of every live line after detectors and baseline."""
     _, final = filtered(spark, sf_dir)
     return final.filter(~F.col("drop") & (F.col("text") != "")).select("log_id", "idx", "severity", "score")
+
+
+_TXT = "concat(coalesce(filtered_logs, ''), chr(10), coalesce(analysis, ''), chr(10), coalesce(fingerprint, ''))"
+
+
+def _first_sql(rx: str, txt: str) -> str:
+    return f"nullif(trim(regexp_extract({txt}, {q(rx)}, 1)), '')"
+
+
+def _exc_sql(txt: str) -> str:
+    names = f"list_transform(regexp_extract_all({txt}, {q(R.EXCEPTION_LINE)}, 1), lambda x: string_split(x, '.')[-1])"
+    return f"list_slice(list_filter({names}, lambda x, i: list_position({names}, x) = i), 1, 4)"
+
+
+@register("a13_exception_list", oracle=with_adapters(f"SELECT id, array_to_string({_exc_sql(_TXT)}, ', ') AS exceptions FROM sessions", "sessions"))
+def a13_exception_list(spark, sf_dir):
+    s = A.sessions(spark, sf_dir)
+    txt = F.concat(F.coalesce(F.col("filtered_logs"), F.lit("")), F.lit("\n"), F.coalesce(F.col("analysis"), F.lit("")), F.lit("\n"),
+                   F.coalesce(F.col("fingerprint"), F.lit("")))
+    return s.select("id", F.array_join(R.exception_names(txt), ", ").alias("exceptions"))
+
+
+@register("x12_render_functions", oracle=with_adapters(f"""
+SELECT id,
+       coalesce({_first_sql(R.CAUSED_BY, _TXT)}, {_first_sql(R.EXCEPTION_LINE, _TXT)}, {_first_sql(R.ERROR_MARKER, _TXT)}, 'Unknown') AS primary_error,
+       coalesce({_first_sql(R.EXIT_CODE, _TXT)}, 'N/A') AS exit_code,
+       array_to_string(list_filter([
+         CASE WHEN {_first_sql(R.CAUSED_BY, _TXT)} IS NOT NULL THEN 'root_cause: ' || substr({_first_sql(R.CAUSED_BY, _TXT)}, 1, 200) END,
+         CASE WHEN len({_exc_sql(_TXT)}) > 0 THEN 'exceptions: ' || array_to_string({_exc_sql(_TXT)}, ', ') END,
+         CASE WHEN {_first_sql(R.CAUSED_BY, _TXT)} IS NULL AND {_first_sql(R.ERROR_MARKER, _TXT)} IS NOT NULL
+              THEN 'error: ' || substr({_first_sql(R.ERROR_MARKER, _TXT)}, 1, 200) END,
+         'stage: ' || coalesce(stage_name, '')], lambda x: x IS NOT NULL), ' | ') AS fingerprint
+FROM sessions""", "sessions"))
+def x12_render_functions(spark, sf_dir):
+    """X10 primary error, X11 exit code and X12 fingerprint on stored analysis texts."""
+    s = A.sessions(spark, sf_dir)
+    txt = F.concat(F.coalesce(F.col("filtered_logs"), F.lit("")), F.lit("\n"), F.coalesce(F.col("analysis"), F.lit("")), F.lit("\n"),
+                   F.coalesce(F.col("fingerprint"), F.lit("")))
+    return s.select("id", R.primary_error(txt).alias("primary_error"),
+                    F.coalesce(R._first(R.EXIT_CODE, txt), F.lit("N/A")).alias("exit_code"),
+                    R.fingerprint(txt, F.col("stage_name")).alias("fingerprint"))

@@ -163,7 +163,7 @@ def w5_value_summary(spark, sf_dir):
 _SHELL_RX = q(D.EXIT_NONZERO)
 
 
-@register("j11_shell_detector", oracle=f"""WITH {COLLAPSE_SQL},
+_J11_SQL = f"""WITH {COLLAPSE_SQL},
 ex AS (SELECT log_id, max(idx) AS exit_idx FROM collapsed WHERE NOT drop AND text <> '' AND regexp_matches(text, {_SHELL_RX}) GROUP BY log_id),
 ctx AS (
   SELECT ex.log_id, ex.exit_idx,
@@ -182,7 +182,10 @@ SELECT log_id, CASE WHEN ok THEN 'command' ELSE 'log' END AS kind, CASE WHEN ok
        CAST(CASE WHEN ok THEN CASE WHEN ctext <> '' THEN 0.55 ELSE 0.40 END ELSE 0.30 END AS DOUBLE) AS confidence,
        CAST(CASE WHEN ok THEN cmd ELSE exit_idx END AS INTEGER) AS log_line_idx,
        CASE WHEN ok THEN 'exited with code ' || code ELSE 'non-zero exit (' || code || ')' END AS message
-FROM facts""")
+FROM facts"""
+
+
+@register("j11_shell_detector", oracle=_J11_SQL)
 def j11_shell_detector(spark, sf_dir):
     _, locs = D.ShellDetector().contribute(collapsed_lines(spark, sf_dir))
     return locs.select("log_id", "kind", "command", "confidence", "log_line_idx", "message")
@@ -201,6 +204,18 @@ def p12_project_frames(spark, sf_dir):
     return df.groupBy("log_id", frame.alias("frame")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("x13_anchor_label", oracle="SELECT log_id, CASE "
+          "WHEN kind = 'command' AND command <> '' THEN '$ ' || command || CASE WHEN message <> '' THEN ' -- ' || message ELSE '' END "
+          "WHEN kind = 'log' AND log_line_idx >= 0 THEN 'line ' || CAST(log_line_idx AS VARCHAR) || CASE WHEN message <> '' THEN ' -- ' || message ELSE '' END "
+          "WHEN message <> '' THEN message ELSE 'unknown' END AS anchor FROM (" + _J11_SQL + ")")
+def x13_anchor_label(spark, sf_dir):
+    """X13 labels of the shell detector's locations."""
+    from ..operators import render as R
+    _, locs = D.ShellDetector().contribute(collapsed_lines(spark, sf_dir))
+    st = F.struct("kind", "file", "line", "column", "function", "test_name", "command", "detector", "confidence", "log_line_idx", "message")
+    return locs.select("log_id", R.anchor_label(st).alias("anchor"))
+
+
 @register("w3_json_fold")
 def w3_json_fold(spark, sf_dir):
     """JSON fold over the payload corpus: each event's props pretty-printed as a block."""
