@@ -117,7 +117,10 @@ c0 AS (
 
 
 def collapsed_lines(spark, sf_dir):
-    return ST.collapse(T.annotate(A.log_lines(spark, sf_dir)))
+    """Annotated lines checkpointed once (the regex chain is not recomputed per branch), then collapsed."""
+    from .filter import _materialize, annotated_lines
+    lines = _materialize(annotated_lines(A.log_lines(spark, sf_dir)), "checkpoint")
+    return ST.collapse(lines, reuse=lambda d: _materialize(d, "persist"))
 
 
 _COLS = ["log_id", "idx", "drop", "reason", "note", "score"]
