@@ -219,9 +219,45 @@ def x13_anchor_label(spark, sf_dir):
     return locs.select("log_id", R.anchor_label(st).alias("anchor"))
 
 
-@register("w3_json_fold")
+_DELTA = ("CASE WHEN text = '' THEN 0 ELSE (length(text) - length(replace(text, '{', ''))) + (length(text) - length(replace(text, '[', '')))"
+          " - (length(text) - length(replace(text, '}', ''))) - (length(text) - length(replace(text, ']', ''))) END")
+_W3_SQL = f"""WITH {A.ADAPTER_SQL["payload_lines"].strip()},
+{tokenized_sql("payload_lines")},
+d AS (SELECT *, kind = 6 AS drop0, {_DELTA} AS delta FROM lines),
+dd AS (SELECT *, sum(delta) OVER (PARTITION BY log_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS dsum, count(*) OVER (PARTITION BY log_id) AS n FROM d),
+ops AS (SELECT log_id, idx AS i, dsum - delta AS base, n FROM dd WHERE kind = 3 AND NOT drop0 AND text <> '' AND delta > 0),
+ends AS (
+  SELECT o.log_id, o.i, least(coalesce(min(l.idx) + 1, o.i + {P.JSON_MAX_RUN}), o.i + {P.JSON_MAX_RUN}, o.n) AS e
+  FROM ops o LEFT JOIN dd l ON l.log_id = o.log_id AND l.idx > o.i AND l.idx <= o.i + {P.JSON_MAX_RUN - 1} AND l.dsum <= o.base
+  GROUP BY o.log_id, o.i, o.n
+), opn AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY i) AS rn FROM ends),
+chain AS (
+  WITH RECURSIVE c(log_id, rn, i, e, nxt, chosen) AS (
+    SELECT log_id, rn, i, e, e, true FROM opn WHERE rn = 1
+    UNION ALL
+    SELECT o.log_id, o.rn, o.i, o.e, CASE WHEN o.i >= c.nxt THEN o.e ELSE c.nxt END, o.i >= c.nxt
+    FROM c JOIN opn o ON o.log_id = c.log_id AND o.rn = c.rn + 1
+  ) SELECT * FROM c
+), blocks AS (SELECT log_id, i, e FROM chain WHERE chosen AND e - i >= {P.JSON_MIN_RUN}),
+inside AS (
+  SELECT b.log_id, b.i, l.idx, l.text, nullif(regexp_extract(l.text, {q(P.JSON_KEY)}, 1), '') AS k
+  FROM blocks b JOIN dd l ON l.log_id = b.log_id AND l.idx > b.i AND l.idx < b.e
+), keys AS (
+  SELECT log_id, i, string_agg(k, ',' ORDER BY idx) AS ks FROM (
+    SELECT *, row_number() OVER (PARTITION BY log_id, i ORDER BY idx) AS r FROM inside WHERE text <> '' AND k IS NOT NULL) WHERE r <= 5
+  GROUP BY log_id, i
+)
+SELECT b.log_id, b.i AS idx, 'json-summary' AS reason,
+       '<json: ' || CAST(b.e - b.i AS VARCHAR) || ' lines, top-keys=[' || coalesce(keys.ks, '?') || ']>' AS note
+FROM blocks b LEFT JOIN keys ON keys.log_id = b.log_id AND keys.i = b.i
+UNION ALL
+SELECT log_id, idx, 'json-folded', '' FROM inside"""
+
+
+@register("w3_json_fold", oracle=_W3_SQL)
 def w3_json_fold(spark, sf_dir):
-    """JSON fold over the payload corpus: each event's props pretty-printed as a block."""
-    logs = A.payload_lines(spark, sf_dir)
-    df = ST.collapse(T.annotate(logs))
+    """W3 on the payload corpus (each event's properties pretty-printed as a JSON block); W1 runs first."""
+    from .filter import _materialize, annotated_lines
+    lines = _materialize(annotated_lines(A.payload_lines(spark, sf_dir)), "checkpoint")
+    df = ST.fold_json(ST.drop_banners(ST.init_state(lines)), reuse=lambda d: _materialize(d, "persist"))
     return df.filter(F.col("reason").isin("json-summary", "json-folded")).select("log_id", "idx", "reason", "note")

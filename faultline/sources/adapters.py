@@ -246,6 +246,20 @@ log_lines AS (
            END AS body
     FROM events
   )
+)""",
+    "payload_lines": r"""
+payload_lines AS (
+  SELECT 'p' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
+         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx, raw
+  FROM (
+    SELECT user_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, pos) - 1 AS seq FROM (
+      SELECT user_id, ts, event_id,
+             unnest(['{', printf('  "event": %d,', event_id), printf('  "k": %d,', event_id % 100),
+                     printf('  "type": "%s",', event_type), printf('  "value": %.2f', value), '}']) AS raw,
+             unnest(range(6)) AS pos
+      FROM events
+    )
+  )
 )""",
     "sessions": r"""
 sessions AS (
