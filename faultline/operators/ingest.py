@@ -488,12 +488,21 @@ def stage_log_cascade(failed: DataFrame, node_logs: DataFrame, child_logs: DataF
     kids = child_log_concat(child_logs)
     f = (failed.join(node_logs.select("build_key", "stage_id", F.col("text").alias("_node")), ["build_key", "stage_id"], "left")
          .join(kids, ["build_key", "stage_id"], "left"))
-    sec = console_section(console_lines.join(failed.select("build_key", F.col("name").alias("stage_name")), "build_key")
+    names = failed.select("build_key", F.col("name").alias("stage_name")).distinct()
+    sec = console_section(console_lines.join(names, "build_key")
                           .withColumn("_k", F.concat_ws("\u0001", "build_key", "stage_name")), F.col("stage_name"), key="_k")
-    # Whole-console excerpt over line rows (never the whole console in one group). Blank consoles give none.
-    nonblank = console_lines.groupBy("build_key").agg(F.max((F.trim("raw") != "").cast("int")).alias("_nb"))
-    full = truncate_lines(console_lines.select("build_key", "idx", "raw"), "build_key").join(nonblank, "build_key")
-    full = full.select("build_key", F.when(F.col("_nb") == 1, F.col("excerpt")).alias("_full"))
+    # Whole-console excerpt over line rows (never the whole console in one group), stripped of
+    # surrounding whitespace like the console text it stands for; blank consoles give none.
+    blank = F.col("raw").rlike(r"^\s*$")
+    wb = Window.partitionBy("build_key")
+    cl = (console_lines.select("build_key", "idx", "raw")
+          .withColumn("_f", F.min(F.when(~blank, F.col("idx"))).over(wb))
+          .withColumn("_l", F.max(F.when(~blank, F.col("idx"))).over(wb))
+          .filter(F.col("_f").isNotNull() & (F.col("idx") >= F.col("_f")) & (F.col("idx") <= F.col("_l"))))
+    raw = F.col("raw")
+    raw = F.when(F.col("idx") == F.col("_f"), F.regexp_replace(raw, r"^\s+", "")).otherwise(raw)
+    raw = F.when(F.col("idx") == F.col("_l"), F.regexp_replace(raw, r"\s+$", "")).otherwise(raw)
+    full = truncate_lines(cl.select("build_key", "idx", raw.alias("raw")), "build_key").withColumnRenamed("excerpt", "_full")
     f = f.withColumn("_k", F.concat_ws("\u0001", "build_key", "name")).join(sec.withColumnRenamed("excerpt", "_sec"), "_k", "left")
     f = f.join(full, "build_key", "left")
 

@@ -355,7 +355,50 @@ def s3_ingest_events(spark, sf_dir):
     return I.ingest_events(_payloads(spark, sf_dir))
 
 
-@register("s4_stage_log_cascade")
+_S4_SQL = f"""
+, el AS (
+  SELECT 'b' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS build_key, event_id * 10 AS stage_id, ts, event_id,
+         {A.EVENT_LINE_SQL} AS raw
+  FROM events
+), console AS (SELECT build_key, row_number() OVER (PARTITION BY build_key ORDER BY ts, event_id) - 1 AS idx, raw FROM el),
+node AS (SELECT build_key, stage_id, raw AS text FROM el WHERE strpos(raw, 'Caused by:') > 0),
+kids AS (SELECT build_key, stage_id, string_agg(raw, chr(10) ORDER BY event_id) AS child_log FROM el
+         WHERE strpos(raw, 'exit code') > 0 AND trim(raw) <> '' GROUP BY build_key, stage_id),
+gg AS (
+  SELECT *, min(start_ms) OVER (PARTITION BY build_key, group_no) AS gstart,
+            max(CASE WHEN upper(status) IN ('FAILED', 'ERROR', 'ABORTED') THEN 1 ELSE 0 END) OVER (PARTITION BY build_key, group_no) AS gfail
+  FROM grp
+), firstg AS (SELECT build_key, arg_min(group_no, gstart) AS g0 FROM gg WHERE gfail = 1 GROUP BY build_key),
+failed AS (
+  SELECT gg.build_key, gg.stage_id, s.name, s.status FROM gg JOIN firstg ON gg.build_key = firstg.build_key AND gg.group_no = firstg.g0
+  JOIN stages s ON s.build_key = gg.build_key AND s.stage_id = gg.stage_id WHERE upper(gg.status) IN ('FAILED', 'ERROR', 'ABORTED')
+), ctr AS (
+  SELECT f.build_key, f.name, max(CASE WHEN strpos(c.raw, '(' || f.name || ')') > 0 OR strpos(c.raw, f.name) > 0 THEN c.idx END) AS ctr
+  FROM failed f JOIN console c ON c.build_key = f.build_key GROUP BY f.build_key, f.name
+), sec AS (
+  SELECT x.build_key, x.name, string_agg(c.raw, chr(10) ORDER BY c.idx) AS t FROM ctr x JOIN console c ON c.build_key = x.build_key
+  WHERE x.ctr IS NULL OR (c.idx >= x.ctr - 50 AND c.idx < x.ctr + 150) GROUP BY x.build_key, x.name
+), full0 AS (
+  SELECT build_key, regexp_replace(string_agg(raw, chr(10) ORDER BY idx), '^\\s+|\\s+$', '', 'g') AS t FROM console GROUP BY build_key
+), fullx AS (SELECT build_key, CASE WHEN t <> '' THEN {_trunc_sql('t', I.STAGE_LOG_CHARS)} END AS full FROM full0),
+secx AS (SELECT build_key, name, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS sec FROM sec)
+SELECT f.build_key, f.name AS stage_name, CAST(f.stage_id AS VARCHAR) AS stage_id, upper(f.status) AS status,
+       coalesce(CASE WHEN trim(coalesce(n.text, '')) <> '' THEN n.text END,
+                CASE WHEN trim(coalesce(k.child_log, '')) <> '' THEN k.child_log END,
+                CASE WHEN trim(coalesce(sx.sec, '')) <> '' THEN sx.sec END,
+                coalesce(fx.full, '')) AS log_excerpt
+FROM failed f LEFT JOIN node n ON n.build_key = f.build_key AND n.stage_id = f.stage_id
+LEFT JOIN kids k ON k.build_key = f.build_key AND k.stage_id = f.stage_id
+LEFT JOIN secx sx ON sx.build_key = f.build_key AND sx.name = f.name
+LEFT JOIN fullx fx ON fx.build_key = f.build_key
+UNION ALL
+SELECT b.build_key, 'Build', CAST(NULL AS VARCHAR), 'FAILURE', fx.full
+FROM (SELECT DISTINCT build_key FROM el) b JOIN fullx fx ON fx.build_key = b.build_key
+WHERE fx.full IS NOT NULL AND b.build_key NOT IN (SELECT build_key FROM failed)
+"""
+
+
+@register("s4_stage_log_cascade", oracle=with_adapters(_W8_SQL + _S4_SQL, "stages"))
 def s4_stage_log_cascade(spark, sf_dir):
     """Failed stages get node logs (Caused-by lines), child logs (exit lines) or the console of their build."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])

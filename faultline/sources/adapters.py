@@ -223,16 +223,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ── Same adapters as SQL (DuckDB oracle) ─────────────────────────────────────
 
-ADAPTER_SQL = {
-    "log_lines": r"""
-log_lines AS (
-  SELECT 'u' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
-         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx,
-         CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || body ELSE body END AS raw
-  FROM (
-    SELECT user_id, event_type, ts,
-           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
-           CASE
+EVENT_BODY_SQL = r"""CASE
              WHEN event_type = 'view' AND event_id % 100 < 10 THEN '----------------'
              WHEN event_type = 'view' AND event_id % 100 < 20 THEN chr(9) || 'at com.acme.Step' || CAST(event_id % 100 % 3 AS VARCHAR) || '.run(Step.java:' || CAST(event_id % 100 AS VARCHAR) || ')'
              WHEN event_type = 'view' AND event_id % 100 < 25 THEN '{"step": ' || CAST(event_id % 100 AS VARCHAR) || '}'
@@ -243,10 +234,23 @@ log_lines AS (
              WHEN event_id % 100 % 4 = 0 THEN 'script returned exit code ' || CAST(event_id % 100 % 3 + 1 AS VARCHAR)
              WHEN event_id % 100 % 4 = 1 THEN 'Caused by: com.acme.Svc' || CAST(event_id % 100 % 7 AS VARCHAR) || 'Exception: code ' || CAST(event_id % 100 AS VARCHAR)
              ELSE 'ERROR com.acme.Svc' || CAST(event_id % 100 % 7 AS VARCHAR) || 'Exception: code ' || CAST(event_id % 100 AS VARCHAR)
-           END AS body
+           END"""
+EVENT_LINE_SQL = ("CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' ELSE '' END || "
+                  + EVENT_BODY_SQL)
+
+ADAPTER_SQL = {
+    "log_lines": r"""
+log_lines AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
+         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx,
+         CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || body ELSE body END AS raw
+  FROM (
+    SELECT user_id, event_type, ts,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+           {EVENT_BODY} AS body
     FROM events
   )
-)""",
+)""".replace("{EVENT_BODY}", EVENT_BODY_SQL),
     "payload_lines": r"""
 payload_lines AS (
   SELECT 'p' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
