@@ -22,7 +22,11 @@ from .oracle import q, tokenized_sql
 
 _HINT_SQL = " OR ".join(f"strpos(text, {q(h)}) > 0" for h in P.PKG_MGR_HINTS)
 
-COLLAPSE_SQL = A.ADAPTER_SQL["log_lines"].strip() + ",\n" + tokenized_sql("log_lines") + f""",
+def _collapse_sql(src: str) -> str:
+    return A.ADAPTER_SQL[src].strip() + ",\n" + tokenized_sql(src) + _COLLAPSE_BODY
+
+
+_COLLAPSE_BODY = f""",
 c0 AS (
   SELECT *, kind = 6 AS drop0, CASE WHEN kind = 6 THEN 'banner' ELSE '' END AS reason0,
          CASE WHEN kind = 4 AND NOT coalesce(lag(kind = 4) OVER (PARTITION BY log_id ORDER BY idx), false) THEN 1 ELSE 0 END AS s_start,
@@ -114,12 +118,14 @@ c0 AS (
          CASE WHEN coalesce(islast, false) THEN rnote ELSE note2 END AS note
   FROM c8 LEFT JOIN marks m ON c8.log_id = m.log_id AND c8.idx = m.idx
 )"""
+COLLAPSE_SQL = _collapse_sql("log_lines")
+STACK_COLLAPSE_SQL = _collapse_sql("stack_lines")
 
 
-def collapsed_lines(spark, sf_dir):
+def collapsed_lines(spark, sf_dir, corpus=A.log_lines):
     """Annotated lines checkpointed once (the regex chain is not recomputed per branch), then collapsed."""
     from .filter import _materialize, annotated_lines
-    lines = _materialize(annotated_lines(A.log_lines(spark, sf_dir)), "checkpoint")
+    lines = _materialize(annotated_lines(corpus(spark, sf_dir)), "checkpoint")
     return ST.collapse(lines, reuse=lambda d: _materialize(d, "persist"))
 
 
@@ -138,6 +144,73 @@ def w2_stack_collapse(spark, sf_dir):
     return df.filter((F.col("score") > 0) | (F.col("reason") == "stack-frame-elided") | F.col("note").like("%frame(s) elided%")).select(*_COLS)
 
 
+@register("w2_stack_corpus", oracle=f"WITH {STACK_COLLAPSE_SQL}\nSELECT log_id, idx, drop, reason, note, score FROM collapsed")
+def w2_stack_corpus(spark, sf_dir):
+    """All five collapsers on the stack-trace corpus (every line's final state)."""
+    return collapsed_lines(spark, sf_dir, A.stack_lines).select(*_COLS)
+
+
+def _java_sql() -> str:
+    from ..operators import stacks as SK
+    fw_prefix = " OR ".join(f"starts_with(fq, {q(x)})" for x in SK.JAVA_FRAMEWORK_PREFIXES)
+    fw_mod = ", ".join(q(x) for x in SK.JAVA_FRAMEWORK_MODULES)
+    return f"""WITH {STACK_COLLAPSE_SQL},
+fl AS (
+  SELECT l.log_id, l.idx, l.raw, c.text, regexp_matches(l.raw, {q(SK.JAVA_FRAME)}) AS isf
+  FROM stack_lines l JOIN collapsed c ON c.log_id = l.log_id AND c.idx = l.idx
+), r0 AS (SELECT *, sum(CASE WHEN isf THEN 0 ELSE 1 END) OVER (PARTITION BY log_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS seg FROM fl),
+cz AS (
+  SELECT *, regexp_extract(text, {q(SK.JAVA_CAUSE)}, 0) AS m0, regexp_extract(text, {q(SK.JAVA_CAUSE)}, 1) AS cls0
+  FROM r0
+), cz2 AS (
+  SELECT *, strpos(text, m0) + length(m0) AS e0 FROM cz
+), cz3 AS (
+  SELECT *, CASE WHEN text <> '' AND regexp_matches(text, {q(SK.JAVA_CAUSE)}) THEN
+              struct_pack(i := idx, cls := cls0,
+                          msg := CASE WHEN strpos(substr(text, e0), ':') > 0 THEN substr(trim(substr(text, e0 + strpos(substr(text, e0), ':'))), 1, 120) ELSE '' END)
+            END AS cs FROM cz2
+), fr AS (
+  SELECT f.log_id, f.idx, f.seg,
+         regexp_extract(f.raw, {q(SK.JAVA_FRAME)}, 1) AS md, regexp_extract(f.raw, {q(SK.JAVA_FRAME)}, 2) AS fq,
+         regexp_extract(f.raw, {q(SK.JAVA_FRAME)}, 3) AS det,
+         (SELECT arg_max(c.cs, c.idx) FROM cz3 c WHERE c.log_id = f.log_id AND c.cs IS NOT NULL
+            AND c.idx >= t.top - {SK.JAVA_CAUSE_LOOKBACK} AND c.idx <= t.top - 1) AS cause,
+         t.top
+  FROM cz3 f JOIN (SELECT log_id, seg, min(idx) AS top FROM cz3 WHERE isf GROUP BY log_id, seg) t ON t.log_id = f.log_id AND t.seg = f.seg
+  WHERE f.isf
+), fr2 AS (
+  SELECT *, NOT ((md <> '' AND (md IN ({fw_mod}) OR (starts_with(md, 'java.') AND NOT starts_with(md, 'java.user.')))) OR {fw_prefix}) AS proj,
+         det NOT IN ('', 'Native Method', 'Unknown Source') AND regexp_matches(trim(det), {q(SK.JAVA_FILE_LINE)}) AS known,
+         CASE WHEN strpos(fq, '.') > 0 THEN regexp_extract(fq, '^(.*)\\.([^.]*)$', 1) ELSE '' END AS cl,
+         CASE WHEN strpos(fq, '.') > 0 THEN regexp_extract(fq, '^(.*)\\.([^.]*)$', 2) ELSE fq END AS meth
+  FROM fr
+), fr3 AS (
+  SELECT *, CASE WHEN known THEN regexp_extract(trim(det), {q(SK.JAVA_FILE_LINE)}, 1) ELSE '' END AS file,
+         CASE WHEN known AND regexp_extract(trim(det), {q(SK.JAVA_FILE_LINE)}, 2) <> '' THEN CAST(regexp_extract(trim(det), {q(SK.JAVA_FILE_LINE)}, 2) AS INTEGER) ELSE 0 END AS line,
+         CASE WHEN md <> '' THEN md || '/' || cl ELSE cl END AS disp,
+         sum(CASE WHEN proj THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, seg ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS off,
+         sum(CASE WHEN proj THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, seg) AS nproj,
+         coalesce(cause.cls, '') AS ccls, coalesce(cause.msg, '') AS cmsg
+  FROM fr2
+), base AS (SELECT *, CASE WHEN off = 0 THEN 0.85 ELSE greatest(0.55, 0.85 - 0.10 * off) END AS b FROM fr3)
+SELECT log_id, file, line, CASE WHEN disp <> '' THEN disp || '.' || meth ELSE meth END AS function,
+       round(CAST(CASE WHEN file = '' THEN least(b, 0.50) WHEN line <= 0 THEN least(b, 0.65) ELSE b END AS DOUBLE), 4) AS confidence,
+       idx AS log_line_idx,
+       CASE WHEN ccls <> '' THEN rtrim(ccls || ': ' || cmsg, ': ') WHEN meth <> '' THEN meth ELSE fq END AS message
+FROM base WHERE proj
+UNION ALL
+SELECT log_id, file, line, disp || '.' || meth, 0.45, idx, CASE WHEN ccls <> '' THEN ccls ELSE 'framework-internal stack' END
+FROM base WHERE nproj = 0 AND idx = top"""
+
+
+@register("e3a_java_locations", oracle=_java_sql())
+def e3a_java_locations(spark, sf_dir):
+    """Java detector locations on the stack-trace corpus (after structural collapse)."""
+    from ..operators import stacks as SK
+    _, locs = SK.JavaStackDetector().contribute(collapsed_lines(spark, sf_dir, A.stack_lines))
+    return locs.select("log_id", "file", "line", "function", F.round("confidence", 4).alias("confidence"), "log_line_idx", "message")
+
+
 @register("w4_progress_collapse", oracle=f"WITH {COLLAPSE_SQL}\nSELECT log_id, idx, drop, reason, note FROM collapsed WHERE reason LIKE 'progress-%'")
 def w4_progress_collapse(spark, sf_dir):
     df = collapsed_lines(spark, sf_dir)

@@ -82,6 +82,30 @@ def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stack-trace corpus: every error event becomes an exception line, an optional cause
+    line and 3-8 Java frames (every third one a JDK frame), in the user's event order."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"]).filter(F.col("event_type") == "error")
+    k = _k()
+    head = F.array(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] ERROR com.acme.Svc"),
+                            (k % 7).cast("string"), F.lit("Exception: code "), k.cast("string")))
+    cause = F.when(k % 2 == 0, F.array(F.concat(F.lit("Caused by: java.io.IOException: disk "), (k % 5).cast("string")))).otherwise(
+        F.array().cast("array<string>"))
+    frames = F.transform(F.sequence(F.lit(0), (k % 6 + 2).cast("int")), lambda j: F.when(
+        j % 3 == 1, F.concat(F.lit("\tat java.base/java.lang.Thread.run(Thread.java:"), j.cast("string"), F.lit(")"))).otherwise(
+        F.concat(F.lit("\tat com.acme.svc"), (k % 7).cast("string"), F.lit(".Worker"), j.cast("string"), F.lit(".call(Worker"),
+                 j.cast("string"), F.lit(".java:"), (j + 10).cast("string"), F.lit(")"))))
+    df = ev.select("user_id", "ts", "event_id", F.posexplode(F.concat(head, cause, frames)).alias("pos", "raw"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id", "pos")) - 1
+    df = df.select("user_id", seq.alias("_seq"), "raw")
+    piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
+    return df.select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), piece.cast("string")).alias("log_id"),
+        (F.col("_seq") - piece * LOG_PIECE_LINES).cast("int").alias("idx"),
+        "raw",
+    )
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """analysis_sessions rows, one per event."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
@@ -264,6 +288,25 @@ payload_lines AS (
       FROM events
     )
   )
+)""",
+    "stack_lines": r"""
+stack_lines AS (
+  SELECT 's' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
+         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx, raw
+  FROM (
+    SELECT user_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, pos) - 1 AS seq FROM (
+      SELECT user_id, ts, event_id, unnest(arr) AS raw, unnest(range(len(arr))) AS pos FROM (
+        SELECT user_id, ts, event_id, list_concat(
+          ['[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ERROR com.acme.Svc' || CAST(event_id % 100 % 7 AS VARCHAR) || 'Exception: code ' || CAST(event_id % 100 AS VARCHAR)],
+          CASE WHEN event_id % 100 % 2 = 0 THEN ['Caused by: java.io.IOException: disk ' || CAST(event_id % 100 % 5 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END,
+          list_transform(range(CAST(event_id % 100 % 6 + 3 AS BIGINT)), lambda j:
+            CASE WHEN j % 3 = 1 THEN chr(9) || 'at java.base/java.lang.Thread.run(Thread.java:' || CAST(j AS VARCHAR) || ')'
+                 ELSE chr(9) || 'at com.acme.svc' || CAST(event_id % 100 % 7 AS VARCHAR) || '.Worker' || CAST(j AS VARCHAR) || '.call(Worker'
+                      || CAST(j AS VARCHAR) || '.java:' || CAST(j + 10 AS VARCHAR) || ')' END)) AS arr
+        FROM events WHERE event_type = 'error'
+      )
+    )
+  )
 )""",
     "sessions": r"""
 sessions AS (
