@@ -7,6 +7,7 @@ derived from them) and runs over the whole input.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,23 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Timestamps in the driver tables are zone-less: pin the session zone to UTC.
+    Intermediates persisted by the previous query are released first."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .filter import release
+        release()  # caches of the previous query
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = _utc(fn)
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

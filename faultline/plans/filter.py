@@ -33,9 +33,21 @@ from ..session import checkpoint_dir
 LOG = "log_id"
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist every intermediate persisted by the plans (safe at any time: a
+    released frame is recomputed from its lineage if it is read again)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+
+
 def _materialize(df: DataFrame, how: str | None) -> DataFrame:
     if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _PERSISTED.append(out)
+        return out
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
