@@ -258,3 +258,17 @@ FROM best GROUP BY 1
 def x27_route(spark, sf_dir):
     best = j5_knn_search(spark, sf_dir).groupBy("qkey").agg(F.max("score").alias("best"))
     return best.select("qkey", SIM.route(F.col("best"), 0.75).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e6_fingerprint_search")
+def e6_fingerprint_search(spark, sf_dir):
+    """E6 -> J5/K5 -> X27: every distinct session fingerprint embedded with the hashed
+    stand-in (64 dims, like the stored vectors), searched against the solutions, routed."""
+    fps = S.fingerprint_counts(A.sessions(spark, sf_dir)).select(F.col("fingerprint").alias("qkey"))
+    q = fps.select("qkey", SIM.hashed_embedding(F.col("qkey"), 64).alias("v"))
+    sol = _sol(spark, sf_dir)
+    c = sol.select(F.col("id").alias("key"), F.col("vector").alias("v"), "solution_score", "ord")
+    hits = SIM.knn_search(q, c, top_k=3, threshold=0.5)
+    best = hits.groupBy("qkey").agg(F.max("score").alias("best"))
+    return fps.join(best, "qkey", "left").select("qkey", F.round("best", 6).alias("best_score"),
+                                                SIM.route(F.col("best"), 0.75).alias("route"))
