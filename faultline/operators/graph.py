@@ -82,7 +82,7 @@ def typed_nodes_edges(sol: DataFrame, sim_edges: DataFrame) -> tuple[DataFrame,
 
 
 def components(node_ord: DataFrame, sim_edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Connected components by min-label propagation until no label changes.
+    """Connected components by min-label propagation with pointer jumping, until no label changes.
 
     ``node_ord``: id, ord. Returns id, community (id of the first member).
     """
@@ -98,6 +98,12 @@ def components(node_ord: DataFrame, sim_edges: DataFrame, checkpoint: bool = Tru
         new = (lab.join(prop.withColumnRenamed("a", "id"), "id", "left")
                .select("id", F.when(F.col("_nl").isNotNull() & (F.col("_nl") < F.col("lab")), F.col("_nl")).otherwise(F.col("lab")).alias("lab"),
                        (F.col("_nl").isNotNull() & (F.col("_nl") < F.col("lab"))).alias("_chg")))
+        # Pointer jumping: a node also takes its label's label, so chains shrink by
+        # half each round (labels are always members of the same component).
+        hop = new.select(F.col("id").alias("_lid"), F.col("lab").alias("_lab2"))
+        new = (new.join(hop, F.col("lab.id") == F.col("_lid"), "left")
+               .select("id", F.when(F.col("_lab2").isNotNull() & (F.col("_lab2") < F.col("lab")), F.col("_lab2")).otherwise(F.col("lab")).alias("lab"),
+                       (F.col("_chg") | (F.col("_lab2").isNotNull() & (F.col("_lab2") < F.col("lab")))).alias("_chg")))
         new = new.checkpoint() if checkpoint else new.cache()
         changed = new.filter("_chg").limit(1).count()
         lab = new.drop("_chg")

@@ -40,3 +40,28 @@ def test_missing_vectors_typed_edges_only(spark):
     g = G.build_graph(_df(spark, [("a", "ValueError x", "s", "j", "st", []), ("b", "KeyError y", "t", "j", "st", [])]))
     kinds = {r.kind for r in g["edges"].collect()}
     assert "similar" not in kinds and {"resolves", "occurs_in", "in_job"} <= kinds
+
+
+def test_components_long_chain(spark):
+    import random
+    rng = random.Random(5)
+    ids = [f"n{i:03d}" for i in range(80)]
+    order = ids[:]
+    rng.shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(59)] + [(order[i], order[i + 1]) for i in range(60, 79)]
+    nodes = spark.createDataFrame([(n, f"{i:04d}") for i, n in enumerate(ids)], "id string, ord string")
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "source string, target string, weight double")
+    got = {r.id: r.community for r in G.components(nodes, e).collect()}
+    parent = {n: n for n in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    groups = {}
+    for n in ids:
+        groups.setdefault(find(n), []).append(n)
+    want = {n: min(g) for g in groups.values() for n in g}  # ord follows id order here
+    assert got == want
