@@ -23,8 +23,10 @@ def _utc(fn: QueryFn) -> QueryFn:
     Intermediates persisted by the previous query are released first."""
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..session import ship_package
         from .filter import release
         release()  # caches of the previous query
+        ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
     return run
