@@ -25,6 +25,8 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="faultline-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from faultline.session import ship_package
+    ship_package(s)  # Arrow UDF workers import the package whatever the working directory
     yield s
 
 
