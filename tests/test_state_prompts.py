@@ -76,3 +76,14 @@ def test_read_feed_xml(spark):
                  '<link href="http://ci/job/web/12/"/></entry><entry><title>no link</title></entry></feed>')
     rows = I.read_feed(spark, d).collect()
     assert [(r.title, r.link) for r in rows] == [("team » web #12 (broken)", "http://ci/job/web/12/")]
+
+
+def test_read_feed_rss(spark):
+    d = tempfile.mkdtemp(prefix="feed-rss-")
+    with open(os.path.join(d, "rss.xml"), "w") as fh:
+        fh.write("<rss><channel><item><title>demo #7</title><link>http://ci/job/demo/7/</link></item>"
+                 "<item><title></title><link>http://x</link></item></channel></rss>")
+    rows = I.read_feed(spark, d).collect()
+    assert [(r.title, r.link) for r in rows] == [("demo #7", "http://ci/job/demo/7/")]
+    parsed = I.feed_builds(I.read_feed(spark, d).withColumn("item_id", F.lit(1))).first()
+    assert (parsed.job_full_name, parsed.build_number, parsed.build_url) == ("demo", 7, "http://ci/job/demo/7/")
