@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
     Every row is passed on once and whole; a single longer row is a batch of its own.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             n = n or 0
@@ -65,3 +66,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             total += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def row_key_of(id_col: str, text_col: str) -> Column:
+    """A key that rows share only if their ids and their texts are equal (nulls equal nulls)."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\n"),
+                                   F.coalesce(F.concat(F.lit("+"), F.col(text_col)), F.lit(""))), 256))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import quality
+from . import minhash, quality
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -42,3 +42,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(measured, limits, q)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col(q)[c].alias(c) for c in names])
+
+
+@register("op8_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = minhash.near_duplicates(docs, n_words=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
