@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import minhash, quality
+from . import decontaminate, minhash, quality
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -35,6 +35,16 @@ def register(name: str):
     return deco
 
 
+@register("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    index = decontaminate.build_index(docs)
+    matches = decontaminate.search(index, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    found = decontaminate.contamination(index, matches)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        hex_sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
 @register("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
