@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import decontaminate, minhash, quality
+from . import decontaminate, minhash, quality, sentencepieces
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -45,6 +45,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         hex_sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def piece_model() -> str:
+    """The public 32k-piece BPE model (its path is the operator's parameter)."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    coded = sentencepieces.encode(docs, piece_model(), decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), hex_sha256(ids).alias("ids_sha256"),
+                        hex_sha256("decoded").alias("decoded_sha256"))
+
+
 @register("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
