@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import decontaminate, minhash, quality, sentencepieces
+from . import decontaminate, minhash, quality, secret_scan, sentencepieces
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -69,6 +69,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(q)[c].alias(c) for c in names])
 
 
+@register("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = secret_scan.scan(docs, secret_scan.fit(docs)).drop("text")
+    base = secret_scan.KINDS[:3]
+    counts = [secret_scan.number(F.col("findings"), k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, hex_sha256(secret_scan.joined(F.col("findings"), base)).alias("base_sha256"),
+                        secret_scan.joined(F.col("findings")).alias("spans"))
+
+
 @register("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
