@@ -74,8 +74,9 @@ def measure(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size(c["lines"]) - F.size(F.array_distinct(c["lines"])),
         "n_repeat_words": F.coalesce(F.when(at.isNotNull(), covered), F.lit(0)),
     }
-    df = df.withColumn(into, F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]))
-    return df.drop(*names.values()).withColumn(into, _scaled(into))
+    # a generator of one row: no filter above it can pull the measures' expressions apart and repeat them
+    one = F.explode(F.array(F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]))).alias(into)
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], one).withColumn(into, _scaled(into))
 
 
 def _scaled(into: str) -> Column:
