@@ -91,8 +91,40 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+_SPANS = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+hit AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+kept AS (SELECT t.doc_id, string_agg(t.x, ' ' ORDER BY t.p) AS kept
+         FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w) t
+         ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+_BYTES = r"""
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g, md5_number_lower(substr(h, 2 * i + 1, 100)) AS g2
+        FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM w WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g, g2) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+edge AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gone),
+n AS (SELECT doc_id, count(*) AS n, count(DISTINCT run) AS spans FROM edge GROUP BY 1),
+kept AS (SELECT t.doc_id, string_agg(substr(h, 2 * t.p + 1, 2), '' ORDER BY t.p) AS kept
+         FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM w) t
+         ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p GROUP BY 1)
+SELECT w.doc_id, w.n::BIGINT AS n_bytes, coalesce(n.n, 0)::BIGINT AS n_removed, coalesce(n.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": _CLEAN,
+    "op2_substring_dedup": _SPANS,
+    "op3_suffix_array_dedup": _BYTES,
     "op6_quality_rules": _QUALITY,
     "op8_minhash_near_dedup": _NEAR,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import decontaminate, minhash, quality, secret_scan, sentencepieces
+from . import automaton, decontaminate, minhash, quality, secret_scan, sentencepieces, suffixarray
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -45,6 +45,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         hex_sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+@register("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = automaton.substring_dedup(docs)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_words"), F.col("removed").alias("n_removed"),
+                        hex_sha256("kept").alias("kept_sha256"))
+
+
+@register("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = suffixarray.suffix_dedup(docs)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), hex_sha256("kept").alias("kept_sha256"))
+
+
 def piece_model() -> str:
     """The public 32k-piece BPE model (its path is the operator's parameter)."""
     import public_tokenizers
