@@ -121,10 +121,40 @@ SELECT w.doc_id, w.n::BIGINT AS n_bytes, coalesce(n.n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+_PREFER = r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+           FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                 FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT conv_id, max(p) AS k, max_by(text, p) AS reply FROM t WHERE role = 'assistant' GROUP BY 1),
+pair AS (SELECT a.conv_id, a.k, b.reply FROM k a
+         JOIN k b ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END),
+s AS (SELECT t.conv_id, 'c' AS side, p, role, text FROM t JOIN pair USING (conv_id)
+      UNION ALL SELECT t.conv_id, 'r', p, role, CASE WHEN p = k THEN reply ELSE text END FROM t JOIN pair USING (conv_id) WHERE p <= k),
+d AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.p, b.p)) AS p
+      FROM (SELECT * FROM s WHERE side = 'c') a FULL JOIN (SELECT * FROM s WHERE side = 'r') b ON a.conv_id = b.conv_id AND a.p = b.p
+      WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
+l AS (SELECT s.conv_id, coalesce(max(d.p) - 1, max(s.p)) AS n FROM s LEFT JOIN d USING (conv_id) GROUP BY 1),
+r AS (SELECT s.*, l.n, '<|' || role || '|>' || chr(10) || text || chr(10) AS body,
+             sum(length(role) + length(text) + 6) OVER (PARTITION BY s.conv_id, side, s.p > l.n ORDER BY s.p) AS stop
+      FROM s JOIN l USING (conv_id)),
+g AS (SELECT conv_id, max(n)::BIGINT AS n_prompt_turns,
+             coalesce(string_agg(body, '' ORDER BY p) FILTER (WHERE side = 'c' AND p <= n), '') AS prompt,
+             coalesce(string_agg(body, '' ORDER BY p) FILTER (WHERE side = 'c' AND p > n), '') AS c,
+             coalesce(string_agg(body, '' ORDER BY p) FILTER (WHERE side = 'r' AND p > n), '') AS r,
+             coalesce(string_agg((stop - length(text) - 1)::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY p)
+                      FILTER (WHERE side = 'c' AND p > n AND role = 'assistant'), '') AS cs,
+             coalesce(string_agg((stop - length(text) - 1)::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY p)
+                      FILTER (WHERE side = 'r' AND p > n AND role = 'assistant'), '') AS rs
+      FROM r GROUP BY 1)
+SELECT conv_id, n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(c) AS chosen_sha256, cs AS chosen_spans,
+       sha256(r) AS rejected_sha256, rs AS rejected_spans FROM g
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": _CLEAN,
     "op2_substring_dedup": _SPANS,
     "op3_suffix_array_dedup": _BYTES,
     "op6_quality_rules": _QUALITY,
+    "op9_preference_formatting": _PREFER,
     "op8_minhash_near_dedup": _NEAR,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import automaton, decontaminate, minhash, quality, secret_scan, sentencepieces, suffixarray
+from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -101,3 +101,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, n_words=4, percent=80)
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id",
                         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@register("op9_preference_formatting")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is chosen against itself with the last reply of its neighbour (conv_id 2k and 2k + 1)."""
+    turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    convs = preferences.conversations(turns)
+    partner = F.col("conv_id") + F.when(F.pmod("conv_id", F.lit(2)) == 0, 1).otherwise(-1)
+    made = preferences.format_pairs(preferences.replaced_replies(convs, partner))
+
+    def spans(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    return made.select("conv_id", F.col("n_prompt_turns").cast("bigint").alias("n_prompt_turns"),
+                       hex_sha256("prompt").alias("prompt_sha256"),
+                       hex_sha256("chosen_completion").alias("chosen_sha256"), spans("chosen_spans").alias("chosen_spans"),
+                       hex_sha256("rejected_completion").alias("rejected_sha256"), spans("rejected_spans").alias("rejected_spans"))
