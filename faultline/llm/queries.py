@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray
+from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray, wrappers
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -118,3 +118,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                        hex_sha256("prompt").alias("prompt_sha256"),
                        hex_sha256("chosen_completion").alias("chosen_sha256"), spans("chosen_spans").alias("chosen_spans"),
                        hex_sha256("rejected_completion").alias("rejected_sha256"), spans("rejected_spans").alias("rejected_spans"))
+
+
+@register("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
