@@ -150,10 +150,24 @@ SELECT conv_id, n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(c) AS ch
        sha256(r) AS rejected_sha256, rs AS rejected_spans FROM g
 """
 
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)"
+    for at in range(0, 40, 10) for k in range(8))
+
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_LETTERS} AS payload_digest,
+             min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f < page_id THEN f END AS refers_to
+FROM d
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": _CLEAN,
     "op2_substring_dedup": _SPANS,
     "op3_suffix_array_dedup": _BYTES,
+    "op5_warc": _WARC,
     "op6_quality_rules": _QUALITY,
     "op9_preference_formatting": _PREFER,
     "op8_minhash_near_dedup": _NEAR,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray, wrappers
+from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray, warc, wrappers
 from .common import hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
@@ -124,3 +124,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    histories = warc.capture_histories(warc.read_archives(spark, warc.archive(pages)))
+    return histories.select(F.col("id").cast("bigint").alias("page_id"), F.col("bytes").alias("payload_bytes"),
+                            F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                            F.col("refers_to").cast("bigint").alias("refers_to"))
