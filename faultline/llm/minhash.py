@@ -12,8 +12,9 @@ lose nothing.
 Inside a table nothing is expanded into all pairs at once. Sets link to the
 smallest member of their tables, checked on the full shingle sets; then the members
 that no link has joined to their tables' smallest members are checked against each of those;
-last, and only across components that still differ, every remaining pair of a table whose
-sizes allow the similarity. No candidate is capped or sampled.
+last, and only across components that still differ, every remaining pair with a common half key.
+Pairs that can't reach the similarity go unchecked by an exact bound, from counts and bitmaps of
+what a set can share with others in question. No candidate is capped or sampled.
 
 Equal sets are one node from the start (copies are not expanded). Defined
 cases: a null, empty or blank text has an empty set, links with nothing and is its
@@ -37,6 +38,7 @@ from .graph import components
 
 HALVES = 32
 ROWS = 4
+WORDS = 16                      # 64-bit words in the bitmap that bounds what two sets share
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 
@@ -139,20 +141,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(nodes, "minhash-nodes")       # written once: the node numbers stay what they are
 
     tables = _tables(nodes)
-    sizes = nodes.select("node", "size")
     leaders = written(_leaders(tables), "minhash-leaders")
+    sets = _sets(leaders.select(F.col("a").alias("node")).unionByName(leaders.select(F.col("b").alias("node"))).distinct(),
+                 rows, nodes, n_words)
+    sizes = nodes.select("node", "size")
 
-    done = pairs = _sized(leaders.groupBy("a").agg(F.min("b").alias("b")), sizes, percent)
-    links = _checked(pairs, rows, nodes, n_words, percent)
-    comps = components(links)
-    for candidates in (lambda c: _across(leaders, c), lambda c: _all_across(tables, c)):
-        comps = written(comps, "minhash-components")
-        pairs = written(_sized(candidates(comps), sizes, percent).join(done, ["a", "b"], "left_anti"), "minhash-pairs")
+    done = written(_sized(leaders.groupBy("a").agg(F.min("b").alias("b")), sizes, percent), "minhash-pairs")
+    links = _checked(done, sets, percent)
+    comps = written(components(links), "minhash-components")
+    crowd = _mixed(_with_component(tables, comps, "node", "c")).select("node").distinct()
+    bounds = _bounds(written(crowd, "minhash-crowd"), sets, sizes)
+    halves = bounds.select("node").join(nodes, "node").select("node", F.explode("halves").alias("table"))
+    for candidates in (lambda c: _across(leaders, c, bounds, percent), lambda c: _all_across(halves, c, bounds, percent)):
+        pairs = written(candidates(comps).join(done, ["a", "b"], "left_anti"), "minhash-pairs")
         if pairs.isEmpty():
             continue
-        links = written(links.unionByName(_checked(pairs, rows, nodes, n_words, percent)), "minhash-links")
+        links = links.unionByName(_checked(pairs, sets, percent))
         done = done.unionByName(pairs)
-        comps = components(links)
+        comps = written(components(links), "minhash-components")
     return _labelled(signed, nodes, comps)
 
 
@@ -184,30 +190,100 @@ def _with_component(df: DataFrame, comps: DataFrame, node: str, into: str) -> Da
     return df.join(side, node, "left").withColumn(into, F.coalesce(into, node))
 
 
-def _across(leaders: DataFrame, comps: DataFrame) -> DataFrame:
-    both = _with_component(_with_component(leaders, comps, "a", "ca"), comps, "b", "cb")
-    return both.where("ca <> cb").select("a", "b")
+def _mixed(own: DataFrame) -> DataFrame:
+    """The rows (table, node, c) of tables whose members lie in several components."""
+    mixed = own.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
+    return own.join(mixed, "table")
+
+
+def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "items"):
+        items = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+        node = np.repeat(np.array(batch.column("node").to_pylist(), np.int64), [len(x) for x in items])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), pa.array(node)], names=["item", "node"])
+
+
+def _sketcher(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "items"):
+        common, words = [], []
+        for items, lone in zip(batch.column("items").to_pylist(), batch.column("lone").to_pylist(), strict=True):
+            own = np.frombuffer(items, H.U64)
+            if lone:
+                own = np.setdiff1d(own, np.array(lone, np.int64).view(H.U64), assume_unique=True)
+            bits = np.zeros(64 * WORDS, np.uint8)
+            bits[((own >> H.U64(20)) % H.U64(64 * WORDS)).astype(np.int64)] = 1
+            common.append(len(own))
+            words.append(np.packbits(bits).view(np.int64))
+        words = np.array(words, np.int64).reshape(-1, WORDS)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), batch.column("size"), pa.array(common, pa.int64()), *[pa.array(w) for w in words.T]],
+            names=["node", "size", "common", *[f"w{k}" for k in range(WORDS)]])
+
+
+def _bounds(crowd: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, size, common, w0...): what a node of the crowd can share with others of it, at most.
+
+    ``common`` counts its shingles that some other node has too; the words are a bitmap of these. A bit of one
+    bitmap that another lacks is a shingle that both can't share, so the two bound a similarity exactly.
+    """
+    own = sets.join(crowd, "node")
+    lone = (own.mapInArrow(_spread, "item bigint, node bigint")
+            .groupBy("item").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+            .groupBy("node").agg(F.collect_list("item").alias("lone")))
+    rows = own.join(sizes, "node").join(lone, "node", "left").select("node", "size", "items", "lone")
+    return written(rows.mapInArrow(_sketcher, "node bigint, size bigint, common bigint, "
+                                   + ", ".join(f"w{k} bigint" for k in range(WORDS))), "minhash-bounds")
+
+
+def _possible(percent: int) -> str:
+    """Whether nodes a and b, with their bounds, can reach the similarity."""
+    def most(x: str, y: str) -> str:
+        lacking = " + ".join(f"bit_count(w{k}{x} & ~w{k}{y})" for k in range(WORDS))
+        return f"e{x} - ({lacking})"
 
+    quick, close = (f"100 * {m} >= {percent} * (sa + sb - {m})" for m in
+                    ("least(ea, eb)", f"least({most('a', 'b')}, {most('b', 'a')})"))
+    return f"{quick} and {close}"
 
-def _all_across(tables: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of a table whose components differ; tables inside one component drop out first."""
-    own = _with_component(tables, comps, "node", "c")
-    mixed = own.groupBy("table").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("table")
-    own = written(own.join(mixed, "table"), "minhash-mixed")
-    left = own.select("table", F.col("node").alias("a"), F.col("c").alias("ca"))
-    right = own.select("table", F.col("node").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, "table").where("a > b and ca <> cb").select("a", "b").distinct()
 
+def _side(bounds: DataFrame, x: str, *more: str) -> DataFrame:
+    return bounds.select(*more, F.col("node").alias(x), F.col("size").alias("s" + x), F.col("common").alias("e" + x),
+                         *[F.col(f"w{k}").alias(f"w{k}{x}") for k in range(WORDS)])
 
-def _checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    pairs = written(pairs, "minhash-candidates")
-    wanted = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-              .join(nodes.select("node", "id", "set_key"), "node"))
+
+def _across(leaders: DataFrame, comps: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a table's smallest node in another component, where the bounds allow the similarity."""
+    both = _with_component(_with_component(leaders, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").drop("ca", "cb")
+    left, right = both.join(_side(bounds, "a"), "a"), _side(bounds, "b")
+    return (left.withColumnRenamed("b", "other").join(right, F.expr(f"other = b and {_possible(percent)}"))
+            .select("a", "b"))
+
+
+def _all_across(halves: DataFrame, comps: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a common half key whose components differ, where the bounds allow the similarity.
+
+    That covers every table. Nodes that no member of their group can reach go first, and with
+    them the groups that lie in one component, so a large group of far copies doesn't pair up.
+    """
+    own = _mixed(_with_component(halves.join(bounds.select("node", "size", "common"), "node"), comps, "node", "c"))
+    least = own.groupBy("table").agg(F.min("size").alias("least"))
+    near = own.join(least, "table").where(
+        f"100 * common >= {percent} * (size + greatest(least, common) - common)").select("table", "node", "c")
+    own = written(_mixed(near).join(bounds, "node"), "minhash-mixed")
+    left, right = (_side(own.withColumnsRenamed({"table": "t" + x, "c": "c" + x}), x, "t" + x, "c" + x) for x in ("a", "b"))
+    return left.join(right, F.expr(f"ta = tb and a > b and ca <> cb and {_possible(percent)}")).select("a", "b").distinct()
+
+
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
+    """(node, items): the full shingle sets of the wanted nodes."""
+    wanted = wanted.join(nodes.select("node", "id", "set_key"), "node")
     texts = (rows.withColumnRenamed("id", "row_id").join(wanted, F.col("row_id").eqNullSafe(F.col("id")))
              .select("node", "set_key", "text"))
-    sets = texts.mapInArrow(_fetcher(n_words), "node bigint, items binary").dropDuplicates(["node"])
-    sets = written(sets, "minhash-items")
+    return written(texts.mapInArrow(_fetcher(n_words), "node bigint, items binary").dropDuplicates(["node"]), "minhash-items")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
     joined = (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
               .join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b"))
     return written(joined.mapInArrow(_verifier(percent), "a bigint, b bigint"), "minhash-links")
