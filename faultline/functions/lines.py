@@ -17,11 +17,12 @@ def strip_timestamp(raw: Column | str) -> Column:
     return F.regexp_replace(_c(raw), P.J(P.TIMESTAMP_PREFIX), "")
 
 
-def cap_line(text: Column | str) -> Column:
-    """Defensive per-line cap: 2,000 characters plus a ``<truncated>`` marker."""
+def cap_line(text: Column | str, max_chars: int | None = None) -> Column:
+    """Optional per-line cap with a ``<truncated>`` marker; without ``max_chars`` the whole line."""
     t = _c(text)
-    return F.when(F.length(t) > P.MAX_LINE_CHARS,
-                  F.concat(F.substring(t, 1, P.MAX_LINE_CHARS), F.lit(P.TRUNCATED_SUFFIX))).otherwise(t)
+    if max_chars is None:
+        return t
+    return F.when(F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars), F.lit(P.TRUNCATED_SUFFIX))).otherwise(t)
 
 
 def indent_width(stripped: Column | str) -> Column:
@@ -64,10 +65,6 @@ def classify_severity(display: Column | str) -> Column:
     ).cast("tinyint")
 
 
-def kind_name(kind: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in P.KIND_NAMES]), _c(kind).cast("int") + 1)
-
-
 def approx_tokens(text: Column | str, note: Column | str | None = None) -> Column:
     """Token cost of a rendered line: ``max(1, (len(text)+len(note)+6) // 4)``."""
     n = F.length(_c(text))

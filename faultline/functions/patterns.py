@@ -28,7 +28,6 @@ TIMESTAMP_PREFIX = (
     r"\s+\d{1,2},?\s+\d{4}\s+\d{1,2}:\d{2}:\d{2}\s*(?:AM|PM)?\s*"
     r")"
 )
-MAX_LINE_CHARS = 2000
 TRUNCATED_SUFFIX = " <truncated>"
 
 # Masks, applied in this order; each (pattern, label).
@@ -116,7 +115,6 @@ PKG_MGR_HINTS = (
 )
 STACK_KEEP_PROJECT = 3
 JSON_KEY = r'^\s*"([^"]{1,60})"\s*:'
-JSON_MAX_RUN = 200
 JSON_MIN_RUN = 5
 PROGRESS_MIN_RUN = 4
 REPEAT_WINDOW = 50
@@ -134,4 +132,3 @@ CONTEXT_BEFORE = 2
 CONTEXT_AFTER = 4
 CLUSTER_MERGE_GAP = 3
 BODY_MAX_TOKENS = 1500
-BODY_MAX_CHARS = 8000

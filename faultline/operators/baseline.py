@@ -23,29 +23,17 @@ from ..functions import patterns as P
 LOG = "log_id"
 
 
-def self_sketch(lines: DataFrame) -> DataFrame:
-    """Per (log, template): the self-baseline 'common' set, as (log_id, template)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(LOG))
-    df = lines.withColumn("_n", n)
-    cut = F.greatest(F.lit(P.SELF_BASELINE_MIN_LINES), F.floor(F.col("_n") * P.SELF_BASELINE_PREFIX))
-    pre = df.filter((F.col("idx") < cut) & (F.col("text") != "") & (F.col("severity") == P.SEV_INFO) & ~F.col("drop"))
-    return (pre.groupBy(LOG, "template").agg(F.count(F.lit(1)).alias("_c"))
-            .filter(F.col("_c") >= P.SELF_BASELINE_MIN_COUNT).select(LOG, "template"))
-
-
 def counter_sketch(success_lines: DataFrame, build_cols: tuple[str, ...] = ("job_name", "stage_name"),
-                   build_key: str = "build_id", approx: bool = False) -> DataFrame:
+                   build_key: str = "build_id") -> DataFrame:
     """A10: fraction of successful builds per (job, stage) that contain each template.
 
     ``success_lines``: annotated lines of successful builds with the build columns.
     Template presence is de-duplicated per build first (map-side), so the shuffle
-    carries one row per (build, template). ``approx`` switches the distinct count
-    of builds per template to ``approx_count_distinct`` for very large histories.
+    carries one row per (build, template).
     """
     present = success_lines.filter(F.col("text") != "").select(*build_cols, build_key, "template").distinct()
     total = success_lines.groupBy(*build_cols).agg(F.countDistinct(build_key).alias("_builds"))
-    cnt = F.approx_count_distinct(build_key) if approx else F.count(F.lit(1))
-    per = present.groupBy(*build_cols, "template").agg(cnt.alias("_with"))
+    per = present.groupBy(*build_cols, "template").agg(F.count(F.lit(1)).alias("_with"))
     return (per.join(total, list(build_cols))
             .select(*build_cols, "template", (F.col("_with") / F.col("_builds")).alias("fraction")))
 

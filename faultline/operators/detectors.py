@@ -1,7 +1,7 @@
 """Detector phase (E1-E4, U3, W20) and the always-on shell detector (E3e, J11).
 
-A detector is a plain object with ``name``, ``priority``, ``activates(probe)``
-(a Column predicate over the first 4,096 characters of the raw log) and
+A detector is a plain object with ``name``, ``priority``, ``activates(line)``
+(a Column predicate over one raw line; any line of the log may activate it) and
 ``contribute(lines)`` returning two long tables::
 
     marks(log_id, idx, detector, delta int, keep bool, drop bool, note string)
@@ -9,13 +9,14 @@ A detector is a plain object with ``name``, ``priority``, ``activates(probe)``
               command, confidence, log_line_idx, message)
 
 Both are DataFrame -> DataFrame plans; user detectors register the same way.
-``run_detectors`` keeps, per log, the first ``cap`` detectors (by priority) that
-contributed anything, merges their marks order-independently and returns the
+``run_detectors`` keeps, per log, all detectors that contributed anything (or the
+first ``cap`` by priority, when a cap is given), merges their marks order-independently and returns the
 updated lines plus the kept locations and per-log detector names.
 """
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 
 LOG = "log_id"
-PROBE_CHARS = 4096
-MAX_ACTIVE = 5
 
 MARK_COLS = ["log_id", "idx", "detector", "delta", "keep", "drop", "note"]
 LOC_COLS = ["log_id", "detector", "kind", "file", "line", "column", "function", "test_name",
@@ -66,7 +65,7 @@ class ShellDetector:
     name: str = "generic_shell"
     priority: int = 0
 
-    def activates(self, probe: Column) -> Column:
+    def activates(self, line: Column) -> Column:
         return F.lit(True)
 
     def contribute(self, lines: DataFrame, reuse=lambda d: d) -> tuple[DataFrame, DataFrame]:
@@ -106,20 +105,7 @@ class ShellDetector:
         return marks, locs
 
 
-def probes(lines: DataFrame) -> DataFrame:
-    """First 4,096 characters of each raw log (lines joined by LF), one row per log."""
-    w = Window.partitionBy(LOG).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.length("raw") + 1).over(w), F.lit(0))
-    head = lines.select(LOG, "idx", F.substring("raw", 1, PROBE_CHARS).alias("_r"), off.alias("_off")).filter(F.col("_off") < PROBE_CHARS)
-    return head.groupBy(LOG).agg(
-        F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "_r"))), lambda s: s["_r"]), "\n"), 1, PROBE_CHARS).alias("probe"))
-
-
-def empty_marks(spark) -> DataFrame:
-    return spark.createDataFrame([], "log_id string, idx int, detector string, delta int, keep boolean, drop boolean, note string")
-
-
-def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE,
+def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
                   materialize=None, reuse=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run, cap (W20) and merge (U3) detector contributions.
 
@@ -136,17 +122,14 @@ def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE,
         names = lines.select(LOG).distinct().withColumn("detectors", F.array().cast("array<string>"))
         empty = spark.createDataFrame([], _loc_schema() + ", _seq int, _ord int")
         return lines.withColumn("keep", F.lit(False)), empty, names
-    pr = reuse(probes(lines))
     # Detectors read only these columns: keep their sorts and shuffles narrow.
     narrow = reuse(lines.select(LOG, "idx", "raw", "text", "kind", "severity", "drop"))
     all_marks, all_locs = [], []
     for order, d in enumerate(dets):
-        act = pr.filter(d.activates(F.col("probe"))).select(LOG)
-        sub = narrow.join(act, LOG, "left_semi")
-        try:
-            m, loc = d.contribute(sub, reuse=reuse)
-        except TypeError:  # user detector without the reuse hook
-            m, loc = d.contribute(sub)
+        active = F.max(d.activates(F.col("raw"))).over(Window.partitionBy(LOG))
+        sub = narrow.withColumn("_active", active).filter("_active").drop("_active")
+        hooks = {"reuse": reuse} if "reuse" in inspect.signature(d.contribute).parameters else {}
+        m, loc = d.contribute(sub, **hooks)
         all_marks.append(m.select(*MARK_COLS).withColumn("_ord", F.lit(order)))
         seq = F.col("_seq") if "_seq" in loc.columns else F.lit(0)
         all_locs.append(loc.select(*LOC_COLS, seq.alias("_seq")).withColumn("_ord", F.lit(order)))
@@ -159,10 +142,12 @@ def run_detectors(lines: DataFrame, detectors, cap: int = MAX_ACTIVE,
     marks = materialize(marks)
     locs = materialize(locs)
     contributed = marks.select(LOG, "detector", "_ord").unionByName(locs.select(LOG, "detector", "_ord")).distinct()
-    kept = (contributed.withColumn("_r", F.row_number().over(Window.partitionBy(LOG).orderBy("_ord")))
-            .filter(F.col("_r") <= max(1, int(cap))).select(LOG, "detector", "_ord"))
-    marks = marks.join(kept, [LOG, "detector", "_ord"], "left_semi")
-    locs = locs.join(kept, [LOG, "detector", "_ord"], "left_semi")
+    kept = contributed
+    if cap is not None:
+        kept = (contributed.withColumn("_r", F.row_number().over(Window.partitionBy(LOG).orderBy("_ord")))
+                .filter(F.col("_r") <= max(1, int(cap))).select(LOG, "detector", "_ord"))
+        marks = marks.join(kept, [LOG, "detector", "_ord"], "left_semi")
+        locs = locs.join(kept, [LOG, "detector", "_ord"], "left_semi")
     names = kept.groupBy(LOG).agg(F.sort_array(F.collect_list(F.struct("_ord", "detector"))).alias("_d")).select(
         LOG, F.transform("_d", lambda s: s["detector"]).alias("detectors"))
     merged = marks.groupBy(LOG, "idx").agg(

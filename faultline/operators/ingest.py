@@ -8,6 +8,9 @@ markers, which a pipeline definition bounds.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,9 +138,8 @@ NOISE_LINE = (
     r")"
 ).replace("TS", TS)
 TRUNC_NOTICE = "\n... [%d characters omitted; increase MAX_STAGE_LOG_CHARS] ...\n"
-STAGE_LOG_CHARS = 50000
-SCAN_LINES = 1200
-SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_GAP, SNIPPET_REGIONS, SNIPPET_MIN_SCORE = 2, 4, 3, 15, 2
+BLANK = r"^\s*$"
+SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_GAP, SNIPPET_MIN_SCORE = 2, 4, 3, 2
 OVERLAP_SLACK_MS = 2000
 PARALLEL_START = "Execute in parallel : Start"
 PARALLEL_END = "Execute in parallel : End"
@@ -163,33 +165,50 @@ def failing_status(status: Column) -> Column:
     return F.upper(F.coalesce(status, F.lit(""))).isin(*FAILING_STATUSES)
 
 
-def strip_html(html: Column) -> Column:
-    """Tags removed, common entities decoded (ampersand last), clock prefixes removed per line."""
-    out = F.regexp_replace(html, HTML_TAG, "")
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(out, CLOCK_PREFIX, "")
+@F.pandas_udf("string")
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def strip_html(text: Column) -> Column:
+    """Tags removed, all character references decoded, clock prefixes removed per line."""
+    return F.regexp_replace(_unescape(F.regexp_replace(text, HTML_TAG, "")), CLOCK_PREFIX, "")
 
 
-def truncate_chars(text: Column, max_chars: int = STAGE_LOG_CHARS) -> Column:
-    """Keep head (55%) and tail with an omission notice; exact for ``max_chars >= 280``."""
+def _sizes(n: Column, max_chars: int) -> tuple[Column, Column]:
+    """Characters of head and tail kept of a text of ``n``; nulls where no notice fits beside them."""
+    inner = max(200, max_chars - 96)
+    head = max(80, int(inner * 0.55))
+    pairs = [(head, max(80, inner - head))]
+    while pairs[-1] != (40, 40) and sum(pairs[-1]) + 64 > max_chars:      # a notice has more than 64 characters
+        pairs.append((max(40, pairs[-1][0] - 30), max(40, pairs[-1][1] - 30)))
+    heads, tails = [], []
+    for h, t in pairs:
+        spare = F.lit(max_chars) - (h + F.length(F.format_string(TRUNC_NOTICE, F.greatest(F.lit(0), n - h - t))) + t)
+        half = F.floor(spare / 2).cast("int")
+        heads.append(F.when(spare >= 0, h + half))
+        tails.append(F.when(spare >= 0, t + spare - half))
+    return F.coalesce(*heads), F.coalesce(*tails)
+
+
+def _shortened(head_text: Column, tail_text: Column, n: Column, head: Column, tail: Column, max_chars: int) -> Column:
+    """Head, notice and tail; the bare head where they don't fit. The texts hold the kept ends, at least."""
+    omitted = F.greatest(F.lit(0), n - head - tail)
+    out = F.concat(F.substring(head_text, F.lit(1), head), F.format_string(TRUNC_NOTICE, omitted),
+                   F.substring(tail_text, F.length(tail_text) - tail + 1, tail))
+    bare = F.concat(F.substring(head_text, 1, max(0, max_chars - 3)), F.lit("..."))
+    return F.when(n <= max_chars, head_text).when(F.length(out) <= max_chars, out).otherwise(bare)
+
+
+def truncate_chars(text: Column, max_chars: int | None = None) -> Column:
+    """Keep head (55%) and tail with an omission notice; whole texts without ``max_chars``."""
+    if max_chars is None:
+        return text
     if max_chars <= 0:
         return F.lit("")
-    if max_chars < 280:
-        raise ValueError("truncate_chars supports max_chars >= 280 (or <= 0)")
     n = F.length(text)
-    inner = max(200, max_chars - 96)
-    head0 = max(80, int(inner * 0.55))
-    tail0 = max(80, inner - head0)
-    om0 = F.greatest(F.lit(0), n - head0 - tail0)
-    note0 = F.length(F.format_string(TRUNC_NOTICE, om0))
-    spare = F.lit(max_chars) - (head0 + note0 + tail0)
-    head = F.lit(head0) + F.floor(spare / 2).cast("int")
-    tail = F.lit(tail0) + (spare - F.floor(spare / 2).cast("int"))
-    om = F.greatest(F.lit(0), n - head - tail)
-    out = F.concat(F.substring(text, F.lit(1), head), F.format_string(TRUNC_NOTICE, om), F.substring(text, n - tail + 1, tail))
-    fallback = F.concat(F.substring(text, 1, max_chars - 3), F.lit("..."))
-    return F.when(n <= max_chars, text).when(F.length(out) <= max_chars, out).otherwise(fallback)
+    head, tail = _sizes(n, max_chars)
+    return _shortened(text, text, n, head, tail, max_chars)
 
 
 def anchor_score(line: Column) -> Column:
@@ -212,45 +231,39 @@ def noise_line(line: Column) -> Column:
     return line.rlike(NOISE_LINE)
 
 
-def truncate_lines(lines: DataFrame, key: str, max_chars: int = STAGE_LOG_CHARS, raw_col: str = "raw",
+def _joined(order_col: str, text_col: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order_col, text_col))), lambda x: x[text_col]), "\n")
+
+
+def truncate_lines(lines: DataFrame, key: str, max_chars: int | None = None, raw_col: str = "raw",
                    order_col: str = "idx") -> DataFrame:
-    """X16 over a text stored as line rows (text = lines joined by LF).
+    """X16 over a text stored as line rows (text = lines joined by LF). Output: key, excerpt.
 
-    Only lines overlapping the first ``max_chars`` characters or the kept tail
-    are collected, so a group never holds more than about twice the cap,
-    however long the console is. Output: key, excerpt (same result as
-    ``truncate_chars`` on the joined text).
+    The same result as ``truncate_chars`` on the joined text. With ``max_chars`` only lines that overlap the kept
+    head or tail are collected; without it the excerpt is the whole text.
     """
-    if max_chars < 280:
-        raise ValueError("truncate_lines supports max_chars >= 280")
+    if max_chars is None:
+        own = lines.select(key, order_col, F.col(raw_col).alias("_r"))
+        return own.groupBy(key).agg(_joined(order_col, "_r").alias("excerpt"))
+    if max_chars <= 0:
+        return lines.select(key).distinct().withColumn("excerpt", F.lit(""))
     w = Window.partitionBy(key).orderBy(order_col)
     start = F.coalesce(F.sum(F.length(raw_col) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = lines.select(key, order_col, F.col(raw_col).alias("_r"), start.alias("_s"))
     df = df.withColumn("_n", F.sum(F.length("_r") + 1).over(Window.partitionBy(key)) - 1)
-    inner = max(200, max_chars - 96)
-    head0 = max(80, int(inner * 0.55))
-    tail0 = max(80, inner - head0)
     n = F.col("_n")
-    om0 = F.greatest(F.lit(0), n - head0 - tail0)
-    spare = F.lit(max_chars) - (head0 + F.length(F.format_string(TRUNC_NOTICE, om0)) + tail0)
-    head = F.lit(head0) + F.floor(spare / 2).cast("int")
-    tail = F.lit(tail0) + (spare - F.floor(spare / 2).cast("int"))
+    head, tail = _sizes(n, max_chars)
     df = df.withColumn("_head", head).withColumn("_tail", tail)
     small = n <= max_chars
-    keep_head = small | (F.col("_s") < F.greatest(F.col("_head"), F.lit(max_chars - 3)))
-    keep_tail = ~small & (F.col("_s") + F.length("_r") >= n - F.col("_tail"))
-    piece = df.filter(keep_head | keep_tail).select(key, order_col, "_r", "_n", "_head", "_tail",
-                                                   keep_head.alias("_h"), keep_tail.alias("_t"))
+    keep_head = small | (F.col("_s") < F.greatest(F.coalesce("_head", F.lit(0)), F.lit(max_chars)))
+    keep_tail = ~small & (F.col("_s") + F.length("_r") >= n - F.coalesce("_tail", F.lit(0)))
+    piece = df.filter(keep_head | keep_tail).select(key, order_col, "_n", "_head", "_tail",
+                                                   F.when(keep_head, F.struct(order_col, "_r")).alias("_h"),
+                                                   F.when(keep_tail, F.struct(order_col, "_r")).alias("_t"))
     g = piece.groupBy(key).agg(
         F.first("_n").alias("_n"), F.first("_head").alias("_head"), F.first("_tail").alias("_tail"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_h"), F.struct(order_col, "_r")))), lambda x: x["_r"]), "\n").alias("_ht"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_t"), F.struct(order_col, "_r")))), lambda x: x["_r"]), "\n").alias("_tt"))
-    n, hd, tl = F.col("_n"), F.col("_head"), F.col("_tail")
-    om = F.greatest(F.lit(0), n - hd - tl)
-    tail_text = F.substring(F.col("_tt"), F.length("_tt") - tl + 1, tl)
-    out = F.concat(F.substring(F.col("_ht"), F.lit(1), hd), F.format_string(TRUNC_NOTICE, om), tail_text)
-    fallback = F.concat(F.substring(F.col("_ht"), 1, max_chars - 3), F.lit("..."))
-    return g.select(key, F.when(n <= max_chars, F.col("_ht")).when(F.length(out) <= max_chars, out).otherwise(fallback).alias("excerpt"))
+        *[F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["_r"]), "\n").alias(c) for c in ("_h", "_t")])
+    return g.select(key, _shortened(F.col("_h"), F.col("_t"), n, F.col("_head"), F.col("_tail"), max_chars).alias("excerpt"))
 
 
 # ── Stage grouping ───────────────────────────────────────────────────────────
@@ -331,37 +344,52 @@ def root_failures(stages: DataFrame, markers: DataFrame | None = None, slack_ms:
 
 # ── Stage-log excerpts ───────────────────────────────────────────────────────
 
-def console_section(lines: DataFrame, stage_name: Column, key: str = "log_id") -> DataFrame:
+def console_section(lines: DataFrame, stage_name: Column, key: str = "log_id", max_chars: int | None = None) -> DataFrame:
     """50 lines before / 150 after the last line naming the stage; whole log otherwise.
 
-    ``lines``: key, idx, raw plus a ``stage_name`` column. Output: key, excerpt.
+    ``lines``: key, idx, raw plus a ``stage_name`` column. Output: key, excerpt (cut if ``max_chars`` is given).
     """
     hit = F.col("raw").contains(F.concat(F.lit("("), stage_name, F.lit(")"))) | F.col("raw").contains(stage_name)
     w = Window.partitionBy(key)
     df = lines.withColumn("_c", F.max(F.when(hit, F.col("idx"))).over(w))
     keep = F.col("_c").isNull() | ((F.col("idx") >= F.col("_c") - 50) & (F.col("idx") < F.col("_c") + 150))
-    return truncate_lines(df.filter(keep).select(key, "idx", "raw"), key)
+    return truncate_lines(df.filter(keep).select(key, "idx", "raw"), key, max_chars)
 
 
-def error_snippets(lines: DataFrame, key: str = "log_id", scan_lines: int = SCAN_LINES,
+def error_signal(lines: DataFrame, key: str = "log_id", first_lines: int | None = None) -> DataFrame:
+    """Whether a log has a line with a failure signal (among its first ``first_lines``, if given)."""
+    hit = F.col("raw").rlike(FAILURE_SIGNAL)
+    if first_lines is not None:
+        hit = hit & (F.col("idx") < first_lines)
+    return lines.groupBy(key).agg(F.bool_or(hit).alias("has_signal"))
+
+
+def error_snippets(lines: DataFrame, key: str = "log_id", scan_lines: int | None = None,
                    before: int = SNIPPET_BEFORE, after: int = SNIPPET_AFTER, gap: int = SNIPPET_GAP,
-                   regions: int = SNIPPET_REGIONS, min_score: int = SNIPPET_MIN_SCORE) -> DataFrame:
-    """Compact error regions of the last ``scan_lines`` lines; tail fallback.
+                   regions: int | None = None, min_score: int = SNIPPET_MIN_SCORE, tail_lines: int | None = None,
+                   tail_kept: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Compact error regions of a log; its lines that are no noise where it has none.
 
+    All lines and regions count unless ``scan_lines`` (the last ones) or ``regions`` (the best ones)
+    are given; ``tail_lines`` and ``tail_kept`` bound the fallback, ``max_chars`` the snippet.
     ``lines``: key, idx, raw. Output: key, snippet.
     """
     w = Window.partitionBy(key)
     df = lines.withColumn("_n", F.count(F.lit(1)).over(w))
-    df = df.filter(F.col("idx") >= F.col("_n") - scan_lines).withColumn("_i", F.col("idx") - F.greatest(F.lit(0), F.col("_n") - scan_lines))
-    df = df.withColumn("_m", F.least(F.col("_n"), F.lit(scan_lines)))
+    if scan_lines is None:
+        df = df.withColumn("_i", F.col("idx")).withColumn("_m", F.col("_n"))
+    else:
+        df = df.filter(F.col("idx") >= F.col("_n") - scan_lines).withColumn("_i", F.col("idx") - F.greatest(F.lit(0), F.col("_n") - scan_lines))
+        df = df.withColumn("_m", F.least(F.col("_n"), F.lit(scan_lines)))
     df = df.withColumn("_sc", anchor_score(F.col("raw"))).withColumn("_noise", noise_line(F.col("raw")) | F.col("raw").rlike(r"^\s*$"))
     anchors = df.filter(F.col("_sc") >= min_score)
     wo = Window.partitionBy(key).orderBy("_i")
     d = F.col("_i") - F.lag("_i").over(wo)
     anchors = anchors.withColumn("_cid", F.sum(F.when(d.isNull() | (d > gap), 1).otherwise(0)).over(wo.rowsBetween(Window.unboundedPreceding, 0)))
     cl = anchors.groupBy(key, "_cid").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.max("_sc").alias("_peak"), F.max("_m").alias("_m"))
-    cl = cl.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_peak").desc(), F.col("_hi").desc())))
-    cl = cl.filter(F.col("_r") <= regions)
+    if regions is not None:
+        cl = cl.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_peak").desc(), F.col("_hi").desc())))
+        cl = cl.filter(F.col("_r") <= regions)
     cl = cl.select(key, F.greatest(F.lit(0), F.col("_lo") - before).alias("_wlo"), F.least(F.col("_m"), F.col("_hi") + after + 1).alias("_whi"))
     # Merge overlapping windows (sorted by start): running max end, new window when start > max end so far.
     ww = Window.partitionBy(key).orderBy("_wlo", "_whi")
@@ -373,18 +401,21 @@ def error_snippets(lines: DataFrame, key: str = "log_id", scan_lines: int = SCAN
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "raw"))), lambda s: s["raw"]), "\n").alias("_b"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_wid", "_b"))), lambda s: s["_b"]), "\n\n")
     snip = per_win.groupBy(key).agg(F.regexp_replace(joined, r"^\s+|\s+$", "").alias("_s"))
-    # W14 fallback: last 30 lines, noise removed (else non-blank), last 8.
+    # W14 fallback: non-blank lines, without noise where any other is left.
     wr = Window.partitionBy(key).orderBy(F.col("idx").desc())
-    tail = lines.withColumn("_k", F.row_number().over(wr)).filter(F.col("_k") <= 30).filter(~F.col("raw").rlike(r"^\s*$"))
-    tail = tail.withColumn("_noise", noise_line(F.col("raw")))
+    tail = lines
+    if tail_lines is not None:
+        tail = tail.withColumn("_k", F.row_number().over(wr)).filter(F.col("_k") <= tail_lines)
+    tail = tail.filter(~F.col("raw").rlike(BLANK)).withColumn("_noise", noise_line(F.col("raw")))
     tail = tail.withColumn("_anyclean", F.max((~F.col("_noise")).cast("int")).over(w))
     tail = tail.filter((F.col("_anyclean") == 0) | ~F.col("_noise"))
-    tail = tail.withColumn("_k2", F.row_number().over(wr)).filter(F.col("_k2") <= 8)
-    fb = tail.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("_f"))
+    if tail_kept is not None:
+        tail = tail.withColumn("_k2", F.row_number().over(wr)).filter(F.col("_k2") <= tail_kept)
+    fb = tail.groupBy(key).agg(_joined("idx", "raw").alias("_f"))
     keys = lines.select(key).distinct()
     out = keys.join(snip, key, "left").join(fb, key, "left")
     text = F.when(F.coalesce(F.length("_s"), F.lit(0)) > 0, F.col("_s")).otherwise(F.coalesce(F.col("_f"), F.lit("")))
-    return out.select(key, truncate_chars(text).alias("snippet"))
+    return out.select(key, truncate_chars(text, max_chars).alias("snippet"))
 
 
 # ── Feed, watermark, claim ───────────────────────────────────────────────────
@@ -392,10 +423,18 @@ def error_snippets(lines: DataFrame, key: str = "log_id", scan_lines: int = SCAN
 def feed_builds(feed: DataFrame) -> DataFrame:
     """X20 over feed items; unparseable titles skipped."""
     p = parse_feed_title(F.col("title"), F.col("link"))
-    return feed.filter((F.trim("title") != "") & (F.trim("link") != "")).select(
+    return feed.filter(~_blank(F.col("title")) & ~_blank(F.col("link"))).select(
         "item_id", p.alias("p")).filter(F.col("p").isNotNull()).select("item_id", "p.*")
 
 
+def first_per_build(builds: DataFrame) -> DataFrame:
+    """Of each (job, build) the feed item with the smallest id (combined on the map side)."""
+    keys = ["job_full_name", "build_number"]
+    rest = [c for c in builds.columns if c not in (*keys, "item_id")]
+    first = builds.groupBy(*keys).agg(F.min(F.struct("item_id", *rest)).alias("_f"))
+    return first.select(*[F.col(f"_f.{c}").alias(c) if c not in keys else F.col(c) for c in builds.columns])
+
+
 def last_processed(state: DataFrame) -> DataFrame:
     """Highest build number known per job (any status)."""
     return state.groupBy("job_full_name").agg(F.max("build_number").alias("last_build"))
@@ -405,8 +444,7 @@ def new_builds(builds: DataFrame, state: DataFrame) -> DataFrame:
     """J2 + U1: builds above the job's watermark, one per (job, build) (first feed item)."""
     wm = last_processed(state)
     b = builds.join(wm, "job_full_name", "left").filter(F.col("build_number") > F.coalesce(F.col("last_build"), F.lit(0)))
-    w = Window.partitionBy("job_full_name", "build_number").orderBy("item_id")
-    return b.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "last_build")
+    return first_per_build(b.select(*builds.columns))
 
 
 def claimable(candidates: DataFrame, state: DataFrame) -> DataFrame:
@@ -424,36 +462,42 @@ def event_type(failed_stages: Column) -> Column:
 
 
 def read_feed(spark, path: str) -> DataFrame:
-    """Landed Atom (``entry``) and RSS (``item``) files -> (title, link)."""
-    atom = (spark.read.format("xml").option("rowTag", "entry").load(path))
-    rss = (spark.read.format("xml").option("rowTag", "item").load(path))
-    out = []
-    if "title" in atom.columns and "link" in atom.columns:
-        link = F.col("link._href") if "_href" in str(atom.schema["link"].dataType) else F.col("link").cast("string")
-        out.append(atom.select(F.trim(F.col("title").cast("string")).alias("title"), F.trim(link).alias("link")))
-    if "title" in rss.columns and "link" in rss.columns:
-        out.append(rss.select(F.trim(F.col("title").cast("string")).alias("title"), F.trim(F.col("link").cast("string")).alias("link")))
-    if not out:
-        return spark.createDataFrame([], "title string, link string")
-    df = out[0]
-    for x in out[1:]:
-        df = df.unionByName(x)
-    return df.filter((F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("link"), F.lit("")) != ""))
+    """Landed Atom (``entry``) and RSS (``item``) files -> (title, link); one scan each, no schema inference.
+
+    An Atom entry's link is the ``href`` of its first link; an RSS item's is the first of its links with a
+    text or else an ``href``. Items without title or link are dropped.
+    """
+    def items(tag: str) -> DataFrame:
+        schema = "title string, link array<struct<_VALUE: string, _href: string>>"
+        df = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        text = F.transform("link", lambda x: F.coalesce(F.nullif(_trimmed(x["_VALUE"]), F.lit("")), F.nullif(_trimmed(x["_href"]), F.lit(""))))
+        link = _trimmed(F.get("link", F.lit(0))["_href"]) if tag == "entry" else F.get(F.filter(text, lambda x: x.isNotNull()), F.lit(0))
+        return df.select(_trimmed(F.col("title")).alias("title"), link.alias("link"))
+
+    df = items("entry").unionByName(items("item"))
+    return df.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != ""))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike(BLANK)
 
 
 # ── Failure events and stage-log sources ─────────────────────────────────────
 
-RAW_LOG_CHARS = 200_000
 EVENT_SCHEMA = ("struct<job_full_name:string,build_number:int,build_url:string,correlation_id:string,"
                 "failed_stages:array<struct<stage_name:string,stage_id:string,status:string,log_excerpt:string>>>")
 PAYLOAD_SCHEMA = f"struct<failures:array<{EVENT_SCHEMA}>,job_full_name:string,build_number:int,build_url:string," \
                  "correlation_id:string,failed_stages:array<struct<stage_name:string,stage_id:string,status:string,log_excerpt:string>>>"
 
 
-def ingest_events(payloads: DataFrame, col: str = "body") -> DataFrame:
+def ingest_events(payloads: DataFrame, col: str = "body", max_chars: int | None = None) -> DataFrame:
     """S3: JSON bodies (one event or ``{"failures": [...]}``) to one row per non-blank failed stage.
 
-    The raw log is capped at 200,000 characters, as the analysis store does.
+    Raw logs are whole, or cut at ``max_chars`` if given.
     """
     p = F.from_json(F.col(col), PAYLOAD_SCHEMA)
     single = F.struct(p["job_full_name"].alias("job_full_name"), p["build_number"].alias("build_number"),
@@ -462,35 +506,41 @@ def ingest_events(payloads: DataFrame, col: str = "body") -> DataFrame:
     events = payloads.select(F.explode(F.coalesce(p["failures"], F.array(single))).alias("e"))
     st = events.select("e.job_full_name", "e.build_number", "e.build_url", "e.correlation_id",
                        F.explode_outer("e.failed_stages").alias("s"))
-    st = st.filter(F.col("s").isNotNull() & (F.trim(F.coalesce(F.col("s.log_excerpt"), F.lit(""))) != ""))
+    st = st.filter(F.col("s").isNotNull() & ~_blank(F.col("s.log_excerpt")))
     return st.select("job_full_name", "build_number", "build_url", "correlation_id", F.col("s.stage_name").alias("stage_name"),
                      F.col("s.stage_id").alias("stage_id"), F.col("s.status").alias("status"),
-                     F.substring(F.col("s.log_excerpt"), 1, RAW_LOG_CHARS).alias("raw"))
+                     (F.col("s.log_excerpt") if max_chars is None else F.substring("s.log_excerpt", 1, max_chars)).alias("raw"))
+
+
+def node_log(text: Column) -> Column:
+    """A node's log, stripped of white space around it, then of markup; null when nothing is there."""
+    return F.when(~_blank(text), F.nullif(strip_html(_trimmed(text)), F.lit("")))
 
 
-def child_log_concat(child_logs: DataFrame, key: tuple[str, ...] = ("build_key", "stage_id")) -> DataFrame:
-    """Non-empty child-node logs of a stage joined in node order."""
-    kids = child_logs.filter(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
-    return kids.groupBy(*key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda s: s["text"]), "\n").alias("child_log"))
+def child_log_concat(child_logs: DataFrame, key: tuple[str, ...] = ("build_key", "stage_id"), order_col: str = "node_id",
+                     text_col: str = "text") -> DataFrame:
+    """Non-empty child-node logs of a stage, stripped, joined in node order."""
+    kids = child_logs.select(*key, order_col, node_log(F.col(text_col)).alias("_t")).filter(F.col("_t").isNotNull())
+    return kids.groupBy(*key).agg(_joined(order_col, "_t").alias("child_log"))
 
 
 def stage_log_cascade(failed: DataFrame, node_logs: DataFrame, child_logs: DataFrame, console_lines: DataFrame,
-                      builds: DataFrame) -> DataFrame:
+                      builds: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Excerpt per failed stage: node log, else child logs, else the console section
     naming the stage, else the whole console; builds without a failed stage get one
     synthetic ``Build`` / ``FAILURE`` stage from the console (when it is not blank).
+    Excerpts are whole, or cut at ``max_chars`` if given.
 
     ``failed``: build_key, stage_id, name, status. ``node_logs``: build_key, stage_id, text.
     ``child_logs``: build_key, stage_id, node_id, text. ``console_lines``: build_key, idx, raw.
     ``builds``: build_key.
     """
     kids = child_log_concat(child_logs)
-    f = (failed.join(node_logs.select("build_key", "stage_id", F.col("text").alias("_node")), ["build_key", "stage_id"], "left")
+    f = (failed.join(node_logs.select("build_key", "stage_id", node_log(F.col("text")).alias("_node")), ["build_key", "stage_id"], "left")
          .join(kids, ["build_key", "stage_id"], "left"))
     names = failed.select("build_key", F.col("name").alias("stage_name")).distinct()
     sec = console_section(console_lines.join(names, "build_key")
-                          .withColumn("_k", F.concat_ws("\u0001", "build_key", "stage_name")), F.col("stage_name"), key="_k")
+                          .withColumn("_k", F.concat_ws("\u0001", "build_key", "stage_name")), F.col("stage_name"), key="_k", max_chars=max_chars)
     # Whole-console excerpt over line rows (never the whole console in one group), stripped of
     # surrounding whitespace like the console text it stands for; blank consoles give none.
     blank = F.col("raw").rlike(r"^\s*$")
@@ -502,14 +552,14 @@ def stage_log_cascade(failed: DataFrame, node_logs: DataFrame, child_logs: DataF
     raw = F.col("raw")
     raw = F.when(F.col("idx") == F.col("_f"), F.regexp_replace(raw, r"^\s+", "")).otherwise(raw)
     raw = F.when(F.col("idx") == F.col("_l"), F.regexp_replace(raw, r"\s+$", "")).otherwise(raw)
-    full = truncate_lines(cl.select("build_key", "idx", raw.alias("raw")), "build_key").withColumnRenamed("excerpt", "_full")
+    full = truncate_lines(cl.select("build_key", "idx", raw.alias("raw")), "build_key", max_chars).withColumnRenamed("excerpt", "_full")
     f = f.withColumn("_k", F.concat_ws("\u0001", "build_key", "name")).join(sec.withColumnRenamed("excerpt", "_sec"), "_k", "left")
     f = f.join(full, "build_key", "left")
 
     def nz(c):
-        return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
+        return F.when(~_blank(c), c)
 
-    excerpt = F.coalesce(nz(F.col("_node")), nz(F.col("child_log")), nz(F.col("_sec")), F.coalesce(F.col("_full"), F.lit("")))
+    excerpt = F.coalesce(truncate_chars(nz(F.col("_node")), max_chars), truncate_chars(nz(F.col("child_log")), max_chars), nz(F.col("_sec")), F.coalesce(F.col("_full"), F.lit("")))
     staged = f.select("build_key", F.col("name").alias("stage_name"), F.col("stage_id").cast("string").alias("stage_id"),
                       F.upper("status").alias("status"), excerpt.alias("log_excerpt"))
     none_failed = builds.select("build_key").join(failed.select("build_key").distinct(), "build_key", "left_anti")

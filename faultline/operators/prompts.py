@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 FIX_HEADING = r"(?im)^(?:#{1,6}\s*|\d+\.\s*\**)Step[-\s]?by[-\s]?Step\s+Fix\**"
 SIMILARITY_PCT = r"similarity\s*\d+\s*%"
 EXACT_MATCH_HEAD = r"(?is)^(?:#+\s*)?(?:\*\*)?\s*exact\s+match\s+found\b"
-PREAMBLE_ROUNDS = 6
-EXCERPT_CHARS, EXCERPT_CHARS_FULL = 12000, 60000
-EMPTY_ANALYSIS = ("The build failed in this stage; the logs point to the issue described "
-                  "in the step-by-step fix below.")
 
 
 def _strip(c: Column) -> Column:
@@ -44,19 +40,21 @@ def _is_noise(candidate: Column) -> Column:
             | candidate.rlike(EXACT_MATCH_HEAD))
 
 
-def strip_preamble(df: DataFrame, col: str, out: str = "stripped") -> DataFrame:
-    """Drop up to six leading paragraphs announcing retrieval or match status."""
-    df = df.withColumn("_t", _strip(F.coalesce(F.col(col), F.lit("")))).withColumn("_stop", F.lit(False))
-    for _ in range(PREAMBLE_ROUNDS):
-        t = F.col("_t")
-        has = F.instr(t, "\n\n") > 0
-        para = F.when(has, F.substring_index(t, "\n\n", 1)).otherwise(t)
-        rest = F.when(has, F.expr("substring(_t, instr(_t, '\\n\\n') + 2)")).otherwise(F.lit(""))
-        cand = _strip(para)
-        drop = ~F.col("_stop") & (t != "") & ((cand == "") | _is_noise(cand))
-        df = (df.withColumn("_t2", F.when(drop, _strip(rest)).otherwise(t))
-              .withColumn("_stop", F.col("_stop") | ~drop).withColumn("_t", F.col("_t2")).drop("_t2"))
-    return df.withColumn(out, _strip(F.col("_t"))).drop("_t", "_stop")
+def strip_preamble(df: DataFrame, col: str, out: str = "stripped", rounds: int | None = None) -> DataFrame:
+    """Drop the leading paragraphs that announce retrieval or match status.
+
+    All of them, or ``rounds`` at most. Paragraphs are parted by blank lines.
+    """
+    parts = F.split(_strip(F.coalesce(F.col(col), F.lit(""))), "\n\n", -1)
+    df = df.withColumn("_p", F.transform(parts, lambda p: F.struct(p.alias("p"), _strip(p).alias("c"))))
+    noise = F.transform("_p", lambda x: (x["c"] == "") | _is_noise(x["c"]))
+    # paragraphs before the first that is kept; blank ones don't count as rounds, they are the rest's white space
+    if rounds is not None:
+        seen = F.transform("_p", lambda x, i: F.size(F.filter(F.slice("_p", 1, i), lambda y: y["c"] != "")))
+        noise = F.zip_with(noise, seen, lambda n, k: n & (k < rounds))
+    first = F.array_position(F.transform(noise, lambda n: ~n), True)
+    rest = F.when(first > 0, F.slice("_p", first.cast("int"), F.size("_p"))).otherwise(F.slice("_p", 1, 0))
+    return df.withColumn(out, _strip(F.array_join(F.transform(rest, lambda x: x["p"]), "\n\n"))).drop("_p")
 
 
 def fill_prompt(template: str, **fields: Column) -> Column:
@@ -67,11 +65,10 @@ def fill_prompt(template: str, **fields: Column) -> Column:
     return out
 
 
-def excerpt(filtered: Column, raw: Column, use_full_log: bool = False) -> Column:
-    """Raw log when asked for and present, else the filtered one; capped."""
-    cap = EXCERPT_CHARS_FULL if use_full_log else EXCERPT_CHARS
+def excerpt(filtered: Column, raw: Column, use_full_log: bool = False, max_chars: int | None = None) -> Column:
+    """Raw log when asked for and present, else the filtered one; cut only if ``max_chars`` is given."""
     src = F.when(F.lit(use_full_log) & (F.coalesce(raw, F.lit("")) != ""), raw).otherwise(F.coalesce(filtered, F.lit("")))
-    return F.substring(src, 1, cap)
+    return src if max_chars is None else F.substring(src, 1, max_chars)
 
 
 def chat_context(sessions: DataFrame, messages: DataFrame, system_prompt: str = "", use_full_log: bool = False) -> DataFrame:

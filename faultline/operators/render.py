@@ -1,8 +1,7 @@
 """Locator, confidence and rendering: lines back to one result row per log.
 
-(A12, W19, K7, X9-X14, W15, K3, A13, A16.) Everything collected per log is
-bounded by construction: selected lines by the token budget, the LOW-confidence
-tail excerpt by 4,000 characters, locations by the detector cap.
+(A12, W19, K7, X9-X14, W15, K3, A13, A16.) A body is one text: it holds the lines that the
+token budget selects, or for a LOW log without any its lines with text. ``body_max_chars`` cuts it, if given.
 """
 
 from __future__ import annotations
@@ -118,7 +117,7 @@ def rank_locations(locs: DataFrame) -> DataFrame:
 
 
 def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataFrame | None = None,
-           body_max_chars: int = P.BODY_MAX_CHARS, with_citation: bool = True) -> DataFrame:
+           body_max_chars: int | None = None, with_citation: bool = True) -> DataFrame:
     """One result row per log from selected lines, ranked locations and detector names.
 
     ``logs_meta`` (optional): log_id, job_name, stage_name. ``with_citation=False``
@@ -137,11 +136,12 @@ def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataF
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "_p"))), lambda s: s["_p"]), "\n").alias("_body"),
         F.count(F.lit(1)).alias("selected_count"),
         F.max("severity").alias("_maxsev"))
-    # K3 tail excerpt (LOW fallback): newest lines with text, within half the char ceiling.
+    # K3 tail excerpt (LOW fallback): lines with text; the newest within half the ceiling where one is given.
     tpiece = F.concat(F.lit("L"), F.col("idx").cast("string"), F.lit(": "), F.col("text"))
     wr = Window.partitionBy(LOG).orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
     tl = lines.filter(F.col("text") != "").select(LOG, "idx", tpiece.alias("_tp"))
-    tl = tl.withColumn("_run", F.sum(F.length("_tp") + 1).over(wr)).filter(F.col("_run") <= body_max_chars // 2)
+    if body_max_chars is not None:
+        tl = tl.withColumn("_run", F.sum(F.length("_tp") + 1).over(wr)).filter(F.col("_run") <= body_max_chars // 2)
     tails = tl.groupBy(LOG).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "_tp"))), lambda s: s["_tp"]), "\n").alias("_tail"))
     # Per-log facts from all lines.
@@ -184,7 +184,8 @@ def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataF
     body = F.when(F.col("confidence") == "LOW",
                   F.concat(F.format_string(LOW_BANNER, F.col("low_confidence_reason")),
                            F.when(body != "", body).otherwise(F.coalesce(F.col("_tail"), F.lit(""))))).otherwise(body)
-    body = F.when(F.length(body) > body_max_chars, F.concat(F.substring(body, 1, body_max_chars), F.lit(CEILING_NOTE))).otherwise(body)
+    if body_max_chars is not None:
+        body = F.when(F.length(body) > body_max_chars, F.concat(F.substring(body, 1, body_max_chars), F.lit(CEILING_NOTE))).otherwise(body)
     out = out.withColumn("body_text", body)
     bt = F.col("body_text")
     out = (out.withColumn("primary_error", F.when(pl.isNotNull() & (pl["message"] != ""), pl["message"]).otherwise(primary_error(bt)))

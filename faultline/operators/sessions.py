@@ -80,9 +80,17 @@ def telemetry(sessions: DataFrame, meta_col: str = "filter_meta") -> DataFrame:
         F.when(present, F.coalesce(m["body_tokens"], F.lit(0))).alias("body_tokens"),
         F.when(present, F.coalesce(m["selected_count"], F.lit(0))).alias("selected_count"),
         F.nullif(m["baseline_version"], F.lit("")).alias("baseline_version"),
+        _json_object(meta_col, "primary_location").alias("primary_location"),
+        _json_object(meta_col, "collapse_stats").alias("collapse_stats"),
     )
 
 
+def _json_object(col: str, field: str) -> Column:
+    """A JSON object inside a JSON text, as text; null unless it is an object with members."""
+    own = F.get_json_object(col, f"$.{field}")
+    return F.when(own.startswith("{") & (own != "{}"), own)
+
+
 def date_range(preset: str, now: _dt.datetime, date_from: str = "", date_to: str = "") -> tuple[Column | None, Column | None]:
     """(start, end) timestamps of a dashboard date preset; None = open bound."""
     n = F.lit(now).cast("timestamp")
@@ -188,9 +196,9 @@ def newest(df: DataFrame, n: int, ts: str = "created_at", key: str = "id") -> Da
     return df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
 
 
-def error_class_histogram(sessions: DataFrame, newest_n: int = 1000) -> DataFrame:
-    """A5: error classes over the newest 1,000 sessions, most frequent first."""
-    recent = newest(sessions, newest_n)
+def error_class_histogram(sessions: DataFrame, newest_n: int | None = None) -> DataFrame:
+    """A5: error classes over all sessions (or the newest ``newest_n``), most frequent first."""
+    recent = sessions if newest_n is None else newest(sessions, newest_n)
     return (recent.select(error_class().alias("error_class"))
             .groupBy("error_class").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), "error_class"))
@@ -238,12 +246,12 @@ def noisiest(items: DataFrame, top: int = 5) -> DataFrame:
     return g.orderBy(F.col("count").desc(), F.col("_last").desc(), F.col("key")).limit(top).drop("_last")
 
 
-def corpus_scan(solutions: DataFrame, limit: int = 2000, include_vectors: bool = False) -> DataFrame:
-    """Newest solutions first; limit clamped to 1..10,000; vectors optional."""
-    n = max(1, min(10_000, int(limit)))
+def corpus_scan(solutions: DataFrame, limit: int | None = None, include_vectors: bool = False) -> DataFrame:
+    """Newest solutions first, all of them unless a limit is given; vectors optional."""
     cols = ["doc_id", "fingerprint_text", "solution", "job_name", "stage_name", "build_number",
             "solution_score", "created_at"] + (["vector"] if include_vectors else [])
-    return solutions.select(*cols).orderBy(F.col("created_at").desc(), F.col("doc_id").desc()).limit(n)
+    out = solutions.select(*cols).orderBy(F.col("created_at").desc(), F.col("doc_id").desc())
+    return out if limit is None else out.limit(max(1, int(limit)))
 
 
 def fetch_session(sessions: DataFrame, session_id: str) -> DataFrame:

@@ -125,8 +125,8 @@ class GenericStackDetector:
         self.name = lang.name
         self.priority = lang.priority
 
-    def activates(self, probe: Column) -> Column:
-        return probe.rlike(P.J("(?m)" + self.lang.probe_pattern))
+    def activates(self, line: Column) -> Column:
+        return line.rlike(P.J("(?m)" + self.lang.probe_pattern))
 
     def contribute(self, lines: DataFrame, reuse=lambda d: d):
         g = self.lang
@@ -201,8 +201,8 @@ class JavaStackDetector:
     name = "java_stack"
     priority = 50
 
-    def activates(self, probe: Column) -> Column:
-        return probe.rlike(P.J(JAVA_PROBE))
+    def activates(self, line: Column) -> Column:
+        return line.rlike(P.J(JAVA_PROBE))
 
     def contribute(self, lines: DataFrame, reuse=lambda d: d):
         fr = P.J(JAVA_FRAME)
@@ -272,8 +272,8 @@ class PythonTracebackDetector:
     name = "python_traceback"
     priority = 50
 
-    def activates(self, probe: Column) -> Column:
-        return probe.rlike(P.J(PY_PROBE))
+    def activates(self, line: Column) -> Column:
+        return line.rlike(P.J(PY_PROBE))
 
     def contribute(self, lines: DataFrame, reuse=lambda d: d):
         fr = P.J(PY_FRAME)

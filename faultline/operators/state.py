@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STALE_MINUTES = 30
-ERROR_CHARS = 4000
 STALE_ERROR = "stale processing reclaim"
 SESSION_DAYS, MESSAGE_DAYS, STATE_DAYS, SOLUTION_DAYS = 180, 90, 30, 1095
 
@@ -26,15 +25,19 @@ def solution_doc_id(session_id: Column, job: Column, build: Column, stage: Colum
     return F.when(sid != "", sid).otherwise(F.sha2(seed, 256))
 
 
-def status_fold(events: DataFrame, now: _dt.datetime | None = None) -> DataFrame:
+def status_fold(events: DataFrame, now: _dt.datetime | None = None, error_chars: int | None = None) -> DataFrame:
     """Z3: ingest-state rows from ordered status events per (job, build).
 
     ``events``: job_full_name, build_number, ts, action in (claim, processed, failed), error.
     A claim inserts the row as seen and takes it when its status is seen or
     failed; processed / failed count an attempt. Returns the final state per key
-    with ``claims_granted`` (how many claims succeeded).
+    with ``claims_granted`` (how many claims succeeded); ``error_chars`` cuts the error texts, if given.
     """
     keys = ["job_full_name", "build_number"]
+
+    def cut(c: Column) -> Column:
+        return c if error_chars is None else F.substring(c, 1, error_chars)
+
     ev = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "action", "error"))).alias("_ev"))
     init = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempt_count"),
                     F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("first_seen_at"),
@@ -50,7 +53,7 @@ def status_fold(events: DataFrame, now: _dt.datetime | None = None) -> DataFrame
                   .when((a == "failed") & ~absent, F.lit("failed")).otherwise(s["status"]))
         attempts = s["attempt_count"] + F.when(a.isin("processed", "failed") & ~absent, 1).otherwise(0)
         err = (F.when((a == "processed") & ~absent, F.lit(None).cast("string"))
-               .when((a == "failed") & ~absent, F.substring(F.coalesce(e["error"], F.lit("")), 1, ERROR_CHARS))
+               .when((a == "failed") & ~absent, cut(F.coalesce(e["error"], F.lit(""))))
                .otherwise(s["last_error"]))
         first = F.when(absent & (a == "claim"), e["ts"]).otherwise(s["first_seen_at"])
         proc = F.when((a == "processed") & ~absent, e["ts"]).otherwise(s["processed_at"])
@@ -135,13 +138,28 @@ def upsert_solutions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return u.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_src")
 
 
-def new_session_rows(rows: DataFrame, now: _dt.datetime) -> DataFrame:
-    """Analysis rows with deterministic ids and defaults, ready to append."""
-    key = F.concat_ws("|", F.col("job_full_name"), F.col("build_number").cast("string"), F.col("stage_name"), F.coalesce(F.col("fingerprint"), F.lit("")))
+def new_session_rows(rows: DataFrame, now: _dt.datetime, source_key: Column) -> DataFrame:
+    """Analysis rows with all their columns and defaults, ready to append.
+
+    ``source_key`` names the event that a row comes from; the id is a hash of it with the row's
+    job, build and stage, so a replayed event has the id that it had, and no two events share one.
+    Columns that ``rows`` lacks take their defaults.
+    """
+    def text(c: str) -> Column:
+        return (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c)
+
+    def number(c: str, kind: str) -> Column:
+        return (F.coalesce(F.col(c), F.lit(0)) if c in rows.columns else F.lit(0)).cast(kind).alias(c)
+
+    def json(c: str, default: str) -> Column:
+        return (F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)).alias(c)
+
+    key = F.concat_ws("|", source_key.cast("string"), text("job_full_name"), number("build_number", "string"), text("stage_name"))
     ts = F.lit(now).cast("timestamp")
     return rows.select(
-        F.sha2(key, 256).alias("id"), "job_full_name", F.coalesce(F.col("build_number"), F.lit(0)).alias("build_number"),
-        F.coalesce(F.col("stage_name"), F.lit("")).alias("stage_name"), F.coalesce(F.col("fingerprint"), F.lit("")).alias("fingerprint"),
+        F.sha2(key, 256).alias("id"), text("job_full_name"), number("build_number", "int"), text("stage_name"), text("build_url"),
+        text("fingerprint"), text("analysis"), text("suggested_fix"), text("filtered_logs"), text("raw_logs"), text("matched_solution"),
+        number("match_score", "double"), text("recommendation"), json("similar_past", "[]"), json("filter_meta", "{}"),
         F.lit("").alias("feedback_status"), ts.alias("created_at"), ts.alias("updated_at"))
 
 

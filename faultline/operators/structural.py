@@ -6,10 +6,9 @@ Output adds ``drop`` (bool), ``reason``, ``note`` (strings, '' when unset) and
 repeat), each reading the ``drop`` column left by the previous one.
 
 Every window is partitioned by ``log_id`` first, so one hash exchange on
-``log_id`` serves all of them. Per-log state that is inherently sequential
-(greedy JSON folds, anchored repeat buckets) is folded with ``aggregate`` over a
-per-log (or per-template) array of *candidate* rows only; a log is bounded by
-the raw-log cap upstream (and by ``LOG_PIECE_LINES`` in the derived corpus).
+``log_id`` serves all of them. State that is inherently sequential
+(anchored repeat buckets) is folded with ``aggregate`` over the occurrences of one
+template in one log. Nothing is cut: logs, lines and blocks have any length.
 """
 
 from __future__ import annotations
@@ -88,16 +87,16 @@ def _same(d: DataFrame) -> DataFrame:
     return d
 
 
-def fold_json(df: DataFrame, max_run: int = P.JSON_MAX_RUN, min_run: int = P.JSON_MIN_RUN, reuse=_same) -> DataFrame:
+def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_MIN_RUN, reuse=_same) -> DataFrame:
     """Fold balanced multi-line JSON blocks opened by a JSON line.
 
     1. bracket balance per line, running prefix ``D``;
-    2. for every possible opener, its end is the first later line within
-       ``max_run - 1`` lines whose prefix falls to the level before the opener:
-       a bucketed band join (buckets of ``max_run`` lines, so each opener meets at
-       most two buckets, whatever the log size);
-    3. greedy left-to-right choice of openers (a chosen block hides the openers
-       inside it) is a fold over the openers of one log.
+    2. an opener's block ends with the first later line whose prefix falls to the level before
+       the opener. A line crosses the levels between its own and the previous prefix, so the openers and
+       crossings of one (log, level) lie in one window and the next crossing is the end. Blocks that never close go to
+       the log's end; ``max_run`` bounds a block, if given;
+    3. blocks nest, so the outermost ones are those that no earlier block covers (a running maximum
+       of ends). Bounded blocks may not nest; then the choice is a fold over a log's openers.
     """
     t = F.col("text")
     delta = _count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]")
@@ -105,23 +104,29 @@ def fold_json(df: DataFrame, max_run: int = P.JSON_MAX_RUN, min_run: int = P.JSO
     df = df.withColumn("_D", F.sum("_delta").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
     df = reuse(df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(LOG))))
     opener = (F.col("kind") == P.KIND_JSON) & ~F.col("drop") & (t != "") & (F.col("_delta") > 0)
-    ops = df.filter(opener).select(LOG, F.col("idx").alias("_i"), (F.col("_D") - F.col("_delta")).alias("_base"), "_n")
-    lines_b = df.select(LOG, F.col("idx").alias("_j"), "_D", F.floor(F.col("idx") / max_run).alias("_b"))
-    ops_b = ops.withColumn("_b", F.explode(F.array(F.floor(F.col("_i") / max_run), F.floor(F.col("_i") / max_run) + 1)))
-    hit = (ops_b.join(lines_b, [LOG, "_b"])
-           .filter((F.col("_j") > F.col("_i")) & (F.col("_j") <= F.col("_i") + (max_run - 1)) & (F.col("_D") <= F.col("_base")))
-           .groupBy(LOG, "_i").agg(F.min("_j").alias("_close")))
-    ends = (ops.join(hit, [LOG, "_i"], "left")
-            .select(LOG, "_i", F.least(F.coalesce(F.col("_close") + 1, F.col("_i") + max_run), F.col("_i") + max_run, F.col("_n")).cast("int").alias("_end")))
-    # Greedy non-overlapping choice: a fold over this log's openers in order.
-    chosen = ends.groupBy(LOG).agg(F.sort_array(F.collect_list(F.struct("_i", "_end"))).alias("_ops"))
-    init = F.struct(F.lit(-1).alias("nxt"), F.array().cast("array<struct<_i:int,_end:int>>").alias("out"))
-    picked = F.aggregate(
-        "_ops", init,
-        lambda acc, x: F.when(x["_i"] >= acc["nxt"], F.struct(x["_end"].alias("nxt"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc),
-    )["out"]
-    blocks = (chosen.select(LOG, F.explode(picked).alias("o"))
-              .select(LOG, F.col("o._i").alias("idx"), F.col("o._end").alias("_fend"))
+    ops = df.filter(opener).select(LOG, "idx", (F.col("_D") - F.col("_delta")).alias("_level"), "_n")
+    crossings = df.filter(F.col("_delta") < 0).select(
+        LOG, "idx", F.explode(F.sequence(F.col("_D"), F.col("_D") - F.col("_delta") - 1)).alias("_level"),
+        F.lit(None).cast("bigint").alias("_n"))
+    both = ops.unionByName(crossings)
+    close = F.first(F.when(F.col("_n").isNull(), F.col("idx")), ignorenulls=True).over(
+        Window.partitionBy(LOG, "_level").orderBy("idx").rowsBetween(1, Window.unboundedFollowing))
+    ends = both.withColumn("_close", close).filter(F.col("_n").isNotNull())
+    end = F.coalesce(F.col("_close") + 1, F.col("_n"))
+    end = end if max_run is None else F.least(end, F.col("idx") + max_run, F.col("_n"))
+    ends = ends.select(LOG, F.col("idx").alias("_i"), end.cast("int").alias("_end"))
+    if max_run is None:
+        before = F.max("_end").over(Window.partitionBy(LOG).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
+        outer = ends.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") <= F.col("_i")))
+    else:
+        chosen = ends.groupBy(LOG).agg(F.sort_array(F.collect_list(F.struct("_i", "_end"))).alias("_ops"))
+        init = F.struct(F.lit(-1).alias("nxt"), F.array().cast("array<struct<_i:int,_end:int>>").alias("out"))
+        picked = F.aggregate(
+            "_ops", init,
+            lambda acc, x: F.when(x["_i"] >= acc["nxt"], F.struct(x["_end"].alias("nxt"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc),
+        )["out"]
+        outer = chosen.select(LOG, F.explode(picked).alias("o")).select(LOG, "o._i", "o._end")
+    blocks = (outer.select(LOG, F.col("_i").alias("idx"), F.col("_end").alias("_fend"))
               .filter(F.col("_fend") - F.col("idx") >= min_run))
     df = df.join(blocks, [LOG, "idx"], "left")
     # Each line learns the last folded block starting at or before it.

@@ -30,9 +30,9 @@ def split_lines(logs: DataFrame, raw_col: str = "raw", key_cols: tuple[str, ...]
     )
 
 
-def annotate(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """X1-X7 on every line; blank lines become PLAIN/INFO with empty template."""
-    df = lines.withColumn("_stripped", L.cap_line(L.strip_timestamp(raw_col)))
+def annotate(lines: DataFrame, raw_col: str = "raw", max_line_chars: int | None = None) -> DataFrame:
+    """X1-X7 on every line; blank lines become PLAIN/INFO with empty template. Lines are whole unless a cap is given."""
+    df = lines.withColumn("_stripped", L.cap_line(L.strip_timestamp(raw_col), max_line_chars))
     df = df.withColumn("indent", L.indent_width("_stripped").cast("int"))
     df = df.withColumn("text", L.display_text("_stripped"))
     # Mask chain: every step captures the values it replaced, in mask order.

@@ -64,7 +64,7 @@ def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,
                  logs_meta: DataFrame | None = None, token_budget: int = P.BODY_MAX_TOKENS,
-                 body_max_chars: int = P.BODY_MAX_CHARS, max_active: int = D.MAX_ACTIVE,
+                 body_max_chars: int | None = None, max_active: int | None = None,
                  materialize: str | None = "checkpoint", reuse: str | None = "persist",
                  with_citation: bool = True) -> tuple[DataFrame, DataFrame]:
     """Run every pass on annotated lines; returns (results per log, final lines).

@@ -49,7 +49,7 @@ def tokenized_sql(src: str, keys: str = "log_id, idx", name: str = "lines") -> s
         f"WHEN regexp_matches(text, {q(P.SEV_WARN_RX)}) THEN 1 ELSE 0 END"
     )
     parts = [
-        f"{name}_s0 AS (SELECT {keys}, raw, CASE WHEN length(s) > {P.MAX_LINE_CHARS} THEN substr(s, 1, {P.MAX_LINE_CHARS}) || {q(P.TRUNCATED_SUFFIX)} ELSE s END AS stripped "
+        f"{name}_s0 AS (SELECT {keys}, raw, s AS stripped "
         f"FROM (SELECT {keys}, raw, regexp_replace(raw, {q(P.TIMESTAMP_PREFIX)}, '') AS s FROM {src}))",
         f"{name}_s1 AS (SELECT *, trim(regexp_replace(regexp_replace(stripped, {q(P.ANSI)}, '', 'g'), '\\s+', ' ', 'g')) AS text FROM {name}_s0)",
     ]

@@ -64,9 +64,7 @@ SELECT item_id, job_full_name, build_number FROM (
   SELECT *, row_number() OVER (PARTITION BY job_full_name, build_number ORDER BY item_id) AS r FROM fb) WHERE r = 1
 """, "feed"))
 def u1_feed_dedupe(spark, sf_dir):
-    fb = _feed_builds(spark, sf_dir)
-    w = Window.partitionBy("job_full_name", "build_number").orderBy("item_id")
-    return fb.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("item_id", "job_full_name", "build_number")
+    return I.first_per_build(_feed_builds(spark, sf_dir)).select("item_id", "job_full_name", "build_number")
 
 
 @register("j3_claim", oracle=with_adapters("""
@@ -212,13 +210,19 @@ def x16_truncate(spark, sf_dir):
     return d.select("doc_id", I.truncate_chars(F.col("text"), 2000).alias("excerpt"))
 
 
-_HTML_SQL = "regexp_replace(html, " + q(I.HTML_TAG) + ", '', 'g')"
-for _e, _c in I.HTML_ENTITIES:
-    _HTML_SQL = f"replace({_HTML_SQL}, {q(_e)}, {q(_c)})"
-_HTML_SQL = f"regexp_replace({_HTML_SQL}, {q(I.CLOCK_PREFIX)}, '', 'g')"
+# The character references that the driver's pages and logs have (the operator knows all of HTML's).
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+             ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&mdash;", "\u2014"), ("&#8217;", "\u2019"), ("&amp;", "&"))
 
 
-@register("x17_html_strip", oracle=f"SELECT page_id, {_HTML_SQL} AS text FROM pages")
+def _strip_sql(c: str) -> str:
+    out = f"regexp_replace({c}, '<[^>]+>', '', 'g')"
+    for name, char in _ENTITIES:
+        out = f"replace({out}, {q(name)}, {q(char)})"
+    return f"regexp_replace({out}, '(?m)^[0-9][0-9]:[0-9][0-9]:[0-9][0-9]\\s+', '', 'g')"
+
+
+@register("x17_html_strip", oracle=f"SELECT page_id, {_strip_sql('html')} AS text FROM pages")
 def x17_html_strip(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages", ["page_id", "html"])
     return p.select("page_id", I.strip_html(F.col("html")).alias("text"))
@@ -252,25 +256,22 @@ def p10_noise_lines(spark, sf_dir):
 
 
 @register("p11_error_signal", oracle=with_adapters(f"""
-SELECT log_id, bool_or(idx < 200 AND regexp_matches(raw, {q(I.FAILURE_SIGNAL)})) AS has_signal FROM log_lines GROUP BY log_id""", "log_lines"))
+SELECT log_id, bool_or(regexp_matches(raw, {q(I.FAILURE_SIGNAL)})) AS has_signal FROM log_lines GROUP BY log_id""", "log_lines"))
 def p11_error_signal(spark, sf_dir):
-    ll = A.log_lines(spark, sf_dir)
-    return ll.groupBy("log_id").agg(F.bool_or((F.col("idx") < 200) & F.col("raw").rlike(I.FAILURE_SIGNAL)).alias("has_signal"))
+    return I.error_signal(A.log_lines(spark, sf_dir))
 
 
 def _snippet_sql() -> str:
     noise = f"(regexp_matches(raw, {q(I.NOISE_LINE)}) OR regexp_matches(raw, '^\\s*$'))"
     return f"""
 , b AS (
-  SELECT log_id, idx, raw, n, idx - greatest(0, n - {I.SCAN_LINES}) AS i, least(n, {I.SCAN_LINES}) AS m
-  FROM (SELECT *, count(*) OVER (PARTITION BY log_id) AS n FROM log_lines) WHERE idx >= n - {I.SCAN_LINES}
+  SELECT log_id, idx, raw, idx AS i, count(*) OVER (PARTITION BY log_id) AS m FROM log_lines
 ), sc AS (SELECT *, {_anchor_sql('raw')} AS s, {noise} AS noise FROM b),
 an AS (SELECT * FROM sc WHERE s >= {I.SNIPPET_MIN_SCORE}),
 an2 AS (SELECT *, i - lag(i) OVER (PARTITION BY log_id ORDER BY i) AS d FROM an),
 an3 AS (SELECT *, sum(CASE WHEN d IS NULL OR d > {I.SNIPPET_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS cid FROM an2),
 cl AS (SELECT log_id, cid, min(i) AS lo, max(i) AS hi, max(s) AS peak, max(m) AS m FROM an3 GROUP BY log_id, cid),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY peak DESC, hi DESC) AS r FROM cl) WHERE r <= {I.SNIPPET_REGIONS}),
-wn AS (SELECT log_id, greatest(0, lo - {I.SNIPPET_BEFORE}) AS wlo, least(m, hi + {I.SNIPPET_AFTER} + 1) AS whi FROM top),
+wn AS (SELECT log_id, greatest(0, lo - {I.SNIPPET_BEFORE}) AS wlo, least(m, hi + {I.SNIPPET_AFTER} + 1) AS whi FROM cl),
 wn2 AS (SELECT *, max(whi) OVER (PARTITION BY log_id ORDER BY wlo, whi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pmax FROM wn),
 wn3 AS (SELECT *, sum(CASE WHEN pmax IS NULL OR wlo > pmax THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY wlo, whi ROWS UNBOUNDED PRECEDING) AS wid FROM wn2),
 wins AS (SELECT log_id, wid, min(wlo) AS wlo, max(whi) AS whi FROM wn3 GROUP BY log_id, wid),
@@ -278,9 +279,9 @@ pw AS (
   SELECT w.log_id, w.wid, string_agg(sc.raw, chr(10) ORDER BY sc.i) AS body
   FROM wins w JOIN sc ON sc.log_id = w.log_id AND sc.i >= w.wlo AND sc.i < w.whi WHERE NOT sc.noise GROUP BY w.log_id, w.wid
 ), sn AS (SELECT log_id, regexp_replace(string_agg(body, chr(10) || chr(10) ORDER BY wid), '^\\s+|\\s+$', '', 'g') AS s FROM pw GROUP BY log_id),
-tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY idx DESC) AS k FROM log_lines) WHERE k <= 30 AND NOT regexp_matches(raw, '^\\s*$')),
+tl AS (SELECT * FROM log_lines WHERE NOT regexp_matches(raw, '^\\s*$')),
 tl2 AS (SELECT *, regexp_matches(raw, {q(I.NOISE_LINE)}) AS nz, max(CASE WHEN NOT regexp_matches(raw, {q(I.NOISE_LINE)}) THEN 1 ELSE 0 END) OVER (PARTITION BY log_id) AS anyclean FROM tl),
-tl3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY idx DESC) AS k2 FROM tl2 WHERE anyclean = 0 OR NOT nz) WHERE k2 <= 8),
+tl3 AS (SELECT * FROM tl2 WHERE anyclean = 0 OR NOT nz),
 fb AS (SELECT log_id, string_agg(raw, chr(10) ORDER BY idx) AS f FROM tl3 GROUP BY log_id),
 txt AS (
   SELECT k.log_id, CASE WHEN length(coalesce(sn.s, '')) > 0 THEN sn.s ELSE coalesce(fb.f, '') END AS t
@@ -289,7 +290,7 @@ txt AS (
 """
 
 
-@register("w13_error_snippets", oracle=with_adapters(_snippet_sql() + f"SELECT log_id, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS snippet FROM txt", "log_lines"))
+@register("w13_error_snippets", oracle=with_adapters(_snippet_sql() + "SELECT log_id, t AS snippet FROM txt", "log_lines"))
 def w13_error_snippets(spark, sf_dir):
     return I.error_snippets(A.log_lines(spark, sf_dir))
 
@@ -300,21 +301,20 @@ t AS (
   SELECT l.log_id, string_agg(l.raw, chr(10) ORDER BY l.idx) AS t FROM log_lines l JOIN c ON c.log_id = l.log_id
   WHERE c.ctr IS NULL OR (l.idx >= c.ctr - 50 AND l.idx < c.ctr + 150) GROUP BY l.log_id
 )
-SELECT log_id, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS excerpt FROM t""", "log_lines"))
+SELECT log_id, t AS excerpt FROM t""", "log_lines"))
 def s6_console_section(spark, sf_dir):
     ll = A.log_lines(spark, sf_dir).withColumn("stage_name", F.lit("task-7"))
     return I.console_section(ll, F.col("stage_name"))
 
 
-@register("s5_child_log_concat", oracle="""
-SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS log FROM conversations WHERE trim(text) <> '' GROUP BY conv_id
+@register("s5_child_log_concat", oracle=f"""
+SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS log
+FROM (SELECT conv_id, turn, {_strip_sql("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id
 """)
 def s5_child_log_concat(spark, sf_dir):
     """Child-node logs of a stage concatenated in node order (conversation turns as child logs)."""
     cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    kids = cv.filter(F.trim("text") != "")
-    return kids.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("log"))
+    return I.child_log_concat(cv, key=("conv_id",), order_col="turn").withColumnRenamed("child_log", "log")
 
 
 @register("s1_tokenize_documents")
@@ -342,7 +342,7 @@ def _payloads(spark, sf_dir):
 @register("s3_ingest_events", oracle=with_adapters("""
 SELECT 'team/job-' || CAST(user_id % 20 AS VARCHAR) AS job_full_name, CAST(day(ts) AS INTEGER) AS build_number,
        'https://ci.example/b/' AS build_url, 'c-' || CAST(event_id AS VARCHAR) AS correlation_id, 'stage-error' AS stage_name,
-       CAST(event_id * 10 AS VARCHAR) AS stage_id, 'FAILED' AS status, substr(l.raw, 1, 200000) AS raw
+       CAST(event_id * 10 AS VARCHAR) AS stage_id, 'FAILED' AS status, l.raw AS raw
 FROM events JOIN (
   SELECT event_id AS eid,
          CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' ELSE '' END ||
@@ -361,8 +361,8 @@ _S4_SQL = f"""
          {A.EVENT_LINE_SQL} AS raw
   FROM events
 ), console AS (SELECT build_key, row_number() OVER (PARTITION BY build_key ORDER BY ts, event_id) - 1 AS idx, raw FROM el),
-node AS (SELECT build_key, stage_id, raw AS text FROM el WHERE strpos(raw, 'Caused by:') > 0),
-kids AS (SELECT build_key, stage_id, string_agg(raw, chr(10) ORDER BY event_id) AS child_log FROM el
+node AS (SELECT build_key, stage_id, {_strip_sql('trim(raw)')} AS text FROM el WHERE strpos(raw, 'Caused by:') > 0),
+kids AS (SELECT build_key, stage_id, string_agg({_strip_sql('trim(raw)')}, chr(10) ORDER BY event_id) AS child_log FROM el
          WHERE strpos(raw, 'exit code') > 0 AND trim(raw) <> '' GROUP BY build_key, stage_id),
 gg AS (
   SELECT *, min(start_ms) OVER (PARTITION BY build_key, group_no) AS gstart,
@@ -380,8 +380,8 @@ failed AS (
   WHERE x.ctr IS NULL OR (c.idx >= x.ctr - 50 AND c.idx < x.ctr + 150) GROUP BY x.build_key, x.name
 ), full0 AS (
   SELECT build_key, regexp_replace(string_agg(raw, chr(10) ORDER BY idx), '^\\s+|\\s+$', '', 'g') AS t FROM console GROUP BY build_key
-), fullx AS (SELECT build_key, CASE WHEN t <> '' THEN {_trunc_sql('t', I.STAGE_LOG_CHARS)} END AS full FROM full0),
-secx AS (SELECT build_key, name, {_trunc_sql('t', I.STAGE_LOG_CHARS)} AS sec FROM sec)
+), fullx AS (SELECT build_key, CASE WHEN t <> '' THEN t END AS full FROM full0),
+secx AS (SELECT build_key, name, t AS sec FROM sec)
 SELECT f.build_key, f.name AS stage_name, CAST(f.stage_id AS VARCHAR) AS stage_id, upper(f.status) AS status,
        coalesce(CASE WHEN trim(coalesce(n.text, '')) <> '' THEN n.text END,
                 CASE WHEN trim(coalesce(k.child_log, '')) <> '' THEN k.child_log END,

@@ -33,7 +33,7 @@ SELECT id AS session_id, 0 AS seq, 'system' AS role,
          CASE WHEN coalesce(analysis, '') <> '' THEN '## Original Analysis' || chr(10) || analysis END,
          CASE WHEN coalesce(suggested_fix, '') <> '' THEN '## Suggested Fix' || chr(10) || suggested_fix END,
          CASE WHEN coalesce(fingerprint, '') <> '' THEN 'Fingerprint:' || chr(10) || fingerprint END,
-         CASE WHEN trim(substr(coalesce(filtered_logs, ''), 1, 12000)) <> '' THEN 'Filtered log excerpt:' || chr(10) || substr(coalesce(filtered_logs, ''), 1, 12000) END
+         CASE WHEN trim(coalesce(filtered_logs, '')) <> '' THEN 'Filtered log excerpt:' || chr(10) || coalesce(filtered_logs, '') END
        ], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS ctx
 FROM sessions WHERE id IN (SELECT session_id FROM messages))
 UNION ALL
@@ -71,16 +71,14 @@ def _preamble_sql() -> str:
              " OR strpos(lower(c), 'returning previously accepted') > 0"
              " OR (regexp_matches(lower(c), 'similarity\\s*\\d+\\s*%') AND (strpos(lower(c), 'match') > 0 OR strpos(lower(c), 'returning') > 0 OR strpos(lower(c), 'accepted') > 0))"
              " OR regexp_matches(c, '(?is)^(?:#+\\s*)?(?:\\*\\*)?\\s*exact\\s+match\\s+found\\b'))")
-    ctes = [f"s0 AS (SELECT conv_id, turn, text, {strip.format(x='coalesce(text, \'\')')} AS t, false AS stop FROM conversations WHERE role = 'assistant')"]
-    for i in range(1, 7):
-        prev = f"s{i - 1}"
-        ctes.append(
-            f"p{i} AS (SELECT *, strpos(t, chr(10) || chr(10)) AS pos FROM {prev}), "
-            f"q{i} AS (SELECT *, CASE WHEN pos > 0 THEN substr(t, 1, pos - 1) ELSE t END AS para, CASE WHEN pos > 0 THEN substr(t, pos + 2) ELSE '' END AS rest FROM p{i}), "
-            f"r{i} AS (SELECT *, {strip.format(x='para')} AS c FROM q{i}), "
-            f"d{i} AS (SELECT *, NOT stop AND t <> '' AND (c = '' OR {noise}) AS dr FROM r{i}), "
-            f"s{i} AS (SELECT conv_id, turn, text, CASE WHEN dr THEN {strip.format(x='rest')} ELSE t END AS t, stop OR NOT dr AS stop FROM d{i})")
-    return "WITH " + ", ".join(ctes) + f" SELECT conv_id, turn, length(text) AS chars, length({strip.format(x='t')}) AS kept_chars FROM s6"
+    return f"""
+WITH s AS (SELECT conv_id, turn, text, string_split({strip.format(x="coalesce(text, '')")}, chr(10) || chr(10)) AS ps
+           FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, turn, k, ps[k] AS p, {strip.format(x='ps[k]')} AS c FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM s)),
+f AS (SELECT conv_id, turn, min(k) AS k FROM p WHERE NOT (c = '' OR {noise}) GROUP BY ALL)
+SELECT s.conv_id, s.turn, length(text) AS chars,
+       length(coalesce({strip.format(x="array_to_string(ps[f.k:], chr(10) || chr(10))")}, '')) AS kept_chars
+FROM s LEFT JOIN f ON f.conv_id = s.conv_id AND f.turn = s.turn"""
 
 
 @register("x25_preamble_strip", oracle=_preamble_sql())
@@ -93,7 +91,7 @@ def x25_preamble_strip(spark, sf_dir):
 def _fill_sql(template: str) -> str:
     out = "'" + template.replace("'", "''") + "'"
     for name, col in (("job_name", "job_full_name"), ("build_number", "CAST(build_number AS VARCHAR)"), ("stage_name", "stage_name"),
-                      ("filtered_logs", "substr(coalesce(filtered_logs, ''), 1, 12000)"), ("past_fingerprint", "fingerprint")):
+                      ("filtered_logs", "filtered_logs"), ("past_fingerprint", "fingerprint")):
         out = f"replace({out}, '{{{name}}}', coalesce({col}, ''))"
     return out.replace(chr(10), "' || chr(10) || '")
 

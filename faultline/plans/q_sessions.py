@@ -125,7 +125,10 @@ SELECT id AS run_id,
        CAST(json_extract(filter_meta, '$.body_chars') AS BIGINT) AS body_chars,
        CAST(json_extract(filter_meta, '$.body_tokens') AS BIGINT) AS body_tokens,
        CAST(json_extract(filter_meta, '$.selected_count') AS BIGINT) AS selected_count,
-       nullif(json_extract_string(filter_meta, '$.baseline_version'), '') AS baseline_version
+       nullif(json_extract_string(filter_meta, '$.baseline_version'), '') AS baseline_version,
+       CASE WHEN json_type(filter_meta, '$.primary_location') = 'OBJECT' THEN CAST(json_extract(filter_meta, '$.primary_location') AS VARCHAR) END AS primary_location,
+       CASE WHEN json_type(filter_meta, '$.collapse_stats') = 'OBJECT' AND len(json_keys(filter_meta, '$.collapse_stats')) > 0
+            THEN CAST(json_extract(filter_meta, '$.collapse_stats') AS VARCHAR) END AS collapse_stats
 FROM sessions
 """
 
@@ -177,8 +180,7 @@ def a4_coverage(spark, sf_dir):
 
 
 @register("a5_error_class_histogram", oracle=_sql(_ITEMS_SQL + """
-, recent AS (SELECT error_class FROM items ORDER BY timestamp DESC, run_id DESC LIMIT 1000)
-SELECT error_class, CAST(count(*) AS BIGINT) AS count FROM recent GROUP BY error_class
+SELECT error_class, CAST(count(*) AS BIGINT) AS count FROM items GROUP BY error_class
 """, "sessions"))
 def a5_error_class_histogram(spark, sf_dir):
     return S.error_class_histogram(A.sessions(spark, sf_dir))
@@ -225,10 +227,10 @@ def a8_noisiest_top5(spark, sf_dir):
 
 @register("s10_corpus_scan", oracle=_sql("""
 SELECT doc_id, fingerprint_text, solution, job_name, stage_name, build_number, solution_score, created_at
-FROM solutions ORDER BY created_at DESC, doc_id DESC LIMIT 2000
+FROM solutions ORDER BY created_at DESC, doc_id DESC
 """, "solutions"))
 def s10_corpus_scan(spark, sf_dir):
-    return S.corpus_scan(A.solutions(spark, sf_dir), limit=2000)
+    return S.corpus_scan(A.solutions(spark, sf_dir))
 
 
 @register("s11_point_lookup", oracle=_sql("SELECT * FROM sessions WHERE id = 'run-42'", "sessions"))

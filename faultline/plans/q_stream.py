@@ -123,7 +123,7 @@ rec AS (
                 WHEN e.action = 'failed' AND r.status IS NOT NULL THEN 'failed' ELSE r.status END,
            r.attempt_count + CASE WHEN e.action IN ('processed', 'failed') AND r.status IS NOT NULL THEN 1 ELSE 0 END,
            CASE WHEN e.action = 'processed' AND r.status IS NOT NULL THEN NULL
-                WHEN e.action = 'failed' AND r.status IS NOT NULL THEN substr(coalesce(e.error, ''), 1, 4000) ELSE r.last_error END,
+                WHEN e.action = 'failed' AND r.status IS NOT NULL THEN coalesce(e.error, '') ELSE r.last_error END,
            CASE WHEN r.status IS NULL AND e.action = 'claim' THEN e.ts ELSE r.first_seen_at END,
            CASE WHEN e.action = 'processed' AND r.status IS NOT NULL THEN e.ts ELSE r.processed_at END,
            r.claims_granted + CASE WHEN e.action = 'claim' AND (r.status IS NULL OR r.status IN ('seen', 'failed')) THEN 1 ELSE 0 END
@@ -162,12 +162,13 @@ def s8_touch_parents(spark, sf_dir):
 
 
 @register("s7_session_rows", oracle=with_adapters(f"""
-SELECT sha256(concat_ws('|', job_full_name, CAST(build_number AS VARCHAR), stage_name, coalesce(fingerprint, ''))) AS id,
-       job_full_name, coalesce(build_number, 0) AS build_number, coalesce(stage_name, '') AS stage_name, coalesce(fingerprint, '') AS fingerprint,
-       '' AS feedback_status, TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at
+SELECT sha256(id || '|' || job_full_name || '|' || CAST(build_number AS VARCHAR) || '|' || stage_name) AS id,
+       job_full_name, build_number, stage_name, build_url, fingerprint, analysis, suggested_fix, filtered_logs, '' AS raw_logs,
+       '' AS matched_solution, CAST(coalesce(match_score, 0) AS DOUBLE) AS match_score, coalesce(recommendation, '') AS recommendation,
+       '[]' AS similar_past, coalesce(filter_meta, '{{}}') AS filter_meta, '' AS feedback_status, TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at
 FROM sessions""", "sessions"))
 def s7_session_rows(spark, sf_dir):
-    return ST.new_session_rows(A.sessions(spark, sf_dir), NOW)
+    return ST.new_session_rows(A.sessions(spark, sf_dir), NOW, F.col("id"))
 
 
 @register("z1_poll_stream", oracle=with_adapters(_FEED_BUILDS_SQL + """

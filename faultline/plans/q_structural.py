@@ -300,8 +300,8 @@ d AS (SELECT *, kind = 6 AS drop0, {_DELTA} AS delta FROM lines),
 dd AS (SELECT *, sum(delta) OVER (PARTITION BY log_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS dsum, count(*) OVER (PARTITION BY log_id) AS n FROM d),
 ops AS (SELECT log_id, idx AS i, dsum - delta AS base, n FROM dd WHERE kind = 3 AND NOT drop0 AND text <> '' AND delta > 0),
 ends AS (
-  SELECT o.log_id, o.i, least(coalesce(min(l.idx) + 1, o.i + {P.JSON_MAX_RUN}), o.i + {P.JSON_MAX_RUN}, o.n) AS e
-  FROM ops o LEFT JOIN dd l ON l.log_id = o.log_id AND l.idx > o.i AND l.idx <= o.i + {P.JSON_MAX_RUN - 1} AND l.dsum <= o.base
+  SELECT o.log_id, o.i, coalesce(min(l.idx) + 1, o.n) AS e
+  FROM ops o LEFT JOIN dd l ON l.log_id = o.log_id AND l.idx > o.i AND l.dsum <= o.base
   GROUP BY o.log_id, o.i, o.n
 ), opn AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY i) AS rn FROM ends),
 chain AS (

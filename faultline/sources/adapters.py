@@ -6,9 +6,8 @@ DataFrame plan here and as SQL text in ``ADAPTER_SQL`` (used by the DuckDB
 oracle). Work grows with the tables: nothing is sampled or capped.
 
 ``log_lines``: one log line per event. A user's events, ordered by time, form
-that user's log; a log is cut into pieces of at most ``LOG_PIECE_LINES`` lines so
-that per-log window plans stay bounded even for a very hot user (the reference
-bounds a log by a 200,000-character raw cap instead of cutting).
+that user's log, whole. Lines are numbered in two levels (within a user's day, then
+by the line counts of the days before), so a very hot user is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +17,15 @@ from pyspark.sql import functions as F
 
 from .tables import read_table
 
-LOG_PIECE_LINES = 2000
+
+def _numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``_seq``: 0-based place of each row among its user's rows by ``ts`` and ``order``."""
+    df = df.withColumn("_day", F.to_date("ts"))
+    days = df.groupBy("user_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("user_id", "_day", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("user_id", "_day").orderBy("ts", *order)) - 1
+    return df.withColumn("_in", place).join(days, ["user_id", "_day"]).withColumn("_seq", F.col("_in") + F.col("_before"))
 
 
 def _k() -> Column:
@@ -50,14 +57,8 @@ def event_log_line() -> Column:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     raw = event_log_line()
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    df = ev.select("user_id", "event_id", seq.alias("_seq"), raw.alias("raw"))
-    piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
-    return df.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), piece.cast("string")).alias("log_id"),
-        (F.col("_seq") - piece * LOG_PIECE_LINES).cast("int").alias("idx"),
-        "raw",
-    )
+    df = _numbered(ev.select("user_id", "event_id", "ts", raw.alias("raw")), "event_id")
+    return df.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("log_id"), F.col("_seq").cast("int").alias("idx"), "raw")
 
 
 def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +73,8 @@ def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"),
     )
     df = ev.select("user_id", "ts", "event_id", F.posexplode(block).alias("pos", "raw"))
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id", "pos")) - 1
-    df = df.select("user_id", seq.alias("_seq"), "raw")
-    piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
-    return df.select(
-        F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit("-"), piece.cast("string")).alias("log_id"),
-        (F.col("_seq") - piece * LOG_PIECE_LINES).cast("int").alias("idx"),
-        "raw",
-    )
+    df = _numbered(df, "event_id", "pos")
+    return df.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("log_id"), F.col("_seq").cast("int").alias("idx"), "raw")
 
 
 def stack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +91,8 @@ def stack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("\tat com.acme.svc"), (k % 7).cast("string"), F.lit(".Worker"), j.cast("string"), F.lit(".call(Worker"),
                  j.cast("string"), F.lit(".java:"), (j + 10).cast("string"), F.lit(")"))))
     df = ev.select("user_id", "ts", "event_id", F.posexplode(F.concat(head, cause, frames)).alias("pos", "raw"))
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id", "pos")) - 1
-    df = df.select("user_id", seq.alias("_seq"), "raw")
-    piece = F.floor(F.col("_seq") / LOG_PIECE_LINES).cast("bigint")
-    return df.select(
-        F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), piece.cast("string")).alias("log_id"),
-        (F.col("_seq") - piece * LOG_PIECE_LINES).cast("int").alias("idx"),
-        "raw",
-    )
+    df = _numbered(df, "event_id", "pos")
+    return df.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("log_id"), F.col("_seq").cast("int").alias("idx"), "raw")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +119,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('],"raw_chars":'), es(k * 100), F.lit(',"body_chars":'), es(k * 10),
         F.lit(',"body_tokens":'), es(k * 3), F.lit(',"selected_count":'), es(k % 9),
         F.lit(',"baseline_version":"'), F.when(k % 2 == 0, F.lit("self/0.30/1")).otherwise(F.lit("")),
-        F.lit('","unknown_field":1}')))
+        F.lit('","primary_location":'),
+        F.when(k % 3 == 0, F.concat(F.lit('{"kind":"source","file":"A'), es(k), F.lit('.java","line":7}')))
+        .when(k % 3 == 1, F.lit("null")).otherwise(F.lit('"none"')),
+        F.lit(',"collapse_stats":'), F.when(k % 4 == 0, F.concat(F.lit('{"banner":'), es(k), F.lit("}"))).otherwise(F.lit("{}")),
+        F.lit(',"unknown_field":1}')))
     return ev.select(
         F.concat(F.lit("run-"), es(e)).alias("id"),
         job.alias("job_full_name"),
@@ -265,8 +258,7 @@ EVENT_LINE_SQL = ("CASE WHEN event_type IN ('error','purchase') THEN '[' || strf
 ADAPTER_SQL = {
     "log_lines": r"""
 log_lines AS (
-  SELECT 'u' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
-         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx,
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS log_id, CAST(seq AS INTEGER) AS idx,
          CASE WHEN event_type IN ('error','purchase') THEN '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || body ELSE body END AS raw
   FROM (
     SELECT user_id, event_type, ts,
@@ -277,8 +269,7 @@ log_lines AS (
 )""".replace("{EVENT_BODY}", EVENT_BODY_SQL),
     "payload_lines": r"""
 payload_lines AS (
-  SELECT 'p' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
-         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx, raw
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS log_id, CAST(seq AS INTEGER) AS idx, raw
   FROM (
     SELECT user_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, pos) - 1 AS seq FROM (
       SELECT user_id, ts, event_id,
@@ -291,8 +282,7 @@ payload_lines AS (
 )""",
     "stack_lines": r"""
 stack_lines AS (
-  SELECT 's' || CAST(user_id AS VARCHAR) || '-' || CAST(seq // 2000 AS VARCHAR) AS log_id,
-         CAST(seq - (seq // 2000) * 2000 AS INTEGER) AS idx, raw
+  SELECT 's' || CAST(user_id AS VARCHAR) AS log_id, CAST(seq AS INTEGER) AS idx, raw
   FROM (
     SELECT user_id, raw, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, pos) - 1 AS seq FROM (
       SELECT user_id, ts, event_id, unnest(arr) AS raw, unnest(range(len(arr))) AS pos FROM (
@@ -329,7 +319,9 @@ sessions AS (
            '","activated_detectors":["generic_shell",""' || CASE WHEN event_id % 100 % 2 = 0 THEN ',"java_stack"' ELSE '' END ||
            '],"raw_chars":' || CAST(event_id % 100 * 100 AS VARCHAR) || ',"body_chars":' || CAST(event_id % 100 * 10 AS VARCHAR) ||
            ',"body_tokens":' || CAST(event_id % 100 * 3 AS VARCHAR) || ',"selected_count":' || CAST(event_id % 100 % 9 AS VARCHAR) ||
-           ',"baseline_version":"' || CASE WHEN event_id % 100 % 2 = 0 THEN 'self/0.30/1' ELSE '' END || '","unknown_field":1}' END AS filter_meta,
+           ',"baseline_version":"' || CASE WHEN event_id % 100 % 2 = 0 THEN 'self/0.30/1' ELSE '' END || '","primary_location":' || CASE event_id % 100 % 3 WHEN 0 THEN '{"kind":"source","file":"A' || CAST(event_id % 100 AS VARCHAR) || '.java","line":7}'
+               WHEN 1 THEN 'null' ELSE '"none"' END || ',"collapse_stats":' || CASE WHEN event_id % 100 % 4 = 0 THEN '{"banner":' || CAST(event_id % 100 AS VARCHAR) || '}' ELSE '{}' END ||
+           ',"unknown_field":1}' END AS filter_meta,
          ts AS created_at,
          ts + to_minutes(CAST(event_id % 100 AS BIGINT)) AS updated_at,
          CASE WHEN event_id % 100 % 17 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS timestamp_text
