@@ -13,6 +13,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import patterns as P
 
@@ -165,7 +166,7 @@ def failing_status(status: Column) -> Column:
     return F.upper(F.coalesce(status, F.lit(""))).isin(*FAILING_STATUSES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

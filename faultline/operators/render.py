@@ -39,6 +39,11 @@ def primary_error(body: Column) -> Column:
     return F.coalesce(_first(CAUSED_BY, body), _first(EXCEPTION_LINE, body), _first(ERROR_MARKER, body), F.lit("Unknown"))
 
 
+def exit_code(text: Column) -> Column:
+    """X11: the first exit code in a text, null without one. The words may lie on two lines."""
+    return F.nullif(F.regexp_extract(text, P.J(EXIT_CODE), 1), F.lit(""))
+
+
 def exception_names(body: Column, n: int = 4) -> Column:
     """First ``n`` distinct short exception class names in order."""
     found = F.regexp_extract_all(body, F.lit(P.J(EXCEPTION_LINE)), 1)
@@ -120,7 +125,8 @@ def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataF
            body_max_chars: int | None = None, with_citation: bool = True) -> DataFrame:
     """One result row per log from selected lines, ranked locations and detector names.
 
-    ``logs_meta`` (optional): log_id, job_name, stage_name. ``with_citation=False``
+    ``logs_meta`` (optional): log_id, job_name, stage_name and, of whole logs, log_chars and
+    log_exit (length and exit code of the raw text). ``with_citation=False``
     gives the legacy plain body (X15): no ``L<idx>:`` prefixes.
     """
     live = ~F.col("drop") & (F.col("text") != "")
@@ -145,7 +151,7 @@ def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataF
     tails = tl.groupBy(LOG).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "_tp"))), lambda s: s["_tp"]), "\n").alias("_tail"))
     # Per-log facts from all lines.
-    exit_hit = F.nullif(F.regexp_extract("raw", P.J(EXIT_CODE), 1), F.lit(""))
+    exit_hit = exit_code(F.col("raw"))
     facts = lines.groupBy(LOG).agg(
         (F.sum(F.length("raw")) + F.count(F.lit(1)) - 1).alias("raw_chars"),
         F.min_by(exit_hit, F.when(exit_hit.isNotNull(), F.col("idx"))).alias("_raw_exit"),
@@ -160,6 +166,8 @@ def render(lines: DataFrame, locs: DataFrame, names: DataFrame, logs_meta: DataF
         out = out.join(logs_meta, LOG, "left")
     else:
         out = out.withColumn("job_name", F.lit("")).withColumn("stage_name", F.lit(""))
+    if "log_chars" in out.columns:      # the raw log's own length and code: lines have lost its line ends
+        out = out.withColumn("raw_chars", F.col("log_chars")).withColumn("_raw_exit", F.col("log_exit"))
     # Locator fallback (K7) when no detector located anything.
     best = F.col("_best")
     fallback = F.when(best.isNotNull(), F.struct(

@@ -95,9 +95,11 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
 def filter_logs(logs: DataFrame, detectors="auto", sketch: DataFrame | None = None, **kw) -> DataFrame:
     """Whole logs in, one result row per log out. Empty logs give an empty LOW result."""
     meta = None
-    if "job_name" in logs.columns or "stage_name" in logs.columns:
+    whole = "raw" in logs.columns and "idx" not in logs.columns
+    if whole or "job_name" in logs.columns or "stage_name" in logs.columns:
         meta = logs.select(LOG, F.coalesce(F.col("job_name") if "job_name" in logs.columns else F.lit(""), F.lit("")).alias("job_name"),
-                           F.coalesce(F.col("stage_name") if "stage_name" in logs.columns else F.lit(""), F.lit("")).alias("stage_name"))
+                           F.coalesce(F.col("stage_name") if "stage_name" in logs.columns else F.lit(""), F.lit("")).alias("stage_name"),
+                           *([F.length("raw").alias("log_chars"), R.exit_code(F.col("raw")).alias("log_exit")] if whole else []))
     results, _ = filter_lines(annotated_lines(logs), detectors, sketch, meta, **kw)
     if "raw" in logs.columns and "idx" not in logs.columns:
         empty = logs.filter(F.coalesce(F.length("raw"), F.lit(0)) == 0).select(

@@ -1,9 +1,6 @@
 """Whole-filter queries (E8 and its per-log outputs) over the derived build logs.
 
-The complete pipeline (greedy ring selection included) has no compact SQL
-equivalent; these queries are registered without an oracle and are checked
-against the sequential model in ``tests/test_filter.py`` instead. The pieces
-that are plain SQL (tokens, collapse, sessions) carry oracles elsewhere.
+Their oracles chain the whole filter in SQL (``filter_oracle``).
 """
 
 from __future__ import annotations
@@ -17,13 +14,14 @@ from ..sources import adapters as A
 from .catalog import register
 from ..sources.adapters import with_adapters
 from .oracle import q, tokenized_sql
+from .filter_oracle import filter_sql
 from .filter import annotated_lines, filter_lines
 
 
 def _meta(spark, sf_dir):
     ll = A.log_lines(spark, sf_dir)
     return ll.select("log_id").distinct().select(
-        "log_id", F.concat(F.lit("job-"), F.substring_index(F.substring(F.col("log_id"), 2, 100), "-", 1)).alias("job_name"),
+        "log_id", F.concat(F.lit("job-"), F.expr("substring(log_id, 2)")).alias("job_name"),
         F.lit("build").alias("stage_name"))
 
 
@@ -32,7 +30,8 @@ def filtered(spark, sf_dir, detectors="auto"):
     return filter_lines(annotated_lines(ll), detectors=detectors, logs_meta=_meta(spark, sf_dir))
 
 
-@register("e8_filter_logs")
+@register("e8_filter_logs", oracle=filter_sql("""SELECT log_id, confidence, primary_error, exit_code, fingerprint, raw_chars::BIGINT AS raw_chars, body_chars::INT AS body_chars,
+       body_tokens::INT AS body_tokens, selected_count::BIGINT AS selected_count, detectors, pkind AS location_kind, pidx::INT AS location_line, body FROM results"""))
 def e8_filter_logs(spark, sf_dir):
     res, _ = filtered(spark, sf_dir)
     return res.select("log_id", "confidence", "primary_error", "exit_code", "fingerprint", "raw_chars", "body_chars",
@@ -41,30 +40,34 @@ def e8_filter_logs(spark, sf_dir):
                       F.col("primary_location.log_line_idx").alias("location_line"), "body")
 
 
-@register("k1_budget_selection")
+@register("k1_budget_selection", oracle=filter_sql("SELECT log_id, idx, score, text, note FROM final WHERE selected"))
 def k1_budget_selection(spark, sf_dir):
     _, final = filtered(spark, sf_dir)
     return final.filter("selected").select("log_id", "idx", "score", "text", "note")
 
 
-@register("a16_compression_telemetry")
+@register("a16_compression_telemetry", oracle=filter_sql("""
+SELECT confidence, count(*) AS logs, sum(raw_chars)::BIGINT AS raw_chars, sum(body_chars)::BIGINT AS body_chars, round(avg(ratio), 4) AS avg_ratio,
+       round(median(ratio), 4) AS median_ratio, count(*) FILTER (WHERE ratio >= 1.05) AS shown_ratio_logs
+FROM (SELECT *, raw_chars::DOUBLE / greatest(body_chars, 1) AS ratio FROM results) GROUP BY 1"""))
 def a16_compression_telemetry(spark, sf_dir):
     res, _ = filtered(spark, sf_dir)
     ratio = F.col("raw_chars") / F.greatest(F.col("body_chars"), F.lit(1))
     return res.groupBy("confidence").agg(
         F.count(F.lit(1)).alias("logs"), F.sum("raw_chars").alias("raw_chars"), F.sum("body_chars").alias("body_chars"),
         F.round(F.avg(ratio), 4).alias("avg_ratio"),
-        F.percentile_approx(ratio, 0.5).alias("median_ratio"),
+        F.round(F.median(ratio), 4).alias("median_ratio"),
         F.count_if(ratio >= 1.05).alias("shown_ratio_logs"))
 
 
-@register("x9_confidence_routing")
+@register("x9_confidence_routing", oracle=filter_sql("SELECT confidence, low_reason AS low_confidence_reason, count(*) AS logs FROM results GROUP BY ALL"))
 def x9_confidence_routing(spark, sf_dir):
     res, _ = filtered(spark, sf_dir)
     return res.groupBy("confidence", "low_confidence_reason").agg(F.count(F.lit(1)).alias("logs"))
 
 
-@register("a12_location_clusters")
+@register("a12_location_clusters", oracle=filter_sql("""SELECT log_id, rank::INT AS rank, kind, file, line::INT AS line, detector, round(confidence::DOUBLE, 4) AS confidence,
+       log_line_idx::INT AS log_line_idx, message FROM places"""))
 def a12_location_clusters(spark, sf_dir):
     res, _ = filtered(spark, sf_dir)
     return res.select("log_id", F.posexplode("locations").alias("rank", "loc")).select(
@@ -72,7 +75,7 @@ def a12_location_clusters(spark, sf_dir):
         "loc.log_line_idx", "loc.message")
 
 
-@register("x15_legacy_body")
+@register("x15_legacy_body", oracle=filter_sql("SELECT log_id, confidence, primary_error, fingerprint, body FROM results", detectors=False, cite=False))
 def x15_legacy_body(spark, sf_dir):
     """Legacy variant: no detectors, no citation prefixes."""
     ll = A.log_lines(spark, sf_dir)
@@ -83,14 +86,14 @@ def x15_legacy_body(spark, sf_dir):
 def _history(spark, sf_dir):
     """Template history per job: every derived log is one build of job ``job-<user % 20>``."""
     lines = T.annotate(A.log_lines(spark, sf_dir))
-    uid = F.substring_index(F.substring(F.col("log_id"), 2, 100), "-", 1).cast("bigint")
+    uid = F.expr("substring(log_id, 2)").cast("bigint")
     return lines.withColumn("job_name", F.concat(F.lit("job-"), (uid % 20).cast("string"))).withColumn(
         "stage_name", F.lit("build")).withColumn("build_id", F.col("log_id"))
 
 
 _SKETCH_SQL = A.ADAPTER_SQL["log_lines"].strip() + ",\n" + tokenized_sql("log_lines") + """,
 hist AS (
-  SELECT log_id, template, text, 'job-' || CAST(CAST(split_part(substr(log_id, 2), '-', 1) AS BIGINT) % 20 AS VARCHAR) AS job_name
+  SELECT log_id, template, text, 'job-' || CAST(CAST(substr(log_id, 2) AS BIGINT) % 20 AS VARCHAR) AS job_name
   FROM lines
 )
 SELECT h.job_name, 'build' AS stage_name, h.template, round(count(DISTINCT h.log_id) / t.builds, 6) AS fraction
@@ -104,19 +107,20 @@ def a10_counter_sketch(spark, sf_dir):
     return B.counter_sketch(_history(spark, sf_dir)).withColumn("fraction", F.round("fraction", 6))
 
 
-@register("j7_baseline_counter")
+@register("j7_baseline_counter", oracle=filter_sql("""SELECT log_id, baseline_version, baseline_dropped, baseline_novel, confidence, selected_count::BIGINT AS selected_count
+FROM results""", counter=True))
 def j7_baseline_counter(spark, sf_dir):
     """Filter with the cross-build counter sketch instead of the self-baseline."""
     ll = A.log_lines(spark, sf_dir)
     sketch = B.counter_sketch(_history(spark, sf_dir))
-    uid = F.substring_index(F.substring(F.col("log_id"), 2, 100), "-", 1).cast("bigint")
+    uid = F.expr("substring(log_id, 2)").cast("bigint")
     meta = ll.select("log_id").distinct().select("log_id", F.concat(F.lit("job-"), (uid % 20).cast("string")).alias("job_name"),
                                                  F.lit("build").alias("stage_name"))
     res, _ = filter_lines(annotated_lines(ll), detectors="auto", sketch=sketch, logs_meta=meta)
     return res.select("log_id", "baseline_version", "baseline_dropped", "baseline_novel", "confidence", "selected_count")
 
 
-@register("x8_line_scores")
+@register("x8_line_scores", oracle=filter_sql("SELECT log_id, idx, severity, score FROM final WHERE live"))
 def x8_line_scores(spark, sf_dir):
     """Pass-4 score of every live line after detectors and baseline."""
     _, final = filtered(spark, sf_dir)

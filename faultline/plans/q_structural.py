@@ -239,7 +239,7 @@ def w5_value_summary(spark, sf_dir):
 _SHELL_RX = q(D.EXIT_NONZERO)
 
 
-_J11_SQL = f"""WITH {COLLAPSE_SQL},
+_FACTS_SQL = f"""WITH {COLLAPSE_SQL},
 ex AS (SELECT log_id, max(idx) AS exit_idx FROM collapsed WHERE NOT drop AND text <> '' AND regexp_matches(text, {_SHELL_RX}) GROUP BY log_id),
 ctx AS (
   SELECT ex.log_id, ex.exit_idx,
@@ -253,7 +253,15 @@ ctx AS (
          cmd IS NOT NULL AND (bar IS NULL OR cmd > bar) AS ok
   FROM ctx JOIN collapsed e ON e.log_id = ctx.log_id AND e.idx = ctx.exit_idx
   LEFT JOIN collapsed m ON m.log_id = ctx.log_id AND m.idx = ctx.cmd
-)
+)"""
+
+
+def shell_facts_sql() -> str:
+    """CTEs up to ``facts``: the last failing exit of each log and the command before it."""
+    return _FACTS_SQL
+
+
+_J11_SQL = _FACTS_SQL + """
 SELECT log_id, CASE WHEN ok THEN 'command' ELSE 'log' END AS kind, CASE WHEN ok THEN ctext ELSE '' END AS command,
        CAST(CASE WHEN ok THEN CASE WHEN ctext <> '' THEN 0.55 ELSE 0.40 END ELSE 0.30 END AS DOUBLE) AS confidence,
        CAST(CASE WHEN ok THEN cmd ELSE exit_idx END AS INTEGER) AS log_line_idx,
