@@ -56,21 +56,32 @@ def solution_nodes(solutions: DataFrame) -> DataFrame:
         ec.alias("error_class"), corpus_order(F.col("created_at"), F.col("doc_id")).alias("ord"), F.col("vector"))
 
 
-def typed_nodes_edges(sol: DataFrame, sim_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """G1 + U4: error-class, job and stage nodes and the four edge kinds."""
+def _entities(sol: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Solutions with their trimmed job and stage; those with a stage and its node id; the stage nodes."""
     job = F.trim(F.coalesce(F.col("job_name"), F.lit("")))
     stage = F.trim(F.coalesce(F.col("stage_name"), F.lit("")))
     base = sol.select("id", "ord", "error_class", job.alias("_job"), stage.alias("_stage"))
-    err_nodes = base.groupBy("error_class").agg(F.min("ord").alias("ord")).select(
-        node_id("err", F.col("error_class")).alias("id"), F.lit("error_class").alias("kind"), F.col("error_class").alias("label"), "ord")
-    job_nodes = base.filter(F.col("_job") != "").groupBy("_job").agg(F.min("ord").alias("ord")).select(
-        node_id("job", F.col("_job")).alias("id"), F.lit("job").alias("kind"), F.col("_job").alias("label"), "ord")
     st_key = F.when(F.col("_job") != "", F.concat(F.col("_job"), F.lit("__"), F.col("_stage"))).otherwise(F.col("_stage"))
     st = base.filter(F.col("_stage") != "").withColumn("_sid", node_id("stage", st_key))
     stage_nodes = st.groupBy("_sid", "_job", "_stage").agg(F.min("ord").alias("ord")).select(
         F.col("_sid").alias("id"), F.lit("stage").alias("kind"), F.col("_stage").alias("label"), "ord", F.col("_job").alias("job_name"))
-    nodes = (sol.select("id", "kind", "label", "ord").unionByName(err_nodes).unionByName(job_nodes)
-             .unionByName(stage_nodes.drop("job_name")))
+    return base, st, stage_nodes
+
+
+def typed_nodes(sol: DataFrame) -> DataFrame:
+    """U4: solution, error-class, job and stage nodes."""
+    base, _, stage_nodes = _entities(sol)
+    err_nodes = base.groupBy("error_class").agg(F.min("ord").alias("ord")).select(
+        node_id("err", F.col("error_class")).alias("id"), F.lit("error_class").alias("kind"), F.col("error_class").alias("label"), "ord")
+    job_nodes = base.filter(F.col("_job") != "").groupBy("_job").agg(F.min("ord").alias("ord")).select(
+        node_id("job", F.col("_job")).alias("id"), F.lit("job").alias("kind"), F.col("_job").alias("label"), "ord")
+    return (sol.select("id", "kind", "label", "ord").unionByName(err_nodes).unionByName(job_nodes)
+            .unionByName(stage_nodes.drop("job_name")))
+
+
+def typed_edges(sol: DataFrame, sim_edges: DataFrame) -> DataFrame:
+    """G1: the four edge kinds."""
+    base, st, stage_nodes = _entities(sol)
     e_sim = sim_edges.select(F.lit("similar").alias("kind"), "source", "target", "weight")
     e_res = base.select(F.lit("resolves").alias("kind"), F.col("id").alias("source"),
                         node_id("err", F.col("error_class")).alias("target"), F.lit(None).cast("double").alias("weight"))
@@ -78,7 +89,7 @@ def typed_nodes_edges(sol: DataFrame, sim_edges: DataFrame) -> tuple[DataFrame,
                                                               node_id("job", F.col("job_name")).alias("target"), F.lit(None).cast("double").alias("weight"))
     e_occ = st.select(F.lit("occurs_in").alias("kind"), F.col("id").alias("source"), F.col("_sid").alias("target"),
                       F.lit(None).cast("double").alias("weight"))
-    return nodes, e_sim.unionByName(e_res).unionByName(e_in).unionByName(e_occ)
+    return e_sim.unionByName(e_res).unionByName(e_in).unionByName(e_occ)
 
 
 def components(node_ord: DataFrame, sim_edges: DataFrame, checkpoint: bool = True) -> DataFrame:
@@ -170,11 +181,13 @@ def graph_stats(sol: DataFrame, nodes: DataFrame, sim_edges: DataFrame, deg: Dat
         F.when(n > 0, F.round(F.col("degree_sum") / n, 2)).otherwise(F.lit(0.0)).alias("avg_neighbours"))
 
 
-def neighbours(edges: DataFrame, node: str, top: int = 25) -> DataFrame:
-    """Edges touching ``node`` in either direction, heaviest first, at most 25."""
-    a = edges.filter(F.col("source") == node).select(F.col("target").alias("neighbour"), "weight", "kind")
-    b = edges.filter(F.col("target") == node).select(F.col("source").alias("neighbour"), "weight", "kind")
-    return a.unionByName(b).orderBy(F.coalesce(F.col("weight"), F.lit(0.0)).desc(), "neighbour").limit(top)
+def neighbours(edges: DataFrame, nodes: DataFrame, top: int = 25) -> DataFrame:
+    """Edges touching a node of ``nodes(id)`` in either direction, heaviest first, at most ``top``."""
+    def side(own: str, other: str) -> DataFrame:
+        met = edges.join(nodes.select(F.col("id").alias(own)), own)
+        return met.select(F.col(own).alias("node"), F.col(other).alias("neighbour"), "weight", "kind")
+
+    return side("source", "target").unionByName(side("target", "source")).orderBy(F.coalesce(F.col("weight"), F.lit(0.0)).desc(), "neighbour").limit(top)
 
 
 def kind_filter(nodes: DataFrame, edges: DataFrame, node_kinds, edge_kinds) -> tuple[DataFrame, DataFrame]:
@@ -195,22 +208,59 @@ def session_counts(sol: DataFrame, fingerprint_counts: DataFrame) -> DataFrame:
                     .otherwise(F.coalesce(F.col("total"), F.lit(0))).alias("pg_session_count"))
 
 
+class Graph:
+    """The graph's tables, each planned when it is first asked for: ``graph["degree"]`` runs no components.
+
+    Tables: solutions, similar, nodes, edges, membership, degree, communities, stats, hubs, top_error_classes.
+    """
+
+    def __init__(self, solutions: DataFrame, threshold: float, max_neighbours: int, block_size: int):
+        self._input, self._threshold, self._block_size = solutions, threshold, block_size
+        self._k = max(1, min(25, int(max_neighbours)))
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = getattr(self, f"_{name}")()
+        return self._made[name]
+
+    def _solutions(self) -> DataFrame:
+        return solution_nodes(self._input)
+
+    def _similar(self) -> DataFrame:
+        vectors = self["solutions"].select(F.col("id").alias("key"), F.col("vector").alias("v"), "ord")
+        sim = SIM.similarity_edges(vectors, self._k, self._threshold, self._block_size)
+        return sim.checkpoint() if _ckpt(self._input) else sim          # several tables read it
+
+    def _nodes(self) -> DataFrame:
+        return typed_nodes(self["solutions"])
+
+    def _edges(self) -> DataFrame:
+        return typed_edges(self["solutions"], self["similar"])
+
+    def _membership(self) -> DataFrame:
+        return components(self["solutions"].select("id", "ord"), self["similar"])
+
+    def _degree(self) -> DataFrame:
+        return degrees(self["solutions"].select("id"), self["similar"])
+
+    def _communities(self) -> DataFrame:
+        return community_table(self["solutions"], self["membership"])
+
+    def _stats(self) -> DataFrame:
+        return graph_stats(self["solutions"], self["nodes"], self["similar"], self["degree"], self["communities"])
+
+    def _hubs(self) -> DataFrame:
+        return hub_nodes(self["solutions"], self["degree"])
+
+    def _top_error_classes(self) -> DataFrame:
+        return top_error_classes(self["solutions"])
+
+
 def build_graph(solutions: DataFrame, threshold: float = 0.75, max_neighbours: int = 6,
-                block_size: int = SIM.BLOCK_SIZE) -> dict[str, DataFrame]:
+                block_size: int = SIM.BLOCK_SIZE) -> Graph:
     """Whole graph as DataFrames: nodes, edges, communities, stats, hubs, top error classes."""
-    k = max(1, min(25, int(max_neighbours)))
-    sol = solution_nodes(solutions)
-    sim = SIM.similarity_edges(sol.select(F.col("id").alias("key"), F.col("vector").alias("v"), "ord"), k, threshold, block_size)
-    sim = sim.checkpoint() if _ckpt(solutions) else sim
-    nodes, edges = typed_nodes_edges(sol, sim)
-    comm = components(sol.select("id", "ord"), sim)
-    deg = degrees(sol.select("id"), sim)
-    comms = community_table(sol, comm)
-    return {
-        "solutions": sol, "nodes": nodes, "edges": edges, "similar": sim, "membership": comm, "degree": deg,
-        "communities": comms, "stats": graph_stats(sol, nodes, sim, deg, comms),
-        "hubs": hub_nodes(sol, deg), "top_error_classes": top_error_classes(sol),
-    }
+    return Graph(solutions, threshold, max_neighbours, block_size)
 
 
 def _ckpt(df: DataFrame) -> bool:

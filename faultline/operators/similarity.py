@@ -30,27 +30,18 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(d, lambda x: x / norm)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two normalised vectors (dot product), JVM-side."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def _blocks(n: int, block_size: int) -> int:
     return max(1, math.ceil(n / max(1, block_size)))
 
 
-def _topk_rows(S: np.ndarray, k: int, thr: float) -> list[tuple[int, int, float]]:
-    out = []
-    if S.size == 0:
-        return out
+def _topk_rows(S: np.ndarray, k: int, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the entries that reach the threshold and their row's top ``k`` (ties kept)."""
     kk = min(k, S.shape[1])
     # k-th largest per row (ties at the boundary are kept; the exact cut happens later).
     kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
     keep = (S >= thr) & (S >= kth[:, None])
     rows, cols = np.nonzero(keep)
-    for r, c in zip(rows.tolist(), cols.tolist()):
-        out.append((r, c, float(S[r, c])))
-    return out
+    return rows, cols, S[rows, cols]
 
 
 def _empty() -> pd.DataFrame:
@@ -69,18 +60,14 @@ def _pair_fn(k: int, thr: float, same: bool):
         B = np.stack(right["v"].to_numpy()).astype(np.float64)
         ia, ib = left["key"].to_numpy(), right["key"].to_numpy()
         S = A @ B.T
-        rows = []
         if same and lo == hi:
             np.fill_diagonal(S, -np.inf)
-            rows += [(ia[r], ib[c], s) for r, c, s in _topk_rows(S, k, thr)]
-        else:
-            rows += [(ia[r], ib[c], s) for r, c, s in _topk_rows(S, k, thr)]
-            if same:
-                rows += [(ib[c], ia[r], s) for c, r, s in _topk_rows(S.T, k, thr)]
-        if not rows:
-            return _empty()
-        i, j, s = zip(*rows)
-        return pd.DataFrame({"i": list(i), "j": list(j), "sim": list(s)})
+        r, c, s = _topk_rows(S, k, thr)
+        found = pd.DataFrame({"i": ia[r], "j": ib[c], "sim": s})
+        if same and lo != hi:
+            c, r, s = _topk_rows(S.T, k, thr)
+            found = pd.concat([found, pd.DataFrame({"i": ib[c], "j": ia[r], "sim": s})], ignore_index=True)
+        return found
     return fn
 
 
@@ -143,7 +130,7 @@ def similarity_edges(nodes: DataFrame, k: int = 6, threshold: float = 0.75, bloc
 
 
 def knn_search(queries: DataFrame, corpus: DataFrame, top_k: int = 3, threshold: float = 0.75,
-               num_candidates: int = 50, block_size: int = BLOCK_SIZE) -> DataFrame:
+               block_size: int = BLOCK_SIZE) -> DataFrame:
     """J5 + K5: per query, k = max(top_k, 5) nearest by cosine, score = (1 + cos) / 2 >= threshold,
     re-ranked by score x solution_score, best ``top_k`` kept.
 
@@ -153,7 +140,8 @@ def knn_search(queries: DataFrame, corpus: DataFrame, top_k: int = 3, threshold:
     k = max(top_k, 5)
     q = queries.select(F.col("qkey").alias("key"), l2_normalise(F.col("v")).alias("v"))
     c = corpus.filter(F.size("v") > 0).select("key", l2_normalise(F.col("v")).alias("v"))
-    cand = blocked_topk(q, c, k, -2.0, block_size).withColumnRenamed("i", "qkey").withColumnRenamed("j", "key")
+    # the score is (1 + cos) / 2, so no hit has a cosine under 2 * threshold - 1 (a little less, for rounding)
+    cand = blocked_topk(q, c, k, 2 * threshold - 1 - 1e-9, block_size).withColumnRenamed("i", "qkey").withColumnRenamed("j", "key")
     meta = corpus.select("key", "solution_score", "ord")
     cand = cand.join(meta, "key")
     w1 = Window.partitionBy("qkey").orderBy(F.col("sim").desc(), F.col("ord"))
@@ -169,7 +157,7 @@ def knn_search(queries: DataFrame, corpus: DataFrame, top_k: int = 3, threshold:
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """E6 stand-in embedder: hashed lower-cased word counts, L2-normalised (not a language model)."""
     toks = F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
-    idx = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
+    idx = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(idx, lambda x: x == d)).cast("double"))
     return l2_normalise(counts)
 

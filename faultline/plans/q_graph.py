@@ -211,11 +211,7 @@ SELECT node, neighbour, weight, kind FROM nb ORDER BY coalesce(weight, 0.0) DESC
 """, "solutions"))
 def j8_node_neighbours(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    hub = g["hubs"].select("id").limit(1)
-    e = g["edges"]
-    a = e.join(hub.withColumnRenamed("id", "source"), "source").select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight", "kind")
-    b = e.join(hub.withColumnRenamed("id", "target"), "target").select(F.col("target").alias("node"), F.col("source").alias("neighbour"), "weight", "kind")
-    return a.unionByName(b).orderBy(F.coalesce(F.col("weight"), F.lit(0.0)).desc(), "neighbour").limit(25)
+    return G.neighbours(g["edges"], g["hubs"].select("id").limit(1))
 
 
 @register("j1_session_counts", oracle=with_adapters(_NODES_SQL + """
@@ -260,7 +256,20 @@ def x27_route(spark, sf_dir):
     return best.select("qkey", SIM.route(F.col("best"), 0.75).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("e6_fingerprint_search")
+@register("e6_fingerprint_search", oracle=with_adapters(_NODES_SQL + """
+, fp AS (SELECT DISTINCT fingerprint AS qkey FROM sessions WHERE fingerprint <> ''),
+tok AS (SELECT qkey, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS d
+        FROM (SELECT qkey, unnest(regexp_split_to_array(lower(qkey), '[^a-z0-9_]+')) AS t FROM fp) WHERE t <> ''),
+cnt AS (SELECT qkey, d, count(*)::DOUBLE AS n FROM tok GROUP BY ALL),
+qv AS (SELECT fp.qkey, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(list_filter(l, lambda x: x.d = i), lambda x: x.n)), 0.0)) AS v
+       FROM fp LEFT JOIN (SELECT qkey, list({'d': d, 'n': n}) AS l FROM cnt GROUP BY 1) c ON c.qkey = fp.qkey),
+sims AS (SELECT qkey, list_dot_product(qv.v, nn.v::DOUBLE[]) / (sqrt(list_dot_product(qv.v, qv.v)) * nn.nz) AS sim, nn.ord AS ord, nn.solution_score AS ss FROM qv CROSS JOIN nn),
+k5 AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY sim DESC, ord) AS r1 FROM sims QUALIFY r1 <= 5),
+k3 AS (SELECT * FROM k5 WHERE (1.0 + sim) / 2 >= 0.5
+       QUALIFY row_number() OVER (PARTITION BY qkey ORDER BY (1.0 + sim) / 2 * coalesce(ss, 1.0) DESC, r1) <= 3),
+best AS (SELECT qkey, max((1.0 + sim) / 2) AS best FROM k3 GROUP BY 1)
+SELECT fp.qkey, round(best, 6) AS best_score, CASE WHEN coalesce(best, 0.0) >= 0.75 THEN 'verified_past_solution' ELSE 'fresh_analysis' END AS route
+FROM fp LEFT JOIN best ON best.qkey = fp.qkey""", "solutions", "sessions"))
 def e6_fingerprint_search(spark, sf_dir):
     """E6 -> J5/K5 -> X27: every distinct session fingerprint embedded with the hashed
     stand-in (64 dims, like the stored vectors), searched against the solutions, routed."""

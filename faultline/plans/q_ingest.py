@@ -249,9 +249,11 @@ def x18_anchor_scores(spark, sf_dir):
 
 @register("p10_noise_lines", oracle=with_adapters(f"""
 SELECT log_id, CAST(count(*) FILTER (WHERE regexp_matches(raw, {q(I.NOISE_LINE)})) AS BIGINT) AS noise, CAST(count(*) AS BIGINT) AS lines
-FROM log_lines GROUP BY log_id""", "log_lines"))
+FROM (SELECT log_id, CASE idx % 5 WHEN 0 THEN '[Pipeline] ' || raw WHEN 1 THEN 'WARNING: A Java agent ' || raw ELSE raw END AS raw FROM log_lines) GROUP BY log_id""", "log_lines"))
 def p10_noise_lines(spark, sf_dir):
-    ll = A.log_lines(spark, sf_dir)
+    """Console boilerplate put before some of the derived lines."""
+    ll = A.log_lines(spark, sf_dir).withColumn("raw", F.when(F.col("idx") % 5 == 0, F.concat(F.lit("[Pipeline] "), "raw")).when(
+        F.col("idx") % 5 == 1, F.concat(F.lit("WARNING: A Java agent "), "raw")).otherwise(F.col("raw")))
     return ll.groupBy("log_id").agg(F.count_if(I.noise_line(F.col("raw"))).alias("noise"), F.count(F.lit(1)).alias("lines"))
 
 

@@ -8,7 +8,6 @@ from ..operators import prompts as PR
 from ..operators import similarity as SIM
 from ..sources import adapters as A
 from ..sources.adapters import with_adapters
-from ..sources.tables import read_table
 from .catalog import register
 
 # A caller-supplied template table (our own wording; the library ships none).
@@ -49,18 +48,18 @@ def j6_chat_context(spark, sf_dir):
     return out.withColumn("seq", F.col("seq").cast("int"))
 
 
-@register("x24_reply_split", oracle=r"""
-WITH a AS (
+@register("x24_reply_split", oracle=with_adapters(r"""
+, a AS (
   SELECT conv_id, turn, text, regexp_extract(text, '(?ims)^(.*?)(?:^(?:#{1,6}\s*|\d+\.\s*\**)Step[-\s]?by[-\s]?Step\s+Fix\**)', 1) AS pre,
          regexp_matches(text, '(?im)^(?:#{1,6}\s*|\d+\.\s*\**)Step[-\s]?by[-\s]?Step\s+Fix\**') AS hit
-  FROM conversations WHERE role = 'assistant'
+  FROM replies
 )
 SELECT conv_id, turn,
        regexp_replace(CASE WHEN hit THEN pre ELSE text END, '^\s+|\s+$', '', 'g') AS analysis,
        CASE WHEN hit THEN regexp_replace(substr(text, length(pre) + 1), '^\s+|\s+$', '', 'g') ELSE '' END AS suggested_fix
-FROM a""")
+FROM a""", "replies"))
 def x24_reply_split(spark, sf_dir):
-    cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
+    cv = A.replies(spark, sf_dir)
     sp = PR.split_reply(F.col("text"))
     return cv.select("conv_id", "turn", sp["analysis"].alias("analysis"), sp["suggested_fix"].alias("suggested_fix"))
 
@@ -72,8 +71,8 @@ def _preamble_sql() -> str:
              " OR (regexp_matches(lower(c), 'similarity\\s*\\d+\\s*%') AND (strpos(lower(c), 'match') > 0 OR strpos(lower(c), 'returning') > 0 OR strpos(lower(c), 'accepted') > 0))"
              " OR regexp_matches(c, '(?is)^(?:#+\\s*)?(?:\\*\\*)?\\s*exact\\s+match\\s+found\\b'))")
     return f"""
-WITH s AS (SELECT conv_id, turn, text, string_split({strip.format(x="coalesce(text, '')")}, chr(10) || chr(10)) AS ps
-           FROM conversations WHERE role = 'assistant'),
+, s AS (SELECT conv_id, turn, text, string_split({strip.format(x="coalesce(text, '')")}, chr(10) || chr(10)) AS ps
+           FROM replies),
 p AS (SELECT conv_id, turn, k, ps[k] AS p, {strip.format(x='ps[k]')} AS c FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM s)),
 f AS (SELECT conv_id, turn, min(k) AS k FROM p WHERE NOT (c = '' OR {noise}) GROUP BY ALL)
 SELECT s.conv_id, s.turn, length(text) AS chars,
@@ -81,9 +80,9 @@ SELECT s.conv_id, s.turn, length(text) AS chars,
 FROM s LEFT JOIN f ON f.conv_id = s.conv_id AND f.turn = s.turn"""
 
 
-@register("x25_preamble_strip", oracle=_preamble_sql())
+@register("x25_preamble_strip", oracle=with_adapters(_preamble_sql(), "replies"))
 def x25_preamble_strip(spark, sf_dir):
-    cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
+    cv = A.replies(spark, sf_dir)
     return PR.strip_preamble(cv, "text").select("conv_id", "turn", F.length("text").cast("bigint").alias("chars"),
                                                 F.length("stripped").cast("bigint").alias("kept_chars"))
 

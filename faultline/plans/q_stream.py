@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -177,8 +176,9 @@ SELECT job_full_name, build_number, build_url, item_id FROM (
 """, "feed"))
 def z1_poll_stream(spark, sf_dir):
     """The feed replayed through Structured Streaming (availableNow) with keyed watermark state."""
+    import uuid
     ev_schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    src = spark.readStream.schema(ev_schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    src = spark.readStream.schema(ev_schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     job = F.concat(F.lit("team » job-"), (F.col("user_id") % 20).cast("string"))
     build = (F.dayofmonth("ts") * 100 + F.hour("ts")).cast("string")
     feed = src.filter(F.col("event_type") == "error").select(
@@ -186,10 +186,8 @@ def z1_poll_stream(spark, sf_dir):
         F.concat(F.lit("https://ci.example/job/team/job/job-"), (F.col("user_id") % 20).cast("string"), F.lit("/"), build, F.lit("//")).alias("link"),
         F.col("event_id").alias("item_id"))
     out = POLL.new_failures(feed)
-    base = checkpoint_dir(spark)
-    ck = tempfile.mkdtemp(prefix="poll-", dir=base) if base.startswith("/") else f"{base.rstrip('/')}/poll-{id(out)}"
-    name = f"poll_{abs(hash(ck)) % 10**8}"
-    q = (out.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = f"{checkpoint_dir(spark).rstrip('/')}/poll-{uuid.uuid4().hex}"
+    q = (out.writeStream.outputMode("append").foreachBatch(POLL.forward_batch(f"{base}/out"))
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(POLL.OUT_SCHEMA).parquet(f"{base}/out/epoch=*")

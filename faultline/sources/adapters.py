@@ -215,7 +215,9 @@ def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     return em.select(
         F.concat(F.lit("sol-"), v.cast("string")).alias("doc_id"),
-        F.concat(F.lit("exceptions: E"), F.col("label").cast("string"), F.lit("Error / stage: stage-"), (v % 3).cast("string")).alias("fingerprint_text"),
+        F.when(v % 5 == 0, F.concat(F.lit("exceptions: Svc"), (v % 7).cast("string"), F.lit("Exception / stage: "),     # as sessions have it
+                                    F.element_at(F.array(*map(F.lit, ("click", "error", "purchase", "signup"))), (v % 4 + 1).cast("int"))))
+        .otherwise(F.concat(F.lit("exceptions: E"), F.col("label").cast("string"), F.lit("Error / stage: stage-"), (v % 3).cast("string"))).alias("fingerprint_text"),
         F.concat(F.lit("Fix for E"), F.col("label").cast("string")).alias("solution"),
         F.concat(F.lit("job-"), (v % 10).cast("string")).alias("job_name"),
         F.concat(F.lit("stage-"), (v % 3).cast("string")).alias("stage_name"),
@@ -364,7 +366,8 @@ ingest_state AS (
     "solutions": r"""
 solutions AS (
   SELECT 'sol-' || CAST(vec_id AS VARCHAR) AS doc_id,
-         'exceptions: E' || CAST(label AS VARCHAR) || 'Error / stage: stage-' || CAST(vec_id % 3 AS VARCHAR) AS fingerprint_text,
+         CASE WHEN vec_id % 5 = 0 THEN 'exceptions: Svc' || CAST(vec_id % 7 AS VARCHAR) || 'Exception / stage: ' || (['click', 'error', 'purchase', 'signup'])[vec_id % 4 + 1]
+              ELSE 'exceptions: E' || CAST(label AS VARCHAR) || 'Error / stage: stage-' || CAST(vec_id % 3 AS VARCHAR) END AS fingerprint_text,
          'Fix for E' || CAST(label AS VARCHAR) AS solution,
          'job-' || CAST(vec_id % 10 AS VARCHAR) AS job_name,
          'stage-' || CAST(vec_id % 3 AS VARCHAR) AS stage_name,
@@ -393,6 +396,30 @@ messages AS (
 }
 
 
+REPLIES_SQL = """
+replies AS (
+  SELECT conv_id, turn,
+         CASE conv_id % 4 WHEN 0 THEN '## Exact match found' || chr(10) || chr(10) || 'Returning previously accepted fix (similarity 93%).' || chr(10) || chr(10)
+                          WHEN 1 THEN repeat('Match with similarity ' || CAST(80 + turn AS VARCHAR) || '%' || chr(10) || chr(10), 8) ELSE '' END || text ||
+         CASE conv_id % 3 WHEN 0 THEN chr(10) || '## Step-by-Step Fix' || chr(10) || 'Run task ' || CAST(turn AS VARCHAR)
+                          WHEN 1 THEN chr(10) || '2. **Step by step fix**: retry' ELSE '' END AS text
+  FROM conversations WHERE role = 'assistant'
+)"""
+ADAPTER_SQL["replies"] = REPLIES_SQL
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies: assistant turns, some with announcing paragraphs before and a fix section after them."""
+    cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "assistant")
+    nl, turn = F.lit("\n"), F.col("turn").cast("string")
+    many = F.repeat(F.concat(F.lit("Match with similarity "), (F.col("turn") + 80).cast("string"), F.lit("%\n\n")), 8)
+    head = F.when(F.col("conv_id") % 4 == 0, F.lit("## Exact match found\n\nReturning previously accepted fix (similarity 93%).\n\n")).when(
+        F.col("conv_id") % 4 == 1, many).otherwise(F.lit(""))
+    tail = F.when(F.col("conv_id") % 3 == 0, F.concat(nl, F.lit("## Step-by-Step Fix\nRun task "), turn)).when(
+        F.col("conv_id") % 3 == 1, F.lit("\n2. **Step by step fix**: retry")).otherwise(F.lit(""))
+    return cv.select("conv_id", "turn", F.concat(head, F.col("text"), tail).alias("text"))
+
+
 def with_adapters(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named adapter CTEs (DuckDB dialect)."""
     ctes = ",\n".join(ADAPTER_SQL[n].strip() for n in names)
