@@ -119,13 +119,16 @@ def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
     dets = sorted(detectors, key=lambda d: -d.priority)  # stable: load order breaks ties
     spark = lines.sparkSession
     if not dets:
-        names = lines.select(LOG).distinct().withColumn("detectors", F.array().cast("array<string>"))
-        empty = spark.createDataFrame([], _loc_schema() + ", _seq int, _ord int")
-        return lines.withColumn("keep", F.lit(False)), empty, names
+        return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
+    # A detector that no line of any log activates has nothing to plan (one row of flags reaches the driver).
+    flags = lines.agg(*[F.max(d.activates(F.col("raw"))) for d in dets]).first()
+    asked = [(order, d) for order, (d, on) in enumerate(zip(dets, flags, strict=True)) if on]
+    if not asked:
+        return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
     # Detectors read only these columns: keep their sorts and shuffles narrow.
     narrow = reuse(lines.select(LOG, "idx", "raw", "text", "kind", "severity", "drop"))
     all_marks, all_locs = [], []
-    for order, d in enumerate(dets):
+    for order, d in asked:
         active = F.max(d.activates(F.col("raw"))).over(Window.partitionBy(LOG))
         sub = narrow.withColumn("_active", active).filter("_active").drop("_active")
         hooks = {"reuse": reuse} if "reuse" in inspect.signature(d.contribute).parameters else {}
@@ -171,6 +174,14 @@ def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
     return out, locs, names
 
 
+def _no_locations(spark) -> DataFrame:
+    return spark.createDataFrame([], _loc_schema() + ", _seq int, _ord int")
+
+
+def _no_names(lines: DataFrame) -> DataFrame:
+    return lines.select(LOG).distinct().withColumn("detectors", F.array().cast("array<string>"))
+
+
 def _loc_schema() -> str:
     return ("log_id string, detector string, kind string, file string, line int, column int, function string, "
             "test_name string, command string, confidence double, log_line_idx int, message string")

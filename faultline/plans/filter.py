@@ -58,8 +58,7 @@ def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Split (if needed) and annotate; hash-partition by ``log_id`` once."""
     lines = df if "idx" in df.columns else T.split_lines(df.select(LOG, "raw"))
     lines = lines.select(LOG, "idx", "raw")
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return T.annotate(lines.repartition(n, LOG))
+    return T.annotate(lines.repartition(partitions, LOG) if partitions else lines.repartition(LOG))
 
 
 def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,

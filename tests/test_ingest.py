@@ -82,3 +82,64 @@ def test_truncate_lines_matches_text(spark):
     full = df.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "raw"))), lambda s: s["raw"]), "\n").alias("t"))
     want = {r.key: r.e for r in full.select("key", I.truncate_chars(F.col("t"), 600).alias("e")).collect()}
     assert got == want
+
+
+def test_character_references(spark):
+    raw = "12:00:01 <b>a</b> &#x27;q&#8217; &copy; &mdash; &amp;lt; &nbsp;| &notareal; &#39;\n12:00:02 <i>z</i>"
+    df = spark.createDataFrame([(raw,), (None,)], "t string")
+    got = [r[0] for r in df.select(I.strip_html(F.col("t"))).collect()]
+    assert got == ["a 'q’ © — &lt;  | ¬areal; '\nz", None]
+
+
+def test_truncation_at_any_size(spark):
+    """Literal lengths and ends; the notice names what is left out."""
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    lines = spark.createDataFrame([("L", i, text[i * 100:(i + 1) * 100 - 1]) for i in range(10)], "log_id string, idx int, raw string")
+    joined = "\n".join(text[i * 100:(i + 1) * 100 - 1] for i in range(10))
+    one = spark.createDataFrame([(joined,)], "t string")
+    for limit in (2000, 500, 281, 280, 270, 200, 150, 140, 100, 10, 3, 0, None):
+        a = one.select(I.truncate_chars(F.col("t"), limit)).first()[0]
+        b = I.truncate_lines(lines, "log_id", limit).first().excerpt
+        assert a == b, limit
+        if limit is None or limit >= len(joined):
+            assert a == joined
+        elif limit == 0:
+            assert a == ""
+        elif limit >= 150:
+            omitted = int(a.split("... [")[1].split(" ")[0])
+            notice = f"\n... [{omitted} characters omitted; increase MAX_STAGE_LOG_CHARS] ...\n"
+            head, tail = a.split(notice)
+            assert joined.startswith(head) and joined.endswith(tail) and len(a) <= limit
+            assert len(head) + len(tail) + omitted == len(joined)
+        else:
+            assert a == joined[:max(0, limit - 3)] + "..."
+
+
+def test_feed_links(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text(
+        '<feed><entry><title> a #1 (x) </title><link href="http://1/a"/><link href="http://1/b" rel="self"/></entry>'
+        "<entry><title>no link</title></entry></feed>")
+    (tmp_path / "rss.xml").write_text(
+        "<rss><channel><item><title>b #2 (x)</title><link>http://2/</link></item>"
+        '<item><title>c #3 (x)</title><link href="http://3/"/></item><item><title>\t\n</title><link>http://4/</link></item></channel></rss>')
+    assert sorted(map(tuple, I.read_feed(spark, str(tmp_path)).collect())) == [
+        ("a #1 (x)", "http://1/a"), ("b #2 (x)", "http://2/"), ("c #3 (x)", "http://3/")]
+
+
+def test_blank_excerpts_and_child_logs(spark):
+    body = '{"job_full_name":"j","failed_stages":[{"stage_name":"a","log_excerpt":"\\t\\n "},{"stage_name":"b","log_excerpt":"x"}]}'
+    got = I.ingest_events(spark.createDataFrame([(body,)], "body string")).collect()
+    assert [(r.stage_name, r.raw) for r in got] == [("b", "x")]
+    kids = spark.createDataFrame([("b", 1, 2, "  <b>two</b> &gt; \n"), ("b", 1, 1, "one"), ("b", 1, 3, " \t"), ("b", 1, 4, "<br>")],
+                                 "build_key string, stage_id int, node_id int, text string")
+    assert I.child_log_concat(kids).first().child_log == "one\ntwo >"
+
+
+def test_session_rows_have_their_own_ids(spark):
+    import datetime
+
+    from faultline.operators import state as ST
+    rows = spark.createDataFrame([("e1", "j", 1, "s", "f"), ("e2", "j", 1, "s", "f")],
+                                 "event string, job_full_name string, build_number int, stage_name string, fingerprint string")
+    out = ST.new_session_rows(rows, datetime.datetime(2024, 1, 1), F.col("event")).collect()
+    assert len({r.id for r in out}) == 2 and len(out[0]) == 18 and out[0].filter_meta == "{}" and out[0].match_score == 0.0
