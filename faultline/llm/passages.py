@@ -6,17 +6,18 @@ so equal windows have equal owners wherever they stand. The frame
 
 1. deals the documents out in segments and gathers the hashes of the owners, packed, a
    few bytes each and once a segment, to find owners that two documents share;
-2. cuts a piece around each shared owner (the windows that it owns), keeps each distinct piece of a segment
-   once with its smallest and largest document id, and deals the pieces out by owner, so that
-   equal windows meet in one shard. An owner that very many documents share is split: its windows
-   travel singly, dealt out by their own content, and no group grows with the corpus;
-3. lets the operator find, in each shard, the first document of every window;
-4. sends these back to the segments, where each document drops the units that are covered by a window whose
-   first document comes before it.
-
-Documents are compared by an integer id; a null id comes after all others. Candidates
-are exact up to 64-bit collisions, which can only add pieces to compare; the operators
-compare the units themselves.
+2. cuts a piece around each shared owner (the windows that it owns) and gathers the pieces' hashes by
+   owner, so that copies of a piece become one piece with its first document. An owner that very
+   many documents share is split: each of its windows is a piece of its own, gathered by its content,
+   so no group grows with the corpus;
+3. lets one segment of each distinct piece send its text to the owner's shard, where the
+   operator finds the first document of every window by comparing the pieces. An owner
+   with one distinct piece is a shard of one: all its windows have the piece's first document;
+4. sends the first documents back to the segments, where each document drops the units that are covered by a
+   window whose first document comes before it.
+
+Documents are compared by an integer id; a null id comes after all others. Copies of pieces are told by
+64-bit hashes of their content, distinct pieces are compared by the operators unit by unit.
 """
 
 from __future__ import annotations
@@ -149,91 +150,175 @@ def _windows(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[which], which
 
 
-def _cut(frame: Frame):
-    """Segment and its shared owners -> the segment's distinct pieces."""
+def _pieces(docs: pa.Table, names: np.ndarray, hot: np.ndarray, frame: Frame):
+    """The pieces around the owners in ``names`` (sorted): (piece, id, owner, single, document, start, end), and the texts."""
+    rows, raws = [], []
+    for i, raw in _texts(docs) if len(names) else ():
+        sums, first, end, owner = _owners(_codes(raw, frame), frame)
+        if not len(first):
+            continue
+        own = _name(*_split(owner, frame))
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        found = names[at] == own
+        if not found.any():
+            continue
+        single = found & hot[at]
+        whole = found & ~single
+        s, which = _windows(first[single], end[single])
+        start = np.concatenate((first[whole], s))
+        stop = np.concatenate((end[whole] - 1 + frame.window, s + frame.window))
+        rows.append((H.spans(sums, start, stop), np.full(len(start), i), np.concatenate((own[whole], own[single][which])),
+                     np.arange(len(start)) >= whole.sum(), np.full(len(start), len(raws)), start, stop))
+        raws.append(raw)
+    return [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else None, raws
+
+
+def _known(shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names of a segment's shared owners, and which of them are hot."""
+    if not shared.num_rows:
+        return np.zeros(0, H.U64), np.zeros(0, bool)
+    parts = [(_name(np.full(len(x) // 4, b), np.frombuffer(x, np.uint32)), np.frombuffer(h, bool)) for b, x, h in
+             zip(*(shared.column(c).to_pylist() for c in ("bucket", "low", "hot")), strict=True)]
+    names, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(names)
+    return names[order], hot[order]
+
+
+def _binary(columns: dict[str, list], **numbers: list) -> pa.Table:
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in numbers.items()} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+
+
+def _parts(key: np.ndarray):
+    """(value, slice) of each run of a sorted array."""
+    if len(key):
+        at = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(key)]):
+            yield int(key[a]), slice(a, b)
+
+
+def _cards(frame: Frame):
+    """Segment and its shared owners -> a packed row a bucket: the segment's distinct pieces, with smallest and largest id."""
     def run(key, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        names, hot = np.zeros(0, H.U64), np.zeros(0, bool)
-        if shared.num_rows:
-            parts = [(_name(np.full(len(x) // 4, b), np.frombuffer(x, np.uint32)), np.frombuffer(h, bool)) for b, x, h in
-                     zip(*(shared.column(c).to_pylist() for c in ("bucket", "low", "hot")), strict=True)]
-            names, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(names)
-            names, hot = names[order], hot[order]
-        rows = []               # piece hash, id, owner name, single, document, start, end
-        raws = []
-        for i, raw in _texts(docs) if len(names) else ():
-            sums, first, end, owner = _owners(_codes(raw, frame), frame)
-            if not len(first):
-                continue
-            own = _name(*_split(owner, frame))
-            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            found = names[at] == own
-            if not found.any():
-                continue
-            single = found & hot[at]
-            whole = found & ~single
-            s, which = _windows(first[single], end[single])
-            start = np.concatenate((first[whole], s))
-            stop = np.concatenate((end[whole] - 1 + frame.window, s + frame.window))
-            piece = H.spans(sums, start, stop)
-            rows.append((piece, np.full(len(start), i), np.concatenate((own[whole], own[single][which])),
-                         np.arange(len(start)) >= whole.sum(), np.full(len(start), len(raws)), start, stop))
-            raws.append(raw)
-        segment = key[0].as_py()
-        out = {k: [] for k in ("shard", "segment", "piece", "owner", "single", "lo", "hi", "body")}
+        rows, _ = _pieces(docs, *_known(shared), frame)
+        out = {k: [] for k in ("group", "piece", "lo", "over", "single")}
+        buckets = []
         if rows:
-            piece, ids, own, single, doc, start, stop = (np.concatenate(x) for x in zip(*rows, strict=True))
+            piece, ids, own, single, *_ = rows
             order = np.lexsort((ids, single, piece))
-            piece, ids, own, single, doc, start, stop = (x[order] for x in (piece, ids, own, single, doc, start, stop))
-            new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (single[1:] != single[:-1])))
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(piece)) - 1
-            deal = H.mix(np.where(single[at], piece[at], own[at]) + H.U64(3)) % H.U64(frame.shards)
+            piece, ids, own, single = (x[order] for x in (piece, ids, own, single))
+            at = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (single[1:] != single[:-1]))))
+            lo, hi = ids[at], ids[np.append(at[1:], len(piece)) - 1]
+            piece, own, single = piece[at], own[at], single[at]
+            bucket = np.where(single, (piece >> H.U64(32)) % H.U64(frame.buckets), own >> H.U64(32)).astype(np.int64)
+            order = np.lexsort((own, bucket))
+            packed = {"group": own, "piece": piece, "lo": lo, "over": hi - lo, "single": single}
+            packed = {k: v[order] for k, v in packed.items()}
+            for b, part in _parts(bucket[order]):
+                buckets.append(b)
+                for k, v in packed.items():
+                    out[k].append(v[part].tobytes())
+        return _binary(out, bucket=buckets, segment=[key[0].as_py()] * len(buckets))
+    return run
+
+
+def _meet(frame: Frame):
+    """Bucket -> for each segment, the first documents of pieces that are alone with their owner, and the pieces to send.
+
+    A piece to send names all segments that have it, with their largest ids.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        kinds = {"group": H.U64, "piece": H.U64, "lo": np.int64, "over": np.int64, "single": bool}
+        group, piece, lo, over, single = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds.items())
+        n = [len(x) for x in table.column("single").to_pylist()]
+        segment = np.repeat(table.column("segment").to_numpy(), n)
+        hi = lo + over
+        order = np.lexsort((lo, piece, group, single))
+        group, piece, lo, hi, single, segment = (x[order] for x in (group, piece, lo, hi, single, segment))
+        new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (group[1:] != group[:-1]) | (single[1:] != single[:-1])))
+        at = np.flatnonzero(new)
+        which = np.cumsum(new) - 1                              # the distinct piece of each row
+        owner = np.concatenate(([True], (group[at][1:] != group[at][:-1]) | (single[at][1:] != single[at][:-1])))
+        count = np.bincount(np.cumsum(owner) - 1)[np.cumsum(owner) - 1]     # distinct pieces of each one's owner
+        alone = (count == 1) | single[at]
+        out = {k: [] for k in ("piece", "owner", "single", "runs", "segs")}
+        segments = []
+        tell = np.flatnonzero(alone[which] & (lo[at][which] < hi))
+        tell = tell[np.argsort(segment[tell], kind="stable")]
+        for s, part in _parts(segment[tell]):
+            own = tell[part]
+            first = lo[at][which[own]]
+            segments.append(s)
+            for k, v in zip(out, (piece[own], group[own], single[own], np.stack((np.zeros_like(first), np.zeros_like(first), first), 1))):
+                out[k].append(v.tobytes())
+            out["segs"].append(None)
+        ends = np.append(at[1:], len(piece))
+        ask = np.flatnonzero(~alone)
+        ask = ask[np.argsort(segment[at[ask]], kind="stable")]  # the segment of the first document sends
+        for s, part in _parts(segment[at[ask]]):
+            own = ask[part]
+            rows, of = _windows(at[own], ends[own])
+            segments.append(s)
+            for k, v in zip(out, (piece[at[own]], group[at[own]], single[at[own]], lo[at[own]],
+                                  np.stack((of, segment[rows], hi[rows]), 1))):
+                out[k].append(v.astype(np.int64).tobytes() if k in ("runs", "segs") else v.tobytes())
+        return _binary(out, segment=segments)
+    return run
+
+
+def _send(frame: Frame):
+    """Segment and the pieces that are asked of it -> their texts, for the owners' shards."""
+    def run(key, docs: pa.Table, met: pa.Table) -> pa.Table:
+        out = {k: [] for k in ("owner", "segs", "body")}
+        shards, pieces, firsts = [], [], []
+        if met.num_rows:
+            piece, owner = (np.concatenate([np.frombuffer(x, H.U64) for x in met.column(c).to_pylist()]) for c in ("piece", "owner"))
+            first = np.concatenate([np.frombuffer(x, np.int64) for x in met.column("runs").to_pylist()])
+            holders = []
+            for x in met.column("segs").to_pylist():
+                part = np.frombuffer(x, np.int64).reshape(-1, 3)
+                holders += np.split(part[:, 1:], np.flatnonzero(np.diff(part[:, 0])) + 1)
+            names = np.unique(owner)
+            rows, raws = _pieces(docs, names, np.zeros(len(names), bool), frame)
+            found, _, _, _, doc, start, stop = rows
+            order = np.argsort(found, kind="stable")
+            at = order[np.searchsorted(found[order], piece)]
+            shards = (H.mix(owner + H.U64(3)) % H.U64(frame.shards)).astype(np.int64)
+            pieces, firsts = piece.view(np.int64), first
             cut: dict[int, list[bytes]] = {}
-            bodies = []
-            for d, s, e in zip(doc[at].tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
-                if frame.words:
-                    if d not in cut:
-                        cut[d] = H.words(raws[d])
-                    bodies.append(b" ".join(cut[d][s:e]))
-                else:
-                    bodies.append(raws[d][s:e])
-            out = {"shard": deal.astype(np.int64), "segment": np.full(len(at), segment), "piece": piece[at].view(np.int64),
-                   "owner": own[at].view(np.int64), "single": single[at], "lo": ids[at], "hi": ids[last], "body": bodies}
-        return pa.table({k: pa.array(v, pa.binary() if k == "body" else pa.bool_() if k == "single" else pa.int64())
-                         for k, v in out.items()})
+            for k, (d, s, e) in enumerate(zip(doc[at].tolist(), start[at].tolist(), stop[at].tolist(), strict=True)):
+                if frame.words and d not in cut:
+                    cut[d] = H.words(raws[d])
+                out["body"].append(b" ".join(cut[d][s:e]) if frame.words else raws[d][s:e])
+                out["segs"].append(holders[k].tobytes())
+                out["owner"].append(owner[k].tobytes())
+        return _binary(out, shard=shards, piece=pieces, first=firsts)
     return run
 
 
 Solver = Callable[[list[bytes], np.ndarray], Iterator[np.ndarray]]
 
 
-def _solve(frame: Frame, solver: Solver):
-    """Shard -> for each segment's piece, runs of windows with a first document before the piece's last one.
+def _solve(solver: Solver):
+    """Shard -> for each segment that has a piece, runs of windows with a first document before the segment's last.
 
     ``solver(bodies, ids)`` gives, for each distinct piece, the first document of each of its windows.
     """
     def run(table: pa.Table) -> pa.Table:
-        bodies = table.column("body").to_pylist()
-        lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
-        places: dict[bytes, int] = {}
-        which = np.array([places.setdefault(b, len(places)) for b in bodies])
-        first = np.full(len(places), LAST)
-        np.minimum.at(first, which, lo)
-        starts = list(solver(list(places), first))
-        out = {k: [] for k in ("segment", "piece", "owner", "single", "runs")}
-        columns = [table.column(c).to_pylist() for c in ("segment", "piece", "owner", "single")]
-        for row, (w, last) in enumerate(zip(which.tolist(), hi.tolist(), strict=True)):
-            f = starts[w]
-            if f.min() >= last:
-                continue
+        out = {k: [] for k in ("piece", "owner", "single", "runs", "segs")}
+        segments = []
+        columns = (table.column("piece").to_numpy(), table.column("owner").to_pylist(), table.column("segs").to_pylist())
+        starts = solver(table.column("body").to_pylist(), table.column("first").to_numpy())
+        for p, owner, segs, f in zip(*columns, starts, strict=True):
             edge = np.concatenate(([0], np.flatnonzero(f[1:] != f[:-1]) + 1))
-            runs = np.stack((edge, np.append(edge[1:], len(f)), f[edge]), axis=1)
-            for k, c in zip(out, columns):
-                out[k].append(c[row])
-            out["runs"].append(runs[runs[:, 2] < last].astype(np.int64).tobytes())
-        return pa.table({k: pa.array(v, pa.binary() if k == "runs" else pa.bool_() if k == "single" else pa.int64())
-                         for k, v in out.items()})
+            runs = np.stack((edge, np.append(edge[1:], len(f)), f[edge]), axis=1).astype(np.int64)
+            least = f.min()
+            for segment, last in np.frombuffer(segs, np.int64).reshape(-1, 2).tolist():
+                if least < last:
+                    segments.append(segment)
+                    own = runs[runs[:, 2] < last]
+                    for k, v in zip(out, (np.full(len(own), p).tobytes(), owner * len(own), bytes(len(own)), own.tobytes(), None)):
+                        out[k].append(v)
+        return _binary(out, segment=segments)
     return run
 
 
@@ -245,24 +330,23 @@ def _mark(cover: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
 def _drop(frame: Frame):
     """Segment and its pieces' runs -> each document's removed spans and what is kept."""
     def run(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in found.column("runs").to_pylist()]
-        piece = found.column("piece").to_numpy().view(H.U64) if found.num_rows else np.zeros(0, H.U64)
-        single = np.array(found.column("single").to_pylist(), bool)
-        owner = found.column("owner").to_numpy().view(H.U64) if found.num_rows else np.zeros(0, H.U64)
+        piece, owner, single, runs = (np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x in found.column(c).to_pylist()]])
+                                      for c, t in (("piece", H.U64), ("owner", H.U64), ("single", bool), ("runs", np.int64)))
+        runs = runs.reshape(-1, 3)
         wholes, singles = _table(piece, runs, ~single), _table(piece, runs, single)
-        hot = np.unique(owner[single]) if single.any() else owner[:0]
+        hot = np.unique(owner[single])
         size, removed, spans, kept = [], [], [], []
         for i, raw in _texts(docs):
             codes = _codes(raw, frame)
-            sums, first, end, names = _owners(codes, frame) if found.num_rows else (None, [], [], [])
+            sums, first, end, names = _owners(codes, frame) if len(piece) else (None, [], [], [])
             cover = np.zeros(len(codes) + 1, np.int64)
             if len(first):
-                _look(cover, wholes, H.spans(sums, first, end - 1 + frame.window), first, i, frame)
+                _look(cover, wholes, H.spans(sums, first, end - 1 + frame.window), first, end, i, frame)
                 if len(hot):
                     own = _name(*_split(names, frame))
                     at = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
                     s, _ = _windows(first[at], end[at])
-                    _look(cover, singles, H.spans(sums, s, s + frame.window), s, i, frame)
+                    _look(cover, singles, H.spans(sums, s, s + frame.window), s, s + 1, i, frame)
             gone = np.cumsum(cover[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             size.append(len(codes))
@@ -275,27 +359,26 @@ def _drop(frame: Frame):
     return run
 
 
-def _table(piece: np.ndarray, runs: list[np.ndarray], own: np.ndarray):
-    """Sorted piece hashes with the runs of each, as (hashes, first run, end run, runs)."""
+def _table(piece: np.ndarray, runs: np.ndarray, own: np.ndarray):
+    """Sorted piece hashes with their runs, one or more each."""
     at = np.flatnonzero(own)
-    at = at[np.argsort(piece[at])]
-    n = np.array([len(runs[k]) for k in at], np.int64)
-    ends = np.cumsum(n)
-    return piece[at], ends - n, ends, np.concatenate([runs[k] for k in at]) if len(at) else np.zeros((0, 3), np.int64)
+    at = at[np.argsort(piece[at], kind="stable")]
+    return piece[at], runs[at]
 
 
-def _look(cover: np.ndarray, table, piece: np.ndarray, first: np.ndarray, i: int, frame: Frame) -> None:
-    names, lo, hi, runs = table
+def _look(cover: np.ndarray, table, piece: np.ndarray, first: np.ndarray, end: np.ndarray, i: int, frame: Frame) -> None:
+    names, runs = table
     if not len(names):
         return
-    at = np.minimum(np.searchsorted(names, piece), len(names) - 1)
-    hit = np.flatnonzero(names[at] == piece)
+    lo = np.searchsorted(names, piece)
+    hit = np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == piece)
     if not len(hit):
         return
-    k, which = _windows(lo[at[hit]], hi[at[hit]])
-    base, own = first[hit][which], runs[k]
+    k, which = _windows(lo[hit], np.searchsorted(names, piece[hit], "right"))
+    base, stop, own = first[hit][which], end[hit][which], runs[k]
+    stop = np.where(own[:, 1] > 0, base + own[:, 1], stop)      # an open run goes over the whole piece
     before = own[:, 2] < i
-    _mark(cover, base[before] + own[before, 0], base[before] + own[before, 1] - 1 + frame.window)
+    _mark(cover, (base + own[:, 0])[before], stop[before] - 1 + frame.window)
 
 
 def _kept(raw: bytes, gone: np.ndarray, edge: np.ndarray, frame: Frame) -> bytes:
@@ -318,9 +401,13 @@ def remove_repeats(docs: DataFrame, frame: Frame, solver: Solver, id_col: str =
     rows = rows.repartition(parts, "segment")           # one shuffle of the texts; the three passes below reuse it
     owners = rows.groupBy("segment").applyInArrow(_gather(frame), "bucket bigint, segment bigint, low binary, n binary")
     shared = owners.groupBy("bucket").applyInArrow(_shared(frame), "segment bigint, bucket bigint, low binary, hot binary")
-    pieces = rows.groupBy("segment").cogroup(shared.repartition(parts, "segment").groupBy("segment")).applyInArrow(
-        _cut(frame), "shard bigint, segment bigint, piece bigint, owner bigint, single boolean, lo bigint, hi bigint, body binary")
-    runs = pieces.groupBy("shard").applyInArrow(
-        _solve(frame, solver), "segment bigint, piece bigint, owner bigint, single boolean, runs binary")
-    return rows.groupBy("segment").cogroup(runs.repartition(parts, "segment").groupBy("segment")).applyInArrow(
+    cards = rows.groupBy("segment").cogroup(shared.repartition(parts, "segment").groupBy("segment")).applyInArrow(
+        _cards(frame), "bucket bigint, segment bigint, group binary, piece binary, lo binary, over binary, single binary")
+    answer = "segment bigint, piece binary, owner binary, single binary, runs binary, segs binary"
+    met = cards.groupBy("bucket").applyInArrow(_meet(frame), answer)
+    sent = rows.groupBy("segment").cogroup(met.where("segs is not null").repartition(parts, "segment").groupBy("segment")).applyInArrow(
+        _send(frame), "shard bigint, piece bigint, first bigint, owner binary, segs binary, body binary")
+    runs = sent.groupBy("shard").applyInArrow(_solve(solver), answer)
+    told = met.where("segs is null").unionByName(runs)
+    return rows.groupBy("segment").cogroup(told.repartition(parts, "segment").groupBy("segment")).applyInArrow(
         _drop(frame), "id bigint, size bigint, removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
