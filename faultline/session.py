@@ -45,8 +45,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests and benches) a fresh scratch
-    folder is created and registered with the SparkContext.
+    Only a local session without one (tests, benches) gets a fresh scratch folder; on a
+    cluster a machine's own folder is seen by no other, so the setting is asked for.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -54,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="faultline-ckpt-")
     sc.setCheckpointDir(d)
     return d

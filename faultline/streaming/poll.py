@@ -28,15 +28,16 @@ STATE_SCHEMA = "max_build int"
 
 def _watermark_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per job, pass builds above the stored maximum; the maximum then advances."""
-    (job,) = key
-    wm = state.get[0] if state.exists else 0
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    new = batch[batch["build_number"] > wm].sort_values(["build_number", "item_id"])
-    new = new.drop_duplicates(subset=["build_number"], keep="first")
-    top = int(batch["build_number"].max()) if len(batch) else wm
-    state.update((max(wm, top),))
-    if len(new):
-        yield new[["job_full_name", "build_number", "build_url", "item_id"]]
+    wm = top = state.get[0] if state.exists else 0
+    first: pd.DataFrame | None = None           # the first item of each new build, so far
+    for part in pdfs:
+        top = max(top, int(part["build_number"].max())) if len(part) else top
+        part = part[part["build_number"] > wm]
+        first = part if first is None else pd.concat([first, part], ignore_index=True)
+        first = first.sort_values(["build_number", "item_id"]).drop_duplicates(subset=["build_number"], keep="first")
+    state.update((top,))
+    if first is not None and len(first):
+        yield first[["job_full_name", "build_number", "build_url", "item_id"]]
 
 
 def new_failures(feed_stream: DataFrame) -> DataFrame:
@@ -53,13 +54,11 @@ def forward_batch(out_dir: str):
     return fn
 
 
-def poll(spark: SparkSession, feed_path: str, feed_schema: str, checkpoint: str, sink=None,
+def poll(spark: SparkSession, feed_path: str, feed_schema: str, checkpoint: str, sink,
          query_name: str = "faultline_poll", available_now: bool = True, processing_time: str = "20 seconds"):
-    """Start the poll stream; ``sink`` is a foreachBatch function or None for a memory table."""
+    """Start the poll stream; ``sink`` is a foreachBatch function, such as ``forward_batch(path)``."""
     src = spark.readStream.schema(feed_schema).parquet(feed_path)
     out = new_failures(src)
     w = out.writeStream.option("checkpointLocation", checkpoint).queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    if sink is None:
-        return w.outputMode("append").format("memory").start()
     return w.outputMode("append").foreachBatch(sink).start()

@@ -1,65 +1,73 @@
-"""Whole filter plan (shell detector) against the sequential model; reference test facts."""
+"""The whole filter on hand-made logs with literal results (its SQL oracle runs on the driver tables)."""
 
 from __future__ import annotations
 
-import random
-
-import seqmodel
-from pyspark.sql import functions as F
-from test_structural import VOCAB
+import pytest
 
 from faultline.plans.filter import annotated_lines, filter_lines, filter_logs
 
-EXTRA = ["+ npm run build", "script returned exit code 1", "ERROR: build failed", "exit code 3", "WARN deprecated api",
-         "Caused by: java.io.IOException: disk", "FATAL: out of memory", "INFO compile ok", "INFO compile ok"]
-
-
-def rand_log(rng):
-    n = rng.choice([1, 8, 30, 90, 200])
-    out = []
-    for _ in range(n):
-        if out and rng.random() < 0.25:
-            out.append(out[-1 - rng.randrange(min(len(out), 4))])
-        else:
-            out.append(rng.choice(VOCAB + EXTRA).format(n=rng.randrange(1, 300)))
-    return "\n".join(out)
-
-
-def test_filter_matches_model(spark):
-    rng = random.Random(11)
-    logs = [rand_log(rng) for _ in range(50)]
-    df = spark.createDataFrame([(f"L{i}", r) for i, r in enumerate(logs)], "log_id string, raw string")
-    res, final = filter_lines(annotated_lines(df), detectors="generic_shell", materialize="checkpoint")
-    got = {r.log_id: r for r in res.collect()}
-    sel = {}
-    for r in final.filter("selected").select("log_id", "idx").collect():
-        sel.setdefault(r.log_id, []).append(r.idx)
-    for i, raw in enumerate(logs):
-        e = seqmodel.run_filter(raw)
-        g = got[f"L{i}"]
-        assert sorted(sel.get(f"L{i}", [])) == e["selected"], (i, raw)
-        assert g.confidence == e["confidence"], i
-        assert g.baseline_version == e["baseline_version"], i
-        if e["fingerprint_core"] is not None:
-            assert g.fingerprint == e["fingerprint_core"], i
-            assert g.body.endswith(e["body_core"] + "\n---"), i
-
-
-def test_reference_facts(spark):
+
+@pytest.fixture(scope="module")
+def results(spark):
     storm = "\n".join(["INFO start"] * 5 + [f"WARN GET http://svc/{i} failed" for i in range(60)] + ["ERROR final failure"])
     shell = "\n".join(["+ npm run build", "compiling", "npm ERR! missing script", "script returned exit code 1"])
     info = "\n".join(["INFO same line"] * 20 + ["ERROR the real problem"])
     allinfo = "\n".join([f"INFO step {i} done" for i in range(40)])
-    df = spark.createDataFrame([("storm", storm, "s"), ("shell", shell, "s"), ("info", info, "s"), ("allinfo", allinfo, "s"),
-                                ("empty", "", "s")], "log_id string, raw string, stage_name string")
-    out = {r.log_id: r for r in filter_logs(df, detectors="auto", materialize="checkpoint").collect()}
-    assert len(storm) / out["storm"].body_chars >= 5 and "ERROR final failure" in out["storm"].body
-    assert "repeated" in out["storm"].body or "elided" in out["storm"].body
-    assert out["shell"].primary_location.kind == "command" and "npm" in out["shell"].primary_location.command
-    assert out["shell"].confidence in ("HIGH", "MEDIUM")
-    assert "ERROR the real problem" in out["info"].body
-    assert out["allinfo"].confidence in ("LOW", "MEDIUM")
-    if out["allinfo"].confidence == "LOW":
-        assert "[FILTER: LOW CONFIDENCE]" in out["allinfo"].body
-    assert out["empty"].body == "" and out["empty"].confidence == "LOW"
-    assert F is not None
+    crlf = "a\r\nscript returned exit\r\ncode 7\r\nERROR x"
+    late = "\n".join([f"INFO warming up cache entry number {i}" for i in range(400)]
+                     + ["ERROR order failed", "java.lang.IllegalStateException: no stock", "\tat com.acme.Order.take(Order.java:12)",
+                        "\tat java.base/java.lang.Thread.run(Thread.java:1)"])
+    long = "\n".join([f"INFO tick {i} of the long run" for i in range(5000)] + ["FATAL disk full"])
+    rows = [("storm", storm), ("shell", shell), ("info", info), ("allinfo", allinfo), ("empty", ""), ("crlf", crlf), ("late", late), ("long", long)]
+    df = spark.createDataFrame([(k, v, "s") for k, v in rows], "log_id string, raw string, stage_name string")
+    return dict(rows), {r.log_id: r for r in filter_logs(df, detectors="auto").collect()}
+
+
+def test_storm_is_compressed(results):
+    raw, out = results
+    assert len(raw["storm"]) / out["storm"].body_chars >= 5 and "ERROR final failure" in out["storm"].body
+    assert "(repeated" in out["storm"].body
+
+
+def test_shell_failure(results):
+    r = results[1]["shell"]
+    assert (r.primary_location.kind, r.primary_location.command) == ("command", "npm run build")
+    assert (r.exit_code, r.detectors, r.confidence) == ("1", ["generic_shell"], "MEDIUM")
+    assert r.body.endswith("L0: + npm run build\nL1: compiling\nL2: npm ERR! missing script\nL3: script returned exit code 1\n---")
+
+
+def test_error_survives_common_lines(results):
+    assert results[1]["info"].body.endswith("L20: ERROR the real problem\n---")
+    assert results[1]["info"].collapse_stats["repeat-elided"] == 18
+
+
+def test_low_confidence_and_empty_logs(results):
+    r = results[1]["allinfo"]
+    assert r.confidence == "LOW" and "[FILTER: LOW CONFIDENCE]" in r.body and "L0: INFO step 0 done" in r.body
+    assert results[1]["empty"].body == "" and results[1]["empty"].confidence == "LOW"
+
+
+def test_raw_length_and_code_are_those_of_the_raw_log(results):
+    raw, out = results
+    assert out["crlf"].raw_chars == len(raw["crlf"]) and out["crlf"].exit_code == "7"
+
+
+def test_a_trace_far_from_the_start_is_found(results):
+    r = results[1]["late"]
+    assert r.detectors == ["java_stack"] and r.confidence == "HIGH"
+    assert (r.primary_location.file, r.primary_location.line, r.primary_location.log_line_idx) == ("Order.java", 12, 402)
+    assert r.primary_error == "java.lang.IllegalStateException"     # a message needs a second colon
+
+
+def test_a_log_of_thousands_of_lines_is_one_log(results):
+    r = results[1]["long"]
+    assert r.raw_chars == len(results[0]["long"]) and "L5000: FATAL disk full" in r.body
+
+
+def test_explicit_bounds(spark):
+    raw = "\n".join(f"ERROR problem number {i} of many" for i in range(400))
+    lines = annotated_lines(spark.createDataFrame([("L", raw)], "log_id string, raw string"))
+    whole, _ = filter_lines(lines, detectors="none", token_budget=10_000)
+    cut, _ = filter_lines(lines, detectors="none", token_budget=10_000, body_max_chars=500)
+    assert whole.first().body_chars > 8000
+    assert cut.first().body.endswith("\n... [hard ceiling truncated]\n---") and cut.first().body_chars < 540

@@ -1,74 +1,116 @@
-"""Window plans of Pass 1/2 against the sequential model on random logs."""
+"""Pass 1 and 2 on random logs against the SQL oracle, and on hand-made logs with literal results."""
 
 from __future__ import annotations
 
 import random
 
-import seqmodel
-from pyspark.sql import functions as F
+import duckdb
 
 from faultline.operators import structural as ST
 from faultline.operators import tokenize as T
+from faultline.plans.oracle import tokenized_sql
+from faultline.plans.q_structural import _COLLAPSE_BODY
 
+# no line here opens a JSON block: the SQL body leaves folds out (they have literal results below)
 VOCAB = [
     "INFO step {n} ok", "INFO step 1 ok", "WARN retry {n} http://h/{n}", "ERROR Boom {n}", "+ make target{n}",
     "\tat com.acme.B.m(B.java:{n})", "\tat java.lang.Thread.run(Thread.java:1)", "\tat org.x.Y.z(Y.java:{n})",
-    '  File "app.py", line {n}, in f', "Downloading {n}% ", "Pull complete", "{{", '  "key{n}": 1,', '  "k": [', "  ]",
-    "}}", "[", "]", "========", "", "Caused by: x.Y: z{n}", "script returned exit code 2", "2024-01-01T00:00:00Z INFO hi {n}",
-    "key{n}=value", "Status: ok", "   ", "[1, 2, 3]", "{{\"a\": 1}}", "13:01:02 Pulling fs layer", "user id 0a1b2c3d4e5f",
+    '  File "app.py", line {n}, in f', "Downloading {n}% ", "Pull complete", "========", "", "Caused by: x.Y: z{n}",
+    "script returned exit code 2", "2024-01-01T00:00:00Z INFO hi {n}", "key{n}=value", "Status: ok", "   ",
+    "13:01:02 Pulling fs layer", "user id 0a1b2c3d4e5f",
 ]
 
 
 def rand_log(rng: random.Random) -> str:
-    n = rng.choice([0, 1, 5, 20, 60, 150, 260])
-    lines = []
-    for _ in range(n):
-        t = rng.choice(VOCAB)
+    lines: list[str] = []
+    for _ in range(rng.choice([0, 1, 5, 20, 60, 150, 260])):
         if rng.random() < 0.3 and lines:
             lines.append(lines[-1 - rng.randrange(min(len(lines), 5))])
         else:
-            lines.append(t.format(n=rng.randrange(1, 400)))
+            lines.append(rng.choice(VOCAB).format(n=rng.randrange(1, 400)))
     return "\n".join(lines)
 
 
-def _compare(spark, logs):
-    df = spark.createDataFrame([(f"L{i}", raw) for i, raw in enumerate(logs)], "log_id string, raw string")
-    out = ST.collapse(T.tokenize(df)).select("log_id", "idx", "text", "template", "kind", "severity", "drop", "reason", "note", "score")
-    got = {(r.log_id, r.idx): r for r in out.collect()}
-    n = 0
-    for i, raw in enumerate(logs):
-        L = seqmodel.tokenize(raw)
-        seqmodel.collapse(L)
-        for e in L:
-            g = got[(f"L{i}", e["idx"])]
-            for k in ("text", "template", "kind", "severity", "drop", "reason", "note", "score"):
-                assert getattr(g, k) == e[k], (i, e["idx"], k, getattr(g, k), e[k], raw.split("\n")[e["idx"]])
-            n += 1
-    assert n == len(got)
+def collapsed(spark, logs: dict[str, str]):
+    df = spark.createDataFrame(list(logs.items()), "log_id string, raw string")
+    return ST.collapse(T.tokenize(df))
 
 
-def test_collapse_matches_sequential_model(spark):
+def test_collapse_equals_the_sql_oracle(spark):
     rng = random.Random(7)
-    _compare(spark, [rand_log(rng) for _ in range(60)])
+    logs = {f"L{i}": rand_log(rng) for i in range(60)}
+    rows = [(k, i, line) for k, raw in logs.items() if raw for i, line in enumerate(raw.split("\n"))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (log_id VARCHAR, idx INTEGER, raw VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?, ?)", rows)
+    names = ["log_id", "idx", "text", "kind", "severity", "score", "drop", "reason", "note"]
+    want = con.execute("WITH " + tokenized_sql("src") + _COLLAPSE_BODY + f"\nSELECT {', '.join(names)} FROM collapsed").fetchall()
+    got = [tuple(r) for r in collapsed(spark, logs).select(*names).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(rows)
 
 
-def test_fixture_shapes(spark):
-    java = "\n".join([
-        "INFO starting",
-        "2024-04-06T05:59:53.123Z ERROR Payment failed",
-        "Caused by: java.net.ConnectException: Connection refused",
-    ] + [f"\tat java.base/sun.nio.ch.Net.connect{i}(Net.java:{i})" for i in range(5)]
-      + ["\tat org.apache.http.Client.exec(Client.java:10)",
-         "\tat com.acme.pay.PaymentClient.charge(PaymentClient.java:84)",
-         "\tat com.acme.pay.Service.run(Service.java:20)",
-         "\tat com.acme.pay.Main.main(Main.java:5)"])
-    progress = "\n".join(["==========="] + [f"Downloading layer {i}0%  " for i in range(10)] + ["Pull complete", "ERROR pull failed"])
-    storm = "\n".join(["INFO a"] * 5 + [f"WARN GET http://svc/{i} failed" for i in range(60)] + ["ERROR final"])
-    _compare(spark, [java, progress, storm, "", "   ", "﻿a\r\nb\rc"])
+def state(spark, raw: str) -> list[tuple]:
+    rows = collapsed(spark, {"L": raw}).orderBy("idx").collect()
+    return [(r.drop, r.reason, r.note, r.score) for r in rows]
+
+
+KEPT = (False, "", "", 0)
+
+
+def test_java_trace(spark):
+    raw = "\n".join(["INFO starting", "2024-04-06T05:59:53.123Z ERROR Payment failed", "Caused by: java.net.ConnectException: refused"]
+                    + [f"\tat java.base/sun.nio.ch.Net.connect{i}(Net.java:{i})" for i in range(5)]
+                    + ["\tat org.apache.http.Client.exec(Client.java:10)", "\tat com.acme.pay.PaymentClient.charge(PaymentClient.java:84)",
+                       "\tat com.acme.pay.Service.run(Service.java:20)", "\tat com.acme.pay.Main.main(Main.java:5)"])
+    gone = (True, "stack-frame-elided", "", 0)
+    assert state(spark, raw) == [KEPT, KEPT, KEPT, (False, "", "", 3), gone, gone, gone, gone, (False, "", "", 2), (False, "", "", 2),
+                                 (False, "", "... 5 frame(s) elided ...", 2), gone]
+
+
+def test_progress_banner_and_blank(spark):
+    raw = "\n".join(["===========", "", *[f"Downloading layer {i}0%  " for i in range(10)], "Pull complete", "ERROR pull failed"])
+    gone = (True, "progress-elided", "", 0)
+    assert state(spark, raw) == [(True, "banner", "", 0), KEPT,
+                                 (False, "progress-summary", "<progress: 11 lines elided (Downloading layer)>", 0), *[gone] * 10, KEPT]
+
+
+def test_repeat_storm(spark):
+    raw = "\n".join([f"WARN GET http://svc/{i} failed" for i in range(60)] + ["ERROR final"])
+    got = state(spark, raw)
+    # a bucket spans 51 lines after its first, and keeps its first and last line
+    assert [i for i, x in enumerate(got) if not x[0]] == [0, 51, 52, 59, 60]
+    assert got[51][1:3] == ("repeat-summary", "(repeated 52x over 52 lines: values=http://svc/0, http://svc/1, http://svc/2)")
+    assert got[59][2] == "(repeated 8x over 8 lines: values=http://svc/52, http://svc/53, http://svc/54)"
+
+
+def test_json_blocks_of_any_length_fold_whole(spark):
+    keys = [f'  "key{i}": {i},' for i in range(300)]
+    raw = "\n".join(["INFO a", "{", *keys, '  "inner": {', '    "x": 1', "  }", "}", "INFO b", '{"one": "line"}', "{", "}", "["])
+    got = state(spark, raw)
+    assert got[1] == (False, "json-summary", "<json: 305 lines, top-keys=[key0,key1,key2,key3,key4]>", 0)
+    assert all(x[:2] == (True, "json-folded") for x in got[2:305])
+    assert got[305][1] == "json-folded" and got[0] == got[306] == got[307] == KEPT
+
+
+def test_unclosed_json_goes_to_the_end(spark):
+    raw = "\n".join(["{", *[f'  "k{i}": 1,' for i in range(6)]])
+    got = state(spark, raw)
+    assert got[0][1:3] == ("json-summary", "<json: 7 lines, top-keys=[k0,k1,k2,k3,k4]>") and all(x[0] for x in got[1:])
+
+
+def test_bounded_json_runs(spark):
+    raw = "\n".join(["{", *[f'  "k{i}": 1,' for i in range(20)], "}"])
+    df = spark.createDataFrame([("L", raw)], "log_id string, raw string")
+    notes = [r.note for r in ST.fold_json(ST.init_state(T.tokenize(df)), max_run=10).orderBy("idx").collect() if r.note]
+    assert notes == ["<json: 10 lines, top-keys=[k0,k1,k2,k3,k4]>"]
+
+
+def test_long_lines_and_line_ends(spark):
+    long = "INFO " + "x" * 5000
+    rows = collapsed(spark, {"L": "﻿a\r\nb\rc\n" + long, "E": ""}).orderBy("idx").collect()
+    assert [(r.idx, r.text) for r in rows] == [(0, "a"), (1, "b"), (2, "c"), (3, long)]
 
 
 def test_collapse_stats(spark):
-    df = spark.createDataFrame([("L0", "\n".join(["WARN x 1"] * 10 + ["========"]))], "log_id string, raw string")
-    st = ST.collapse_stats(ST.collapse(T.tokenize(df))).collect()[0]
+    st = ST.collapse_stats(collapsed(spark, {"L0": "\n".join(["WARN x 1"] * 10 + ["========"])})).collect()[0]
     assert st.banner == 1 and st.repeat_elided == 8
-    assert F is not None
