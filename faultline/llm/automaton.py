@@ -99,7 +99,7 @@ class SuffixAutomaton:
 
 def first_documents(window: int):
     """For the pieces of a shard: the first document of each of their windows."""
-    def solver(bodies: list[bytes], ids: np.ndarray) -> Iterator[np.ndarray]:
+    def solver(bodies: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         numbers: dict[bytes, int] = {}
         pieces = [[numbers.setdefault(w, len(numbers)) for w in body.split(b" ")] for body in bodies]
         automaton = SuffixAutomaton()
@@ -107,8 +107,8 @@ def first_documents(window: int):
             automaton.add(piece, i)
         automaton.finish()
         first = automaton.first
-        for piece in pieces:
-            yield np.array([first[v] for n, v in automaton.matching(piece, window) if n == window])
+        found = [first[v] for piece in pieces for n, v in automaton.matching(piece, window) if n == window]
+        return np.array(found, np.int64), np.array([max(0, len(piece) - window + 1) for piece in pieces])
     return solver
 
 

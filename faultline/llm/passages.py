@@ -36,6 +36,7 @@ from .common import text_bytes
 
 SEGMENT_BYTES = 4 << 20
 PART_BYTES = 64 << 20
+_GAP = b"\xff"                  # no UTF-8 text has this byte
 LAST = np.iinfo(np.int64).max           # the place of null ids
 _POS = H.U64((1 << 28) - 1)
 
@@ -266,10 +267,10 @@ def _meet(frame: Frame):
 
 
 def _send(frame: Frame):
-    """Segment and the pieces that are asked of it -> their texts, for the owners' shards."""
+    """Segment and the pieces that are asked of it -> a packed row a shard: their texts, for the owners' shards."""
     def run(key, docs: pa.Table, met: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("owner", "segs", "body")}
-        shards, pieces, firsts = [], [], []
+        out = {k: [] for k in ("piece", "owner", "first", "holders", "segs", "bodies")}
+        shards = []
         if met.num_rows:
             piece, owner = (np.concatenate([np.frombuffer(x, H.U64) for x in met.column(c).to_pylist()]) for c in ("piece", "owner"))
             first = np.concatenate([np.frombuffer(x, np.int64) for x in met.column("runs").to_pylist()])
@@ -282,42 +283,61 @@ def _send(frame: Frame):
             found, _, _, _, doc, start, stop = rows
             order = np.argsort(found, kind="stable")
             at = order[np.searchsorted(found[order], piece)]
-            shards = (H.mix(owner + H.U64(3)) % H.U64(frame.shards)).astype(np.int64)
-            pieces, firsts = piece.view(np.int64), first
             cut: dict[int, list[bytes]] = {}
-            for k, (d, s, e) in enumerate(zip(doc[at].tolist(), start[at].tolist(), stop[at].tolist(), strict=True)):
+            bodies = []
+            for d, s, e in zip(doc[at].tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
                 if frame.words and d not in cut:
                     cut[d] = H.words(raws[d])
-                out["body"].append(b" ".join(cut[d][s:e]) if frame.words else raws[d][s:e])
-                out["segs"].append(holders[k].tobytes())
-                out["owner"].append(owner[k].tobytes())
-        return _binary(out, shard=shards, piece=pieces, first=firsts)
+                bodies.append(b" ".join(cut[d][s:e]) if frame.words else raws[d][s:e])
+            shard = (H.mix(owner + H.U64(3)) % H.U64(frame.shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            count = np.array([len(x) for x in holders])
+            for value, part in _parts(shard[order]):
+                own = order[part]
+                shards.append(value)
+                for k, v in (("piece", piece), ("owner", owner), ("first", first), ("holders", count)):
+                    out[k].append(v[own].tobytes())
+                out["segs"].append(np.concatenate([holders[k] for k in own]).tobytes())
+                out["bodies"].append(_GAP.join([bodies[k] for k in own]))
+        return _binary(out, shard=shards)
     return run
 
 
-Solver = Callable[[list[bytes], np.ndarray], Iterator[np.ndarray]]
+#: Finds, for distinct pieces and their first documents, the first document of each window: (all windows' in a row, windows of each piece).
+Solver = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _solve(solver: Solver):
-    """Shard -> for each segment that has a piece, runs of windows with a first document before the segment's last.
-
-    ``solver(bodies, ids)`` gives, for each distinct piece, the first document of each of its windows.
-    """
+    """Shard -> a packed row for each segment that has pieces of it: runs of windows with a first document before the segment's last."""
     def run(table: pa.Table) -> pa.Table:
+        def column(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+        bodies = [x for blob in table.column("bodies").to_pylist() for x in blob.split(_GAP)]
+        piece, owner, holders = column("piece", H.U64), column("owner", H.U64), column("holders", np.int64)
+        segs = column("segs", np.int64).reshape(-1, 2)
+        first, n = solver(bodies, column("first", np.int64))
+        own = np.repeat(np.arange(len(n)), n)                       # the piece of each window
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (own[1:] != own[:-1])))
+        at = np.flatnonzero(new)
+        begin = np.cumsum(n) - n
+        runs = np.stack((at, np.append(at[1:], len(first)), first[at]), axis=1).astype(np.int64)
+        runs[:, :2] -= begin[own[at]][:, None]
+        per = np.bincount(own[at], minlength=len(n))                # runs of each piece
+        of = np.repeat(np.arange(len(n)), holders)                  # the piece of each holder
+        to = np.cumsum(per)
+        which, holder = _windows((to - per)[of], to[of])            # each holder with each run of its piece
+        keep = runs[which, 2] < segs[holder, 1]
+        which, holder = which[keep], holder[keep]
+        order = np.argsort(segs[holder, 0], kind="stable")
+        which, holder = which[order], holder[order]
         out = {k: [] for k in ("piece", "owner", "single", "runs", "segs")}
         segments = []
-        columns = (table.column("piece").to_numpy(), table.column("owner").to_pylist(), table.column("segs").to_pylist())
-        starts = solver(table.column("body").to_pylist(), table.column("first").to_numpy())
-        for p, owner, segs, f in zip(*columns, starts, strict=True):
-            edge = np.concatenate(([0], np.flatnonzero(f[1:] != f[:-1]) + 1))
-            runs = np.stack((edge, np.append(edge[1:], len(f)), f[edge]), axis=1).astype(np.int64)
-            least = f.min()
-            for segment, last in np.frombuffer(segs, np.int64).reshape(-1, 2).tolist():
-                if least < last:
-                    segments.append(segment)
-                    own = runs[runs[:, 2] < last]
-                    for k, v in zip(out, (np.full(len(own), p).tobytes(), owner * len(own), bytes(len(own)), own.tobytes(), None)):
-                        out[k].append(v)
+        for segment, part in _parts(segs[holder, 0]):
+            p = of[holder[part]]
+            segments.append(segment)
+            for k, v in zip(out, (piece[p].tobytes(), owner[p].tobytes(), bytes(len(p)), runs[which[part]].tobytes(), None)):
+                out[k].append(v)
         return _binary(out, segment=segments)
     return run
 
@@ -406,7 +426,7 @@ def remove_repeats(docs: DataFrame, frame: Frame, solver: Solver, id_col: str =
     answer = "segment bigint, piece binary, owner binary, single binary, runs binary, segs binary"
     met = cards.groupBy("bucket").applyInArrow(_meet(frame), answer)
     sent = rows.groupBy("segment").cogroup(met.where("segs is not null").repartition(parts, "segment").groupBy("segment")).applyInArrow(
-        _send(frame), "shard bigint, piece bigint, first bigint, owner binary, segs binary, body binary")
+        _send(frame), "shard bigint, piece binary, owner binary, first binary, holders binary, segs binary, bodies binary")
     runs = sent.groupBy("shard").applyInArrow(_solve(solver), answer)
     told = met.where("segs is null").unionByName(runs)
     return rows.groupBy("segment").cogroup(told.repartition(parts, "segment").groupBy("segment")).applyInArrow(

@@ -16,8 +16,6 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -146,15 +144,14 @@ def _block(bodies: list[bytes], ids: np.ndarray, window: int):
 
 def first_documents(window: int, block_bytes: int = BLOCK_BYTES):
     """For the pieces of a shard: the first document of each of their windows."""
-    def solver(bodies: list[bytes], ids: np.ndarray) -> Iterator[np.ndarray]:
+    def solver(bodies: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         blocks, at, size = [], 0, 0
         for k, body in enumerate(bodies):
             if k > at and size + len(body) + 1 > block_bytes:
                 blocks.append(_block(bodies[at:k], ids[at:k], window))
                 at, size = k, 0
             size += len(body) + 1
-        if bodies:
-            blocks.append(_block(bodies[at:], ids[at:], window))
+        blocks.append(_block(bodies[at:], ids[at:], window))
         if len(blocks) > 1:
             names, least = blocks[0][0], blocks[0][1].copy()
             for windows, first, _, _ in blocks[1:]:         # merge by binary search
@@ -163,8 +160,7 @@ def first_documents(window: int, block_bytes: int = BLOCK_BYTES):
                 least[k[same]] = np.minimum(least[k[same]], first[same])
                 names, least = np.insert(names, k[~same], windows[~same]), np.insert(least, k[~same], first[~same])
             blocks = [(w, least[np.searchsorted(names, w)], g, n) for w, _, g, n in blocks]
-        for _, first, group, counts in blocks:
-            yield from np.split(first[group], np.cumsum(counts)[:-1])
+        return np.concatenate([first[group] for _, first, group, _ in blocks]), np.concatenate([counts for *_, counts in blocks])
     return solver
 
 
