@@ -168,11 +168,15 @@ def collapse_progress(df: DataFrame, min_run: int = P.PROGRESS_MIN_RUN) -> DataF
     )
 
 
-def summarize_values(tokens_in_order: Column) -> Column:
-    """Up to three distinct masked values (labels skipped, each cut to 40 chars)."""
-    toks = F.filter(tokens_in_order, lambda x: ~x.isin(*P.MASK_LABELS))
-    short = F.transform(toks, lambda x: F.when(F.length(x) <= 40, x).otherwise(F.concat(F.substring(x, 1, 37), F.lit("..."))))
-    return F.array_join(F.slice(F.array_distinct(short), 1, 3), ", ")
+def first_values(rows: DataFrame, n: int = 3) -> DataFrame:
+    """Per (log, ``_head``) the first ``n`` distinct masked values (labels skipped, each cut to 40 chars), as ``_vals``."""
+    toks = (rows.select(LOG, "_head", "idx", F.posexplode("var_tokens").alias("_p", "_tok"))
+            .filter(~F.col("_tok").isin(*P.MASK_LABELS)))
+    short = F.when(F.length("_tok") <= 40, F.col("_tok")).otherwise(F.concat(F.substring("_tok", 1, 37), F.lit("...")))
+    firsts = toks.groupBy(LOG, "_head", short.alias("_tok")).agg(F.min(F.struct("idx", "_p")).alias("_at"))
+    firsts = firsts.withColumn("_r", F.row_number().over(Window.partitionBy(LOG, "_head").orderBy("_at"))).filter(F.col("_r") <= n)
+    return firsts.groupBy(LOG, "_head").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_tok"))), lambda x: x["_tok"]), ", ").alias("_vals"))
 
 
 def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT, reuse=_same) -> DataFrame:
@@ -189,26 +193,26 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     wr = Window.partitionBy(LOG).orderBy("idx").rangeBetween(window + 1, Window.unboundedFollowing)
     el = el.withColumn("_close", F.min("idx").over(wr))
     occ = el.groupBy(LOG, "template").agg(F.sort_array(F.collect_list(F.struct("idx", "_close"))).alias("_occ"))
-    init = F.struct(F.lit(-1).alias("head"), F.lit(None).cast("int").alias("close"),
-                    F.array().cast("array<struct<idx:int,head:int>>").alias("out"))
+    init = F.struct(F.lit(None).cast("int").alias("close"), F.lit(True).alias("none"), F.array().cast("array<int>").alias("heads"))
 
     def step(acc, x):
-        new = (acc["head"] < 0) | (acc["close"].isNotNull() & (x["idx"] > acc["close"]))
-        head = F.when(new, x["idx"]).otherwise(acc["head"])
-        close = F.when(new, x["_close"]).otherwise(acc["close"])
-        return F.struct(head.alias("head"), close.alias("close"),
-                        F.array_append(acc["out"], F.struct(x["idx"].alias("idx"), head.alias("head"))).alias("out"))
-
-    heads = occ.select(LOG, F.explode(F.aggregate("_occ", init, step)["out"]).alias("o")).select(LOG, "o.idx", F.col("o.head").alias("_head"))
-    el = el.join(heads, [LOG, "idx"])
+        new = acc["none"] | (acc["close"].isNotNull() & (x["idx"] > acc["close"]))
+        return F.when(new, F.struct(x["_close"].alias("close"), F.lit(False).alias("none"),
+                                    F.array_append(acc["heads"], x["idx"]).alias("heads"))).otherwise(acc)
+
+    # the fold keeps the buckets' first lines only; every line then takes the last one before it
+    heads = occ.select(LOG, F.explode(F.aggregate("_occ", init, step)["heads"]).alias("idx"), F.lit(True).alias("_new"))
+    el = el.join(heads, [LOG, "idx"], "left")
+    wt = Window.partitionBy(LOG, "template").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    el = el.withColumn("_head", F.last(F.when(F.col("_new"), F.col("idx")), ignorenulls=True).over(wt))
     wb = Window.partitionBy(LOG, "_head")
     el = (el.withColumn("_cnt", F.count(F.lit(1)).over(wb))
           .withColumn("_first", F.min("idx").over(wb))
           .withColumn("_lastb", F.max("idx").over(wb)))
-    wbo = Window.partitionBy(LOG, "_head").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    vals = summarize_values(F.flatten(F.collect_list("var_tokens").over(wbo)))
-    el = el.withColumn("_vals", F.when((F.col("idx") == F.col("_lastb")) & (F.col("_cnt") >= min_count), vals))
-    marks = el.filter(F.col("_cnt") >= min_count).select(
+    el = reuse(el.filter(F.col("_cnt") >= min_count))
+    el = el.join(first_values(el), [LOG, "_head"], "left")
+    el = el.withColumn("_vals", F.coalesce("_vals", F.lit("")))
+    marks = el.select(
         LOG, "idx",
         ((F.col("idx") > F.col("_first")) & (F.col("idx") < F.col("_lastb"))).alias("_mid"),
         (F.col("idx") == F.col("_lastb")).alias("_islast"),
