@@ -130,6 +130,34 @@ def test_copies_do_not_make_an_article_a_template(spark):
     assert {r.text for r in got if r.page_id} == {text}
 
 
+def extracted(spark, rows):
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    return {r.page_id: r.text for r in got}
+
+
+def test_constant_last_block_after_any_number_of_paragraphs(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(20):
+        paras = article(rng, 5 if k % 3 else 3 + k % 7)
+        want[k] = " ".join(" ".join(paras).split())
+        rows.append((k, f"http://d.example/{k}", "<body><div>" + "".join(f"<p>{p}</p>" for p in paras) + "<p>All rights reserved.</p></div></body>"))
+    assert extracted(spark, rows) == want
+    assert len({len(html.split("<p>")) for *_, html in rows}) > 4
+
+
+def test_another_text_in_a_template_slot_stays(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(20):
+        own, last = article(rng, 1)[0], "All rights reserved." if k % 4 else f"A closing remark {k}"
+        want[k] = " ".join(f"{own} {'' if k % 4 else last}".split())
+        rows.append((k + 1, f"http://e.example/{k}", f"<body><div><p>{own}</p><p>{last}</p></div></body>"))
+    rows.append((0, "http://e.example/first", "<body><div><p>the first one</p><p>All rights reserved.</p></div></body>"))
+    assert extracted(spark, rows) == {0: "the first one"} | {k + 1: v for k, v in want.items()}
+
+
 def test_simple_tree_matching():
     a = wrappers.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>")
     b = wrappers.parse("<div><h1>n</h1><p>1</p><ul><li>x</li></ul><table></table><p>3</p></div>")
