@@ -158,6 +158,30 @@ def test_another_text_in_a_template_slot_stays(spark):
     assert extracted(spark, rows) == {0: "the first one"} | {k + 1: v for k, v in want.items()}
 
 
+def test_short_articles_under_long_boilerplate(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    constant = "".join(f"<p>{'Terms of use apply to all that is shown here. ' * 3}{i}</p>" for i in range(3))
+    for k in range(12):
+        want[k] = " ".join(article(rng, 1)[0].split())
+        rows.append((k, f"http://f.example/{k}", f"<body><div><p>{want[k]}</p></div><div>{constant}</div></body>"))
+    assert extracted(spark, rows) == want
+
+
+def test_a_second_layout_has_its_own_template(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for k in range(24):
+        paras = article(rng, 2 + k % 3)
+        want[k] = " ".join(" ".join(paras).split())
+        if k % 2:
+            page = "<section><h4>The second house</h4>" + "".join(f"<blockquote>{p}</blockquote>" for p in paras) + "<pre>Printed here.</pre></section>"
+        else:
+            page = "<div>" + "".join(f"<p>{p}</p>" for p in paras) + "<p>All rights reserved.</p></div>"
+        rows.append((k, f"http://g.example/{k}", f"<body>{page}</body>"))
+    assert extracted(spark, rows) == want
+
+
 def test_simple_tree_matching():
     a = wrappers.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>")
     b = wrappers.parse("<div><h1>n</h1><p>1</p><ul><li>x</li></ul><table></table><p>3</p></div>")
