@@ -182,6 +182,25 @@ def test_a_second_layout_has_its_own_template(spark):
     assert extracted(spark, rows) == want
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "with-header", "no-ads", "menu-open", "search-results", "x_no_comments"])
+def test_only_whole_names_drop(name):
+    page = wrappers.parse(f"<div class='menu'>links</div><div class='{name}'><h1>T</h1><p>Body</p></div><div id=site_footer>foot</div>")
+    assert [n.text for n in wrappers.blocks(page)] == ["T", "Body"]
+
+
+def test_names_do_not_drop_the_article():
+    def text(page):
+        return " ".join(n.text for n in wrappers.blocks(wrappers.parse(page)))
+
+    assert text("<div class=search><div class=menu><article><p>Body</p><p class=ad>ad</p></article></div></div>") == "Body"
+    assert text("<form><div id=widget><main>Body</main></div></form><p>x</p>") == "Body"
+    assert text("<div class=alert><p>The long main text of this page</p><p class=ad>ad</p></div><p>x</p>") == "The long main text of this page x"
+    assert text("<form><p>All of the page is in one form</p></form>") == "All of the page is in one form"
+    assert text("<article>Body</article><aside><article>Much longer teaser of another page</article></aside>") == "Body"
+    assert text("<p>Short</p><div id=comments><article>Much longer comment</article></div><nav>And a very long menu of it all</nav>") == "Short"
+    assert text("<div " + "class=menu><div " * 2000 + "><article>deep</article>") == "deep"
+
+
 def test_simple_tree_matching():
     a = wrappers.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>")
     b = wrappers.parse("<div><h1>n</h1><p>1</p><ul><li>x</li></ul><table></table><p>3</p></div>")
