@@ -414,3 +414,37 @@ def test_half_keys_are_fit_for_the_threshold():
 def test_set_key_is_of_the_whole_set():
     assert hashlib.blake2b(minhash.shingle_set("A b c d e", 4).tobytes(), digest_size=16).digest() == minhash._set_key(
         minhash.shingle_set("a B  c\nd e", 4))
+
+
+def rare_secrets(n, seed):
+    """Labelled texts where few words are secrets, and these look like the words around them."""
+    rng = np.random.default_rng(seed)
+
+    def word(size):
+        return "".join(rng.choice(list("abcdefghilmnoprstu"), size))
+
+    return [" ".join([word(int(rng.integers(8, 14))) for _ in range(30)] + ([f"password={word(16)}"] if k % 6 == 0 else [])) for k in range(n)]
+
+
+def test_threshold_keeps_the_recall_below_one_half():
+    net, rng = secret_scan.Network(), np.random.default_rng(4)
+    logit = np.concatenate((rng.normal(0.5, 1, 60), rng.normal(-0.5, 1, 4000)))      # rare secrets, badly told apart
+    y = np.arange(len(logit)) < 60
+    net.calibrate(logit, y.astype(float), 0.95)
+    assert net.threshold < 0.5 and (net.scaled(logit[y]) >= net.threshold).mean() >= 0.95
+    assert np.sort(net.scaled(logit[y]))[::-1][57] < net.threshold                    # and no lower than that
+
+
+def test_calibration_scores_whole_candidates():
+    net, text = secret_scan.Network(), "see " + "wordword" * 12 + "q7Rk2Zp9" * 6 + " end"
+    span = (text, 4, len(text) - 4)
+    logits = net.logits(np.array(secret_scan.tiles(*span)))
+    assert net.best([span, ("a " + "b" * 16, 2, 18)])[0] == pytest.approx(logits.max()) and logits.max() > logits[0] and len(logits) > 3
+
+
+def test_fitted_threshold_keeps_the_recall(spark):
+    texts = rare_secrets(400, 9)
+    net = secret_scan.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rng = np.random.default_rng(6)
+    spans = [(span, s, e) for t in rare_secrets(300, 10) for span, s, e, y in secret_scan.labelled_spans(t, rng) if y]
+    assert (net.scaled(net.best(spans)) >= net.threshold).mean() > 0.85
