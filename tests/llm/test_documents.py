@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import automaton, decontaminate, minhash, passages, quality, secret_scan, sentencepieces, suffixarray
@@ -448,3 +449,24 @@ def test_fitted_threshold_keeps_the_recall(spark):
     rng = np.random.default_rng(6)
     spans = [(span, s, e) for t in rare_secrets(300, 10) for span, s, e, y in secret_scan.labelled_spans(t, rng) if y]
     assert (net.scaled(net.best(spans)) >= net.threshold).mean() > 0.85
+
+
+def test_rare_secrets_fit_a_network(spark):
+    texts = rare_secrets(300, 11)
+    texts = [t for t in texts if "password" in t] + [t for k in range(20) for t in rare_secrets(300, 100 + k) if "password" not in t]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)      # 50 secrets in 5,050 documents
+    assert secret_scan.fit(docs, sample_rows=400) is not None
+
+
+def test_sample_holds_each_class_once_whole_and_no_unjudged_candidate():
+    texts = [f"{t} src/Main_Unit-{k}x9Qz{k * 7919}_Lk" for k, t in enumerate(rare_secrets(120, 12))]
+    rows = [(t, k) for k, t in enumerate(texts)]
+
+    def run(order, most):
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in own]), pa.array([k for _, k in own], pa.int64())], names=["text", "key"])
+                   for own in (order[i:i + 7] for i in range(0, len(order), 7))]
+        return [tuple(r.values()) for b in secret_scan._labeller(most)(iter(batches)) for r in b.to_pylist()]
+
+    whole = run(rows, 100_000)
+    assert not any("Main_Unit" in span[s:e] for _, y, span, s, e in whole if not y)
+    assert run(rows[::-1] + rows, 15) == [r for y in (0, 1) for r in sorted(x for x in whole if x[1] == y)[:15]]
