@@ -163,6 +163,124 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN f < page_id THEN 'revis
 FROM d
 """
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, unsigned (bit by bit; DuckDB has no such function)."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)"
+    bits = "lambda x, z: xor(x >> 1, (x & 1) * 3988292384)"
+    step = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bits})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {step}), 4294967295)"
+
+
+_SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RUNS = f"""
+WITH t AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+g AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS hit FROM t),
+a AS (SELECT *, CASE WHEN hit THEN g % n ELSE n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE ws END AS ws
+      FROM p),
+u AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+r AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS len
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e)
+      GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+q AS (SELECT doc_id, s, len, min(p) AS p FROM r GROUP BY doc_id, s, len),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM q),
+kept AS (SELECT u.doc_id, string_agg(w, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN gone ON gone.doc_id = u.doc_id AND gone.i = u.i GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs,
+             min({{'l': -len, 's': s, 'p': p}}) AS best FROM q GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, (-best.l)::BIGINT AS length, best.p::BIGINT AS period,
+       (1000 * -best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+# a space stands for the begin mark and a line feed for the end: no word holds them
+_SCORES = f"""
+WITH t AS (SELECT doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 10 = 0 AS held, {_SPLIT.format(_LOWER)} AS ws FROM documents),
+u AS (SELECT doc_id, held, unnest(list_concat([' '], ws, [chr(10)])) AS w, unnest(range(len(ws) + 2)) AS i FROM t),
+x AS (SELECT *, lag(w) OVER o AS a, lag(w, 2) OVER o AS b FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM x WHERE NOT held GROUP BY 1),
+c2 AS (SELECT a, w, count(*) AS c FROM x WHERE NOT held AND i >= 1 GROUP BY 1, 2),
+c3 AS (SELECT b, a, w, count(*) AS c FROM x WHERE NOT held AND i >= 2 GROUP BY 1, 2, 3),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c1 WHERE w <> ' '),
+k AS (SELECT x.doc_id, x.held, x.i, n.n, coalesce(w1.c, 0) AS w1, coalesce(a1.c, 0) AS a1, coalesce(w2.c, 0) AS w2, coalesce(a2.c, 0) AS a2,
+             coalesce(w3.c, 0) AS w3, (coalesce(w1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS p1
+      FROM x CROSS JOIN n LEFT JOIN c1 w1 ON w1.w = x.w LEFT JOIN c1 a1 ON a1.w = x.a LEFT JOIN c2 w2 ON w2.a = x.a AND w2.w = x.w
+      LEFT JOIN c2 a2 ON a2.a = x.b AND a2.w = x.a LEFT JOIN c3 w3 ON w3.b = x.b AND w3.a = x.a AND w3.w = x.w
+      WHERE x.i >= 1),
+p2 AS (SELECT *, (w2 + 128.0::DOUBLE * p1) / (a1 + 128.0::DOUBLE) AS p2 FROM k),
+p3 AS (SELECT *, CASE WHEN i = 1 THEN p2 ELSE (w3 + 32.0::DOUBLE * p2) / (a2 + 32.0::DOUBLE) END AS p3 FROM p2)
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE w1 > 0) AS n_known, max(n) AS train_tokens,
+       round(fsum(log10(p1)), 6) AS base_score, round(fsum(log10(p3)), 6) AS score
+FROM p3 GROUP BY doc_id, held
+"""
+
+
+def _cheapest() -> str:
+    """The four grammar states' (cost, audit) before a row, from those behind it (``f``) and the row's letter (``c``)."""
+    inserted = {0: ((0, 0), (2, 1), (3, 2)), 1: ((1, 0), (2, 1), (3, 2)), 2: ((2, 0), (3, 1)), 3: ((3, 0), (2, 1))}
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+
+    def best(state: int) -> str:
+        moves = []
+        for at, m in inserted[state]:
+            def move(price: str, name: str, to: int, m=m) -> str:
+                return f"{{'c': f.f[{to + 1}].c + {2 * m} + {price}, 'a': '{'I' * m}{name}' || f.f[{to + 1}].a}}"
+            late = "CASE WHEN f.l >= 'A' AND f.l <= 'Z' THEN 1 ELSE 0 END"
+            moves.append(move("3", "D", at))
+            for r in "sua":
+                if (at, r) in step:
+                    moves.append(move(f"CASE WHEN lower(f.l) <> '{r}' THEN 9999999 ELSE {late} END", "K", step[at, r]))
+                    if r != "s":
+                        moves.append(move(f"CASE WHEN f.l = 'D' THEN 9999999 ELSE 2 + {late} END", "R", step[at, r]))
+        return f"list_sort([{', '.join(moves)}])[1]"
+    return f"[{', '.join(best(s) for s in range(4))}]"
+
+
+_REPAIR = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM c WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+             CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS x FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                     WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+l AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' WHEN fault = 'truncated' THEN upper(x) ELSE x END AS letter,
+             lead(x) OVER (PARTITION BY conv_id ORDER BY p) AS after, count(*) OVER (PARTITION BY conv_id) AS rows FROM f),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+             count(*) FILTER (WHERE after IS NOT NULL AND x || after NOT IN ('su', 'ua', 'au')) AS illegal,
+             string_agg(letter, '' ORDER BY p) AS letters, list({{'role': role, 'text': text}} ORDER BY p) AS body
+      FROM l GROUP BY 1),
+w AS (SELECT letters, length(letters) AS pos, [{{'c': 0::INTEGER, 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS f
+      FROM (SELECT DISTINCT letters FROM g)
+      UNION ALL SELECT letters, pos - 1, {_cheapest()} FROM (SELECT letters, pos, f, substr(letters, pos, 1) AS l FROM w) f WHERE f.pos > 0),
+b AS (SELECT g.*, w.f[1].c::BIGINT AS cost, w.f[1].a AS audit FROM g JOIN w ON w.letters = g.letters AND w.pos = 0),
+m AS (SELECT conv_id, body, unnest(string_split(audit, '')) AS name, unnest(range(length(audit))) AS j FROM b WHERE audit <> ''),
+o AS (SELECT conv_id, name, j, body[count(*) FILTER (WHERE name <> 'I') OVER z] AS own, count(*) FILTER (WHERE name <> 'D') OVER z AS nth,
+             count(*) FILTER (WHERE name <> 'D') OVER z - CASE WHEN max(CASE WHEN name = 'K' AND nth0 = 1 AND own0 = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 THEN 1 ELSE 0 END AS place
+      FROM (SELECT *, count(*) FILTER (WHERE name <> 'D') OVER z AS nth0,
+                   substr(body[count(*) FILTER (WHERE name <> 'I') OVER z].role, 1, 1) AS own0 FROM m WINDOW z AS (PARTITION BY conv_id ORDER BY j)) m
+      WINDOW z AS (PARTITION BY conv_id ORDER BY j)),
+h AS (SELECT conv_id, string_agg(CASE WHEN name = 'K' THEN own.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                                 || CASE WHEN name = 'I' THEN '' ELSE own.text END, chr(10) ORDER BY j) AS made
+      FROM o WHERE name <> 'D' GROUP BY 1),
+i AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(made, '')) AS repaired_sha256
+FROM i LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": _CLEAN,
     "op2_substring_dedup": _SPANS,
@@ -171,4 +289,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _QUALITY,
     "op9_preference_formatting": _PREFER,
     "op8_minhash_near_dedup": _NEAR,
+    "op11_periodic_runs": _RUNS,
+    "op12_lm_scores": _SCORES,
+    "op13_structure_repair": _REPAIR,
 }

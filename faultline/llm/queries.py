@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import automaton, decontaminate, minhash, preferences, quality, secret_scan, sentencepieces, suffixarray, warc, wrappers
-from .common import hex_sha256
+from . import (automaton, decontaminate, minhash, ngrams, preferences, quality, repair, runs, secret_scan, sentencepieces, suffixarray,
+               warc, wrappers)
+from .common import WHITE_RE, hex_sha256
 from .oracles import ORACLES  # noqa: F401 - read by the entry point
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +134,62 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histories.select(F.col("id").cast("bigint").alias("page_id"), F.col("bytes").alias("payload_bytes"),
                             F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
                             F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the contract's periods set into the texts whose id's checksum is a multiple of ten."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"),
+                       F.when(h % 10 == 0, F.filter(F.split("text", WHITE_RE), lambda w: w != "")).alias("words"))
+    rows = rows.withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    made = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+                       .otherwise(w))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted_periods(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    start, length, period = -F.col("best.s"), F.col("best.length"), -F.col("best.p")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"),
+                        length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
+                        hex_sha256(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
+                        hex_sha256("collapsed").alias("collapsed_sha256"))
+
+
+@register("op12_lm_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id counts as an empty text (held out); scores have six decimals."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0
+    found = ngrams.score_texts(docs, train)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """``conversations`` after the contract's damage; rows that it drops stay with ``present`` false."""
+    def known(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    rows = turns.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"),
+                        (F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20).alias("k"))
+    k = F.col("k")
+    rows = rows.select("conv_id", "turn", F.when(k == 4, "user").otherwise(F.col("role")).alias("role"),
+                       F.when(k == 1, "").when(k == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+                       (k != 0).alias("present"), F.explode(F.when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return rows.drop("col")
+
+
+@register("op13_structure_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged_turns(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    found = repair.repair(turns, present=F.col("present"))
+    whole = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                        hex_sha256(whole).alias("repaired_sha256"))
