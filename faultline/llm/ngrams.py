@@ -16,7 +16,7 @@ Nothing of the model is broadcast or collected; it grows with the texts:
    lockstep, one token a step: each text carries its state, takes failure arcs until an arc has the
    token, and adds up the weights.
 
-The texts are shuffled once (the second use is the same exchange). Defined cases: a null or empty text is its end
+The texts are shuffled once, compressed (the second use is the same exchange). Defined cases: a null or empty text is its end
 token alone; a null training mark counts as held out; rows are scored one by one, so null ids and
 repeated rows each give (and, in training, count) their row; with no training text all
 probabilities are 1; an empty table gives an empty result; other columns are not read.
@@ -25,26 +25,39 @@ probabilities are 1; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing as H
-from .common import text_bytes
+from .common import slices, text_bytes
 
 ORDER = 3
 WEIGHTS = (128.0, 32.0)          # m of the second, third, ... order
 UNSEEN = 0.1                    # what every token's count is raised by
 SHARD_BYTES = 12 << 20
+HOLD_BYTES = 32 << 20           # text that a task holds before it deals it to the shards
 CHUNK_BYTES = 1 << 18           # text hashed at once
 BEGIN, END = H.mix(np.array([0x9D3F, 0x51C7], H.U64))
 _STEP = np.random.default_rng(1207).integers(1, 1 << 62, (16, 1), dtype=np.int64).astype(H.U64) * H.U64(2) + H.U64(1)
 _BEGIN_GRAM = H.mix(BEGIN * _STEP[0])
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and every value's number among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], number
+
+
 class Shard:
     """The tokens of a shard's texts, each text between a begin and an end mark, and the n-grams that end at each."""
 
@@ -83,12 +96,13 @@ class Shard:
             if k:
                 total[k:] += codes[:-k] * _STEP[k]
             has = self.depth >= k
-            grams, sample, number = np.unique(H.mix(total[has] + H.U64(k)), return_index=True, return_inverse=True)
+            at = np.flatnonzero(has)
+            grams, order_of, number = _distinct(H.mix(total[at] + H.U64(k)))
             whole = np.full(n, -1, np.int32)
-            whole[has] = number
+            whole[at] = number
             self.grams.append(grams)
             self.number.append(whole)
-            self.sample.append(np.flatnonzero(has)[sample])
+            self.sample.append(at[order_of])
 
     def counted(self, train: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram ends in a training text."""
@@ -119,13 +133,54 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold them all."""
-    kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    """Counts of 0 to 2 in two bits each; the others, in the fewest bytes that hold them all, behind."""
+    n = len(counts)
+    low = np.zeros((n + 3) // 4 * 4, np.uint8)
+    low[:n] = np.minimum(counts, 3)
+    quads = low[0::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6
+    more = counts[counts > 2]
+    kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if more.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + n.to_bytes(8, "little") + quads.tobytes() + more.astype(kind).tobytes()
 
 
 def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(blob[1:9], "little")
+    quads = np.frombuffer(blob, np.uint8, (n + 3) // 4, 9)
+    out = ((quads[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()[:n].astype(np.int64)
+    out[out > 2] = np.frombuffer(blob, f"<u{blob[0]}", offset=9 + len(quads))
+    return out
+
+
+def _dealt(schema: pa.Schema, hold: int):
+    """Rows as compressed Arrow streams, one a shard and about ``hold`` bytes of texts: (shard, rows)."""
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        numbers = table.column("shard").to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        names, start = np.unique(numbers[order], return_index=True)
+        table = table.drop_columns("shard")
+        for name, rows in zip(names.tolist(), np.split(order, start[1:]), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.take(rows).cast(schema))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                             names=["shard", "rows"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, "text"):
+            if held and size + batch.nbytes > hold:
+                yield from flush(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from flush(held)
+    return run
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows"))
 
 
 ASK = "bucket int, shard int, tokens bigint, grams array<binary>, counts array<binary>"
@@ -135,8 +190,9 @@ SCORED = "train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, b
 
 def _asker(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        shard = Shard(table.column("text").to_pylist(), order)
-        train = np.array(table.column("train").to_pylist(), bool)
+        docs = _opened(table)
+        shard = Shard(docs.column("text").to_pylist(), order)
+        train = np.array(docs.column("train").to_pylist(), bool)
         counts = shard.counted(train)
         cuts = [_cuts(g, buckets) for g in shard.grams]
         tokens = int((shard.words + 1)[train].sum())
@@ -157,7 +213,7 @@ def _adder(order: int):
         for k in range(order):
             asked = [_unpacked(x[k].as_py()) for x in table.column("grams")]
             sizes = np.array([len(x) for x in asked])
-            grams, number = np.unique(np.concatenate(asked), return_inverse=True)
+            grams, _, number = _distinct(np.concatenate(asked))
             said = np.concatenate([_counts(x[k].as_py()) for x in table.column("counts")])
             total = np.bincount(number, weights=said, minlength=len(grams)).astype(np.int64)
             if not k:
@@ -173,88 +229,76 @@ def _adder(order: int):
 class Automaton:
     """States, arcs and failure arcs of the model's part that a shard's texts can reach.
 
-    State 0 is the root; the others are the known contexts (n-grams of all but the highest order). ``arcs`` holds
-    sorted ``state * tokens + token`` with their ``weight`` and ``target``; every token has an arc from the root.
+    State 0 is the root; the others are the contexts (n-grams of all but the highest order). An arc is an n-gram: it
+    leaves the state of all but its last token, reads that, and has a ``weight`` and a ``target``. N-grams are numbered
+    through all orders, ``known`` tells which have an arc; all single tokens have one from the root. ``level``
+    is a state's number of tokens, ``fail`` and ``fall`` are its failure arc's target and weight.
     """
 
     def __init__(self, shard: Shard, counts: list[np.ndarray], tokens: int, types: int, weights: tuple[float, ...]):
-        order = len(counts)
-        width = self.width = len(shard.grams[0])
-        first, states = [], 1                   # the number of an order's first state
-        for k in range(order - 1):
-            first.append(states)
-            states += len(counts[k])
-        self.fail = np.zeros(states, np.int64)
-        self.fall = np.zeros(states)
+        sizes = [len(c) for c in counts]
+        self.first = np.cumsum([0, *sizes])             # an order's first n-gram; its state is one higher
+        self.known = np.concatenate(counts) > 0
+        self.known[:sizes[0]] = True
+        self.weight = np.zeros(len(self.known))
+        self.target = np.zeros(len(self.known), np.int64)
+        self.level = np.repeat(np.arange(len(counts)), [1, *sizes[:-1]])
+        self.fail = np.zeros(len(self.level), np.int64)
+        self.fall = np.zeros(len(self.level))
         p = (counts[0] + UNSEEN) / (tokens + UNSEEN * (types + 1))
-        keys, weight, target = [np.arange(width)], [np.log10(p)], []
-        self.root = weight[0]
-        for k in range(order):
-            at = shard.sample[k]
-            known = counts[k] > 0
-            # the state of the same end without the first token (a known n-gram's shorter ends are known, too)
-            shorter = first[k - 1] + shard.number[k - 1][at].astype(np.int64) if k else np.zeros(len(at), np.int64)
+        for k, at in enumerate(shard.sample):
+            own = self.first[k] + np.arange(sizes[k])
+            after = shard.number[k - 1][at] if k else None      # the n-gram without its first token
             if k:
-                before = shard.number[k - 1][at - 1].astype(np.int64)    # the n-gram's context, and its own end without the first token
-                after = shard.number[k - 1][at]
-                m = weights[k - 1]
+                m, before = weights[k - 1], shard.number[k - 1][at - 1]
                 p = (counts[k] + m * p[after]) / (counts[k - 1][before] + m)
-                # (of unknown n-grams with a known context this is the failure arc's product; they get no arc)
-                keys.append(((first[k - 1] + before) * width + shard.number[0][at])[known])
-                weight.append(np.log10(p[known]))
-            if k < order - 1:
-                own = first[k] + np.arange(len(at))
-                self.fail[own] = shorter
-                self.fall[own] = np.log10(weights[k] / (counts[k] + weights[k]))
-                target.append(np.where(known, own, shorter) if not k else own[known])
-            else:
-                target.append(shorter[known])
-        keys, weight, target = np.concatenate(keys), np.concatenate(weight), np.concatenate(target)
-        sort = np.argsort(keys, kind="stable")
-        self.arcs, self.weight, self.target = keys[sort], weight[sort], target[sort]
-        self.entry = int(target[np.searchsorted(shard.grams[0], _BEGIN_GRAM)[0]])
-
-    def read(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The weights of the texts ``words[begin:begin + length]``, read in lockstep from the entry state."""
+            shorter = self.first[k - 1] + after + 1 if k else 0
+            self.weight[own] = np.log10(p)
+            self.target[own] = shorter                          # a known n-gram's shorter ends are known, too
+            if k < len(counts) - 1:
+                self.target[own] = np.where(counts[k] > 0, own + 1, shorter)
+                self.fail[own + 1] = shorter
+                self.fall[own + 1] = np.log10(weights[k] / (counts[k] + weights[k]))
+        self.entry = int(self.target[np.searchsorted(shard.grams[0], _BEGIN_GRAM)[0]])
+
+    def read(self, shard: Shard) -> np.ndarray:
+        """The weights of the shard's texts, all read in lockstep from the state behind the begin mark."""
+        length = shard.words + 1
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
+        at, length = shard.start[order], length[order]
         live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")      # texts longer than the step
-        state, total = np.full(len(begin), self.entry), np.zeros(len(begin))
-        for step, n in enumerate(live):
-            token = words[begin[:n] + step]
-            now = state[:n]
-            todo = np.arange(n)
-            while len(todo):
-                key = now[todo] * self.width + token[todo]
-                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                hit = self.arcs[arc] == key
-                done, arc = todo[hit], arc[hit]
-                total[done] += self.weight[arc]
-                now[done] = self.target[arc]
-                todo = todo[~hit]                # no arc: fall to the shorter context and try again
-                total[todo] += self.fall[now[todo]]
-                now[todo] = self.fail[now[todo]]
+        numbers = [x.astype(np.int64) + f for x, f in zip(shard.number, self.first, strict=False)]
+        ends = np.stack(numbers, axis=1)                # the n-grams of every order that end at a token
+        state, total = np.full(len(at), self.entry), np.zeros(len(at))
+        for step, n in enumerate(live, 1):
+            now, end = state[:n], ends[at[:n] + step]
+            arc = end[np.arange(n), self.level[now]]
+            lost = np.flatnonzero(~self.known[arc])
+            while len(lost):                            # no arc: fall to the shorter context and try again
+                total[lost] += self.fall[now[lost]]
+                now[lost] = self.fail[now[lost]]
+                arc[lost] = end[lost, self.level[now[lost]]]
+                lost = lost[~self.known[arc[lost]]]
+            total[:n] += self.weight[arc]
+            now[:] = self.target[arc]
         out = np.empty(len(total))
         out[order] = total
         return out
 
 
 def _scorer(order: int, weights: tuple[float, ...]):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({c: pa.array([], docs.schema.field("id").type if c == "id" else k) for c, k in (
-                ("id", None), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _opened(dealt)
         shard = Shard(docs.column("text").to_pylist(), order)
         by_bucket = np.argsort(answers.column("bucket").to_numpy())
         blobs = answers.column("counts")
         counts = [np.concatenate([_counts(blobs[int(i)][k].as_py()) for i in by_bucket]) for k in range(order)]
         tokens, types = answers.column("tokens")[0].as_py(), answers.column("types")[0].as_py()
         model = Automaton(shard, counts, tokens, types, weights)
-        words = shard.number[0].astype(np.int64)
-        score = model.read(words, shard.start + 1, shard.words + 1)
+        words = shard.number[0]
+        score = model.read(shard)
         known = np.cumsum(np.append(0, counts[0][words] > 0))
-        single = model.root[words].tolist()
+        single = model.weight[words].tolist()
         base = [math.fsum(single[a + 1:b + 1]) for a, b in zip(shard.start.tolist(), shard.stop.tolist(), strict=True)]
         n = docs.num_rows
         return pa.table({"id": docs.column("id"), "train": docs.column("train"), "n_tokens": pa.array(shard.words + 1, pa.int64()),
@@ -281,6 +325,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                        F.coalesce(train, F.lit(False)).alias("train"),
                        F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).cast("int").alias("shard"))
     kind = rows.schema["id"].dataType.simpleString()
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema if f.name != "shard"])
+    rows = rows.mapInArrow(_dealt(schema, HOLD_BYTES), "shard int, rows binary")
     asked = rows.groupBy("shard").applyInArrow(_asker(order, buckets), ASK)
     answers = asked.groupBy("bucket").applyInArrow(_adder(order), ANSWER)
     totals = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))    # one row

@@ -166,14 +166,20 @@ def test_probabilities_of_a_context_sum_to_one():
     tokens, types = 11, 4
     model = ngrams.Automaton(shard, counts, tokens, types, (2.0, 1.0))
 
+    arcs = {}
+    for k, at in enumerate(shard.sample):
+        for number, place in enumerate(at):
+            gram = int(model.first[k]) + number
+            if model.known[gram]:
+                source = int(model.first[k - 1] + shard.number[k - 1][place - 1] + 1) if k else 0
+                arcs[source, int(shard.number[0][place])] = float(model.weight[gram])
+
     def weight(state: int, token: int) -> float:
-        key = state * model.width + token
-        for arc, w in zip(model.arcs, model.weight, strict=True):
-            if arc == key:
-                return float(w)
+        if (state, token) in arcs:
+            return arcs[state, token]
         return float(model.fall[state]) + weight(int(model.fail[state]), token)
 
-    known = [int(t) for t in range(model.width) if counts[0][t] > 0 and shard.grams[0][t] != ngrams._BEGIN_GRAM[0]]
+    known = [int(t) for t in range(len(counts[0])) if counts[0][t] > 0 and shard.grams[0][t] != ngrams._BEGIN_GRAM[0]]
     unseen = 0.1 / (tokens + 0.1 * (types + 1))
     closed = [int(at) in set(shard.stop.tolist()) for k in range(2) for at in shard.sample[k]]     # nothing follows an end
     for state in range(len(model.fail)):
