@@ -36,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import hashing as H
 from .common import slices, text_bytes
 
-ORDER = 3
-WEIGHTS = (128.0, 32.0)          # m of the second, third, ... order
+ORDER = 2
+WEIGHTS = (256.0, 32.0)         # m of the second, third, ... order
 UNSEEN = 0.1                    # what every token's count is raised by
 SHARD_BYTES = 12 << 20
 HOLD_BYTES = 32 << 20           # text that a task holds before it deals it to the shards

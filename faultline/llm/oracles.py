@@ -201,21 +201,18 @@ FROM d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_
 _SCORES = f"""
 WITH t AS (SELECT doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 10 = 0 AS held, {_SPLIT.format(_LOWER)} AS ws FROM documents),
 u AS (SELECT doc_id, held, unnest(list_concat([' '], ws, [chr(10)])) AS w, unnest(range(len(ws) + 2)) AS i FROM t),
-x AS (SELECT *, lag(w) OVER o AS a, lag(w, 2) OVER o AS b FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM u),
 c1 AS (SELECT w, count(*) AS c FROM x WHERE NOT held GROUP BY 1),
 c2 AS (SELECT a, w, count(*) AS c FROM x WHERE NOT held AND i >= 1 GROUP BY 1, 2),
-c3 AS (SELECT b, a, w, count(*) AS c FROM x WHERE NOT held AND i >= 2 GROUP BY 1, 2, 3),
 n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c1 WHERE w <> ' '),
-k AS (SELECT x.doc_id, x.held, x.i, n.n, coalesce(w1.c, 0) AS w1, coalesce(a1.c, 0) AS a1, coalesce(w2.c, 0) AS w2, coalesce(a2.c, 0) AS a2,
-             coalesce(w3.c, 0) AS w3, (coalesce(w1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS p1
-      FROM x CROSS JOIN n LEFT JOIN c1 w1 ON w1.w = x.w LEFT JOIN c1 a1 ON a1.w = x.a LEFT JOIN c2 w2 ON w2.a = x.a AND w2.w = x.w
-      LEFT JOIN c2 a2 ON a2.a = x.b AND a2.w = x.a LEFT JOIN c3 w3 ON w3.b = x.b AND w3.a = x.a AND w3.w = x.w
-      WHERE x.i >= 1),
-p2 AS (SELECT *, (w2 + 128.0::DOUBLE * p1) / (a1 + 128.0::DOUBLE) AS p2 FROM k),
-p3 AS (SELECT *, CASE WHEN i = 1 THEN p2 ELSE (w3 + 32.0::DOUBLE * p2) / (a2 + 32.0::DOUBLE) END AS p3 FROM p2)
+p1 AS (SELECT x.doc_id, x.held, n.n, coalesce(w1.c, 0) AS w1, coalesce(a1.c, 0) AS a1, coalesce(w2.c, 0) AS w2,
+              (coalesce(w1.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS p1
+       FROM x CROSS JOIN n LEFT JOIN c1 w1 ON w1.w = x.w LEFT JOIN c1 a1 ON a1.w = x.a LEFT JOIN c2 w2 ON w2.a = x.a AND w2.w = x.w
+       WHERE x.i >= 1),
+p2 AS (SELECT *, (w2 + 256.0::DOUBLE * p1) / (a1 + 256.0::DOUBLE) AS p2 FROM p1)
 SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE w1 > 0) AS n_known, max(n) AS train_tokens,
-       round(fsum(log10(p1)), 6) AS base_score, round(fsum(log10(p3)), 6) AS score
-FROM p3 GROUP BY doc_id, held
+       round(fsum(log10(p1)), 6) AS base_score, round(fsum(log10(p2)), 6) AS score
+FROM p2 GROUP BY doc_id, held
 """
 
 

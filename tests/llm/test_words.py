@@ -141,7 +141,7 @@ def test_scores_with_more_words_than_products_of_32_bits(spark):
     words = [f"w{i}" for i in range(70_000)]
     rows = [(i, " ".join(words[i * 700:(i + 1) * 700] + rng.sample(words, 20)), i % 10 == 3) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean")
-    assert scored(ngrams.score_texts(df, ~F.col("held"))) == direct_scores(rows, 3, ngrams.WEIGHTS)
+    assert scored(ngrams.score_texts(df, ~F.col("held"))) == direct_scores(rows, ngrams.ORDER, ngrams.WEIGHTS)
 
 
 def test_scores_without_training_texts_and_of_an_empty_table(spark, empty, docs):
