@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import fresh, row_key_of, slices, written
-from .graph import components
+from .graph import components, joined
 
 HALVES = 32
 ROWS = 4
@@ -147,8 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = nodes.select("node", "size")
 
     done = written(_sized(leaders.groupBy("a").agg(F.min("b").alias("b")), sizes, percent), "minhash-pairs")
-    links = _checked(done, sets, percent)
-    comps = written(components(links), "minhash-components")
+    comps = written(components(_checked(done, sets, percent)), "minhash-components")
     crowd = _mixed(_with_component(tables, comps, "node", "c")).select("node").distinct()
     bounds = _bounds(written(crowd, "minhash-crowd"), sets, sizes)
     halves = bounds.select("node").join(nodes, "node").select("node", F.explode("halves").alias("table"))
@@ -156,9 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(candidates(comps).join(done, ["a", "b"], "left_anti"), "minhash-pairs")
         if pairs.isEmpty():
             continue
-        links = links.unionByName(_checked(pairs, sets, percent))
         done = done.unionByName(pairs)
-        comps = written(components(links), "minhash-components")
+        links = _checked(pairs, sets, percent)
+        if not links.isEmpty():
+            comps = written(joined(comps, links), "minhash-components")
     return _labelled(signed, nodes, comps)
 
 
