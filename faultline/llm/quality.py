@@ -177,6 +177,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass the base rule and their group's thresholds, with their own columns."""
-    _, limits, q = fit(docs, text, lang, source)
-    judged = judge(measure(docs, q, text), limits, q, lang, source)
+    q = fresh(docs, "q")
+    measured = written(measure(docs, q, text), "quality-measured")      # texts are measured once
+    limits = written(thresholds(sketches(measured, q, lang, source)), "quality-limits")
+    judged = judge(measured, limits, q, lang, source)
     return judged.where(F.col(q).kept).select(*docs.columns)
