@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from .common import slices
 
 MARK = "▁"
-CACHE_PARTS = 150_000           # encodings of cut parts kept while a task runs
+CACHE_PARTS = 400_000           # encodings of cut parts kept while a task runs
 CACHE_CHARS = 48                # longer parts are not kept
-CACHE_PAIRS = 300_000           # compatibility verdicts kept while a task runs
+CACHE_PAIRS = 2_000_000         # compatibility verdicts kept while a task runs
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
