@@ -36,7 +36,7 @@ from .common import slices
 MARK = "▁"
 CACHE_PARTS = 400_000           # encodings of cut parts kept while a task runs
 CACHE_CHARS = 48                # longer parts are not kept
-CACHE_PAIRS = 2_000_000         # compatibility verdicts kept while a task runs
+CACHE_PAIRS = 500_000           # compatibility verdicts kept by a worker
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -168,8 +168,8 @@ class Coder(dict):
         return b"".join(map(self.__getitem__, self.parts(self.prefix + text.replace(" ", MARK))))
 
     def forget(self) -> None:
+        """Drop the encoded parts; the verdicts are few and serve every text."""
         self.clear()
-        self.compatible.clear()
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.out.__getitem__, ids.tolist()))
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
             if decoded_col:
                 columns.append(pa.array([own.decode(np.frombuffer(x, np.int32)) for x in packed], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[f.name for f in new]])
-        own.forget()                                # a worker that waits for other tasks holds no cache
+        own.forget()                                # a worker that waits for other tasks holds no large cache
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
 
