@@ -3,13 +3,17 @@
 Node order ("first appearance") is the corpus order: newest first
 (``created_at`` desc, then ``doc_id``), carried as a sortable ``ord`` key so no
 global row numbering (one task) is needed. Communities are connected components
-of the similarity edges, found by min-label propagation; every round is
-checkpointed into the shared checkpoint folder and the loop ends when no label
+of the similarity edges: partitions contract their edges, then labels spread between the roots that
+are left; every round is checkpointed into the shared checkpoint folder and the loop ends when no label
 changes. A community is identified by its first member (smallest ``ord``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,35 +96,61 @@ def typed_edges(sol: DataFrame, sim_edges: DataFrame) -> DataFrame:
     return e_sim.unionByName(e_res).unionByName(e_in).unionByName(e_occ)
 
 
-def components(node_ord: DataFrame, sim_edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Connected components by min-label propagation with pointer jumping, until no label changes.
-
-    ``node_ord``: id, ord. Returns id, community (id of the first member).
+def _contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a partition's links: a union-find of its own, roots are the smallest nodes."""
+    links = [(b.column("a").to_numpy(zero_copy_only=False), b.column("b").to_numpy(zero_copy_only=False)) for b in batches]
+    if not links:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in zip(*links, strict=True) for x in pair]), return_inverse=True)
+    half = len(at) // 2
+    x, y, root = at[:half], at[half:], np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)          # the larger root hangs below the smaller
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(nodes[root], pa.string())], names=["node", "root"])
+
+
+def _least_labels(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node of ``links`` (a, b) reaches, by labels and pointer jumping.
+
+    A round takes the smallest label of the neighbours and then that label's own label; it ends when none changes.
     """
-    if checkpoint:
-        checkpoint_dir(node_ord.sparkSession)
-    und = sim_edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.checkpoint() if checkpoint else und
-    lab = node_ord.select("id", F.struct("ord", "id").alias("lab"))
-    lab = lab.checkpoint() if checkpoint else lab
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
     while True:
-        prop = und.join(lab.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("lab").alias("_nl"))
-        new = (lab.join(prop.withColumnRenamed("a", "id"), "id", "left")
-               .select("id", F.when(F.col("_nl").isNotNull() & (F.col("_nl") < F.col("lab")), F.col("_nl")).otherwise(F.col("lab")).alias("lab"),
-                       (F.col("_nl").isNotNull() & (F.col("_nl") < F.col("lab"))).alias("_chg")))
-        # Pointer jumping: a node also takes its label's label, so chains shrink by
-        # half each round (labels are always members of the same component).
-        hop = new.select(F.col("id").alias("_lid"), F.col("lab").alias("_lab2"))
-        new = (new.join(hop, F.col("lab.id") == F.col("_lid"), "left")
-               .select("id", F.when(F.col("_lab2").isNotNull() & (F.col("_lab2") < F.col("lab")), F.col("_lab2")).otherwise(F.col("lab")).alias("lab"),
-                       (F.col("_chg") | (F.col("_lab2").isNotNull() & (F.col("_lab2") < F.col("lab")))).alias("_chg")))
-        new = new.checkpoint() if checkpoint else new.cache()
-        changed = new.filter("_chg").limit(1).count()
-        lab = new.drop("_chg")
-        if changed == 0:
-            break
-    return lab.select("id", F.col("lab.id").alias("community"), F.col("lab.ord").alias("community_ord"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
+        new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "_near").alias("_new"))
+        up = labels.select(F.col("node").alias("_new"), F.col("label").alias("_up"))
+        new = new.join(up, "_new").select("node", F.least("_new", "_up").alias("label"), (F.least("_new", "_up") < F.col("label")).alias("_moved")).checkpoint()
+        labels = new.drop("_moved")
+        if new.filter("_moved").isEmpty():
+            return labels
+
+
+def components(node_ord: DataFrame, sim_edges: DataFrame) -> DataFrame:
+    """Connected components; ``node_ord``: id, ord. Returns id, community (id of the first member), community_ord.
+
+    Every partition of the edges contracts its own by a union-find, so what is left to agree on are the roots of nodes
+    that several partitions saw: links between roots, far fewer than edges, whose labels spread in rounds.
+    Nodes are named by their place in the corpus order, so the smallest is the first member.
+    """
+    checkpoint_dir(node_ord.sparkSession)
+    named = node_ord.select("id", F.concat_ws("\x01", "ord", "id").alias("_node"))
+    edges = (sim_edges.select(F.col("source").alias("id"), "target").join(named.withColumnRenamed("_node", "a"), "id").drop("id")
+             .join(named.select(F.col("id").alias("target"), F.col("_node").alias("b")), "target").select("a", "b"))
+    held = (edges.mapInArrow(_contracted, "node string, root string").groupBy("node").agg(F.collect_set("root").alias("roots"))
+            .select("node", F.array_min("roots").alias("root"), "roots").checkpoint())       # a root for each partition at most
+    between = held.filter("size(roots) > 1").select(F.explode("roots").alias("a"), F.col("root").alias("b")).filter("a <> b")
+    own = held.select(F.col("node").alias("_node"), "root")
+    if not between.isEmpty():
+        labels = _least_labels(between).select(F.col("node").alias("root"), "label")
+        own = own.join(labels, "root", "left").select("_node", F.coalesce("label", "root").alias("root"))
+    out = named.join(own, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    return out.select("id", F.substring_index("root", "\x01", -1).alias("community"), F.substring_index("root", "\x01", 1).alias("community_ord"))
 
 
 def degrees(node_ids: DataFrame, sim_edges: DataFrame) -> DataFrame:

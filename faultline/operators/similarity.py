@@ -1,103 +1,32 @@
-"""Vector similarity: normalisation, exact blocked top-K joins, kNN search.
-
-All-pairs cosine is computed exactly, block pair by block pair: every vector
-gets a block number, each (block_lo, block_hi) pair becomes one group, and an
-Arrow ``applyInPandas`` task multiplies the two blocks with numpy (float64),
-keeping for each row only the entries at or above the threshold and within the
-row's top-K (ties kept). A window over each node then takes the exact top-K with
-the documented tie-break. No side is broadcast and no group grows with the
-corpus: a group holds at most two blocks of ``block_size`` vectors.
+"""Vector similarity: normalisation, exact top-K joins and kNN search over a pivot index.
+
+``pivots`` holds the index: blocks of vectors around pivots, whose angles tell which pairs of blocks, or which blocks of a
+query, can't reach the threshold. The others are compared exactly, one Arrow group per pair of blocks (a numpy
+matrix product), and a window over each node takes the exact top-K with the documented tie-break. No group
+grows with the corpus.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_SIZE = 1024
-PAIR_SCHEMA = "i string, j string, sim double"
+from . import pivots as PV
+from .pivots import BLOCK_SIZE
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def l2_normalise(v: Column) -> Column:
     """Divide by the L2 norm (a zero norm counts as 1)."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
-    norm = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(d, lambda x: x / norm)
-
-
-def _blocks(n: int, block_size: int) -> int:
-    return max(1, math.ceil(n / max(1, block_size)))
-
-
-def _topk_rows(S: np.ndarray, k: int, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of the entries that reach the threshold and their row's top ``k`` (ties kept)."""
-    kk = min(k, S.shape[1])
-    # k-th largest per row (ties at the boundary are kept; the exact cut happens later).
-    kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-    keep = (S >= thr) & (S >= kth[:, None])
-    rows, cols = np.nonzero(keep)
-    return rows, cols, S[rows, cols]
-
-
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({"i": pd.Series([], dtype=object), "j": pd.Series([], dtype=object),
-                         "sim": pd.Series([], dtype="float64")})
-
-
-def _pair_fn(k: int, thr: float, same: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        left = pdf[pdf["_side"] == 0] if not same else pdf[pdf["_blk"] == lo]
-        right = pdf[pdf["_side"] == 1] if not same else pdf[pdf["_blk"] == hi]
-        if left.empty or right.empty:
-            return _empty()
-        A = np.stack(left["v"].to_numpy()).astype(np.float64)
-        B = np.stack(right["v"].to_numpy()).astype(np.float64)
-        ia, ib = left["key"].to_numpy(), right["key"].to_numpy()
-        S = A @ B.T
-        if same and lo == hi:
-            np.fill_diagonal(S, -np.inf)
-        r, c, s = _topk_rows(S, k, thr)
-        found = pd.DataFrame({"i": ia[r], "j": ib[c], "sim": s})
-        if same and lo != hi:
-            c, r, s = _topk_rows(S.T, k, thr)
-            found = pd.concat([found, pd.DataFrame({"i": ib[c], "j": ia[r], "sim": s})], ignore_index=True)
-        return found
-    return fn
-
-
-def blocked_topk(left: DataFrame, right: DataFrame | None, k: int, threshold: float,
-                 block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Candidate (i, j, sim) pairs with sim >= threshold, a superset of every row's top-K.
-
-    ``left``/``right``: (key string, v array<double> normalised). ``right=None``
-    means self-join without the diagonal. The block count comes from a row
-    count (one number to the driver).
-    """
-    same = right is None
-    nl = left.count()
-    bl = _blocks(nl, block_size)
-    lk = left.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(bl)).cast("int").alias("_blk"))
-    if same:
-        other = F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_o")
-        x = lk.select("key", "v", "_blk", other).select(
-            "key", "v", "_blk", F.least("_blk", "_o").alias("_lo"), F.greatest("_blk", "_o").alias("_hi"), F.lit(0).alias("_side"))
-        groups = x
-    else:
-        nr = right.count()
-        br = _blocks(nr, block_size)
-        rk = right.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(br)).cast("int").alias("_blk"))
-        a = lk.select("key", "v", "_blk", F.col("_blk").alias("_lo"), F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_hi"),
-                      F.lit(0).alias("_side"))
-        b = rk.select("key", "v", "_blk", F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("_lo"), F.col("_blk").alias("_hi"),
-                      F.lit(1).alias("_side"))
-        groups = a.unionByName(b)
-    return groups.groupBy("_lo", "_hi").applyInPandas(_pair_fn(k, threshold, same), schema=PAIR_SCHEMA)
+    def scaled(d: Column) -> Column:
+        norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x * x))
+        return _bound(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(d, lambda x: x / n))
+
+    return _bound(F.transform(v, lambda x: x.cast("double")), scaled)
 
 
 def top_k_neighbours(nodes: DataFrame, k: int = 6, threshold: float = 0.75, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -106,12 +35,9 @@ def top_k_neighbours(nodes: DataFrame, k: int = 6, threshold: float = 0.75, bloc
     ``nodes``: key, v (raw vector), ord (corpus order; lower first). Ties on
     similarity go to the neighbour earlier in corpus order.
     """
-    normed = nodes.filter(F.col("v").isNotNull() & (F.size("v") > 0)).select("key", l2_normalise(F.col("v")).alias("v"), "ord")
-    cand = blocked_topk(normed.select("key", "v"), None, k, threshold, block_size)
-    order = normed.select(F.col("key").alias("j"), F.col("ord").alias("_jord"))
-    cand = cand.join(order, "j")
-    w = Window.partitionBy("i").orderBy(F.col("sim").desc(), F.col("_jord"))
-    return cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_jord")
+    found = PV.near_pairs(PV.build(nodes.select("key", "ord", "v"), block_size), k, threshold)
+    w = Window.partitionBy("i").orderBy(F.col("sim").desc(), F.col("ord"))
+    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("i", "j", "sim", "ord")
 
 
 def similarity_edges(nodes: DataFrame, k: int = 6, threshold: float = 0.75, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -119,10 +45,8 @@ def similarity_edges(nodes: DataFrame, k: int = 6, threshold: float = 0.75, bloc
 
     ``source`` is the end earlier in corpus order.
     """
-    nb = top_k_neighbours(nodes, k, threshold, block_size)
-    o = nodes.select("key", "ord")
-    e = (nb.join(o.withColumnRenamed("key", "i").withColumnRenamed("ord", "_io"), "i")
-         .join(o.withColumnRenamed("key", "j").withColumnRenamed("ord", "_jo"), "j"))
+    nb = top_k_neighbours(nodes, k, threshold, block_size).withColumnRenamed("ord", "_jo")
+    e = nb.join(nodes.select(F.col("key").alias("i"), F.col("ord").alias("_io")), "i")
     src = F.when(F.col("_io") <= F.col("_jo"), F.col("i")).otherwise(F.col("j"))
     dst = F.when(F.col("_io") <= F.col("_jo"), F.col("j")).otherwise(F.col("i"))
     return (e.select(src.alias("source"), dst.alias("target"), "sim")
@@ -130,22 +54,22 @@ def similarity_edges(nodes: DataFrame, k: int = 6, threshold: float = 0.75, bloc
 
 
 def knn_search(queries: DataFrame, corpus: DataFrame, top_k: int = 3, threshold: float = 0.75,
-               block_size: int = BLOCK_SIZE) -> DataFrame:
+               block_size: int = BLOCK_SIZE, index: PV.PivotIndex | None = None) -> DataFrame:
     """J5 + K5: per query, k = max(top_k, 5) nearest by cosine, score = (1 + cos) / 2 >= threshold,
     re-ranked by score x solution_score, best ``top_k`` kept.
 
-    ``queries``: qkey, v. ``corpus``: key, v, solution_score, ord. Exact search
-    (the candidate budget of an approximate index is not needed).
+    ``queries``: qkey, v. ``corpus``: key, v, solution_score, ord. An ``index`` of the corpus that was built (and
+    perhaps stored) before is used as it is. Exact search (the candidate budget of an approximate index is not needed).
     """
     k = max(top_k, 5)
-    q = queries.select(F.col("qkey").alias("key"), l2_normalise(F.col("v")).alias("v"))
-    c = corpus.filter(F.size("v") > 0).select("key", l2_normalise(F.col("v")).alias("v"))
-    # the score is (1 + cos) / 2, so no hit has a cosine under 2 * threshold - 1 (a little less, for rounding)
-    cand = blocked_topk(q, c, k, 2 * threshold - 1 - 1e-9, block_size).withColumnRenamed("i", "qkey").withColumnRenamed("j", "key")
-    meta = corpus.select("key", "solution_score", "ord")
-    cand = cand.join(meta, "key")
+    index = index or PV.build(corpus.select("key", "ord", "v"), block_size)
+    asked = queries.filter(F.col("v").isNotNull() & (F.size("v") > 0)).select(F.col("qkey").alias("key"), "v")
+    # the score is (1 + cos) / 2, so no hit has a cosine under 2 * threshold - 1
+    cand, _ = PV.probe(index, asked, k, 2 * threshold - 1 - PV.SLACK)
+    cand = cand.select(F.col("i").alias("qkey"), F.col("j").alias("key"), "sim", "ord")
     w1 = Window.partitionBy("qkey").orderBy(F.col("sim").desc(), F.col("ord"))
     cand = cand.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+    cand = cand.join(corpus.select("key", "solution_score"), "key")
     cand = cand.withColumn("score", (F.lit(1.0) + F.col("sim")) / 2).filter(F.col("score") >= threshold)
     cand = cand.withColumn("rank_score", F.col("score") * F.coalesce(F.col("solution_score"), F.lit(1.0)))
     w2 = Window.partitionBy("qkey").orderBy(F.col("rank_score").desc(), F.col("_r1"))
@@ -158,7 +82,8 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """E6 stand-in embedder: hashed lower-cased word counts, L2-normalised (not a language model)."""
     toks = F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
     idx = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(idx, lambda x: x == d)).cast("double"))
+    counts = _bound(idx, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
+                                                 lambda d: F.size(F.filter(own, lambda x: x == d)).cast("double")))
     return l2_normalise(counts)
 
 
