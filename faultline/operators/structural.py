@@ -1,14 +1,15 @@
-"""Pass 2: structural collapse (W1-W6, A11) as window plans over ``log_id``.
+"""Pass 2: structural collapse (W1-W6, A11), block by block of every log.
 
 Input: annotated lines (``log_id, idx, text, template, var_tokens, kind, severity``).
 Output adds ``drop`` (bool), ``reason``, ``note`` (strings, '' when unset) and
 ``score`` (int). The five collapsers run in order (banner, stack, JSON, progress,
 repeat), each reading the ``drop`` column left by the previous one.
 
-Every window is partitioned by ``log_id`` first, so one hash exchange on
-``log_id`` serves all of them. State that is inherently sequential
-(anchored repeat buckets) is folded with ``aggregate`` over the occurrences of one
-template in one log. Nothing is cut: logs, lines and blocks have any length.
+Passes run inside blocks of a log's lines, see ``blocks``. One scan of block summaries cuts every log into
+segments, at lines where no run of stack frames or progress lines is open, and carries the bracket
+balance; windows are by (log, segment). Folds and repeat buckets reach over segments: they work on the few
+lines that matter, by scans and links. No task holds a whole log and no row collects
+one. Nothing is cut: logs, lines and blocks have any length.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import checkpoint_dir
+from . import blocks as BK
 
 LOG = "log_id"
-
-
-def _w(*extra: str):
-    return Window.partitionBy(LOG, *extra).orderBy("idx")
+FOLD_BAND = 64      # lines
 
 
 def _count_char(c: Column, ch: str) -> Column:
@@ -43,13 +43,43 @@ def drop_banners(df: DataFrame) -> DataFrame:
             .withColumn("reason", F.when(b, F.lit("banner")).otherwise(F.col("reason"))))
 
 
+def prepared(df: DataFrame, size: int = BK.BLOCK) -> DataFrame:
+    """What order-dependent passes need from the lines before theirs, in one scan of block summaries.
+
+    ``_b`` is the block, ``_seg`` the line that opens the segment of a line, ``_D`` the bracket balance up to it. A
+    segment begins at the first line of a block that is neither a stack frame nor a progress line, so no run of
+    these is cut, and windows by (log, segment) see whole runs and about one block.
+    """
+    t = F.col("text")
+    delta = _count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]")
+    df = BK.with_blocks(df, size).withColumn("_delta", F.when(t == "", 0).otherwise(delta))
+    loose = F.when(~F.col("kind").isin(P.KIND_STACK, P.KIND_PROGRESS), F.col("idx"))
+    opens = F.min(loose).over(Window.partitionBy(LOG, BK.BLK))
+    df = df.withColumn("_opens", F.when(opens == F.col("idx"), F.col("idx")))
+    df = BK.scan(df, [LOG], {"_seg": ("last", F.col("_opens")), "_D": ("sum", F.col("_delta"))}).drop("_opens")
+    return df.withColumn("_seg", F.coalesce("_seg", F.lit(-1)))
+
+
+def _prepared(df: DataFrame, size: int) -> DataFrame:
+    """A pass may be called alone."""
+    return df if "_seg" in df.columns else prepared(df, size)
+
+
+def _w(*extra: str):
+    return Window.partitionBy(LOG, "_seg", *extra).orderBy("idx")
+
+
 def _islands(df: DataFrame, kind: int, name: str) -> DataFrame:
-    """Maximal runs of one kind: ``name`` = island number (null outside)."""
+    """Maximal runs of one kind: ``name`` = the run's number in its segment (null outside)."""
     is_k = F.col("kind") == kind
-    prev = F.coalesce(F.lag(is_k, 1).over(_w()), F.lit(False))
-    df = df.withColumn(f"_{name}_start", (is_k & ~prev).cast("int"))
-    df = df.withColumn(name, F.when(is_k, F.sum(f"_{name}_start").over(_w().rowsBetween(Window.unboundedPreceding, 0))))
-    return df.drop(f"_{name}_start")
+    return df.withColumn(name, F.when(is_k, F.sum((~is_k).cast("int")).over(_w().rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def _first_of(df: DataFrame, run: str, n: int) -> DataFrame:
+    """The first ``n`` lines of every run: of each of its blocks, then of these."""
+    for keys in ([LOG, run, BK.BLK], [LOG, run]):
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))).filter(F.col("_r") <= n)
+    return df.drop("_r")
 
 
 def project_frame(text: Column) -> Column:
@@ -57,11 +87,11 @@ def project_frame(text: Column) -> Column:
     return ~reduce(lambda a, b: a | b, [text.contains(h) for h in P.PKG_MGR_HINTS])
 
 
-def collapse_stacks(df: DataFrame, keep_project: int = P.STACK_KEEP_PROJECT) -> DataFrame:
+def collapse_stacks(df: DataFrame, keep_project: int = P.STACK_KEEP_PROJECT, size: int = BK.BLOCK) -> DataFrame:
     """Stack runs longer than 4 keep the top frame and the first project frames."""
-    df = _islands(df, P.KIND_STACK, "_srun")
+    df = _islands(_prepared(df, size), P.KIND_STACK, "_srun")
     ws = _w("_srun")
-    wsa = Window.partitionBy(LOG, "_srun")
+    wsa = Window.partitionBy(LOG, "_seg", "_srun")
     off = F.row_number().over(ws) - 1
     df = df.withColumn("_off", F.when(F.col("_srun").isNotNull(), off))
     proj = project_frame(F.col("text")) & (F.col("_off") >= 1)
@@ -87,72 +117,72 @@ def _same(d: DataFrame) -> DataFrame:
     return d
 
 
-def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_MIN_RUN, reuse=_same) -> DataFrame:
-    """Fold balanced multi-line JSON blocks opened by a JSON line.
-
-    1. bracket balance per line, running prefix ``D``;
-    2. an opener's block ends with the first later line whose prefix falls to the level before
-       the opener. A line crosses the levels between its own and the previous prefix, so the openers and
-       crossings of one (log, level) lie in one window and the next crossing is the end. Blocks that never close go to
-       the log's end; ``max_run`` bounds a block, if given;
-    3. blocks nest, so the outermost ones are those that no earlier block covers (a running maximum
-       of ends). Bounded blocks may not nest; then the choice is a fold over a log's openers.
-    """
-    t = F.col("text")
-    delta = _count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]")
-    df = df.withColumn("_delta", F.when(t == "", 0).otherwise(delta))
-    df = df.withColumn("_D", F.sum("_delta").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
-    df = reuse(df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(LOG))))
-    opener = (F.col("kind") == P.KIND_JSON) & ~F.col("drop") & (t != "") & (F.col("_delta") > 0)
-    ops = df.filter(opener).select(LOG, "idx", (F.col("_D") - F.col("_delta")).alias("_level"), "_n")
-    crossings = df.filter(F.col("_delta") < 0).select(
-        LOG, "idx", F.explode(F.sequence(F.col("_D"), F.col("_D") - F.col("_delta") - 1)).alias("_level"),
-        F.lit(None).cast("bigint").alias("_n"))
-    both = ops.unionByName(crossings)
-    close = F.first(F.when(F.col("_n").isNull(), F.col("idx")), ignorenulls=True).over(
-        Window.partitionBy(LOG, "_level").orderBy("idx").rowsBetween(1, Window.unboundedFollowing))
-    ends = both.withColumn("_close", close).filter(F.col("_n").isNotNull())
+def json_folds(df: DataFrame, max_run: int | None, min_run: int, size: int) -> DataFrame:
+    """(log_id, _s, _e): the folded blocks, from their opening line to the line behind their end."""
+    opener = (F.col("kind") == P.KIND_JSON) & ~F.col("drop") & (F.col("text") != "") & (F.col("_delta") > 0)
+    level = (F.col("_D") - F.col("_delta")).cast("int")
+    checkpoint_dir(df.sparkSession)
+    edges = df.filter(opener | (F.col("_delta") < 0)).select(
+        LOG, BK.BLK, "idx", opener.alias("_opens"), level.alias("_before"), F.col("_D").cast("int").alias("_after")).checkpoint()
+    ops = edges.filter("_opens").select(LOG, BK.BLK, "idx", F.col("_before").alias("_level"), F.lit(None).cast("int").alias("_cross"))
+    crossings = edges.filter("_after < _before").select(
+        LOG, BK.BLK, "idx", F.explode(F.sequence("_after", F.col("_before") - 1)).alias("_level"), F.col("idx").alias("_cross"))
+    both = BK.scan(ops.unionByName(crossings), [LOG, "_level"], {"_close": ("first", F.col("_cross"))}, ahead=True, own=False)
+    lines = df.groupBy(LOG).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    ends = both.filter(F.col("_cross").isNull()).join(lines, LOG)
     end = F.coalesce(F.col("_close") + 1, F.col("_n"))
     end = end if max_run is None else F.least(end, F.col("idx") + max_run, F.col("_n"))
-    ends = ends.select(LOG, F.col("idx").alias("_i"), end.cast("int").alias("_end"))
+    ends = ends.select(LOG, BK.BLK, "idx", end.cast("int").alias("_e")).checkpoint()
     if max_run is None:
-        before = F.max("_end").over(Window.partitionBy(LOG).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
-        outer = ends.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") <= F.col("_i")))
+        outer = (BK.scan(ends, [LOG], {"_before": ("max", F.col("_e"))}, own=False)
+                 .filter(F.col("_before").isNull() | (F.col("_before") <= F.col("idx"))))
     else:
-        chosen = ends.groupBy(LOG).agg(F.sort_array(F.collect_list(F.struct("_i", "_end"))).alias("_ops"))
-        init = F.struct(F.lit(-1).alias("nxt"), F.array().cast("array<struct<_i:int,_end:int>>").alias("out"))
-        picked = F.aggregate(
-            "_ops", init,
-            lambda acc, x: F.when(x["_i"] >= acc["nxt"], F.struct(x["_end"].alias("nxt"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc),
-        )["out"]
-        outer = chosen.select(LOG, F.explode(picked).alias("o")).select(LOG, "o._i", "o._end")
-    blocks = (outer.select(LOG, F.col("_i").alias("idx"), F.col("_end").alias("_fend"))
-              .filter(F.col("_fend") - F.col("idx") >= min_run))
-    df = df.join(blocks, [LOG, "idx"], "left")
-    # Each line learns the last folded block starting at or before it.
-    last_block = F.last(F.when(F.col("_fend").isNotNull(), F.struct(F.col("idx").alias("s"), F.col("_fend").alias("e"))), ignorenulls=True)
-    df = df.withColumn("_blk", last_block.over(_w().rowsBetween(Window.unboundedPreceding, 0)))
-    inside = F.col("_blk").isNotNull() & (F.col("idx") > F.col("_blk.s")) & (F.col("idx") < F.col("_blk.e"))
-    is_head = F.col("_fend").isNotNull()
-    key = F.when(inside & (t != ""), F.nullif(F.regexp_extract(t, P.J(P.JSON_KEY), 1), F.lit("")))
-    df = df.withColumn("_key", key).withColumn("_bs", F.when(inside, F.col("_blk.s")).when(is_head, F.col("idx")))
-    wk = Window.partitionBy(LOG, "_bs").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keys = F.slice(F.filter(F.collect_list(F.col("_key")).over(wk), lambda k: k.isNotNull()), 1, 5)
-    df = df.withColumn("_keys", F.when(is_head, keys))
-    note = F.format_string("<json: %d lines, top-keys=[%s]>", F.col("_fend") - F.col("idx"),
-                           F.when(F.size("_keys") > 0, F.array_join("_keys", ",")).otherwise(F.lit("?")))
+        links = BK.next_at(ends, ends, [LOG], "_e", "nxt", size)
+        starts = ends.groupBy(LOG).agg(F.min("idx").alias("idx"))
+        outer = ends.join(BK.greedy_chain(starts, links, [LOG]).withColumn("idx", F.col("idx").cast("int")), [LOG, "idx"])
+    return outer.filter(F.col("_e") - F.col("idx") >= min_run).select(LOG, F.col("idx").alias("_s"), "_e").checkpoint()
+
+
+def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_MIN_RUN, reuse=_same, size: int = BK.BLOCK) -> DataFrame:
+    """Fold balanced multi-line JSON blocks opened by a JSON line.
+
+    1. an opener's block ends with the first later line whose bracket balance falls to the level before
+       the opener. A line crosses the levels between its own and the previous balance, so the openers and
+       crossings of one (log, level) are scanned from the end for the next crossing. Blocks that never close go to
+       the log's end; ``max_run`` bounds a block, if given;
+    2. blocks nest, so the outermost ones are those that no earlier block covers (a running maximum
+       of ends). Bounded blocks may not nest; then each chosen block leads to the first opener behind it;
+    3. lines meet the folds in bands of ``FOLD_BAND`` lines: folds don't overlap, so a line meets one at most.
+    """
+    df = reuse(_prepared(df, size))
+    folds = json_folds(df, max_run, min_run, size)
+    band = F.explode(F.sequence(F.floor(F.col("_s") / FOLD_BAND), F.floor((F.col("_e") - 1) / FOLD_BAND))).alias("_band")
+    spans = folds.select(F.col(LOG).alias("_log"), "_s", "_e", band)
+    at = ((F.col(LOG) == F.col("_log")) & (F.floor(F.col("idx") / FOLD_BAND) == F.col("_band"))
+          & (F.col("idx") >= F.col("_s")) & (F.col("idx") < F.col("_e")))
+    key = F.nullif(F.regexp_extract("text", P.J(P.JSON_KEY), 1), F.lit(""))
+    named = (df.filter(F.col("text") != "").select(LOG, BK.BLK, "idx", key.alias("_key")).filter("_key is not null")
+             .join(spans, at).filter("idx > _s").select(LOG, BK.BLK, "idx", "_s", "_key"))
+    keys = _first_of(named, "_s", 5).groupBy(LOG, "_s").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", "_key"))), lambda x: x["_key"]).alias("_keys"))    # five at most
+    heads = folds.join(keys, [LOG, "_s"], "left").select(LOG, F.col("_s").alias("idx"), "_keys")
+    df = df.join(spans, at, "left").drop("_log", "_band").join(heads, [LOG, "idx"], "left")
+    is_head = F.coalesce(F.col("idx") == F.col("_s"), F.lit(False))
+    inside = F.coalesce(F.col("idx") > F.col("_s"), F.lit(False))
+    note = F.format_string("<json: %d lines, top-keys=[%s]>", F.col("_e") - F.col("idx"),
+                           F.coalesce(F.array_join("_keys", ","), F.lit("?")))
     return (
         df.withColumn("drop", F.col("drop") | inside)
         .withColumn("reason", F.when(inside, F.lit("json-folded")).when(is_head, F.lit("json-summary")).otherwise(F.col("reason")))
         .withColumn("note", F.when(is_head, note).otherwise(F.col("note")))
-        .drop("_delta", "_D", "_n", "_fend", "_blk", "_key", "_bs", "_keys")
+        .drop("_s", "_e", "_keys")
     )
 
 
-def collapse_progress(df: DataFrame, min_run: int = P.PROGRESS_MIN_RUN) -> DataFrame:
+def collapse_progress(df: DataFrame, min_run: int = P.PROGRESS_MIN_RUN, size: int = BK.BLOCK) -> DataFrame:
     """A progress island from its first live line on collapses when long enough."""
-    df = _islands(df, P.KIND_PROGRESS, "_prun")
-    wa = Window.partitionBy(LOG, "_prun")
+    df = _islands(_prepared(df, size), P.KIND_PROGRESS, "_prun")
+    wa = Window.partitionBy(LOG, "_seg", "_prun")
     df = (df.withColumn("_first", F.min(F.when(~F.col("drop"), F.col("idx"))).over(wa))
           .withColumn("_last", F.max("idx").over(wa)))
     rlen = F.col("_last") - F.col("_first") + 1
@@ -179,32 +209,43 @@ def first_values(rows: DataFrame, n: int = 3) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_tok"))), lambda x: x["_tok"]), ", ").alias("_vals"))
 
 
-def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT, reuse=_same) -> DataFrame:
+def bucket_heads(el: DataFrame, window: int, size: int = BK.BLOCK) -> DataFrame:
+    """(log_id, _b, idx, _head): the first line of the bucket that each of ``el`` (log_id, _b, idx, template) is in.
+
+    A bucket opened at eligible line ``s`` closes at the first eligible line (any template) behind ``s + window``
+    and includes it when the template matches; the next one opens at the template's first line behind that. A line
+    opens a bucket for sure if the template's line before it closes earlier, whatever came before; only
+    where lines lie closer, the openings form chains, whose links are followed by doubling.
+    """
+    place = [LOG, "template"]
+    checkpoint_dir(el.sparkSession)
+    el = BK.next_at(el, el.withColumn("_from", F.col("idx") + window + 1), [LOG], "_from", "_close", size).drop("_from").checkpoint()
+    el = BK.scan(el, place, {"_pc": ("last", F.struct(F.coalesce("_close", F.lit(1 << 40)).alias("c")))}, own=False)
+    sure = F.col("_pc").isNull() | (F.col("_pc.c") < F.col("idx"))
+    el = el.withColumn("_sure", F.when(sure, F.struct("idx", "_close"))).drop("_pc").checkpoint()
+    el = BK.scan(el, place, {"_seg": ("last", F.col("_sure"))}).checkpoint()
+    dense = el.filter(F.col("idx") > F.col("_seg._close")).select(*place, F.col("_seg.idx").alias("_s")).distinct()
+    rows = el.withColumn("_s", F.col("_seg.idx")).join(dense, [*place, "_s"], "left_semi").select(*place, BK.BLK, "idx", "_s", "_close")
+    rows = rows.checkpoint()
+    links = BK.next_at(rows, rows.withColumn("_behind", F.col("_close") + 1).filter("_behind is not null"), place, "_behind", "nxt", size)
+    heads = BK.greedy_chain(rows.filter("idx = _s"), links, place).select(*place, F.col("idx").cast("int").alias("idx"), F.lit(True).alias("_new"))
+    el = el.join(heads, [*place, "idx"], "left")
+    opens = F.when(F.col("_sure").isNotNull() | F.col("_new"), F.col("idx"))
+    el = el.select(LOG, BK.BLK, "idx", "template", opens.alias("_opens")).checkpoint()
+    return BK.scan(el, place, {"_head": ("last", F.col("_opens"))}).select(LOG, BK.BLK, "idx", "_head")
+
+
+def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT, reuse=_same,
+                   size: int = BK.BLOCK) -> DataFrame:
     """Anchored repeat buckets per template; keep first and last, note on last.
 
-    A bucket opened at eligible line ``s`` closes at the first eligible line
-    (any template) with index > s + window and includes it when the template
-    matches. ``close`` is a range-frame min over eligible lines; assigning
-    occurrences to buckets is a fold over the (log, template) occurrence list.
+    A bucket holds ``window`` + 2 lines at most, so its windows are small whatever the log's size.
     """
-    df = reuse(df)
+    df = reuse(BK.with_blocks(df, size))
     eligible = ~F.col("drop") & (F.col("text") != "") & (F.col("severity") < P.SEV_ERROR)
-    el = df.filter(eligible).select(LOG, "idx", "template", "var_tokens")
-    wr = Window.partitionBy(LOG).orderBy("idx").rangeBetween(window + 1, Window.unboundedFollowing)
-    el = el.withColumn("_close", F.min("idx").over(wr))
-    occ = el.groupBy(LOG, "template").agg(F.sort_array(F.collect_list(F.struct("idx", "_close"))).alias("_occ"))
-    init = F.struct(F.lit(None).cast("int").alias("close"), F.lit(True).alias("none"), F.array().cast("array<int>").alias("heads"))
-
-    def step(acc, x):
-        new = acc["none"] | (acc["close"].isNotNull() & (x["idx"] > acc["close"]))
-        return F.when(new, F.struct(x["_close"].alias("close"), F.lit(False).alias("none"),
-                                    F.array_append(acc["heads"], x["idx"]).alias("heads"))).otherwise(acc)
-
-    # the fold keeps the buckets' first lines only; every line then takes the last one before it
-    heads = occ.select(LOG, F.explode(F.aggregate("_occ", init, step)["heads"]).alias("idx"), F.lit(True).alias("_new"))
-    el = el.join(heads, [LOG, "idx"], "left")
-    wt = Window.partitionBy(LOG, "template").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    el = el.withColumn("_head", F.last(F.when(F.col("_new"), F.col("idx")), ignorenulls=True).over(wt))
+    el = df.filter(eligible)
+    heads = bucket_heads(el.select(LOG, BK.BLK, "idx", "template"), window, size)
+    el = el.select(LOG, BK.BLK, "idx", "var_tokens").join(heads, [LOG, BK.BLK, "idx"])
     wb = Window.partitionBy(LOG, "_head")
     el = (el.withColumn("_cnt", F.count(F.lit(1)).over(wb))
           .withColumn("_first", F.min("idx").over(wb))
@@ -213,7 +254,7 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     el = el.join(first_values(el), [LOG, "_head"], "left")
     el = el.withColumn("_vals", F.coalesce("_vals", F.lit("")))
     marks = el.select(
-        LOG, "idx",
+        LOG, BK.BLK, "idx",
         ((F.col("idx") > F.col("_first")) & (F.col("idx") < F.col("_lastb"))).alias("_mid"),
         (F.col("idx") == F.col("_lastb")).alias("_islast"),
         F.when(F.col("idx") == F.col("_lastb"), F.format_string(
@@ -221,7 +262,7 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
             F.when(F.col("_vals") != "", F.concat(F.lit(": values="), F.col("_vals"))).otherwise(F.lit(""))
         )).alias("_rnote"),
     )
-    df = df.join(marks, [LOG, "idx"], "left")
+    df = df.join(marks, [LOG, BK.BLK, "idx"], "left")
     mid = F.coalesce(F.col("_mid"), F.lit(False))
     last = F.coalesce(F.col("_islast"), F.lit(False))
     return (
@@ -232,18 +273,19 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     )
 
 
-def collapse(lines: DataFrame, reuse=_same) -> DataFrame:
+def collapse(lines: DataFrame, reuse=_same, size: int = BK.BLOCK) -> DataFrame:
     """All five collapsers in their fixed order.
 
-    ``reuse`` (e.g. persist) is applied where a pass reads its input in several
-    branches (the JSON band join, the repeat-bucket fold).
+    ``reuse`` (e.g. persist) is applied where a pass reads its input in several branches; ``size`` is the number of
+    lines in a block.
     """
-    df = init_state(lines)
-    df = drop_banners(df)
-    df = collapse_stacks(df)
-    df = fold_json(df, reuse=reuse)
-    df = collapse_progress(df)
-    return dedupe_repeats(df, reuse=reuse)
+    df = _prepared(lines, size)
+    df = drop_banners(init_state(df))
+    df = collapse_stacks(df, size=size)
+    df = fold_json(df, reuse=reuse, size=size)
+    df = collapse_progress(df, size=size)
+    df = dedupe_repeats(df, reuse=reuse, size=size)
+    return df.drop(*[c for c in ("_delta", "_D", "_seg", BK.BLK) if c not in lines.columns])
 
 
 def collapse_stats(collapsed: DataFrame) -> DataFrame:

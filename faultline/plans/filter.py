@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import baseline as B
+from ..operators import blocks as BK
 from ..operators import detectors as D
 from ..operators import render as R
 from ..operators import select as S
@@ -55,10 +56,10 @@ def _materialize(df: DataFrame, how: str | None) -> DataFrame:
 
 
 def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Split (if needed) and annotate; hash-partition by ``log_id`` once."""
+    """Split (if needed) and annotate; hash-partition by (log, block of lines) once, so a hot log is many tasks' work."""
     lines = df if "idx" in df.columns else T.split_lines(df.select(LOG, "raw"))
-    lines = lines.select(LOG, "idx", "raw")
-    return T.annotate(lines.repartition(partitions, LOG) if partitions else lines.repartition(LOG))
+    lines = BK.with_blocks(lines.select(LOG, "idx", "raw"))
+    return T.annotate(lines.repartition(partitions, LOG, BK.BLK) if partitions else lines.repartition(LOG, BK.BLK))
 
 
 def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,
@@ -73,7 +74,7 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
     """
     keep = lambda d: _materialize(d, reuse)
     lines = _materialize(lines, materialize)
-    collapsed = _materialize(ST.collapse(lines, reuse=keep), materialize)
+    collapsed = _materialize(ST.collapse(lines, reuse=keep).drop(BK.BLK), materialize)
     dets = D.load_detectors(detectors) if isinstance(detectors, str) or detectors is None else list(detectors)
     marked, locs, names = D.run_detectors(collapsed, dets, cap=max_active, materialize=lambda d: _materialize(d, materialize),
                                           reuse=keep)

@@ -5,7 +5,11 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 
+from pyspark.sql import functions as F
+
+from faultline.operators import blocks as BK
 from faultline.operators import structural as ST
 from faultline.operators import tokenize as T
 from faultline.plans.oracle import tokenized_sql
@@ -31,12 +35,13 @@ def rand_log(rng: random.Random) -> str:
     return "\n".join(lines)
 
 
-def collapsed(spark, logs: dict[str, str]):
+def collapsed(spark, logs: dict[str, str], size: int = BK.BLOCK):
     df = spark.createDataFrame(list(logs.items()), "log_id string, raw string")
-    return ST.collapse(T.tokenize(df))
+    return ST.collapse(T.tokenize(df).persist(), size=size)
 
 
-def test_collapse_equals_the_sql_oracle(spark):
+@pytest.mark.parametrize("size", [BK.BLOCK, 8])
+def test_collapse_equals_the_sql_oracle(spark, size):
     rng = random.Random(7)
     logs = {f"L{i}": rand_log(rng) for i in range(60)}
     rows = [(k, i, line) for k, raw in logs.items() if raw for i, line in enumerate(raw.split("\n"))]
@@ -45,7 +50,7 @@ def test_collapse_equals_the_sql_oracle(spark):
     con.executemany("INSERT INTO src VALUES (?, ?, ?)", rows)
     names = ["log_id", "idx", "text", "kind", "severity", "score", "drop", "reason", "note"]
     want = con.execute("WITH " + tokenized_sql("src") + _COLLAPSE_BODY + f"\nSELECT {', '.join(names)} FROM collapsed").fetchall()
-    got = [tuple(r) for r in collapsed(spark, logs).select(*names).collect()]
+    got = [tuple(r) for r in collapsed(spark, logs, size).select(*names).collect()]
     assert sorted(got) == sorted(want) and len(got) == len(rows)
 
 
@@ -114,3 +119,59 @@ def test_long_lines_and_line_ends(spark):
 def test_collapse_stats(spark):
     st = ST.collapse_stats(collapsed(spark, {"L0": "\n".join(["WARN x 1"] * 10 + ["========"])})).collect()[0]
     assert st.banner == 1 and st.repeat_elided == 8
+
+
+def test_json_folds_reach_over_blocks(spark):
+    inner = [f'"k{i}": [' if i % 7 == 3 else "]," if i % 7 == 5 else f'"v{i}": {i},' for i in range(42)]
+    raw = "\n".join(["INFO start", "{", *inner, "}", "INFO middle", '{"a": {', '"b": 1', "}", "}", "{", '"open": 1', "INFO end"])
+    whole = [tuple(r) for r in collapsed(spark, {"L": raw}).orderBy("idx").select("idx", "drop", "reason", "note").collect()]
+    assert [n for _, _, _, n in whole if n.startswith("<json")][0].startswith("<json: 44 lines")
+    for size in (3, 16):
+        assert [tuple(r) for r in collapsed(spark, {"L": raw}, size).orderBy("idx").select("idx", "drop", "reason", "note").collect()] == whole
+
+
+def test_a_hot_log_is_cut_into_segments_between_runs(spark):
+    rng = random.Random(3)
+    hot = []
+    while len(hot) < 6000:
+        hot += ["\tat com.acme.B.m(B.java:1)"] * rng.randrange(12) + [f"Downloading {i}% " for i in range(rng.randrange(9))]
+        hot += [f"INFO step {rng.randrange(50)}" for _ in range(rng.randrange(1, 20))]
+    logs = {"hot": "\n".join(hot)} | {f"L{i}": "INFO a\nINFO b" for i in range(20)}
+    lines = ST.prepared(T.tokenize(spark.createDataFrame(list(logs.items()), "log_id string, raw string")), 100)
+    rows = lines.select("log_id", "_seg", "idx", "kind").orderBy("log_id", "idx").collect()
+    sizes: dict = {}
+    for r in rows:
+        sizes[r.log_id, r._seg] = sizes.get((r.log_id, r._seg), 0) + 1
+    assert max(sizes.values()) <= 200 and len([k for k in sizes if k[0] == "hot"]) >= 59
+    for a, b in zip(rows, rows[1:]):
+        if a.log_id == b.log_id and a._seg != b._seg:
+            assert b._seg == b.idx and b.kind not in (4, 5)       # a segment begins outside stack and progress runs
+
+
+def test_scans_and_links_equal_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([None, *range(-5, 6)])) for k in ("a", "b") for i in sorted(rng.sample(range(300), 120))]
+    df = BK.with_blocks(spark.createDataFrame(rows, "k string, idx int, v int"), 16)
+    back = BK.scan(df, ["k"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}, own=False)
+    ahead = BK.scan(df, ["k"], {"f": ("first", F.col("v"))}, ahead=True)
+    got = {(r.k, r.idx): (r.s, r.m, r.l) for r in back.collect()}
+    nxt = {(r.k, r.idx): r.f for r in ahead.collect()}
+    for k, i, v in rows:
+        before = [x for q, j, x in rows if q == k and j < i and x is not None]
+        s, m, last = got[k, i]
+        assert (s or 0, m, last) == (sum(before), max(before, default=None), before[-1] if before else None)
+        behind = [x for q, j, x in rows if q == k and j >= i and x is not None]
+        assert nxt[k, i] == (behind[0] if behind else None)
+    asked = df.withColumn("at", F.col("idx") + 20)
+    for r in BK.next_at(df, asked, ["k"], "at", "nxt", 16).collect():
+        assert r.nxt == min((j for q, j, _ in rows if q == r.k and j >= r.idx + 20), default=None)
+    links = BK.next_at(df, asked, ["k"], "at", "nxt", 16)
+    starts = df.groupBy("k").agg(F.min("idx").alias("idx"))
+    want = set()
+    for k in ("a", "b"):
+        own = [j for q, j, _ in rows if q == k]
+        at = own[0]
+        while at is not None:
+            want.add((k, at))
+            at = min((j for j in own if j >= at + 20), default=None)
+    assert {tuple(r) for r in BK.greedy_chain(starts, links, ["k"]).collect()} == want
