@@ -39,10 +39,11 @@ def counter_sketch(success_lines: DataFrame, build_cols: tuple[str, ...] = ("job
 
 
 def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
-                   build_cols: tuple[str, ...] = ("job_name", "stage_name")) -> DataFrame:
+                   build_cols: tuple[str, ...] = ("job_name", "stage_name"), self_baseline: bool = True) -> DataFrame:
     """Drop common INFO / very common repeated WARN lines, boost novel INFO.
 
-    Adds ``baseline_version`` per line (same for all lines of a log).
+    Adds ``baseline_version`` per line (same for all lines of a log). Provider order: a counter sketch of the log's
+    (job, stage), else its self-baseline, else, without ``self_baseline``, the empty one, to which every template is novel.
     """
     # Self-baseline by windows (no join): prefix INFO count per (log, template).
     n = F.count(F.lit(1)).over(Window.partitionBy(LOG))
@@ -50,7 +51,8 @@ def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
     cut = F.greatest(F.lit(P.SELF_BASELINE_MIN_LINES), F.floor(F.col("_n") * P.SELF_BASELINE_PREFIX))
     pre = (F.col("idx") < cut) & (F.col("text") != "") & (F.col("severity") == P.SEV_INFO) & ~F.col("drop")
     df = df.withColumn("_pre", pre.cast("int"))
-    df = df.withColumn("_self_common", F.sum("_pre").over(Window.partitionBy(LOG, "template")) >= P.SELF_BASELINE_MIN_COUNT)
+    df = df.withColumn("_self_common", (F.sum("_pre").over(Window.partitionBy(LOG, "template")) >= P.SELF_BASELINE_MIN_COUNT)
+                       if self_baseline else F.lit(False))
     if sketch is not None:
         keys = sketch.select(*build_cols).distinct().withColumn("_has_sketch", F.lit(True))
         df = (df.join(keys, list(build_cols), "left")
@@ -72,7 +74,8 @@ def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
     first_of_tpl = F.row_number().over(Window.partitionBy(LOG, "template").orderBy("idx")) == 1
     df = df.withColumn("_c1", (F.coalesce(F.col("_self_common"), F.lit(False)) & first_of_tpl).cast("int"))
     n_common = F.sum("_c1").over(Window.partitionBy(LOG))
-    version = F.when(has, F.lit("counter")).otherwise(F.format_string("self/%.2f/%d", F.lit(P.SELF_BASELINE_PREFIX), n_common))
+    own = F.format_string("self/%.2f/%d", F.lit(P.SELF_BASELINE_PREFIX), n_common) if self_baseline else F.lit("empty")
+    version = F.when(has, F.lit("counter")).otherwise(own)
     out = (
         df.withColumn("baseline_version", version)
         .withColumn("_bdrop", drop_warn | drop_info)

@@ -21,6 +21,11 @@ BLOCK = 4096        # line numbers of one block
 BLK = "_b"
 
 
+def several(lines: DataFrame) -> bool:
+    """Whether any log has a second block (one number to the driver)."""
+    return (lines.agg(F.max(BLK)).first()[0] or 0) > 0
+
+
 def block_of(idx: Column | str, size: int = BLOCK) -> Column:
     return F.floor((F.col(idx) if isinstance(idx, str) else idx) / size).cast("int")
 
@@ -40,13 +45,13 @@ def _joint(kind: str, a: Column, b: Column) -> Column:
 
 
 def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column]], order: tuple[str, ...] = ("idx",),
-         ahead: bool = False, own: bool = True) -> DataFrame:
+         ahead: bool = False, own: bool = True, spans: bool = True) -> DataFrame:
     """Running values over all rows of a key.
 
     ``specs`` names new columns with (kind, value): ``sum``, ``max``, ``last`` (the last value that is
     not null) for scans from the start; ``first`` for scans ``ahead`` from the end. ``own`` tells whether a
     row's own value counts. ``df`` must hold ``_b``; rows of a key are ordered by ``order``, of which the first
-    column follows the blocks.
+    column follows the blocks. ``spans`` false says that no key has a second block: nothing is carried then.
     """
     local = Window.partitionBy(*keys, BLK).orderBy(*order)
     here = 0 if own else (1 if ahead else -1)
@@ -59,6 +64,8 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column]], o
         at = F.when(c.isNotNull(), F.struct(*order))
         return {"sum": F.sum, "max": F.max, "last": lambda x: F.max_by(x, at), "first": lambda x: F.min_by(x, at)}[kind](c)
 
+    if not spans:
+        return df.select("*", *[_joint(k, F.lit(None), run[k](c).over(local)).alias(n) for n, (k, c) in specs.items()])
     summary = df.groupBy(*keys, BLK).agg(*[whole(k, c).alias(f"_w{i}") for i, (k, c) in enumerate(specs.values())])
     carried = summary.select(*keys, BLK, *[run[k](F.col(f"_w{i}")).over(between).alias(f"_c{i}") for i, (k, _) in enumerate(specs.values())])
     carried = carried.filter(" or ".join(f"_c{i} is not null" for i in range(len(specs))))
@@ -67,7 +74,8 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column]], o
     return out.select(*df.columns, *[_joint(k, F.col(f"_c{i}"), F.col(f"_l{i}")).alias(n) for i, (n, (k, _)) in enumerate(specs.items())])
 
 
-def next_at(points: DataFrame, queries: DataFrame, keys: list[str], at: str, into: str, size: int = BLOCK) -> DataFrame:
+def next_at(points: DataFrame, queries: DataFrame, keys: list[str], at: str, into: str, size: int = BLOCK,
+            spans: bool = True) -> DataFrame:
     """``queries`` with ``into``: the smallest ``idx`` of ``points`` of the same key that is ``at`` or more (else null)."""
     asked = queries.withColumnRenamed(BLK, "_own")
     rest = [c for c in asked.columns if c not in keys]
@@ -77,7 +85,7 @@ def next_at(points: DataFrame, queries: DataFrame, keys: list[str], at: str, int
             .unionByName(asked.select(*keys, *rest, F.col(at).cast("bigint").alias("_pos"), F.lit(0).alias("_asks"),
                                       F.lit(None).cast("bigint").alias("_point"))))
     rows = rows.withColumn(BLK, block_of("_pos", size))
-    found = scan(rows, keys, {into: ("first", F.col("_point"))}, order=("_pos", "_asks"), ahead=True)
+    found = scan(rows, keys, {into: ("first", F.col("_point"))}, order=("_pos", "_asks"), ahead=True, spans=spans)
     return found.filter("_asks = 0").select(*keys, *rest, into).withColumnRenamed("_own", BLK)
 
 

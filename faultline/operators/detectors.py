@@ -8,7 +8,8 @@ A detector is a plain object with ``name``, ``priority``, ``activates(line)``
     locations(log_id, detector, kind, file, line, column, function, test_name,
               command, confidence, log_line_idx, message)
 
-Both are DataFrame -> DataFrame plans; user detectors register the same way.
+Both are DataFrame -> DataFrame plans; user detectors register the same way. A detector whose predicate or plan
+raises is logged and skipped; the others' marks stay.
 ``run_detectors`` keeps, per log, all detectors that contributed anything (or the
 first ``cap`` by priority, when a cap is given), merges their marks order-independently and returns the
 updated lines plus the kept locations and per-log detector names.
@@ -17,6 +18,7 @@ updated lines plus the kept locations and per-log detector names.
 from __future__ import annotations
 
 import inspect
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 
 LOG = "log_id"
+LOGGER = logging.getLogger(__name__)
 
 MARK_COLS = ["log_id", "idx", "detector", "delta", "keep", "drop", "note"]
 LOC_COLS = ["log_id", "detector", "kind", "file", "line", "column", "function", "test_name",
@@ -120,9 +123,18 @@ def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
     spark = lines.sparkSession
     if not dets:
         return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
+    probes = []
+    for order, d in enumerate(dets):
+        try:
+            lines.select(d.activates(F.col("raw")))          # analysed only
+            probes.append((order, d))
+        except Exception:  # noqa: BLE001
+            LOGGER.exception("detector %r failed; skipping", d.name)
+    if not probes:
+        return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
     # A detector that no line of any log activates has nothing to plan (one row of flags reaches the driver).
-    flags = lines.agg(*[F.max(d.activates(F.col("raw"))) for d in dets]).first()
-    asked = [(order, d) for order, (d, on) in enumerate(zip(dets, flags, strict=True)) if on]
+    flags = lines.agg(*[F.max(d.activates(F.col("raw"))) for _, d in probes]).first()
+    asked = [probe for probe, on in zip(probes, flags, strict=True) if on]
     if not asked:
         return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
     # Detectors read only these columns: keep their sorts and shuffles narrow.
@@ -132,10 +144,18 @@ def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
         active = F.max(d.activates(F.col("raw"))).over(Window.partitionBy(LOG))
         sub = narrow.withColumn("_active", active).filter("_active").drop("_active")
         hooks = {"reuse": reuse} if "reuse" in inspect.signature(d.contribute).parameters else {}
-        m, loc = d.contribute(sub, **hooks)
-        all_marks.append(m.select(*MARK_COLS).withColumn("_ord", F.lit(order)))
-        seq = F.col("_seq") if "_seq" in loc.columns else F.lit(0)
-        all_locs.append(loc.select(*LOC_COLS, seq.alias("_seq")).withColumn("_ord", F.lit(order)))
+        try:
+            m, loc = d.contribute(sub, **hooks)
+            seq = F.col("_seq") if "_seq" in loc.columns else F.lit(0)
+            m = m.select(*MARK_COLS).withColumn("_ord", F.lit(order))
+            loc = loc.select(*LOC_COLS, seq.alias("_seq")).withColumn("_ord", F.lit(order))
+        except Exception:  # noqa: BLE001 - a detector that can't be planned must not cost the others' marks
+            LOGGER.exception("detector %r failed; skipping", d.name)
+            continue
+        all_marks.append(m)
+        all_locs.append(loc)
+    if not all_marks:
+        return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
     marks = all_marks[0]
     for m in all_marks[1:]:
         marks = marks.unionByName(m)

@@ -287,8 +287,8 @@ def parallel_blocks(stages: DataFrame, markers: DataFrame, build: str = "build_k
 
     Per build: stages (by start) must have strictly increasing positive ids and
     every opened block must be closed, else the whole build gets ``block=null``
-    and ``valid=false`` (callers fall back to W8). The marker stack is one fold
-    over the build's id-ordered events.
+    and ``valid=false`` (callers fall back to W8). Brackets are matched by depth: one window
+    over the build's id-ordered events, one over each of its levels.
     """
     ev_s = stages.select(build, F.col("stage_id").alias("id"), F.lit(0).alias("k"), "start_ms")
     ev_m = markers.select(build, F.col("node_id").alias("id"),
@@ -298,21 +298,16 @@ def parallel_blocks(stages: DataFrame, markers: DataFrame, build: str = "build_k
         "_bad", ((F.col("stage_id") <= 0) | (F.col("stage_id") <= F.coalesce(
             F.lag("stage_id").over(Window.partitionBy(build).orderBy("start_ms", "stage_id")), F.lit(0)))).cast("int")
     ).groupBy(build).agg((F.max("_bad") == 0).alias("_ids_ok"))
-    evs = ev_s.unionByName(ev_m).groupBy(build).agg(F.sort_array(F.collect_list(F.struct("id", "k"))).alias("_ev"))
-    init = F.struct(F.array().cast("array<bigint>").alias("st"),
-                    F.array().cast("array<struct<sid:bigint,blk:bigint>>").alias("out"))
-
-    def step(acc, e):
-        st = acc["st"]
-        push = F.array_append(st, e["id"])
-        pop = F.when(F.size(st) > 0, F.slice(st, 1, F.size(st) - 1)).otherwise(st)
-        nst = F.when(e["k"] == 1, push).when(e["k"] == 2, pop).otherwise(st)
-        out = F.when(e["k"] == 0, F.array_append(acc["out"], F.struct(e["id"].alias("sid"), F.try_element_at(st, F.lit(-1)).alias("blk")))).otherwise(acc["out"])
-        return F.struct(nst.alias("st"), out.alias("out"))
-
-    folded = evs.select(build, F.aggregate("_ev", init, step).alias("_f"))
-    res = folded.select(build, (F.size("_f.st") == 0).alias("_closed"), F.explode("_f.out").alias("o")).select(
-        build, "_closed", F.col("o.sid").alias("stage_id"), F.col("o.blk").alias("_blk"))
+    # The stack's depth is the balance of starts and ends above its lowest point so far (an end without a start closes nothing).
+    w = Window.partitionBy(build).orderBy("id", "k").rowsBetween(Window.unboundedPreceding, 0)
+    evs = ev_s.unionByName(ev_m).withColumn("_bal", F.sum(F.when(F.col("k") == 1, 1).when(F.col("k") == 2, -1).otherwise(0)).over(w))
+    evs = evs.withColumn("_depth", F.col("_bal") - F.least(F.lit(0), F.min("_bal").over(w)))
+    closed = evs.groupBy(build).agg((F.max_by("_depth", F.struct("id", "k")) == 0).alias("_closed"))
+    # The block around a stage is the last start that led to the stage's depth.
+    level = Window.partitionBy(build, "_depth").orderBy("id", "k").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.last(F.when(F.col("k") == 1, F.col("id")), ignorenulls=True).over(level)
+    res = (evs.withColumn("_blk", F.when(F.col("_depth") > 0, opened)).filter("k = 0")
+           .select(build, F.col("id").alias("stage_id"), "_blk").join(closed, build))
     res = res.join(ordered_ok, build)
     valid = F.col("_closed") & F.col("_ids_ok")
     return stages.join(res, [build, "stage_id"], "left").select(

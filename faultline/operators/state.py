@@ -34,34 +34,27 @@ def status_fold(events: DataFrame, now: _dt.datetime | None = None, error_chars:
     with ``claims_granted`` (how many claims succeeded); ``error_chars`` cuts the error texts, if given.
     """
     keys = ["job_full_name", "build_number"]
-
-    def cut(c: Column) -> Column:
-        return c if error_chars is None else F.substring(c, 1, error_chars)
-
-    ev = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "action", "error"))).alias("_ev"))
-    init = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempt_count"),
-                    F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("first_seen_at"),
-                    F.lit(None).cast("timestamp").alias("processed_at"), F.lit(0).alias("claims_granted"))
-
-    def step(s, e):
-        a = e["action"]
-        absent = s["status"].isNull()
-        takeable = absent | s["status"].isin("seen", "failed")
-        claim_ok = (a == "claim") & takeable
-        status = (F.when(claim_ok, F.lit("processing"))
-                  .when((a == "processed") & ~absent, F.lit("processed"))
-                  .when((a == "failed") & ~absent, F.lit("failed")).otherwise(s["status"]))
-        attempts = s["attempt_count"] + F.when(a.isin("processed", "failed") & ~absent, 1).otherwise(0)
-        err = (F.when((a == "processed") & ~absent, F.lit(None).cast("string"))
-               .when((a == "failed") & ~absent, cut(F.coalesce(e["error"], F.lit(""))))
-               .otherwise(s["last_error"]))
-        first = F.when(absent & (a == "claim"), e["ts"]).otherwise(s["first_seen_at"])
-        proc = F.when((a == "processed") & ~absent, e["ts"]).otherwise(s["processed_at"])
-        return F.struct(status.alias("status"), attempts.alias("attempt_count"), err.alias("last_error"),
-                        first.alias("first_seen_at"), proc.alias("processed_at"),
-                        (s["claims_granted"] + F.when(claim_ok, 1).otherwise(0)).alias("claims_granted"))
-
-    st = ev.select(*keys, F.aggregate("_ev", init, step).alias("s")).select(*keys, "s.*").filter(F.col("status").isNotNull())
+    order = F.struct("ts", "action", "error")
+    w = Window.partitionBy(*keys).orderBy("ts", "action", "error")
+    claim, outcome = F.col("action") == "claim", F.col("action").isin("processed", "failed")
+    # Nothing happens to a row before its first claim. After that an outcome sets the status whatever it was, and a claim
+    # is granted if it is the first or comes right behind a failure; so the last events tell the state.
+    seen = F.max(claim.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    ev = events.filter(claim | outcome).withColumn("_seen", seen).filter("_seen")
+    ev = ev.withColumn("_prev", F.lag("action").over(w))
+    granted = claim & (F.col("_prev").isNull() | (F.col("_prev") == "failed"))
+    st = ev.groupBy(*keys).agg(
+        F.max_by("action", order).alias("_last"), F.max_by("action", F.when(outcome, order)).alias("_outcome"),
+        F.max_by(F.struct("error"), F.when(outcome, order)).alias("_error"), F.count_if(outcome).cast("int").alias("attempt_count"),
+        F.min(F.when(claim, F.col("ts"))).alias("first_seen_at"),
+        F.max(F.when(F.col("action") == "processed", F.col("ts"))).alias("processed_at"), F.count_if(granted).cast("int").alias("claims_granted"))
+    error = F.coalesce(F.col("_error.error"), F.lit(""))
+    status = (F.when(F.col("_outcome").isNull(), "processing").when(F.col("_outcome") == "processed", "processed")
+              .when(F.col("_last") == "claim", "processing").otherwise("failed"))
+    st = st.select(
+        *keys, status.alias("status"), "attempt_count",
+        F.when(F.col("_outcome") == "failed", error if error_chars is None else F.substring(error, 1, error_chars)).alias("last_error"),
+        "first_seen_at", "processed_at", "claims_granted")
     return reclaim_stale(st, now) if now is not None else st
 
 

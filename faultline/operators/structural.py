@@ -43,7 +43,7 @@ def drop_banners(df: DataFrame) -> DataFrame:
             .withColumn("reason", F.when(b, F.lit("banner")).otherwise(F.col("reason"))))
 
 
-def prepared(df: DataFrame, size: int = BK.BLOCK) -> DataFrame:
+def prepared(df: DataFrame, size: int = BK.BLOCK, spans: bool = True) -> DataFrame:
     """What order-dependent passes need from the lines before theirs, in one scan of block summaries.
 
     ``_b`` is the block, ``_seg`` the line that opens the segment of a line, ``_D`` the bracket balance up to it. A
@@ -56,7 +56,7 @@ def prepared(df: DataFrame, size: int = BK.BLOCK) -> DataFrame:
     loose = F.when(~F.col("kind").isin(P.KIND_STACK, P.KIND_PROGRESS), F.col("idx"))
     opens = F.min(loose).over(Window.partitionBy(LOG, BK.BLK))
     df = df.withColumn("_opens", F.when(opens == F.col("idx"), F.col("idx")))
-    df = BK.scan(df, [LOG], {"_seg": ("last", F.col("_opens")), "_D": ("sum", F.col("_delta"))}).drop("_opens")
+    df = BK.scan(df, [LOG], {"_seg": ("last", F.col("_opens")), "_D": ("sum", F.col("_delta"))}, spans=spans).drop("_opens")
     return df.withColumn("_seg", F.coalesce("_seg", F.lit(-1)))
 
 
@@ -117,33 +117,36 @@ def _same(d: DataFrame) -> DataFrame:
     return d
 
 
-def json_folds(df: DataFrame, max_run: int | None, min_run: int, size: int) -> DataFrame:
-    """(log_id, _s, _e): the folded blocks, from their opening line to the line behind their end."""
+def json_folds(df: DataFrame, max_run: int | None, min_run: int, size: int, spans: bool = True) -> DataFrame | None:
+    """(log_id, _s, _e): the folded blocks, from their opening line to the line behind their end; None without an opener."""
     opener = (F.col("kind") == P.KIND_JSON) & ~F.col("drop") & (F.col("text") != "") & (F.col("_delta") > 0)
     level = (F.col("_D") - F.col("_delta")).cast("int")
     checkpoint_dir(df.sparkSession)
     edges = df.filter(opener | (F.col("_delta") < 0)).select(
         LOG, BK.BLK, "idx", opener.alias("_opens"), level.alias("_before"), F.col("_D").cast("int").alias("_after")).checkpoint()
+    if edges.filter("_opens").isEmpty():
+        return None
     ops = edges.filter("_opens").select(LOG, BK.BLK, "idx", F.col("_before").alias("_level"), F.lit(None).cast("int").alias("_cross"))
     crossings = edges.filter("_after < _before").select(
         LOG, BK.BLK, "idx", F.explode(F.sequence("_after", F.col("_before") - 1)).alias("_level"), F.col("idx").alias("_cross"))
-    both = BK.scan(ops.unionByName(crossings), [LOG, "_level"], {"_close": ("first", F.col("_cross"))}, ahead=True, own=False)
+    both = BK.scan(ops.unionByName(crossings), [LOG, "_level"], {"_close": ("first", F.col("_cross"))}, ahead=True, own=False, spans=spans)
     lines = df.groupBy(LOG).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     ends = both.filter(F.col("_cross").isNull()).join(lines, LOG)
     end = F.coalesce(F.col("_close") + 1, F.col("_n"))
     end = end if max_run is None else F.least(end, F.col("idx") + max_run, F.col("_n"))
     ends = ends.select(LOG, BK.BLK, "idx", end.cast("int").alias("_e")).checkpoint()
     if max_run is None:
-        outer = (BK.scan(ends, [LOG], {"_before": ("max", F.col("_e"))}, own=False)
+        outer = (BK.scan(ends, [LOG], {"_before": ("max", F.col("_e"))}, own=False, spans=spans)
                  .filter(F.col("_before").isNull() | (F.col("_before") <= F.col("idx"))))
     else:
-        links = BK.next_at(ends, ends, [LOG], "_e", "nxt", size)
+        links = BK.next_at(ends, ends, [LOG], "_e", "nxt", size, spans)
         starts = ends.groupBy(LOG).agg(F.min("idx").alias("idx"))
         outer = ends.join(BK.greedy_chain(starts, links, [LOG]).withColumn("idx", F.col("idx").cast("int")), [LOG, "idx"])
     return outer.filter(F.col("_e") - F.col("idx") >= min_run).select(LOG, F.col("idx").alias("_s"), "_e").checkpoint()
 
 
-def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_MIN_RUN, reuse=_same, size: int = BK.BLOCK) -> DataFrame:
+def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_MIN_RUN, reuse=_same, size: int = BK.BLOCK,
+              spans: bool = True) -> DataFrame:
     """Fold balanced multi-line JSON blocks opened by a JSON line.
 
     1. an opener's block ends with the first later line whose bracket balance falls to the level before
@@ -155,7 +158,9 @@ def fold_json(df: DataFrame, max_run: int | None = None, min_run: int = P.JSON_M
     3. lines meet the folds in bands of ``FOLD_BAND`` lines: folds don't overlap, so a line meets one at most.
     """
     df = reuse(_prepared(df, size))
-    folds = json_folds(df, max_run, min_run, size)
+    folds = json_folds(df, max_run, min_run, size, spans)
+    if folds is None:
+        return df
     band = F.explode(F.sequence(F.floor(F.col("_s") / FOLD_BAND), F.floor((F.col("_e") - 1) / FOLD_BAND))).alias("_band")
     spans = folds.select(F.col(LOG).alias("_log"), "_s", "_e", band)
     at = ((F.col(LOG) == F.col("_log")) & (F.floor(F.col("idx") / FOLD_BAND) == F.col("_band"))
@@ -209,7 +214,7 @@ def first_values(rows: DataFrame, n: int = 3) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_tok"))), lambda x: x["_tok"]), ", ").alias("_vals"))
 
 
-def bucket_heads(el: DataFrame, window: int, size: int = BK.BLOCK) -> DataFrame:
+def bucket_heads(el: DataFrame, window: int, size: int = BK.BLOCK, spans: bool = True) -> DataFrame:
     """(log_id, _b, idx, _head): the first line of the bucket that each of ``el`` (log_id, _b, idx, template) is in.
 
     A bucket opened at eligible line ``s`` closes at the first eligible line (any template) behind ``s + window``
@@ -219,24 +224,27 @@ def bucket_heads(el: DataFrame, window: int, size: int = BK.BLOCK) -> DataFrame:
     """
     place = [LOG, "template"]
     checkpoint_dir(el.sparkSession)
-    el = BK.next_at(el, el.withColumn("_from", F.col("idx") + window + 1), [LOG], "_from", "_close", size).drop("_from").checkpoint()
-    el = BK.scan(el, place, {"_pc": ("last", F.struct(F.coalesce("_close", F.lit(1 << 40)).alias("c")))}, own=False)
+    el = BK.next_at(el, el.withColumn("_from", F.col("idx") + window + 1), [LOG], "_from", "_close", size, spans).drop("_from")
+    el = el.checkpoint() if spans else el
+    el = BK.scan(el, place, {"_pc": ("last", F.struct(F.coalesce("_close", F.lit(1 << 40)).alias("c")))}, own=False, spans=spans)
     sure = F.col("_pc").isNull() | (F.col("_pc.c") < F.col("idx"))
-    el = el.withColumn("_sure", F.when(sure, F.struct("idx", "_close"))).drop("_pc").checkpoint()
-    el = BK.scan(el, place, {"_seg": ("last", F.col("_sure"))}).checkpoint()
+    el = el.withColumn("_sure", F.when(sure, F.struct("idx", "_close"))).drop("_pc")
+    el = BK.scan(el.checkpoint() if spans else el, place, {"_seg": ("last", F.col("_sure"))}, spans=spans).checkpoint()
     dense = el.filter(F.col("idx") > F.col("_seg._close")).select(*place, F.col("_seg.idx").alias("_s")).distinct()
     rows = el.withColumn("_s", F.col("_seg.idx")).join(dense, [*place, "_s"], "left_semi").select(*place, BK.BLK, "idx", "_s", "_close")
     rows = rows.checkpoint()
-    links = BK.next_at(rows, rows.withColumn("_behind", F.col("_close") + 1).filter("_behind is not null"), place, "_behind", "nxt", size)
-    heads = BK.greedy_chain(rows.filter("idx = _s"), links, place).select(*place, F.col("idx").cast("int").alias("idx"), F.lit(True).alias("_new"))
-    el = el.join(heads, [*place, "idx"], "left")
-    opens = F.when(F.col("_sure").isNotNull() | F.col("_new"), F.col("idx"))
-    el = el.select(LOG, BK.BLK, "idx", "template", opens.alias("_opens")).checkpoint()
-    return BK.scan(el, place, {"_head": ("last", F.col("_opens"))}).select(LOG, BK.BLK, "idx", "_head")
+    opens = F.col("_sure.idx")
+    if not rows.isEmpty():
+        links = BK.next_at(rows, rows.withColumn("_behind", F.col("_close") + 1).filter("_behind is not null"), place, "_behind", "nxt", size, spans)
+        heads = BK.greedy_chain(rows.filter("idx = _s"), links, place).select(*place, F.col("idx").cast("int").alias("idx"), F.lit(True).alias("_new"))
+        el = el.join(heads, [*place, "idx"], "left")
+        opens = F.when(F.col("_new") | F.col("_sure").isNotNull(), F.col("idx"))
+    el = el.select(LOG, BK.BLK, "idx", "template", opens.alias("_opens"))
+    return BK.scan(el.checkpoint() if spans else el, place, {"_head": ("last", F.col("_opens"))}, spans=spans).select(LOG, BK.BLK, "idx", "_head")
 
 
 def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int = P.REPEAT_MIN_COUNT, reuse=_same,
-                   size: int = BK.BLOCK) -> DataFrame:
+                   size: int = BK.BLOCK, spans: bool = True) -> DataFrame:
     """Anchored repeat buckets per template; keep first and last, note on last.
 
     A bucket holds ``window`` + 2 lines at most, so its windows are small whatever the log's size.
@@ -244,7 +252,7 @@ def dedupe_repeats(df: DataFrame, window: int = P.REPEAT_WINDOW, min_count: int
     df = reuse(BK.with_blocks(df, size))
     eligible = ~F.col("drop") & (F.col("text") != "") & (F.col("severity") < P.SEV_ERROR)
     el = df.filter(eligible)
-    heads = bucket_heads(el.select(LOG, BK.BLK, "idx", "template"), window, size)
+    heads = bucket_heads(el.select(LOG, BK.BLK, "idx", "template"), window, size, spans)
     el = el.select(LOG, BK.BLK, "idx", "var_tokens").join(heads, [LOG, BK.BLK, "idx"])
     wb = Window.partitionBy(LOG, "_head")
     el = (el.withColumn("_cnt", F.count(F.lit(1)).over(wb))
@@ -279,12 +287,14 @@ def collapse(lines: DataFrame, reuse=_same, size: int = BK.BLOCK) -> DataFrame:
     ``reuse`` (e.g. persist) is applied where a pass reads its input in several branches; ``size`` is the number of
     lines in a block.
     """
-    df = _prepared(lines, size)
+    blocked = BK.with_blocks(lines, size)
+    spans = BK.several(blocked)
+    df = blocked if "_seg" in blocked.columns else prepared(blocked, size, spans)
     df = drop_banners(init_state(df))
     df = collapse_stacks(df, size=size)
-    df = fold_json(df, reuse=reuse, size=size)
+    df = fold_json(df, reuse=reuse, size=size, spans=spans)
     df = collapse_progress(df, size=size)
-    df = dedupe_repeats(df, reuse=reuse, size=size)
+    df = dedupe_repeats(df, reuse=reuse, size=size, spans=spans)
     return df.drop(*[c for c in ("_delta", "_D", "_seg", BK.BLK) if c not in lines.columns])
 
 

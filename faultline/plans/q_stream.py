@@ -90,16 +90,6 @@ def z5_retention(spark, sf_dir):
                                                             F.max("messages_kept").alias("messages_kept"))
 
 
-@register("z4_stale_reclaim", oracle=with_adapters(f"""
-SELECT job_full_name, build_number,
-       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'failed' ELSE status END AS status,
-       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'stale processing reclaim' END AS last_error
-FROM ingest_state""", "ingest_state"))
-def z4_stale_reclaim(spark, sf_dir):
-    st = A.ingest_state(spark, sf_dir).withColumn("last_error", F.lit(None).cast("string"))
-    return ST.reclaim_stale(st, STATE_NOW).select("job_full_name", "build_number", "status", "last_error")
-
-
 _Z3_SQL = _FEED_BUILDS_SQL + f"""
 , x AS (SELECT fb.job_full_name, fb.build_number, fb.item_id, e.ts FROM fb JOIN events e ON e.event_id = fb.item_id),
 ev AS (
@@ -138,6 +128,48 @@ FROM last WHERE status IS NOT NULL
 """
 
 
+_Z3_SQL_PURGE = _Z3_SQL.replace("SELECT job_full_name, build_number,\n       CASE WHEN status = 'processing' AND first", ", folded AS (SELECT job_full_name, build_number,\n       CASE WHEN status = 'processing' AND first") + f""")
+SELECT job_full_name, build_number, status, processed_at FROM folded
+WHERE NOT (status = 'processed' AND processed_at IS NOT NULL AND processed_at < TIMESTAMP '{_dt.datetime(2024, 2, 10)}' - INTERVAL 30 DAY)"""
+
+
+RETENTION_NOW = _dt.datetime(2024, 4, 1)
+PURGE_NOW = _dt.datetime(2026, 12, 31, 4)
+STATE_PURGE_NOW = _dt.datetime(2024, 2, 10)
+
+
+@register("z5_kept_messages", oracle=with_adapters(f"""
+SELECT m.id, m.session_id FROM messages m JOIN sessions s ON s.id = m.session_id
+WHERE m.created_at >= TIMESTAMP '{RETENTION_NOW}' - INTERVAL 90 DAY AND s.updated_at >= TIMESTAMP '{RETENTION_NOW}' - INTERVAL 60 DAY
+""", "sessions", "messages"))
+def z5_kept_messages(spark, sf_dir):
+    """Retention at a time when some sessions are old: their messages go with them."""
+    _, kept, _ = ST.retention(A.sessions(spark, sf_dir), A.messages(spark, sf_dir), RETENTION_NOW, session_days=60)
+    return kept.select("id", "session_id")
+
+
+@register("z5_purge_solutions", oracle=with_adapters(f"""
+SELECT doc_id, created_at FROM solutions WHERE created_at >= TIMESTAMP '{PURGE_NOW}' - INTERVAL 1095 DAY""", "solutions"))
+def z5_purge_solutions(spark, sf_dir):
+    return ST.purge_solutions(A.solutions(spark, sf_dir), PURGE_NOW).select("doc_id", "created_at")
+
+
+@register("z5_purge_state", oracle=with_adapters(_Z3_SQL_PURGE, "feed"))
+def z5_purge_state(spark, sf_dir):
+    """Processed builds go 30 days after their end, all others stay."""
+    return ST.purge_state(z3_status_fold(spark, sf_dir), STATE_PURGE_NOW).select("job_full_name", "build_number", "status", "processed_at")
+
+
+@register("z4_stale_reclaim", oracle=with_adapters(f"""
+SELECT job_full_name, build_number,
+       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'failed' ELSE status END AS status,
+       CASE WHEN status = 'processing' AND first_seen_at < TIMESTAMP '{STATE_NOW}' - INTERVAL 30 MINUTE THEN 'stale processing reclaim' END AS last_error
+FROM ingest_state""", "ingest_state"))
+def z4_stale_reclaim(spark, sf_dir):
+    st = A.ingest_state(spark, sf_dir).withColumn("last_error", F.lit(None).cast("string"))
+    return ST.reclaim_stale(st, STATE_NOW).select("job_full_name", "build_number", "status", "last_error")
+
+
 @register("z3_status_fold", oracle=with_adapters(_Z3_SQL, "feed"))
 def z3_status_fold(spark, sf_dir):
     """Claims and outcomes replayed per (job, build) from the failed-build feed."""

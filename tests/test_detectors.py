@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from faultline.operators import baseline as B
+from faultline.operators import detectors as D
+from faultline.operators import stacks as SK
+from faultline.operators import structural as ST
+from faultline.operators import tokenize as T
 from faultline.plans.filter import filter_logs
 
 JAVA = "\n".join([
@@ -110,3 +116,96 @@ def test_source_beats_command(results):
     r = results["mixed"]
     assert r.primary_location.kind == "source"
     assert {"java_stack", "generic_shell"} <= set(r.detectors)
+
+
+RUBY = "\n".join([
+    "NoMethodError: undefined method `charge` for nil:NilClass",
+    "    from /repo/app/services/payment.rb:42:in `process'",
+    "    from /repo/app/controllers/orders_controller.rb:17:in `create'",
+    "    from /usr/lib/ruby/3.2.0/gems/rails/lib/action_controller.rb:200:in `dispatch'",
+    "[ERROR] tests failed",
+])
+RUBY_LANGUAGE = SK.StackLanguage(
+    name="ruby_stack_test", priority=60, probe_pattern=r"^\s+from\s+\S+\.rb:\d+",
+    frame_pattern=r"^\s+from\s+(\S+\.rb):(\d+)(?::in\s+`([^']+)')?", function_group=3,
+    framework_paths=("/usr/lib/ruby/", "/gems/"),
+    cause_pattern=r"^((?:[\w:]+\.)*[A-Z]\w*(?:Error|Exception))(?::\s*(.*))?$")
+
+
+class Broken:
+    """A detector whose plan raises."""
+
+    name, priority = "broken", 99
+
+    def activates(self, line):
+        return F.lit(True)
+
+    def contribute(self, lines):
+        return lines.select("no_such_column"), lines
+
+
+class BrokenProbe(Broken):
+    name = "broken_probe"
+
+    def activates(self, line):
+        return F.col("no_such_column")
+
+
+class Dropper:
+    """Drops and annotates every line it is asked about."""
+
+    name, priority = "dropper", 70
+
+    def activates(self, line):
+        return line.contains("[ERROR]")
+
+    def contribute(self, lines):
+        marks = lines.select("log_id", "idx", F.lit(self.name).alias("detector"), F.lit(-5).alias("delta"),
+                             F.col("text").contains("create").alias("keep"), F.lit(True).alias("drop"), F.lit("seen").alias("note"))
+        return marks, lines.sparkSession.createDataFrame([], D._loc_schema())
+
+
+def _lines(spark, raw):
+    lines = T.tokenize(spark.createDataFrame([("r", raw)], "log_id string, raw string"))
+    return ST.init_state(lines)
+
+
+def test_custom_language_and_isolation(spark):
+    ruby = SK.GenericStackDetector(RUBY_LANGUAGE)
+    lines, locs, names = D.run_detectors(_lines(spark, RUBY), [Broken(), ruby, BrokenProbe(), D.ShellDetector()])
+    top = locs.orderBy("_seq").first()
+    assert (top.kind, top.file, top.line, top.function) == ("source", "/repo/app/services/payment.rb", 42, "process")
+    assert "NoMethodError" in top.message and names.first().detectors == ["ruby_stack_test"]
+    assert [r.keep for r in lines.orderBy("idx").collect()] == [True, True, True, False, False]
+    lines, locs, names = D.run_detectors(_lines(spark, RUBY), [Broken()])
+    assert locs.count() == 0 and lines.filter("keep").count() == 0 and names.first().detectors == []
+
+
+def test_cap_takes_the_first_by_priority(spark):
+    """At most ``cap`` contributing detectors; drops spare errors and kept lines."""
+    ruby = SK.GenericStackDetector(RUBY_LANGUAGE)
+    lines, locs, names = D.run_detectors(_lines(spark, RUBY), [ruby, Dropper()], cap=1)
+    assert names.first().detectors == ["dropper"] and locs.count() == 0
+    state = [(r.drop, r.reason, r.note, r.score) for r in lines.orderBy("idx").collect()]
+    assert state[1] == (True, "detector-drop:dropper", "seen", 0) and state[2] == (False, "", "seen", 0)
+    assert state[0][0] is False and state[4][0] is False           # errors stay
+    both, _, names = D.run_detectors(_lines(spark, RUBY), [ruby, Dropper()], cap=5)
+    assert names.first().detectors == ["dropper", "ruby_stack_test"]
+    assert [r.drop for r in both.orderBy("idx").collect()] == [False, False, False, True, False]
+
+
+def test_selection_by_name(spark):
+    """All, none, a list in its order, unknown names skipped."""
+    assert [d.name for d in D.load_detectors("auto")] == list(D.BUNDLED)
+    assert D.load_detectors("none") == [] and D.load_detectors("") == []
+    assert [d.name for d in D.load_detectors(" go_panic, nope ,java_stack")] == ["go_panic", "java_stack"]
+
+
+def test_empty_baseline(spark):
+    """E5: without any sketch nothing is common and every INFO line is novel."""
+    raw = "\n".join(["INFO same step"] * 30 + ["WARN careful", "ERROR bad"])
+    own = B.apply_baseline(_lines(spark, raw))
+    none = B.apply_baseline(_lines(spark, raw), self_baseline=False)
+    assert own.filter("drop").count() == 30 and own.first().baseline_version == "self/0.30/1"
+    assert none.filter("drop").count() == 0 and none.first().baseline_version == "empty"
+    assert none.filter("score = 2").count() == 30

@@ -40,6 +40,30 @@ def test_parallel_markers_and_root(spark):
     assert all(not r.valid for r in I.parallel_blocks(st, unclosed).collect())
 
 
+def test_nested_and_unmatched_markers(spark):
+    """W9 against a stack: nesting, an end without a start, a block that stays open."""
+    import random
+    rng = random.Random(6)
+    stages, markers, want = [], [], {}
+    for b in range(40):
+        stack, inside = [], {}
+        for i in range(1, rng.randint(3, 25)):
+            kind = rng.choice(["stage", "start", "end", "note"])
+            if kind == "stage":
+                stages.append((f"b{b}", i, "s", "SUCCESS", i * 10, 5))
+                inside[i] = stack[-1] if stack else None
+            else:
+                markers.append((f"b{b}", i, kind))
+                if kind == "start":
+                    stack.append(i)
+                elif kind == "end" and stack:
+                    stack.pop()
+        want |= {(f"b{b}", i): (blk if not stack else None, not stack) for i, blk in inside.items()}
+    mk = spark.createDataFrame(markers, "build_key string, node_id long, kind string")
+    got = {(r.build_key, r.stage_id): (r.block, r.valid) for r in I.parallel_blocks(_stages(spark, stages), mk).collect()}
+    assert got == want
+
+
 def test_root_by_overlap(spark):
     st = _stages(spark, [("b", 10, "a", "SUCCESS", 0, 100), ("b", 20, "x", "FAILED", 1000, 500), ("b", 30, "y", "FAILED", 1200, 500),
                          ("b", 40, "z", "FAILED", 9000, 100)])

@@ -27,6 +27,31 @@ def test_status_fold_and_stale(spark):
     assert (st[2].status, st[2].last_error) == ("failed", ST.STALE_ERROR)
 
 
+def test_status_fold_equals_the_state_machine(spark):
+    """Random event sequences against the machine, event by event."""
+    import random
+    rng = random.Random(8)
+    rows = []
+    for b in range(80):
+        for i in range(rng.randint(1, 9)):
+            action = rng.choice(["claim", "claim", "processed", "failed", "other"])
+            rows.append(("j", b, T0 + dt.timedelta(seconds=i), action, rng.choice([None, "late", "boom"]) if action == "failed" else None))
+    want = {}
+    for _, b, ts, action, error in rows:
+        s = want.setdefault(b, {"status": None, "attempts": 0, "error": None, "first": None, "done": None, "claims": 0})
+        if action == "claim" and s["status"] in (None, "failed"):
+            s["first"] = s["first"] or ts
+            s["status"], s["claims"] = "processing", s["claims"] + 1
+        elif action in ("processed", "failed") and s["status"]:
+            s["status"], s["attempts"] = action, s["attempts"] + 1
+            s["error"] = None if action == "processed" else error or ""
+            s["done"] = ts if action == "processed" else s["done"]
+    df = spark.createDataFrame(rows, "job_full_name string, build_number int, ts timestamp, action string, error string").repartition(4)
+    got = {r.build_number: (r.status, r.attempt_count, r.last_error, r.first_seen_at, r.processed_at, r.claims_granted)
+           for r in ST.status_fold(df).collect()}
+    assert got == {b: (s["status"], s["attempts"], s["error"], s["first"], s["done"], s["claims"]) for b, s in want.items() if s["status"]}
+
+
 def test_feedback_idempotent(spark):
     sessions = spark.createDataFrame([("s1", "", "fix it", ""), ("s2", "accepted", "fix", ""), ("s3", "", "", "")],
                                      "id string, feedback_status string, suggested_fix string, analysis string")
