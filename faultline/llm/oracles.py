@@ -126,8 +126,8 @@ WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id O
            FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
                  FROM conversations WHERE conv_id IS NOT NULL)),
 k AS (SELECT conv_id, max(p) AS k, max_by(text, p) AS reply FROM t WHERE role = 'assistant' GROUP BY 1),
-pair AS (SELECT a.conv_id, a.k, b.reply FROM k a
-         JOIN k b ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END),
+nx AS (SELECT conv_id, k, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other FROM k),
+pair AS (SELECT a.conv_id, a.k, b.reply FROM nx a JOIN k b ON b.conv_id = a.other),
 s AS (SELECT t.conv_id, 'c' AS side, p, role, text FROM t JOIN pair USING (conv_id)
       UNION ALL SELECT t.conv_id, 'r', p, role, CASE WHEN p = k THEN reply ELSE text END FROM t JOIN pair USING (conv_id) WHERE p <= k),
 d AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.p, b.p)) AS p
@@ -148,6 +148,9 @@ g AS (SELECT conv_id, max(n)::BIGINT AS n_prompt_turns,
       FROM r GROUP BY 1)
 SELECT conv_id, n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(c) AS chosen_sha256, cs AS chosen_spans,
        sha256(r) AS rejected_sha256, rs AS rejected_spans FROM g
+UNION ALL
+SELECT conv_id, count(*), sha256(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY p)), sha256(''), '', NULL, NULL
+FROM t ANTI JOIN k USING (conv_id) GROUP BY conv_id
 """
 
 _LETTERS = " || ".join(

@@ -9,7 +9,8 @@ of it is DataFrame functions on one row a pair; copies of a conversation are pai
 Defined cases: a null role or text is an empty one; a null conversation id is no conversation;
 rows that repeat a turn wholly count once; turns with one number go by role and
 text; a null turn number comes first; equal sides have everything in the prompt and empty
-completions; sides without a common turn have an empty prompt; an empty table
+completions; sides without a common turn have an empty prompt; a null rejected side has everything in the
+prompt, an empty chosen and a null rejected completion; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import next_at
+
 ASSISTANT = "assistant"
 
 
@@ -59,7 +62,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     a, b = F.col(chosen), F.col(rejected)
     same = F.zip_with(a, b, lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
     differ = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), False)
-    common = F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+    common = F.when(b.isNull() | (differ == 0), F.size(a)).otherwise(differ - 1).cast("int")
     out = pairs.withColumn("n_prompt_turns", common)
     n = F.col("n_prompt_turns")
     out = out.withColumn("prompt", render(F.slice(a, F.lit(1), n)))
@@ -69,19 +72,34 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     return out
 
 
-def replaced_replies(convs: DataFrame, partner: Column) -> DataFrame:
+def replaced_replies(convs: DataFrame, partner: Column | None = None) -> DataFrame:
     """(conv_id, chosen, rejected): each conversation against itself with another's last reply in place of its own.
 
-    ``partner`` gives the other conversation's id. Conversations without a reply, or with a
-    partner that is missing or has none, make no pair.
+    The other is the next conversation by its (integer) id that has a reply, the last one takes the first; or the one whose
+    id ``partner`` gives. Every conversation has a row: without a reply of its own, or with a partner that is
+    missing or has none, its rejected side is null.
     """
     def last(turns: Column) -> Column:
         return F.size(turns) - F.array_position(F.reverse(F.transform(turns, lambda t: t["role"] == ASSISTANT)), True) + 1
 
-    has = convs.where(F.exists("turns", lambda t: t["role"] == ASSISTANT)).withColumn("k", last(F.col("turns")).cast("int"))
-    replies = has.select(F.col("conv_id").alias("other"), F.get("turns", F.col("k") - 1)["text"].alias("reply"))
-    own = has.withColumn("other", partner)
+    answered = F.exists("turns", lambda t: t["role"] == ASSISTANT)
+    own = convs.withColumn("k", F.when(answered, last(F.col("turns"))).cast("int"))
+    replies = own.where("k is not null").select(F.col("conv_id").alias("other"), F.get("turns", F.col("k") - 1)["text"].alias("reply"))
+    if partner is None:
+        own = _with_next(own, replies)
+    else:
+        own = own.withColumn("other", partner)
     swap = F.array(F.struct(F.get("turns", F.col("k") - 1)["turn"].alias("turn"), F.lit(ASSISTANT).alias("role"),
                             F.col("reply").alias("text")))
-    return own.join(replies, "other").select(
-        "conv_id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("k") - 1), swap).alias("rejected"))
+    changed = F.concat(F.slice("turns", F.lit(1), F.greatest(F.col("k") - 1, F.lit(0))), swap)
+    return own.join(replies, "other", "left").select(
+        "conv_id", F.col("turns").alias("chosen"), F.when(F.col("k").isNotNull() & F.col("reply").isNotNull(), changed).alias("rejected"))
+
+
+def _with_next(own: DataFrame, replies: DataFrame) -> DataFrame:
+    """``own`` with ``other``: the next id among ``replies``, found block by block of ids; behind the last comes the first."""
+    asked = own.where("k is not null").select(F.lit(0).alias("all"), "conv_id", (F.col("conv_id") + 1).alias("from"))
+    found = next_at(replies.select(F.lit(0).alias("all"), F.col("other").alias("idx")), asked, ["all"], "from", "next", 1 << 16)
+    first = replies.agg(F.min("other").alias("first"))          # one row
+    found = found.join(F.broadcast(first)).select("conv_id", F.coalesce("next", "first").alias("other"))
+    return own.join(found, "conv_id", "left")

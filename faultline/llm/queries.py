@@ -106,11 +106,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_preference_formatting")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is chosen against itself with the last reply of its neighbour (conv_id 2k and 2k + 1)."""
+    """Each conversation is chosen against itself with the last reply of the next one that has a reply."""
     turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    convs = preferences.conversations(turns)
-    partner = F.col("conv_id") + F.when(F.pmod("conv_id", F.lit(2)) == 0, 1).otherwise(-1)
-    made = preferences.format_pairs(preferences.replaced_replies(convs, partner))
+    made = preferences.format_pairs(preferences.replaced_replies(preferences.conversations(turns)))
 
     def spans(c: str):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")

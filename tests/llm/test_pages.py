@@ -222,15 +222,21 @@ def test_preference_pairs(spark):
     partner = F.col("conv_id") + F.when(F.pmod("conv_id", F.lit(2)) == 0, 1).otherwise(-1)
     made = preferences.format_pairs(preferences.replaced_replies(preferences.conversations(turns), partner))
     got = {r.conv_id: (r.n_prompt_turns, r.prompt, r.chosen_completion, r.rejected_completion,
-                       [tuple(s) for s in r.chosen_spans], [tuple(s) for s in r.rejected_spans]) for r in made.collect()}
+                       [tuple(s) for s in r.chosen_spans], r.rejected_spans and [tuple(s) for s in r.rejected_spans]) for r in made.collect()}
     u, a = "<|user|>\n", "<|assistant|>\n"
     assert got == {
         0: (1, u + "q0\n", a + "a0é\n" + u + "thanks\n", a + "a1\n", [(14, 18)], [(14, 17)]),
         1: (1, "<|system|>\n\n", a + "a1\n", a + "a0é\n", [(14, 17)], [(14, 18)]),
         2: (1, a + "same\n", "", "", [], []), 3: (1, a + "same\n", "", "", [], []),
+        4: (1, u + "no reply\n", "", None, [], None), 5: (1, a + "x\n", "", None, [], None),
         6: (2, u + "first\n" + "<||>\nr\n", a + "z\n", a + "\n", [(14, 16)], [(14, 15)]),
         7: (0, "", a + "\n", a + "z\n", [(14, 15)], [(14, 16)]),
     }
+    pairs = preferences.replaced_replies(preferences.conversations(turns))
+    replies = {r.conv_id: r.rejected and r.rejected[-1].text for r in pairs.collect()}
+    # the next conversation with a reply, the last takes the first
+    assert replies == {0: "a1", 1: "same", 2: "same", 3: "x", 4: None, 5: "z", 6: "", 7: "a0é"}
+    assert preferences.replaced_replies(preferences.conversations(turns.limit(0))).count() == 0
     text = (got[0][1] + got[0][2])[len(got[0][1]):]
     assert [text[s:e] for s, e in got[0][4]] == ["a0é\n"]
     assert preferences.conversations(turns.limit(0)).count() == 0
