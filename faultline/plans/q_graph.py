@@ -247,15 +247,18 @@ def j5_knn_search(spark, sf_dir):
 
 @register("x27_route", oracle=with_adapters(_NODES_SQL + f"""
 , pairs AS (
-  SELECT a.id AS qkey, b.id AS key, b.ord AS ord, list_dot_product(a.v, b.v) / (a.nz * b.nz) AS sim FROM nn a CROSS JOIN nn b
+  SELECT a.id AS qkey, b.id AS key, b.ord AS ord, b.solution_score AS ss, list_dot_product(a.v, b.v) / (a.nz * b.nz) AS sim FROM nn a CROSS JOIN nn b
 ), k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY sim DESC, ord) AS r1 FROM pairs) WHERE r1 <= 5),
-best AS (SELECT qkey, max((1.0 + sim) / 2) AS best FROM k5 WHERE (1.0 + sim) / 2 >= {SEARCH_THRESHOLD} GROUP BY qkey)
-SELECT CASE WHEN coalesce(best, 0.0) >= {ROUTE_THRESHOLD} THEN 'verified_past_solution' ELSE 'fresh_analysis' END AS route, CAST(count(*) AS BIGINT) AS n
-FROM best GROUP BY 1
+sc AS (SELECT *, (1.0 + sim) / 2 AS score FROM k5 WHERE (1.0 + sim) / 2 >= {SEARCH_THRESHOLD}),
+fin AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY score * coalesce(ss, 1.0) DESC, r1) AS rank FROM sc),
+best AS (SELECT qkey, max(score) AS best FROM fin WHERE rank <= 3 AND key <> qkey GROUP BY qkey)
+SELECT nn.id, CASE WHEN coalesce(best, 0.0) >= {ROUTE_THRESHOLD} THEN 'verified_past_solution' ELSE 'fresh_analysis' END AS route
+FROM nn LEFT JOIN best ON best.qkey = nn.id
 """, "solutions"))
 def x27_route(spark, sf_dir):
-    best = j5_knn_search(spark, sf_dir).groupBy("qkey").agg(F.max("score").alias("best"))
-    return best.select("qkey", SIM.route(F.col("best"), ROUTE_THRESHOLD).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    """The route of every solution's vector by its best match among the others."""
+    best = j5_knn_search(spark, sf_dir).filter("key <> qkey").groupBy(F.col("qkey").alias("id")).agg(F.max("score").alias("best"))
+    return _sol(spark, sf_dir).select("id").join(best, "id", "left").select("id", SIM.route(F.col("best"), ROUTE_THRESHOLD).alias("route"))
 
 
 @register("e6_fingerprint_search", oracle=with_adapters(_NODES_SQL + """

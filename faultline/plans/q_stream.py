@@ -133,7 +133,7 @@ SELECT job_full_name, build_number, status, processed_at FROM folded
 WHERE NOT (status = 'processed' AND processed_at IS NOT NULL AND processed_at < TIMESTAMP '{_dt.datetime(2024, 2, 10)}' - INTERVAL 30 DAY)"""
 
 
-RETENTION_NOW = _dt.datetime(2024, 4, 1)
+RETENTION_NOW = _dt.datetime(2024, 3, 1, 4)     # 60 days behind some sessions
 PURGE_NOW = _dt.datetime(2026, 12, 31, 4)
 STATE_PURGE_NOW = _dt.datetime(2024, 2, 10)
 
