@@ -40,7 +40,7 @@ from .common import slices, written
 
 MIN_VOTES = 3
 TEMPLATE_SHARE = 0.6            # votes for "the same text" that make a slot template
-MOST_CELLS = 1_000_000
+MOST_CELLS = 1_000_000          # weights of child pairs held at once
 NODE = 1 << 31                  # weight of a matched node; an equal text adds one
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s "
@@ -254,27 +254,47 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         xs, ys = xs[lo:len(xs) - hi], ys[lo:len(ys) - hi]
         if not xs or not ys:
             return total, head + tail
-        if len(xs) * len(ys) > MOST_CELLS:
-            n, pairs = _greedy(xs, ys, solve)
-            return total + n, head + pairs + tail
+        n, pairs = middle(xs, ys)
+        return total + n, head + pairs + tail
+
+    def weights(xs: list[Node], ys: list[Node]) -> np.ndarray:
         w = _plain_weights(xs, ys)
         rest = [j for j, y in enumerate(ys) if not _plain(y)]
         for i, x in enumerate(xs):
             for j in rest if _plain(x) else range(len(ys)):
                 w[i, j] = solve(x, ys[j])[0]
+        return w
+
+    def scores(xs: list[Node], ys: list[Node]) -> np.ndarray:
+        """The weight of the best alignment of ``xs`` with the first 0, 1, ... of ``ys``, in memory for a few rows."""
+        row, step = np.zeros(len(ys) + 1, np.int64), max(1, MOST_CELLS // len(ys))
+        for at in range(0, len(xs), step):
+            for own in weights(xs[at:at + step], ys):
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own))
+        return row
+
+    def middle(xs: list[Node], ys: list[Node]) -> tuple[int, list]:
+        if not xs or not ys:
+            return 0, []
+        if len(xs) > 1 and len(xs) * len(ys) > MOST_CELLS:      # divide where the best alignment passes the middle
+            half = len(xs) // 2
+            cut = int(np.argmax(scores(xs[:half], ys) + scores(xs[half:][::-1], ys[::-1])[::-1]))
+            (n, before), (m, behind) = middle(xs[:half], ys[:cut]), middle(xs[half:], ys[cut:])
+            return n + m, before + behind
+        w = weights(xs, ys)
         best = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
         for i, row in enumerate(w):
             best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + row))
-        i, j, middle = len(xs), len(ys), []
+        i, j, found = len(xs), len(ys), []
         while i and j:
             if w[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + w[i - 1, j - 1]:
                 i, j = i - 1, j - 1
-                middle.append(solve(xs[i], ys[j])[1])
+                found.append(solve(xs[i], ys[j])[1])
             elif best[i, j] == best[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-        return total + int(best[-1, -1]), head + [p for pairs in reversed(middle) for p in pairs] + tail
+        return int(best[-1, -1]), [p for pairs in reversed(found) for p in pairs]
 
     return solve(a, b)[1]
 
@@ -308,21 +328,6 @@ def _plain_weights(xs: list[Node], ys: list[Node]) -> np.ndarray:
     return np.equal.outer(xt, yt) * (NODE * (1 + np.multiply.outer(xc, yc)) + np.equal.outer(xw, yw))
 
 
-def _greedy(xs: list[Node], ys: list[Node], solve) -> tuple[int, list]:
-    total, out, at = 0, [], 0
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(ys):
-        places.setdefault(y.tag, []).append(j)
-    for x in xs:
-        own = places.get(x.tag, [])
-        k = int(np.searchsorted(own, at))
-        if k < len(own):
-            n, pairs = solve(x, ys[own[k]])
-            total, at = total + n, own[k] + 1
-            out += pairs
-    return total, out
-
-
 class Reference:
     """The tree of a reference page, its text leaves numbered, with the number of its nodes and what its blocks are."""
 

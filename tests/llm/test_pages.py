@@ -208,6 +208,49 @@ def test_simple_tree_matching():
     assert pairs == {("1", "1"), ("x", "x"), ("2", "3")}
 
 
+def _exhaustive(x, y) -> int:
+    """The weight of the best order-keeping matching, by trying every alignment of the children."""
+    if x.tag != y.tag:
+        return 0
+
+    def best(i, j):
+        if i == len(x.children) or j == len(y.children):
+            return 0
+        return max(best(i + 1, j), best(i, j + 1), _exhaustive(x.children[i], y.children[j]) + best(i + 1, j + 1))
+
+    return wrappers.NODE + (x.tag == "#" and x.text == y.text) + best(0, 0)
+
+
+def _weight(pairs) -> int:
+    return sum(wrappers.NODE + (x.tag == "#" and x.text == y.text) for x, y in pairs)
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 3])
+def test_matching_equals_exhaustive_search(monkeypatch, cells):
+    """Small trees, in one table and divided until three child pairs are left."""
+    monkeypatch.setattr(wrappers, "MOST_CELLS", cells)
+    rng = random.Random(cells)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.3:
+            return f"<p>{rng.choice('abc')}</p>"
+        return f"<{(t := rng.choice(['div', 'ul']))}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{t}>"
+
+    for _ in range(40):
+        x, y = (wrappers.parse("<div>" + tree(2) + tree(1) + tree(2) + "</div>") for _ in range(2))
+        pairs = wrappers.match(x, y)
+        assert _weight(pairs) == _exhaustive(x, y)
+
+
+def test_matching_of_thousands_of_children():
+    rng = random.Random(2)
+    kept = sorted(rng.sample(range(2500), 2000))
+    x = wrappers.parse("<ul>" + "".join(f"<li>item {i}</li>" for i in range(2500)) + "</ul>")
+    y = wrappers.parse("<ul>" + "".join(f"<li>item {i}</li>" for i in kept) + "</ul>")
+    same = [(a.text, b.text) for a, b in wrappers.match(x, y) if a.tag == "#"]
+    assert len(same) == 2000 and all(a == b for a, b in same)
+
+
 # --- 9 -----------------------------------------------------------------------
 
 CONV = "conv_id bigint, turn int, role string, text string, chosen string, k string"
