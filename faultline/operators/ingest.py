@@ -23,9 +23,6 @@ FEED_TITLE_BARE = r"(.+)\s+#(\d+)\s*$"
 FAILING_STATUSES = ("FAILED", "ERROR", "ABORTED")
 HTML_TAG = r"<[^>]+>"
 CLOCK_PREFIX = r"(?m)^\d{2}:\d{2}:\d{2}\s+"
-# Named character references replaced by the HTML strip (ampersand last).
-HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&nbsp;", " "), ("&amp;", "&"))
 TYPED_THROWABLE = r"(?i)\b[A-Z][a-zA-Z0-9_]*(?:Error|Exception)\b"
 FAILURE_SIGNAL = (
     r"(?i)(?:"
@@ -90,20 +87,20 @@ TS = r"(?:\[\d{4}-[^\]]+\]\s*|\d{4}-\d{2}-\d{2}T\S+\s+|\d{2}:\d{2}:\d{2}(?:\.\d+
 NOISE_LINE = (
     r"(?i)^(?:"
     r"^\s*$|"
-    r"^\s*TS\[Pipeline\]\s*(?:\{|\}|//\s*\w+|$)|"
-    r"^\s*TS\[Pipeline\]\s*(?:stage|node|parallel|withEnv|timestamps|timeout|"
+    rf"^\s*{TS}\[Pipeline\]\s*(?:\{{|\}}|//\s*\w+|$)|"
+    rf"^\s*{TS}\[Pipeline\]\s*(?:stage|node|parallel|withEnv|timestamps|timeout|"
     r"getContext|End of Pipeline|tool|envVarsForTool)\b|"
-    r"^\s*TS\[INFO\]\s*[-=]{4,}\s*$|"
-    r"^\s*TS\[INFO\]\s*$|"
-    r"^\s*TS\[INFO\]\s*(?:Scanning for projects|"
+    rf"^\s*{TS}\[INFO\]\s*[-=]{{4,}}\s*$|"
+    rf"^\s*{TS}\[INFO\]\s*$|"
+    rf"^\s*{TS}\[INFO\]\s*(?:Scanning for projects|"
     r"Building\s|Compiling\s|Copying\s|Installing\s|Deleting\s|Recompiling\s|"
     r"Downloaded\s|Downloading\s|Progress\s|Resolving\s|"
     r"--- \S+:\S+:\S+ .* ---\s*$|"
     r"BUILD SUCCESS|Total time:|Finished at:)|"
-    r"^\s*TS\[WARNING\]\s*(?:$|'dependencies|"
+    rf"^\s*{TS}\[WARNING\]\s*(?:$|'dependencies|"
     r"Some problems were|It is highly recommended|"
     r"\s*from pom\.xml)|"
-    r"^\s*TS(?:Started by|Running in|Timeout set to expire|"
+    rf"^\s*{TS}(?:Started by|Running in|Timeout set to expire|"
     r"Checking out Revision|using credential|Fetching changes|"
     r"Fetching upstream changes|Commit message:|"
     r"\> git\s|Cloning repository)\b|"
@@ -119,16 +116,16 @@ NOISE_LINE = (
     r".*HttpHostConnectException:\s*Connect to http://localhost:\d+\s+failed|"
     r".*ResourceAccessException:.*Connection refused|"
     r".*Caused by:\s*java\.net\.ConnectException:\s*Connection refused|"
-    r"^\s*TS?\s*at\s+(?:com\.netflix\.discovery\.|org\.glassfish\.jersey\.|"
+    rf"^\s*{TS}?\s*at\s+(?:com\.netflix\.discovery\.|org\.glassfish\.jersey\.|"
     r"jakarta\.ws\.rs\.|org\.apache\.hc\.client5\.|org\.apache\.hc\.core5\.|"
     r"org\.springframework\.web\.client\.DefaultRestClient|"
     r"org\.apache\.maven\.lifecycle\.|org\.apache\.maven\.plugin\.|"
     r"org\.apache\.maven\.DefaultMaven\.|org\.apache\.maven\.cli\.|"
     r"org\.codehaus\.plexus\.|org\.apache\.maven\.plugin\.surefire\.)\b|"
-    r"^\s*TS?\s*\.\.\.\s+\d+\s+more\s*$|"
+    rf"^\s*{TS}?\s*\.\.\.\s+\d+\s+more\s*$|"
     r"::\s*Spring Boot\s*::|"
-    r"^\s*TS?\(v\d+\.\d+\.\d+\)\s*$|"
-    r"^\s*TS?\[INFO\]\s+(?:Running com\.|Surefire report directory:|"
+    rf"^\s*{TS}?\(v\d+\.\d+\.\d+\)\s*$|"
+    rf"^\s*{TS}?\[INFO\]\s+(?:Running com\.|Surefire report directory:|"
     r"Using auto detected provider|T E S T S)\b|"
     r"Mockito is currently self-attaching|"
     r"WARNING:\s+A (?:Java agent|terminally deprecated method|restricted method)|"
@@ -137,7 +134,7 @@ NOISE_LINE = (
     r"WARNING:\s+.*Use --enable-native-access|"
     r"WARNING:\s+Restricted methods will be blocked"
     r")"
-).replace("TS", TS)
+)
 TRUNC_NOTICE = "\n... [%d characters omitted; increase MAX_STAGE_LOG_CHARS] ...\n"
 BLANK = r"^\s*$"
 SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_GAP, SNIPPET_MIN_SCORE = 2, 4, 3, 2
