@@ -13,6 +13,7 @@ from ..session import checkpoint_dir
 from ..sources import adapters as A
 from ..sources.adapters import with_adapters
 from ..sources.tables import read_table
+from ..streaming import claims as CL
 from ..streaming import poll as POLL
 from .catalog import register
 from .q_ingest import _FEED_BUILDS_SQL
@@ -223,3 +224,36 @@ def z1_poll_stream(spark, sf_dir):
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(POLL.OUT_SCHEMA).parquet(f"{base}/out/epoch=*")
+
+
+@register("z6_claimed_builds", oracle=with_adapters(_FEED_BUILDS_SQL + """
+, f AS (SELECT job_full_name, build_number, item_id, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS poll FROM fb WHERE build_number > 0),
+p1 AS (SELECT job_full_name, build_number, min(item_id) AS item_id FROM f WHERE poll = 1 GROUP BY ALL),
+wm AS (SELECT job_full_name, max(build_number) AS top FROM p1 WHERE item_id % 3 <> 0 GROUP BY ALL),
+p2 AS (SELECT f.job_full_name, f.build_number, min(item_id) AS item_id FROM f LEFT JOIN wm ON wm.job_full_name = f.job_full_name
+       WHERE poll = 2 AND f.build_number > coalesce(top, 0) GROUP BY ALL)
+SELECT 1 AS poll, job_full_name, build_number, item_id, 0 AS attempts FROM p1
+UNION ALL
+SELECT 2, p2.job_full_name, p2.build_number, p2.item_id, CASE WHEN p1.item_id IS NULL THEN 0 ELSE 1 END
+FROM p2 LEFT JOIN p1 ON p1.job_full_name = p2.job_full_name AND p1.build_number = p2.build_number
+""", "feed"))
+def z6_claimed_builds(spark, sf_dir):
+    """Two polls of the feed (even, then odd items); every third item's forwarding fails, one by one.
+
+    The second poll restarts from the first one's checkpoint: builds at or below a job's highest processed one
+    vanish, failed ones are claimed again.
+    """
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/claims-{uuid.uuid4().hex}"
+    items = I.feed_builds(A.feed(spark, sf_dir)).select("job_full_name", F.col("build_number").cast("int").alias("build_number"), "build_url",
+                                                        F.col("item_id").cast("long").alias("item_id"))
+    failing = F.when(F.col("item_id") % 3 == 0, F.lit("unavailable"))
+    sink = CL.forward(f"{base}/claims", f"{base}/outcomes", lambda d: d.withColumn("error", failing), send_batch=False)
+    # a first, empty outcome folder: the stream's pattern must match something
+    spark.createDataFrame([], CL.OUTCOME).write.parquet(f"{base}/outcomes/none")
+    for poll in (1, 2):
+        ts = F.lit(_dt.datetime(2024, 1, 1, poll)).cast("timestamp")
+        items.filter(F.col("item_id") % 2 == poll - 1).withColumn("ts", ts).write.parquet(f"{base}/feed/{poll}")
+        CL.poll_once(spark, f"{base}/feed", f"{base}/outcomes", f"{base}/state", sink)
+    claimed = spark.read.schema(CL.CLAIM).parquet(f"{base}/claims/*")
+    return claimed.select(F.hour("ts").cast("int").alias("poll"), "job_full_name", "build_number", "item_id", "attempts")
