@@ -342,3 +342,47 @@ def w3_json_fold(spark, sf_dir):
     lines = _materialize(annotated_lines(A.payload_lines(spark, sf_dir)), "checkpoint")
     df = ST.fold_json(ST.drop_banners(ST.init_state(lines)), reuse=lambda d: _materialize(d, "persist"))
     return df.filter(F.col("reason").isin("json-summary", "json-folded")).select("log_id", "idx", "reason", "note")
+
+
+def _trace_logs(spark, sf_dir):
+    """One Python, Node or Go trace per error event: (log_id, raw)."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"]).filter("event_type = 'error'")
+    e, u = F.col("event_id").cast("string"), (F.col("user_id") % 9).cast("string")
+    n = F.col("event_id") % 400 + 1
+
+    def num(k: int):
+        return (n + k).cast("string")
+
+    def text(*lines):
+        return F.concat_ws("\n", *[F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in line]) for line in lines])
+
+    python = text(["INFO start"], ["Traceback (most recent call last):"], ['  File "/app/svc', u, '/api.py", line ', num(0), ", in call"],
+                  ["    result = handler(req)"], ['  File "/app/svc', u, '/handler.py", line ', num(7), ", in handler"], ["    raise it"],
+                  ['  File "/usr/lib/python3.11/site-packages/lib/x.py", line 5, in one'], ["    boom"], ["ValueError: bad value ", e], ["INFO done"])
+    node = text(["TypeError: Cannot read ", e], ["    at Object.charge (/app/src/pay", u, ".js:", num(0), ":15)"], ["    at async Promise.all (index 0)"],
+                ["    at handler (/app/src/server.js:", num(3), ":5)"], ["    at Module._compile (node:internal/modules/cjs/loader:1254:14)"])
+    go = text(["panic: runtime error: index ", e], [""], ["goroutine 1 [running]:"], ["main.process", u, "(0x0)"],
+              ["\t/app/cmd/handler", u, ".go:", num(0), " +0x1d"], ["main.main()"], ["\t/app/cmd/main.go:12 +0x25"],
+              ["runtime.main()"], ["\t/usr/local/go/src/runtime/proc.go:250 +0x207"])
+    kind = F.col("event_id") % 3
+    return ev.select(F.concat(F.lit("t"), e).alias("log_id"), F.when(kind == 0, python).when(kind == 1, node).otherwise(go).alias("raw"))
+
+
+@register("e3_trace_locations", oracle="""
+WITH e AS (SELECT 't' || event_id AS log_id, event_id % 3 AS kind, (user_id % 9)::VARCHAR AS u, (event_id % 400 + 1)::INT AS n, event_id::VARCHAR AS id
+           FROM events WHERE event_type = 'error')
+SELECT log_id, 'python_traceback' AS detector, '/app/svc' || u || '/api.py' AS file, n AS line, 0 AS column, 'call' AS function,
+       0.55::DOUBLE AS confidence, 2 AS log_line_idx, 'ValueError: bad value ' || id AS message FROM e WHERE kind = 0
+UNION ALL SELECT log_id, 'python_traceback', '/app/svc' || u || '/handler.py', n + 7, 0, 'handler', 0.85, 4, 'ValueError: bad value ' || id FROM e WHERE kind = 0
+UNION ALL SELECT log_id, 'node_stack', '/app/src/pay' || u || '.js', n, 15, 'Object.charge', 0.85, 1, 'TypeError: Cannot read ' || id FROM e WHERE kind = 1
+UNION ALL SELECT log_id, 'node_stack', '/app/src/server.js', n + 3, 5, 'handler', 0.75, 3, 'TypeError: Cannot read ' || id FROM e WHERE kind = 1
+UNION ALL SELECT log_id, 'go_panic', '/app/cmd/handler' || u || '.go', n, 0, 'main.process' || u, 0.85, 4, 'panic: runtime error: index ' || id FROM e WHERE kind = 2
+UNION ALL SELECT log_id, 'go_panic', '/app/cmd/main.go', 12, 0, 'main.main', 0.75, 6, 'panic: runtime error: index ' || id FROM e WHERE kind = 2
+""")
+def e3_trace_locations(spark, sf_dir):
+    """Python, Node and Go detectors (E3b to E3d, E2, J12, W17) on traces whose locations the SQL states outright."""
+    from .filter import _materialize
+    lines = _materialize(ST.init_state(T.tokenize(_trace_logs(spark, sf_dir))), "checkpoint")
+    _, locs, _ = D.run_detectors(lines, D.load_detectors("python_traceback,node_stack,go_panic"))
+    return locs.select("log_id", "detector", "file", "line", "column", "function", F.round("confidence", 4).alias("confidence"), "log_line_idx", "message")
