@@ -10,8 +10,8 @@ Scoring is a pure window expression. Selection:
    at most two expanded clusters;
 3. the round-robin fill visits candidates in (ring, cluster rank, side) order
    and skips what does not fit; a ring without any pick ends the fill. That
-   order-dependent budget walk is one ``aggregate`` over the log's candidates.
-   Only the first visit of a line can select it, so duplicates are removed first.
+   order-dependent budget walk is one ``aggregate`` over the log's candidates that can fit at all
+   (budget x ln budget at most). Only the first visit of a line can select it, so duplicates are removed first.
 
 Logs without anchors take the longest tail of live lines that fits (K2).
 """
@@ -76,6 +76,10 @@ def select_lines(lines: DataFrame, token_budget: int = P.BODY_MAX_TOKENS, min_sc
                     F.when(F.col("idx") <= F.col("_ctr"), 0).otherwise(1).alias("_side")))
     first = Window.partitionBy(LOG, "idx").orderBy("_ring", "_rank", "_side")
     cand = cand.withColumn("_v", F.row_number().over(first)).filter(F.col("_v") == 1).drop("_v")
+    # A line that is taken finds room for every earlier one that costs no more, so these were taken, too: of the lines of one
+    # cost only the first budget / cost can be. What is left to fold is bounded by the budget, whatever the log's size.
+    even = Window.partitionBy(LOG, "_cost").orderBy("_ring", "_rank", "_side", "idx")
+    cand = cand.withColumn("_k", F.row_number().over(even)).filter(F.col("_k") * F.col("_cost") <= token_budget).drop("_k")
     per_log = cand.groupBy(LOG).agg(F.sort_array(F.collect_list(F.struct("_ring", "_rank", "_side", "idx", "_cost"))).alias("_c"))
     init = F.struct(F.lit(token_budget).alias("rem"), F.lit(0).alias("ring"), F.lit(False).alias("prog"),
                     F.lit(False).alias("stop"), F.array().cast("array<int>").alias("sel"))
