@@ -7,7 +7,8 @@ for a query and a block, the angles to the pivots bound the angle between any tw
 Whatever that bound puts under the threshold is never compared, and nothing else is left out: results are exact.
 
 Only pivots (``max_pivots`` vectors, with the reach of their members) are collected and broadcast. Blocks meet by joins on their
-pivots, and each pair of blocks is one Arrow group of two blocks at most.
+pivots. They travel in about ``GROUPS`` groups, two of which make one Arrow group, so what is shuffled grows as the corpus does, and
+a group's comparisons run in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,12 @@ SAMPLE = 16             # vectors read for each pivot that is chosen
 RING = 0.02             # radians; a block's angles are a run of rings
 SLACK = 1e-9            # angles are rounded
 PAIRS = "i string, j string, sim double, ord string"
+FOUND = {"i": pa.string(), "j": pa.string(), "sim": pa.float64(), "ord": pa.string(), "probes": pa.int32()}
 QUERY_CHUNK = 8192
+GROUPS = 16             # a vector meets the corpus in so many groups of blocks
+GROUP_LEAST, GROUP_ROWS = 4096, 1 << 17
+ROW_CUT, COLUMN_CUT = 1024, 4096
+DENSE = 64              # finds a row from which on whole rows are ranked
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -155,124 +161,236 @@ def block_pairs(index: PivotIndex, threshold: float) -> DataFrame:
     return both.filter((far <= limit) | (F.col("a") == F.col("b"))).select("a", "b")
 
 
-def _best(sims: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's best ``k`` entries that reach the threshold; of equal ones the first columns."""
+def _groups(index: PivotIndex, least: int = 0) -> DataFrame:
+    """(block, pivot, lo, hi, grp): the blocks in runs by pivot, each a group of ``least`` rows or more.
+
+    There are about ``GROUPS`` of them, so that a vector travels to that many groups however many blocks there
+    are; more only when a group would pass ``GROUP_ROWS`` rows.
+    """
+    totals = sorted(index.blocks.groupBy("pivot").agg(F.sum("n").alias("n")).collect())        # max_pivots rows
+    size = max(1, min(GROUP_ROWS, max(least or GROUP_LEAST, math.ceil(sum(n for _, n in totals) / GROUPS))))
+    before, at = [], 0
+    for pivot, n in totals:
+        before.append((pivot, at))
+        at += n
+    before = index.blocks.sparkSession.createDataFrame(before, "pivot int, _before bigint")
+    own = F.sum("n").over(Window.partitionBy("pivot").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return (index.blocks.withColumn("_own", own).join(F.broadcast(before), "pivot")
+            .select("block", "pivot", "lo", "hi", F.floor((F.col("_before") + F.col("_own")) / size).cast("int").alias("grp")))
+
+
+def _best(sims: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's best ``k`` entries that reach its ``least``; of equal ones the first columns."""
     k = min(k, sims.shape[1])
     kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
     above, even = sims > kth, sims == kth
     room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero((above | even & (np.cumsum(even, axis=1) <= room)) & (sims >= threshold))
-
+    return np.nonzero((above | even & (np.cumsum(even, axis=1) <= room)) & (sims >= least[:, None]))
 
-def _found(parts: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.string(), pa.float64(), pa.string())
-    columns = [pa.concat_arrays(list(c)) for c in zip(*parts, strict=True)] if parts else [pa.array([], k) for k in kinds]
-    return pa.table(dict(zip(("i", "j", "sim", "ord"), columns, strict=True)))
 
+class _Top:
+    """The best ``k`` members of each of some rows so far; equal cosines go by the members' places.
 
-def _cosines(x: pa.Table, y: pa.Table) -> np.ndarray:
-    """Rounded, so that copies of a vector tie wherever they stand."""
-    return np.round(matrix(x.column("v")) @ matrix(y.column("v")).T, 12)
-
+    A product in single precision, whose error is bounded, tells which pairs may come in; their cosines are computed
+    in double precision and rounded, so that copies of a vector tie wherever they stand.
+    """
 
-def _rows(x: pa.Table, y: pa.Table, sims: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple:
+    def __init__(self, least: np.ndarray, k: int):
+        self.least, self.k = least, k
+        self.sim = np.full((len(least), k), -np.inf)
+        self.at = np.full((len(least), k), np.iinfo(np.int64).max)
+
+    def need(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.sim[rows, -1], self.least[rows])
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, rough: np.ndarray, own: bool = False) -> None:
+        """``rough``: x[rows] by y[cols] in single precision. ``own``: both are places of one table, none meets itself."""
+        need = self.need(rows)
+        slack = (x.shape[1] + 8) * 1.2e-7
+        r, c = np.nonzero(rough >= (need - slack)[:, None].astype(np.float32))
+        if len(r) > DENSE * len(rows):
+            exact = np.round(x[rows] @ y[cols].T, 12)
+            if own:
+                exact[rows[:, None] == cols[None, :]] = -np.inf
+            r, c = _best(exact, self.k, need)
+            sim = exact[r, c]
+        else:
+            sim = np.round(np.einsum("ij,ij->i", x[rows[r]], y[cols[c]]), 12)
+        ok = sim >= need[r]
+        if own:
+            ok &= rows[r] != cols[c]
+        if not ok.any():
+            return
+        met, r = np.unique(r[ok], return_inverse=True)
+        mine = rows[met]
+        r = np.concatenate((r, np.repeat(np.arange(len(met)), self.k)))
+        sim = np.concatenate((sim[ok], self.sim[mine].ravel()))
+        at = np.concatenate((cols[c[ok]], self.at[mine].ravel()))
+        order = np.lexsort((at, -sim, r))
+        r = r[order]
+        place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(met)))[r]
+        kept = place < self.k
+        self.sim[mine[r[kept]], place[kept]] = sim[order][kept]
+        self.at[mine[r[kept]], place[kept]] = at[order][kept]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, place = np.nonzero(self.sim > -np.inf)
+        return rows, self.at[rows, place], self.sim[rows, place]
+
+
+def _places(names: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """The places of each value, ascending."""
+    values, code = np.unique(names.to_numpy(), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    return dict(zip(values.tolist(), np.split(order, np.searchsorted(code[order], np.arange(1, len(values)))), strict=True))
+
+
+def _cut(places: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(places), size):
+        yield places[at:at + size]
+
+
+def _pick(x: pa.Table, y: pa.Table, top: _Top) -> list:
+    rows, cols, sims = top.found()
     at = pa.array(cols)
-    return (x.column("key").combine_chunks().take(pa.array(rows)), y.column("key").combine_chunks().take(at), pa.array(sims[rows, cols]),
-            y.column("ord").combine_chunks().take(at))
+    return [x.column("key").combine_chunks().take(pa.array(rows)), y.column("key").combine_chunks().take(at), pa.array(sims),
+            y.column("ord").combine_chunks().take(at)]
 
 
 def _compare(k: int, threshold: float):
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({n: pa.array([], FOUND[n]) for n in ("i", "j", "sim", "ord")})
         table = table.sort_by("ord")
-        first = table.column("first").to_numpy()
-        x, y = table.filter(pa.array(first)), table.filter(pa.array(~first))
-        if not y.num_rows:                          # a block with itself
-            sims = _cosines(x, x)
-            np.fill_diagonal(sims, -np.inf)
-            return _found([_rows(x, x, sims, *_best(sims, k, threshold))])
-        sims = _cosines(x, y)                       # two blocks, both ways
-        return _found([_rows(x, y, sims, *_best(sims, k, threshold)), _rows(y, x, sims.T, *_best(sims.T, k, threshold))])
+        x = matrix(table.column("v"))
+        rough = x.astype(np.float32)
+        at = _places(table.column("block"))
+        top = _Top(np.full(len(x), threshold), k)
+        met: dict[str, list[str]] = {}
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            met.setdefault(a, []).append(b)
+        for a, others in sorted(met.items()):
+            rest = [at[b] for b in others if b != a]
+            cols = np.sort(np.concatenate(rest)) if rest else np.zeros(0, np.int64)
+            for r in _cut(at[a], ROW_CUT):
+                for c in _cut(at[a] if a in others else cols[:0], COLUMN_CUT):     # a block with itself
+                    top.add(r, c, x, x, rough[r] @ rough[c].T, own=True)
+                for c in _cut(cols, COLUMN_CUT):                                  # with others, both ways
+                    sims = rough[r] @ rough[c].T
+                    top.add(r, c, x, x, sims)
+                    top.add(c, r, x, x, sims.T)
+        return pa.table(dict(zip(("i", "j", "sim", "ord"), _pick(table, table, top), strict=True)))
     return run
 
 
-def near_pairs(index: PivotIndex, k: int, threshold: float) -> DataFrame:
-    """(i, j, sim, ord), both ways: a superset of every member's ``k`` best others with a cosine of ``threshold`` or more."""
+def near_pairs(index: PivotIndex, k: int, threshold: float, group_rows: int = 0) -> DataFrame:
+    """(i, j, sim, ord), both ways: a superset of every member's ``k`` best others with a cosine of ``threshold`` or more.
+
+    Two groups of blocks meet in one Arrow group, which compares the pairs of their blocks that are not too far apart and
+    keeps the ``k`` best of each row: a vector and its finds travel once for each group, not for each block.
+    """
+    checkpoint_dir(index.members.sparkSession)
+    groups = _groups(index, group_rows)
     pairs = block_pairs(index, threshold)
-    own = index.members.select("key", "ord", "v", "block")
-    left = own.join(pairs.withColumnRenamed("a", "block"), "block").select(
-        "key", "ord", "v", F.col("block").alias("a"), "b", F.lit(True).alias("first"))
-    right = own.join(pairs.filter("a <> b").withColumnRenamed("b", "block"), "block").select(
-        "key", "ord", "v", "a", F.col("block").alias("b"), F.lit(False).alias("first"))
-    return left.unionByName(right).groupBy("a", "b").applyInArrow(_compare(k, threshold), PAIRS)
+    for x in "ab":
+        pairs = pairs.join(groups.select(F.col("block").alias(x), F.col("grp").alias("g" + x)), x)
+    pairs = pairs.select("a", "b", F.least("ga", "gb").alias("ta"), F.greatest("ga", "gb").alias("tb")).checkpoint()
+    met = pairs.select(F.col("a").alias("block"), "ta", "tb").union(pairs.select("b", "ta", "tb")).distinct()
+    own = index.members.join(met, "block").select("key", "ord", "v", "block", F.col("ta").alias("ua"), F.col("tb").alias("ub"))
+    return own.groupBy("ua", "ub").cogroup(pairs.groupBy("ta", "tb")).applyInArrow(_compare(k, threshold), PAIRS)
 
 
-def _answer(k: int, floor: float):
+def _answer(k: int, floor: float, pivots: np.ndarray, nearest: bool):
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
         if not members.num_rows or not asked.num_rows:
-            return _found([])
+            return pa.table({n: pa.array([], kind) for n, kind in FOUND.items()})
         members = members.sort_by("ord")
-        sims = _cosines(asked, members)
-        rows, cols = _best(sims, k, -2.0)
-        ok = sims[rows, cols] >= np.maximum(asked.column("least").to_numpy(), floor)[rows] - SLACK
-        return _found([_rows(asked, members, sims, rows[ok], cols[ok])])
+        q, y = matrix(asked.column("v")), matrix(members.column("v"))
+        rough_q, rough_y = q.astype(np.float32), y.astype(np.float32)
+        first = asked.column("first").to_numpy()
+        top = _Top(np.maximum(asked.column("least").to_numpy(), floor) - SLACK, k)
+        angle, pivot = members.column("angle").to_numpy(), members.column("pivot").to_numpy()
+        probes, every = np.zeros(len(q), np.int32), np.arange(len(q))
+        for _, own in sorted(_places(members.column("block")).items()):
+            p, lo, hi = int(pivot[own[0]]), angle[own].min(), angle[own].max()
+            for r in _cut(every[(first == p) == nearest], ROW_CUT):
+                far = _angles(q[r], pivots[p:p + 1])[:, 0]
+                far = np.maximum(0.0, np.maximum(far - hi, lo - far))
+                r = r[far <= np.arccos(np.clip(top.need(r) - SLACK, -1, 1)) + SLACK]
+                probes[r] += 1
+                for c in _cut(own, COLUMN_CUT) if len(r) else ():
+                    top.add(r, c, q, y, rough_q[r] @ rough_y[c].T)
+        found = _pick(asked, members, top)
+        read = np.flatnonzero(probes)
+        found = [*found, pa.nulls(len(found[0]), pa.int32())]
+        told = [asked.column("key").combine_chunks().take(pa.array(read)), pa.nulls(len(read), pa.string()), pa.nulls(len(read), pa.float64()),
+                pa.nulls(len(read), pa.string()), pa.array(probes[read])]
+        return pa.table({n: pa.concat_arrays([a, b]) for n, a, b in zip(FOUND, found, told, strict=True)})
     return run
 
 
-def probe(index: PivotIndex, queries: DataFrame, k: int, floor: float = -1.0) -> tuple[DataFrame, DataFrame]:
+def probe(index: PivotIndex, queries: DataFrame, k: int, floor: float = -1.0, group_rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """The ``k`` best members of each of ``queries`` (key, v), best blocks first: (i, j, sim, ord) and (key, probes).
 
     Each query first reads the blocks of its nearest pivot. Its k-th best cosine there (or ``floor``, if greater) is what
     others have to reach, so of the other blocks it reads those whose bound allows that. The pairs are a superset
-    of the k best with a cosine of ``floor`` or more. ``probes`` counts the blocks read.
+    of the k best with a cosine of ``floor`` or more. ``probes`` counts the blocks read. Queries travel to groups of
+    blocks, members to as many chunks of the queries.
     """
     checkpoint_dir(queries.sparkSession)
     pivots = index.pivots
-    reach = {r["pivot"]: (r["lo"], r["hi"]) for r in _reach(index)}
-    live = np.array(sorted(reach), np.int64)
-    lo, hi = (np.array([reach[p][x] for p in live.tolist()]) for x in (0, 1))
+    groups = _groups(index, group_rows)
+    reach = sorted(groups.groupBy("pivot", "grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())    # pivots + groups
+    live = np.array(sorted({r["pivot"] for r in reach}), np.int64)
+    place = np.searchsorted(live, [r["pivot"] for r in reach])
+    lo, hi = (np.array([r[x] for r in reach]) for x in ("lo", "hi"))
+    grp = np.array([r["grp"] for r in reach], np.int64)
+
+    def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(live):
+                m = unit(matrix(batch.column("v")))
+                first = live[_angles(m, pivots[live]).argmin(axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), lists(m), pa.array(first.astype(np.int32))], names=["key", "v", "first"])
 
     def route(nearest: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not len(live):
+                if not batch.num_rows:
                     continue
-                m = unit(matrix(batch.column("v")))
-                angles = _angles(m, pivots[live])
-                first = angles.argmin(axis=1)
-                least = np.full(len(m), floor) if nearest else np.maximum(batch.column("least").to_numpy(), floor)
-                if nearest:
-                    rows, cols = np.arange(len(m)), first
-                else:
+                m, first = matrix(batch.column("v")), batch.column("first").to_numpy()
+                least = np.maximum(batch.column("least").to_numpy(), floor)
+                goes = first[:, None] == live[place][None, :]
+                if not nearest:
+                    angles = _angles(m, pivots[live])[:, place]
                     far = np.maximum(0.0, np.maximum(angles - hi, lo - angles))
-                    far[np.arange(len(m)), first] = np.inf
-                    rows, cols = np.nonzero(far <= np.arccos(np.clip(least - SLACK, -1, 1))[:, None] + SLACK)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(rows)), lists(m[rows]) if len(rows) else pa.array([], pa.list_(pa.float64())),
-                     pa.array(least[rows]), pa.array(live[cols].astype(np.int32)), pa.array(angles[rows, cols])],
-                    names=["key", "v", "least", "pivot", "angle"])
+                    goes = ~goes & (far <= np.arccos(np.clip(least - SLACK, -1, 1))[:, None] + SLACK)
+                to = np.zeros((len(m), int(grp.max()) + 1), bool)
+                for i, g in enumerate(grp):
+                    to[:, g] |= goes[:, i]
+                rows, cols = np.nonzero(to)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(pa.array(rows)), lists(m[rows]), pa.array(least[rows]), pa.array(first[rows]),
+                         pa.array(cols.astype(np.int32))], names=["key", "v", "least", "first", "grp"])
         return run
 
-    routed = "key string, v array<double>, least double, pivot int, angle double"
-    asked = queries.select(F.col("key").cast("string").alias("key"), F.col("v").cast("array<double>").alias("v")).checkpoint()
-    chunks = max(1, math.ceil(asked.count() / QUERY_CHUNK))
-
-    def ask(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        reaches = F.greatest(F.lit(0.0), F.col("angle") - F.col("hi"), F.col("lo") - F.col("angle"))
-        told = rows.join(index.blocks.select("block", "pivot", "lo", "hi"), "pivot")
-        told = told.filter(reaches <= F.acos(F.greatest(F.lit(-1.0), F.col("least") - SLACK)) + SLACK)
-        told = told.select("key", "v", "least", "block", F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk"))
-        wanted = told.select(F.col("block").alias("_block"), F.col("chunk").alias("_chunk")).distinct()
-        members = index.members.join(wanted, F.col("block") == F.col("_block")).select(
-            "key", "ord", "v", F.col("_block").alias("block"), F.col("_chunk").alias("chunk"))
-        found = members.groupBy("block", "chunk").cogroup(told.groupBy("block", "chunk")).applyInArrow(_answer(k, floor), PAIRS)
-        return found, told.groupBy("key").agg(F.count(F.lit(1)).alias("probes"))
-
-    near, first = ask(asked.mapInArrow(route(True), routed))
-    near = near.checkpoint()
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.col("sim").desc()))
-    best = near.withColumn("_r", place).filter(F.col("_r") == k).select(F.col("i").alias("key"), F.col("sim").alias("least"))
-    told = asked.join(best, "key", "left").withColumn("least", F.coalesce("least", F.lit(floor)))
-    rest, more = ask(told.mapInArrow(route(False), routed))
-    probes = first.unionByName(more).groupBy("key").agg(F.sum("probes").alias("probes"))
-    return near.unionByName(rest), probes
-
+    asked = queries.select(F.col("key").cast("string").alias("key"), F.col("v").cast("array<double>").alias("v"))
+    asked = asked.mapInArrow(home, "key string, v array<double>, first int").checkpoint()
+    n = asked.count()
+
+    def ask(rows: DataFrame, nearest: bool) -> DataFrame:
+        wide = GROUPS // 4 if nearest else GROUPS          # a query meets few groups at first
+        chunks = max(1, min(wide, math.ceil(n / QUERY_CHUNK)), math.ceil(n / GROUP_ROWS))
+        told = rows.mapInArrow(route(nearest), "key string, v array<double>, least double, first int, grp int")
+        told = told.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
+        wanted = groups.select("block", "grp").join(told.select("grp", "chunk").distinct(), "grp")
+        members = index.members.join(wanted, "block").select("key", "ord", "v", "pivot", "angle", "block", F.col("grp").alias("to"), F.col("chunk").alias("of"))
+        met = members.groupBy("to", "of").cogroup(told.groupBy("grp", "chunk"))
+        return met.applyInArrow(_answer(k, floor, pivots, nearest), PAIRS + ", probes int")
+
+    near = ask(asked.withColumn("least", F.lit(floor)), True).checkpoint()
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("sim").desc()))
+    best = near.filter("probes is null").withColumn("_r", rank).filter(F.col("_r") == k).select(F.col("i").alias("key"), F.col("sim").alias("least"))
+    both = near.unionByName(ask(asked.join(best, "key", "left").withColumn("least", F.coalesce("least", F.lit(floor))), False))
+    return both.filter("probes is null").drop("probes"), both.filter("probes > 0").groupBy(F.col("i").alias("key")).agg(F.sum("probes").alias("probes"))

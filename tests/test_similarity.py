@@ -82,3 +82,25 @@ def test_empty_corpus_and_queries(spark):
     assert SIM.top_k_neighbours(none, 3, 0.1).count() == 0
     found, probes = PV.probe(PV.build(none), spark.createDataFrame([("q", [1.0, 0.0])], "key string, v array<double>"), 3)
     assert found.count() == 0 and probes.count() == 0
+
+
+def test_groups_of_blocks_give_the_same_pairs_and_vectors_travel_once_a_group(spark, rows):
+    index = PV.build(frame(spark, rows), block_size=32)
+    for k, threshold in ((6, 0.75), (3, -1.0)):
+        found: dict = {}
+        for r in PV.near_pairs(index, k, threshold, group_rows=150).collect():
+            found.setdefault(r.i, []).append((-r.sim, r.ord, r.j))
+        assert {(i, x[2]) for i, own in found.items() for x in sorted(own)[:k]} == all_pairs(rows, k, threshold)
+    assert PV._groups(index, 150).agg(F.countDistinct("grp")).first()[0] >= 5
+    many = PV._groups(PV.build(frame(spark, rows * 9), block_size=32)).agg(F.countDistinct("grp")).first()[0]
+    assert many <= PV.GROUPS + 1          # 100 and more blocks
+    queries = spark.createDataFrame([(k, v) for k, _, v in rows[5:300:9]], "key string, v array<double>")
+    hits, probes = PV.probe(index, queries, 5, group_rows=150)
+    best: dict = {}
+    for r in hits.collect():
+        best.setdefault(r.i, []).append((-r.sim, r.ord, r.j))
+    m = PV.unit(np.array([v for _, _, v in rows]))
+    for key, _, v in rows[5:300:9]:
+        sims = np.round(m @ PV.unit(np.array([v]))[0], 12)
+        assert [x[2] for x in sorted(best[key])[:5]] == [x[2] for x in sorted((-s, o, x) for s, (x, o, _) in zip(sims, rows, strict=True))[:5]]
+    assert probes.count() == len(rows[5:300:9])
