@@ -53,12 +53,12 @@ def scan(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, Column]], o
     row's own value counts. ``df`` must hold ``_b``; rows of a key are ordered by ``order``, of which the first
     column follows the blocks. ``spans`` false says that no key has a second block: nothing is carried then.
     """
-    local = Window.partitionBy(*keys, BLK).orderBy(*order)
-    here = 0 if own else (1 if ahead else -1)
-    local = local.rowsBetween(here, Window.unboundedFollowing) if ahead else local.rowsBetween(Window.unboundedPreceding, here)
-    between = Window.partitionBy(*keys).orderBy(BLK)
-    between = between.rowsBetween(1, Window.unboundedFollowing) if ahead else between.rowsBetween(Window.unboundedPreceding, -1)
-    run = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True)}
+    # Scans ahead run from the end, too: a frame that grows takes one step a row, one that shrinks is summed up anew for each row.
+    turned = (lambda c: F.col(c).desc()) if ahead else F.col
+    local = Window.partitionBy(*keys, BLK).orderBy(*map(turned, order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    between = Window.partitionBy(*keys).orderBy(turned(BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = lambda c: F.last(c, ignorenulls=True)
+    run = {"sum": F.sum, "max": F.max, "last": nearest, "first": nearest}
 
     def whole(kind: str, c: Column) -> Column:
         at = F.when(c.isNotNull(), F.struct(*order))
