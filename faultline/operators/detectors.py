@@ -40,6 +40,7 @@ EXIT_NONZERO = (
     r"process\s+exited\s+with\s+(?:code\s+)?([1-9]\d*)"
 )
 SHELL_LOOKBACK = 59
+TASK_LINES = 100_000
 
 
 def location(log_id: Column, detector: str, kind: str, *, file=None, line=None, column=None, function=None,
@@ -108,6 +109,16 @@ class ShellDetector:
         return marks, locs
 
 
+def spread(lines: DataFrame, n: int) -> DataFrame:
+    """The columns that detectors read of ``n`` lines, whole logs a task, about ``TASK_LINES`` lines in each.
+
+    A task runs all branches of the detectors on its logs and holds their sorts until it ends, so its share is not left to the
+    size of the shuffled data.
+    """
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_LINES))
+    return lines.select(LOG, "idx", "raw", "text", "kind", "severity", "drop").repartition(tasks, LOG)
+
+
 def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
                   materialize=None, reuse=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run, cap (W20) and merge (U3) detector contributions.
@@ -132,13 +143,13 @@ def run_detectors(lines: DataFrame, detectors, cap: int | None = None,
             LOGGER.exception("detector %r failed; skipping", d.name)
     if not probes:
         return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
-    # A detector that no line of any log activates has nothing to plan (one row of flags reaches the driver).
-    flags = lines.agg(*[F.max(d.activates(F.col("raw"))) for _, d in probes]).first()
+    # A detector that no line of any log activates has nothing to plan (one row of flags and a count reaches the driver).
+    n, *flags = lines.agg(F.count(F.lit(1)), *[F.max(d.activates(F.col("raw"))) for _, d in probes]).first()
     asked = [probe for probe, on in zip(probes, flags, strict=True) if on]
     if not asked:
         return lines.withColumn("keep", F.lit(False)), _no_locations(spark), _no_names(lines)
     # Detectors read only these columns: keep their sorts and shuffles narrow.
-    narrow = reuse(lines.select(LOG, "idx", "raw", "text", "kind", "severity", "drop"))
+    narrow = reuse(spread(lines, n))
     all_marks, all_locs = [], []
     for order, d in asked:
         active = F.max(d.activates(F.col("raw"))).over(Window.partitionBy(LOG))

@@ -207,7 +207,10 @@ FROM base WHERE nproj = 0 AND idx = top"""
 def e3a_java_locations(spark, sf_dir):
     """Java detector locations on the stack-trace corpus (after structural collapse)."""
     from ..operators import stacks as SK
-    _, locs = SK.JavaStackDetector().contribute(collapsed_lines(spark, sf_dir, A.stack_lines))
+    from .filter import _materialize
+    lines = collapsed_lines(spark, sf_dir, A.stack_lines).select("log_id", "idx", "raw", "text", "kind", "severity", "drop")
+    lines = _materialize(lines, "checkpoint")
+    _, locs = SK.JavaStackDetector().contribute(D.spread(lines, lines.count()))
     return locs.select("log_id", "file", "line", "function", F.round("confidence", 4).alias("confidence"), "log_line_idx", "message")
 
 

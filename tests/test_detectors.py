@@ -209,3 +209,17 @@ def test_empty_baseline(spark):
     assert own.filter("drop").count() == 30 and own.first().baseline_version == "self/0.30/1"
     assert none.filter("drop").count() == 0 and none.first().baseline_version == "empty"
     assert none.filter("score = 2").count() == 30
+
+
+def test_detectors_deal_logs_to_tasks_by_their_lines(spark, monkeypatch):
+    from faultline.operators import detectors as D
+    from faultline.operators import structural as ST
+    from faultline.operators import tokenize as T
+    logs = spark.createDataFrame([(f"t{i}", "TypeError: no\n    at Object.a (/app/a.js:1:2)\nend") for i in range(400)], "log_id string, raw string")
+    lines = ST.init_state(T.tokenize(logs))
+    monkeypatch.setattr(D, "TASK_LINES", 50)
+    assert D.spread(lines, 1200).rdd.getNumPartitions() == 24
+    assert D.spread(lines, 0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    seen = []
+    _, locs, _ = D.run_detectors(lines, D.load_detectors("node_stack"), reuse=lambda d: seen.append(d) or d)
+    assert seen[0].rdd.getNumPartitions() == 24 and locs.count() == 400
