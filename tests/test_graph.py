@@ -79,3 +79,19 @@ def test_registered_graph_queries_keep_edges_from_a_quarter_on(spark, tmp_path):
     assert len({c for _, c in got["g3_communities"]}) == 2
     assert "similar" in {r[2] for r in got["p8_kind_filter"]}
     assert "similar" not in {r[0] for r in got["g1_typed_edges"]}        # its SQL states 0.35
+
+
+def test_registered_communities_statistics_and_hubs_use_edges_under_a_third(spark, tmp_path):
+    from faultline.plans import catalog
+    catalog.load_all()
+    up = (1 - 0.09) ** 0.5
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.3, up, 0.0], 1), (3, [0.3, -up, 0.0], 2), (4, [0.0, 0.0, -1.0], 3)]     # cosines 0.3, 0.3, below 0
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {q: [tuple(r) for r in catalog.QUERIES[q](spark, str(tmp_path)).collect()] for q in
+           ("k4_top_neighbours", "j4_similarity_edges", "g4_degree", "g3_communities", "g5_community_labels", "k6_hub_nodes", "j8_node_neighbours")}
+    stats = catalog.QUERIES["a15_graph_stats"](spark, str(tmp_path)).first()
+    assert len(got["k4_top_neighbours"]) == 4 and {w for *_, w in got["j4_similarity_edges"]} == {0.3}
+    assert sorted(d for _, d in got["g4_degree"]) == [0, 1, 1, 2] and len({c for _, c in got["g3_communities"]}) == 2
+    assert sorted(size for _, size, _ in got["g5_community_labels"]) == [1, 3]
+    assert got["k6_hub_nodes"][0] == ("sol:sol-1", 2) and {r[0] for r in got["j8_node_neighbours"]} == {"sol:sol-1"}
+    assert (stats.total_similarity_edges, stats.isolated_solutions, stats.communities, stats.largest_community_size) == (2, 1, 2, 3)
