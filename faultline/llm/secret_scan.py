@@ -3,13 +3,17 @@
 Base rules (assignments, access keys, long hex runs) always count. Every other
 candidate, a run of 16 or more token characters that is not a plain word, goes with its
 surrounding context through a small convolutional network in numpy. The network is fitted
-here, on a bounded sample by class of the labelled findings of all documents: base findings and
+here, on all labelled findings of all documents: base findings and
 re-lettered variants of them are secrets, long words and joined ones are not; other candidates,
 which nobody has judged, have no label.
 Held-out findings calibrate its scores (Platt scaling) and set the threshold: the highest
 one that keeps the wanted recall, with no floor. Long candidates are scored in overlapping tiles,
 whole, in the calibration as in the scan.
 
+The fit reads every labelled finding. Shards of a few thousand rows, dealt by hash, take an epoch each from the same
+weights; the mean of what they reach, by rows, opens the next epoch. A shard is one row of one task, and only
+weights, counts and histograms of bounded size reach the driver.
+
 Defined cases: a null or empty text has no findings; offsets count code points, the end is
 exclusive; findings are ordered by start, then kind; documents with too few labelled rows
 (an empty table, say) fit no model, and the base rules stand alone; repeated rows are
@@ -18,6 +22,7 @@ scanned each; other columns pass through.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +36,9 @@ from . import hashing as H
 from .common import slices, written
 
 KINDS = ("assign", "access", "hex", "model")
-SAMPLE_ROWS = 8_000             # labelled rows at most, half of either class
+SHARD_ROWS = 8_192              # labelled rows that one network learns from in an epoch, about
+EPOCHS = 8
+BIN, FINE = 1e-3, 1e-6          # steps of logits in histograms; logits count as at most 1,000 there
 MIN_ROWS = 40                   # labelled rows of either class that a fit needs
 RECALL = 0.95                   # share of held-out secrets that the threshold must keep
 MIN_RUN = 16
@@ -116,26 +123,32 @@ for _k, _c in enumerate(_SPECIAL):
     _ASCII[ord(_c)] = 31 + _k
 
 
-def _classes(text: str, size: int, right: bool = False) -> np.ndarray:
-    out = np.full(size, _PAD, np.int16)
-    if text:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = np.where(points < 128, _ASCII[np.minimum(points, 127)], _WIDE)
-        out[size - len(own) if right else 0:size if right else len(own)] = own
-    return out
+_FILL = "\udfff"                # in no text
+
+
+def _tile_rows(places: list[tuple[str, int, int]]) -> np.ndarray:
+    """Class numbers around each (text, start, end): the context and the first ``INSIDE`` characters of the candidate."""
+    parts = []
+    for text, start, end in places:
+        stop = min(end, start + INSIDE)
+        parts += [text[max(0, start - BEFORE):start].rjust(BEFORE, _FILL), text[start:stop].ljust(INSIDE, _FILL),
+                  text[stop:stop + AFTER].ljust(AFTER, _FILL)]
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(places), LENGTH)
+    rows = np.where(points < 128, _ASCII[np.minimum(points, 127)], np.where(points == ord(_FILL), _PAD, _WIDE)).astype(np.uint8)
+    inside = rows[:, BEFORE:BEFORE + INSIDE]
+    inside[inside > _PAD] += _CLASSES // 2
+    return rows
+
+
+def _starts(start: int, end: int) -> range:
+    """Where the tiles of a candidate begin; a long one has several."""
+    step = INSIDE // 2
+    return range(start, max(start + 1, end - step if end - start > INSIDE else start + 1), step)
 
 
 def tiles(text: str, start: int, end: int) -> list[np.ndarray]:
     """Class numbers of the context and the candidate; a long candidate gives several tiles."""
-    out = []
-    step = INSIDE // 2
-    for at in range(start, max(start + 1, end - step if end - start > INSIDE else start + 1), step):
-        inside = _classes(text[at:min(end, at + INSIDE)], INSIDE)
-        tail = min(end, at + INSIDE)
-        row = np.concatenate((_classes(text[max(0, at - BEFORE):at], BEFORE, right=True),
-                              np.where(inside > _PAD, inside + _CLASSES // 2, _PAD), _classes(text[tail:tail + AFTER], AFTER)))
-        out.append(row)
-    return out
+    return list(_tile_rows([(text, at, end) for at in _starts(start, end)]))
 
 
 class Network:
@@ -143,9 +156,10 @@ class Network:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.rng = rng
         self.w = {"conv": rng.normal(0, 0.1, (WIDTH, _CLASSES, FILTERS)), "bias": np.zeros(FILTERS),
                   "out": rng.normal(0, 0.1, 2 * FILTERS), "off": np.zeros(1)}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        self.steps = 0.0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, x: np.ndarray):
@@ -170,50 +184,64 @@ class Network:
 
     def best(self, spans: list[tuple[str, int, int]]) -> np.ndarray:
         """The greatest logit over the tiles of each span (text, start, end), as the scan judges it."""
-        owner, rows, out = [], [], np.full(len(spans), -np.inf)
-        for i, span in enumerate(spans):
-            own = tiles(*span)
-            rows += own
+        owner, places, out = [], [], np.full(len(spans), -np.inf)
+        for i, (text, start, end) in enumerate(spans):
+            own = [(text, at, end) for at in _starts(start, end)]
+            places += own
             owner += [i] * len(own)
-        if rows:
-            np.maximum.at(out, np.array(owner), self.logits(np.array(rows)))
+        for at in range(0, len(places), 4096):
+            np.maximum.at(out, np.array(owner[at:at + 4096]), self.logits(_tile_rows(places[at:at + 4096])))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, batch: int = 128) -> None:
-        first = {k: np.zeros_like(v) for k, v in self.w.items()}
-        second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        n, step = LENGTH - WIDTH + 1, 0
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        for _ in range(epochs):
-            order = self.rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                own = order[at:at + batch]
-                xb, yb = x[own], y[own]
-                z, top, pooled, logit = self._forward(xb)
-                d = weight[own] * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - yb) / len(own)
-                up = d[:, None] * self.w["out"][None, :]
-                da = np.repeat(up[:, None, FILTERS:] / n, n, axis=1)
-                np.put_along_axis(da, top[:, None, :], np.take_along_axis(da, top[:, None, :], 1) + up[:, None, :FILTERS], 1)
-                dz = da * (z > 0)
-                grad = {"out": pooled.T @ d, "off": np.array([d.sum()]), "bias": dz.sum((0, 1)), "conv": np.zeros_like(self.w["conv"])}
-                flat = dz.reshape(-1, FILTERS)
-                for j in range(WIDTH):
-                    np.add.at(grad["conv"][j], xb[:, j:j + n].ravel(), flat)
-                step += 1
-                for k, g in grad.items():
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-
-    def calibrate(self, logit: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling of whole candidates' scores, then the highest threshold with the wanted recall, however low."""
+    def _parts(self) -> list[np.ndarray]:
+        return [part[k] for part in (self.w, self.first, self.second) for k in sorted(part)]
+
+    def state(self) -> np.ndarray:
+        """All that an epoch changes, in one vector: weights, their moments, the number of steps."""
+        return np.concatenate([np.array([self.steps]), *(x.ravel() for x in self._parts())])
+
+    def restore(self, state: np.ndarray) -> None:
+        self.steps, at = float(state[0]), 1
+        for x in self._parts():
+            x[...] = state[at:at + x.size].reshape(x.shape)
+            at += x.size
+
+    def learn(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, rate: float = 0.01, batch: int = 128) -> None:
+        """One epoch of gradient steps (Adam) over the rows ``x`` with labels ``y``."""
+        n, order = LENGTH - WIDTH + 1, rng.permutation(len(y))
+        for at in range(0, len(y), batch):
+            own = order[at:at + batch]
+            xb, yb = x[own].astype(np.int64), y[own]
+            z, top, pooled, logit = self._forward(xb)
+            d = weight[own] * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - yb) / len(own)
+            up = d[:, None] * self.w["out"][None, :]
+            da = np.repeat(up[:, None, FILTERS:] / n, n, axis=1)
+            np.put_along_axis(da, top[:, None, :], np.take_along_axis(da, top[:, None, :], 1) + up[:, None, :FILTERS], 1)
+            dz = da * (z > 0)
+            grad = {"out": pooled.T @ d, "off": np.array([d.sum()]), "bias": dz.sum((0, 1)), "conv": np.zeros_like(self.w["conv"])}
+            flat, cells = dz.ravel(), xb[:, :, None] * FILTERS + np.arange(FILTERS)
+            for j in range(WIDTH):
+                grad["conv"][j] = np.bincount(cells[:, j:j + n].ravel(), flat, _CLASSES * FILTERS).reshape(_CLASSES, FILTERS)
+            self.steps += 1
+            for k, g in grad.items():
+                self.first[k] = 0.9 * self.first[k] + 0.1 * g
+                self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+                self.w[k] = self.w[k] - rate * (self.first[k] / (1 - 0.9 ** self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999 ** self.steps)) + 1e-8)
+
+    def calibrate(self, logit: np.ndarray, y: np.ndarray, recall: float, n: np.ndarray | None = None, cut: float | None = None) -> None:
+        """Platt scaling of whole candidates' scores, then the highest threshold with the wanted recall, however low.
+
+        ``n`` counts the candidates of each logit and label; ``cut`` is the logit of the threshold, where it is known.
+        """
         a, b = 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
-            a, b = a - 0.1 * np.mean((p - y) * logit) / (1 + np.mean(logit ** 2)), b - 0.5 * np.mean(p - y)
+            a, b = a - 0.1 * np.average((p - y) * logit, weights=n) / (1 + np.average(logit ** 2, weights=n)), b - 0.5 * np.average(p - y, weights=n)
         self.scale, self.shift = max(a, 1e-3), b
-        kept = np.sort(logit[y > 0])[::-1]
-        self.threshold = self.scaled(kept[int(np.ceil(recall * len(kept))) - 1]) * (1 - 1e-9)       # scores vary in their last bits
+        if cut is None:
+            kept = np.sort(logit[y > 0])[::-1]
+            cut = kept[int(np.ceil(recall * len(kept))) - 1]
+        self.threshold = self.scaled(cut) * (1 - 1e-9)       # scores vary in their last bits
 
 
 _ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
@@ -263,8 +291,16 @@ def labelled(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, int]
 LABELS = "rank bigint, label int, span string, start int, stop int"
 
 
-def _labeller(most: int):
-    """Of each task's labelled findings, the ``most`` distinct ones of either class with the smallest hashes."""
+def _labeller(most: int | None):
+    """Each task's labelled findings; with ``most`` the so many distinct ones of either class with the smallest hashes."""
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rng = np.random.default_rng(key & ((1 << 63) - 1))
+                rows += [(int(rng.integers(1 << 62)), y, span, s, e) for span, s, e, y in labelled_spans(text or "", rng)]
+            yield _label_batch(rows)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[set, set] = (set(), set())
         bound = [1 << 62, 1 << 62]
@@ -282,7 +318,7 @@ def _labeller(most: int):
         for own in rows:
             yield _label_batch(sorted(own)[:most])
 
-    return run
+    return whole if most is None else run
 
 
 def _label_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -291,17 +327,45 @@ def _label_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rank", "label", "span", "start", "stop"])
 
 
-def _first_tiles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """First tiles and labels, ordered, on the driver: it gets the start of each span only."""
-    stop = F.least("stop", F.col("start") + INSIDE)
-    got = rows.select("rank", "label", F.substring("span", F.lit(1), stop + AFTER).alias("span"), "start", stop.alias("stop")).collect()
-    got = sorted(got, key=lambda r: (r["rank"], r.label, r.span, r["start"]))
-    x = np.array([tiles(r.span, r["start"], r.stop)[0] for r in got], np.int16).reshape(len(got), LENGTH)
-    return x, np.array([r.label for r in got], float)
+SHARD = "shard int, x binary, y binary"
 
 
-def _scores(rows: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest logit over all tiles, computed where the spans are, and label of each row."""
+def _pack(table: pa.Table) -> pa.Table:
+    """A shard's first tiles and labels, in order, in one row."""
+    table = table.sort_by([(c, "ascending") for c in ("rank", "label", "span", "start", "stop")])
+    x = _tile_rows(list(zip(*(table.column(c).to_pylist() for c in ("span", "start", "stop")), strict=True)))
+    y = table.column("label").to_numpy().astype(np.uint8)
+    return pa.table([table.column("shard")[:1], pa.array([x.tobytes()]), pa.array([y.tobytes()])], names=["shard", "x", "y"])
+
+
+def _epoch(packed: DataFrame, state: np.ndarray, share: np.ndarray, number: int) -> np.ndarray:
+    """The mean, by rows, of the states that the shards reach from ``state`` in one epoch; ``share`` weighs the classes."""
+    shared = packed.sparkSession.sparkContext.broadcast((state, share))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, share = shared.value
+        total, rows = np.zeros(len(start)), 0
+        for batch in batches:
+            for shard, x, y in zip(*(batch.column(c).to_pylist() for c in ("shard", "x", "y")), strict=True):
+                net, y = Network(), np.frombuffer(y, np.uint8)
+                net.restore(start)
+                net.learn(np.frombuffer(x, np.uint8).reshape(len(y), LENGTH), y, share[y], np.random.default_rng((number, shard)))
+                total += len(y) * net.state()
+                rows += len(y)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), rows))],
+                                             names=["pos", "total", "n"])
+
+    got = packed.mapInArrow(run, "pos int, total double, n bigint").groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    out = np.zeros(len(state))          # as long as the network has weights
+    for r in got:
+        out[r.pos] = r["mean"]
+    shared.unpersist()
+    return np.round(out, 12)            # sums vary in their last bits
+
+
+def _scores(rows: DataFrame, net: Network) -> DataFrame:
+    """(label, score): greatest logit over all tiles of each row, computed where the spans are."""
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,28 +373,63 @@ def _scores(rows: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray]:
             spans = list(zip(*(batch.column(c).to_pylist() for c in ("span", "start", "stop")), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(shared.value.best(spans), pa.float64())], names=["label", "score"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "label int, score double").collect())
-    return np.array([s for _, s in got]), np.array([y for y, _ in got], float)
+    return rows.mapInArrow(run, "label int, score double")
+
+
+def _histogram(scores: DataFrame, step: float) -> dict[tuple[int, int], int]:
+    """How many scores of each label lie in each bin of ``step``; scores count as 1,000 at most, either way."""
+    at = F.floor(F.greatest(F.lit(-1000.0), F.least("score", F.lit(1000.0))) / step).cast("bigint")
+    return {(r.label, r["at"]): r["n"] for r in scores.groupBy("label", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _lowest(counts: dict[tuple[int, int], int], wanted: int) -> tuple[int, int]:
+    """The bin that holds the ``wanted``-th best secret, and how many are above it."""
+    above = 0
+    for (_, at), n in sorted((c for c in counts.items() if c[0][0]), reverse=True):
+        if above + n >= wanted:
+            return at, above
+        above += n
+    raise ValueError("fewer secrets than wanted")
+
+
+def _calibrate(net: Network, scores: DataFrame, recall: float) -> None:
+    """Platt scaling on a histogram of all held-out scores; the recall's quantile is searched in a finer one of its bin."""
+    counts = _histogram(scores, BIN)
+    wanted = int(np.ceil(recall * sum(n for (y, _), n in counts.items() if y)))
+    at, above = _lowest(counts, wanted)
+    inside = scores.where((F.col("label") == 1) & (F.floor(F.greatest(F.lit(-1000.0), F.least("score", F.lit(1000.0))) / BIN) == at))
+    fine, _ = _lowest(_histogram(inside, FINE), wanted - above)
+    y, at, n = (np.array(c, float) for c in zip(*sorted((y, at, n) for (y, at), n in counts.items()), strict=True))
+    net.calibrate((at + 0.5) * BIN, y, recall, n, fine * FINE)
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> Network | None:
-    """Fit the network on labelled findings of all documents: of either class those with the smallest hashes.
+def fit(docs: DataFrame, text_col: str = "text", sample_rows: int | None = None, recall: float = RECALL, shard_rows: int = SHARD_ROWS) -> Network | None:
+    """Fit the network on the labelled findings of all documents; None where there are too few.
 
-    The driver gets ``sample_rows`` short rows at most, half of them secrets. None where there are too few.
+    A caller may ask for ``sample_rows`` of them, half of either class, those with the smallest hashes.
     """
-    most = sample_rows // 2
     keyed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    found = written(keyed.mapInArrow(_labeller(most), LABELS), "secret-findings").dropDuplicates()
-    first = [found.where(F.col("label") == y).orderBy("rank", "span").limit(most) for y in (0, 1)]
-    rows = written(first[0].unionAll(first[1]), "secret-labels")
+    most = None if sample_rows is None else sample_rows // 2
+    found = keyed.mapInArrow(_labeller(most), LABELS).dropDuplicates()
+    if most is not None:
+        found = written(found, "secret-findings")
+        first = [found.where(F.col("label") == y).orderBy("rank", "span").limit(most) for y in (0, 1)]
+        found = first[0].unionAll(first[1])
+    rows = written(found, "secret-labels")
     held = F.col("rank") % 4 == 0
-    x, y = _first_tiles(rows.where(~held))
-    kept = {r.label: r["count"] for r in rows.where(held).groupBy("label").count().collect()}
-    if min((y > 0).sum(), (y == 0).sum(), kept.get(0, 0), kept.get(1, 0)) < MIN_ROWS // 4:
+    kept = {(r.held, r.label): r["count"] for r in rows.groupBy(held.alias("held"), "label").count().collect()}
+    if any(kept.get((part, y), 0) < MIN_ROWS // 4 for part in (False, True) for y in (0, 1)):
         return None
+    own = np.array([kept[False, 0], kept[False, 1]], float)
+    shards = math.ceil(own.sum() / shard_rows)
+    dealt = rows.where(~held).withColumn("shard", F.pmod(F.xxhash64("rank", "span"), F.lit(shards)).cast("int"))
+    packed = written(dealt.groupBy("shard").applyInArrow(_pack, SHARD).repartition(shards, "shard"), "secret-shards")
     net = Network()
-    net.fit(x, y)
-    net.calibrate(*_scores(rows.where(held), net), recall)
+    state = net.state()
+    for number in range(EPOCHS):
+        state = _epoch(packed, state, 0.5 * own.sum() / own, number)
+    net.restore(state)
+    _calibrate(net, written(_scores(rows.where(held), net), "secret-scores"), recall)
     return net
 
 

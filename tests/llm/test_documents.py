@@ -470,3 +470,23 @@ def test_sample_holds_each_class_once_whole_and_no_unjudged_candidate():
     whole = run(rows, 100_000)
     assert not any("Main_Unit" in span[s:e] for _, y, span, s, e in whole if not y)
     assert run(rows[::-1] + rows, 15) == [r for y in (0, 1) for r in sorted(x for x in whole if x[1] == y)[:15]]
+
+
+def test_fit_reads_every_labelled_finding(spark, monkeypatch):
+    texts, kept, write = labelled_texts(1200, 13), {}, secret_scan.written
+    monkeypatch.setattr(secret_scan, "written", lambda df, name, *a: kept.setdefault(name, write(df, name, *a)))
+    want = set()
+    for key, t in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text)", "text").collect():
+        rng = np.random.default_rng(key & ((1 << 63) - 1))
+        want |= {(int(rng.integers(1 << 62)), y, span, s, e) for span, s, e, y in secret_scan.labelled_spans(t, rng)}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    net = secret_scan.fit(docs, shard_rows=2000)
+    assert len(want) > 8000 and {tuple(r) for r in kept["secret-labels"].collect()} == want and kept["secret-labels"].count() == len(want)
+    shards = kept["secret-shards"].collect()
+    assert len(shards) > 2 and sum(len(r.y) for r in shards) + kept["secret-scores"].count() == len(want)
+    scores = sorted((r.score for r in kept["secret-scores"].collect() if r.label), reverse=True)
+    at = scores[int(np.ceil(0.95 * len(scores))) - 1]
+    assert net.threshold <= net.scaled(at) and at - 2e-6 <= (np.log(net.threshold / (1 - net.threshold)) - net.shift) / net.scale
+    state = secret_scan.Network().state()
+    got = [secret_scan._epoch(kept["secret-shards"].repartition(n), state, np.ones(2), 1) for n in (1, 3)]
+    assert np.allclose(got[0], got[1], atol=1e-9) and not np.allclose(got[0], state)
