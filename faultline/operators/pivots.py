@@ -31,9 +31,8 @@ RING = 0.02             # radians; a block's angles are a run of rings
 SLACK = 1e-9            # angles are rounded
 PAIRS = "i string, j string, sim double, ord string"
 FOUND = {"i": pa.string(), "j": pa.string(), "sim": pa.float64(), "ord": pa.string(), "probes": pa.int32()}
-QUERY_CHUNK = 8192
-GROUPS = 16             # a vector meets the corpus in so many groups of blocks
-GROUP_LEAST, GROUP_ROWS = 4096, 1 << 17
+GROUPS = 8              # a vector meets the corpus in so many groups of blocks, however large it is
+GROUP_LEAST, GROUP_ROWS = 512, 1 << 17
 ROW_CUT, COLUMN_CUT = 1024, 4096
 DENSE = 64              # finds a row from which on whole rows are ranked
 
@@ -381,7 +380,7 @@ def probe(index: PivotIndex, queries: DataFrame, k: int, floor: float = -1.0, gr
 
     def ask(rows: DataFrame, nearest: bool) -> DataFrame:
         wide = GROUPS // 4 if nearest else GROUPS          # a query meets few groups at first
-        chunks = max(1, min(wide, math.ceil(n / QUERY_CHUNK)), math.ceil(n / GROUP_ROWS))
+        chunks = max(1, min(wide, math.ceil(n / GROUP_LEAST)), math.ceil(n / GROUP_ROWS))
         told = rows.mapInArrow(route(nearest), "key string, v array<double>, least double, first int, grp int")
         told = told.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
         wanted = groups.select("block", "grp").join(told.select("grp", "chunk").distinct(), "grp")

@@ -104,3 +104,12 @@ def test_groups_of_blocks_give_the_same_pairs_and_vectors_travel_once_a_group(sp
         sims = np.round(m @ PV.unit(np.array([v]))[0], 12)
         assert [x[2] for x in sorted(best[key])[:5]] == [x[2] for x in sorted((-s, o, x) for s, (x, o, _) in zip(sims, rows, strict=True))[:5]]
     assert probes.count() == len(rows[5:300:9])
+
+
+def test_a_vector_travels_to_as_many_groups_whatever_the_number_of_vectors(spark):
+    met = []
+    for n in (3000, 24000):
+        few = spark.range(n).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("ord"),
+                                    F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i) + F.cos(i * i * F.col("id"))).alias("v"))
+        met.append(PV._groups(PV.build(few, block_size=64)).select("grp").distinct().count())
+    assert all(0.75 * PV.GROUPS <= n <= PV.GROUPS + 1 for n in met)
