@@ -490,3 +490,28 @@ def test_fit_reads_every_labelled_finding(spark, monkeypatch):
     state = secret_scan.Network().state()
     got = [secret_scan._epoch(kept["secret-shards"].repartition(n), state, np.ones(2), 1) for n in (1, 3)]
     assert np.allclose(got[0], got[1], atol=1e-9) and not np.allclose(got[0], state)
+
+
+def test_epoch_steps_by_the_gradient_of_every_window():
+    rng = np.random.default_rng(3)
+    spans = [s for t in labelled_texts(20, 4) for s in secret_scan.labelled_spans(t, rng)]
+    x, y = secret_scan._tile_rows([s[:3] for s in spans]), np.array([s[3] for s in spans])
+    net, n = secret_scan.Network(), secret_scan.LENGTH - secret_scan.WIDTH + 1
+    before = {k: v.copy() for k, v in net.w.items()}
+    z = before["bias"] + sum(before["conv"][j][x[:, j:j + n]] for j in range(secret_scan.WIDTH))
+    a = np.maximum(z, 0)
+    logit = np.concatenate((a.max(axis=1), a.mean(axis=1)), axis=1) @ before["out"]
+    assert np.allclose(net.logits(x), logit)
+    up = ((1 / (1 + np.exp(-logit)) - y) / len(y))[:, None] * before["out"]
+    dz = up[:, None, 16:] / n + (np.arange(n)[None, :, None] == a.argmax(axis=1)[:, None, :]) * up[:, None, :16]
+    want = np.zeros_like(before["conv"])
+    for j in range(secret_scan.WIDTH):
+        np.add.at(want[j], x[:, j:j + n], dz * (z > 0))
+    net.learn(x, y, np.ones(len(y)), rng, batch=len(y))
+    assert np.allclose(net.first["conv"], 0.1 * want) and np.allclose(net.first["bias"], 0.1 * (dz * (z > 0)).sum((0, 1)))
+
+
+@pytest.mark.parametrize("text", ["", "password passw0rds underscored_letters", "²³½ªºabcdefghij ٣٣abcdefghi Ⅷabcdefgh 日本語日本語日本語",
+                                  "letters\U0001D400beyond the first plane", "\ud800surrogate\udfffletters"])
+def test_words_are_the_matches_of_their_pattern(text):
+    assert [*zip(*(x.tolist() for x in secret_scan._words(text)), strict=True)] == [m.span() for m in secret_scan._WORD.finditer(text)]
