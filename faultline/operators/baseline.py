@@ -45,18 +45,21 @@ def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
     Adds ``baseline_version`` per line (same for all lines of a log). Provider order: a counter sketch of the log's
     (job, stage), else its self-baseline, else, without ``self_baseline``, the empty one, to which every template is novel.
     """
-    # Self-baseline by windows (no join): prefix INFO count per (log, template).
-    n = F.count(F.lit(1)).over(Window.partitionBy(LOG))
-    df = lines.withColumn("_n", n)
+    joined = lines
+    if sketch is not None:
+        keys = sketch.select(*build_cols).distinct().withColumn("_has_sketch", F.lit(True))
+        joined = (lines.join(keys, list(build_cols), "left")
+                  .join(sketch.withColumnRenamed("fraction", "_frac"), [*build_cols, "template"], "left"))
+    # Self-baseline by windows (no join): prefix INFO count per (log, template). The ordered window stands first: its sort serves the others.
+    by_template = Window.partitionBy(LOG, "template")
+    df = joined.withColumn("_first", F.row_number().over(by_template.orderBy("idx")) == 1)
+    df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(LOG)))
     cut = F.greatest(F.lit(P.SELF_BASELINE_MIN_LINES), F.floor(F.col("_n") * P.SELF_BASELINE_PREFIX))
     pre = (F.col("idx") < cut) & (F.col("text") != "") & (F.col("severity") == P.SEV_INFO) & ~F.col("drop")
     df = df.withColumn("_pre", pre.cast("int"))
-    df = df.withColumn("_self_common", (F.sum("_pre").over(Window.partitionBy(LOG, "template")) >= P.SELF_BASELINE_MIN_COUNT)
+    df = df.withColumn("_self_common", (F.sum("_pre").over(by_template) >= P.SELF_BASELINE_MIN_COUNT)
                        if self_baseline else F.lit(False))
     if sketch is not None:
-        keys = sketch.select(*build_cols).distinct().withColumn("_has_sketch", F.lit(True))
-        df = (df.join(keys, list(build_cols), "left")
-              .join(sketch.withColumnRenamed("fraction", "_frac"), [*build_cols, "template"], "left"))
         has = F.coalesce(F.col("_has_sketch"), F.lit(False))
         common = F.when(has, F.coalesce(F.col("_frac"), F.lit(0.0)) >= P.SKETCH_COMMON).otherwise(F.coalesce(F.col("_self_common"), F.lit(False)))
         very = F.when(has, F.coalesce(F.col("_frac"), F.lit(0.0)) >= P.SKETCH_VERY_COMMON).otherwise(F.lit(False))
@@ -66,13 +69,12 @@ def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
         very = F.lit(False)
     live = ~F.col("drop") & (F.col("text") != "")
     warn = live & (F.col("severity") == P.SEV_WARN)
-    df = df.withColumn("_warn_n", F.sum(warn.cast("int")).over(Window.partitionBy(LOG, "template")))
+    df = df.withColumn("_warn_n", F.sum(warn.cast("int")).over(by_template))
     drop_warn = warn & (F.col("_warn_n") >= 2) & very
     info = live & (F.col("severity") == P.SEV_INFO)
     drop_info = info & common
     novel = info & ~common
-    first_of_tpl = F.row_number().over(Window.partitionBy(LOG, "template").orderBy("idx")) == 1
-    df = df.withColumn("_c1", (F.coalesce(F.col("_self_common"), F.lit(False)) & first_of_tpl).cast("int"))
+    df = df.withColumn("_c1", (F.coalesce(F.col("_self_common"), F.lit(False)) & F.col("_first")).cast("int"))
     n_common = F.sum("_c1").over(Window.partitionBy(LOG))
     own = F.format_string("self/%.2f/%d", F.lit(P.SELF_BASELINE_PREFIX), n_common) if self_baseline else F.lit("empty")
     version = F.when(has, F.lit("counter")).otherwise(own)
@@ -85,5 +87,5 @@ def apply_baseline(lines: DataFrame, sketch: DataFrame | None = None,
         .withColumn("score", F.col("score") + F.when(novel, 2).otherwise(0))
         .withColumn("_bnovel", novel)
     )
-    drops = [c for c in ("_n", "_pre", "_self_common", "_has_sketch", "_frac", "_warn_n", "_c1") if c in out.columns]
+    drops = [c for c in ("_first", "_n", "_pre", "_self_common", "_has_sketch", "_frac", "_warn_n", "_c1") if c in out.columns]
     return out.drop(*drops)

@@ -17,6 +17,8 @@ branches, per-log aggregates joined back).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from ..operators import tokenize as T
 from ..session import checkpoint_dir
 
 LOG = "log_id"
+Derived = Callable[[DataFrame], DataFrame]
 
 
 _PERSISTED: list[DataFrame] = []
@@ -62,18 +65,22 @@ def annotated_lines(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return T.annotate(lines.repartition(partitions, LOG, BK.BLK) if partitions else lines.repartition(LOG, BK.BLK))
 
 
-def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None = None,
-                 logs_meta: DataFrame | None = None, token_budget: int = P.BODY_MAX_TOKENS,
+def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | Derived | None = None,
+                 logs_meta: DataFrame | Derived | None = None, token_budget: int = P.BODY_MAX_TOKENS,
                  body_max_chars: int | None = None, max_active: int | None = None,
                  materialize: str | None = "checkpoint", reuse: str | None = "persist",
                  with_citation: bool = True) -> tuple[DataFrame, DataFrame]:
     """Run every pass on annotated lines; returns (results per log, final lines).
 
+    ``sketch`` and ``logs_meta`` may be functions that derive them from the checkpointed lines.
+
     ``materialize`` applies at pass boundaries (default: reliable checkpoint),
     ``reuse`` inside a pass where one intermediate feeds several branches.
     """
     keep = lambda d: _materialize(d, reuse)
     lines = _materialize(lines, materialize)
+    sketch = keep(sketch(lines)) if callable(sketch) else sketch
+    logs_meta = logs_meta(lines) if callable(logs_meta) else logs_meta
     collapsed = _materialize(ST.collapse(lines, reuse=keep).drop(BK.BLK), materialize)
     dets = D.load_detectors(detectors) if isinstance(detectors, str) or detectors is None else list(detectors)
     marked, locs, names = D.run_detectors(collapsed, dets, cap=max_active, materialize=lambda d: _materialize(d, materialize),
@@ -81,12 +88,10 @@ def filter_lines(lines: DataFrame, detectors="auto", sketch: DataFrame | None =
     # Locations and names are small and already start from checkpointed tables.
     locs = _materialize(locs, reuse)
     names = _materialize(names, reuse)
-    marked = _materialize(marked, materialize)
     if logs_meta is not None and sketch is not None:
         marked = marked.join(logs_meta, LOG, "left")
     based = B.apply_baseline(marked, sketch) if sketch is not None else B.apply_baseline(marked)
-    scored = _materialize(S.score_lines(based), reuse)
-    final = _materialize(S.select_lines(scored, token_budget=token_budget, reuse=keep), materialize)
+    final = _materialize(S.select_lines(S.score_lines(based), token_budget=token_budget, reuse=keep), materialize)
     ranked = R.rank_locations(locs)
     results = R.render(final, ranked, names, logs_meta, body_max_chars=body_max_chars, with_citation=with_citation)
     return results, final

@@ -18,16 +18,15 @@ from .filter_oracle import filter_sql
 from .filter import annotated_lines, filter_lines
 
 
-def _meta(spark, sf_dir):
-    ll = A.log_lines(spark, sf_dir)
-    return ll.select("log_id").distinct().select(
+def _meta(lines):
+    return lines.select("log_id").distinct().select(
         "log_id", F.concat(F.lit("job-"), F.expr("substring(log_id, 2)")).alias("job_name"),
         F.lit("build").alias("stage_name"))
 
 
 def filtered(spark, sf_dir, detectors="auto"):
     ll = A.log_lines(spark, sf_dir)
-    return filter_lines(annotated_lines(ll), detectors=detectors, logs_meta=_meta(spark, sf_dir))
+    return filter_lines(annotated_lines(ll), detectors=detectors, logs_meta=_meta)
 
 
 @register("e8_filter_logs", oracle=filter_sql("""SELECT log_id, confidence, primary_error, exit_code, fingerprint, raw_chars::BIGINT AS raw_chars, body_chars::INT AS body_chars,
@@ -79,13 +78,12 @@ def a12_location_clusters(spark, sf_dir):
 def x15_legacy_body(spark, sf_dir):
     """Legacy variant: no detectors, no citation prefixes."""
     ll = A.log_lines(spark, sf_dir)
-    res, _ = filter_lines(annotated_lines(ll), detectors="none", logs_meta=_meta(spark, sf_dir), with_citation=False)
+    res, _ = filter_lines(annotated_lines(ll), detectors="none", logs_meta=_meta, with_citation=False)
     return res.select("log_id", "confidence", "primary_error", "fingerprint", "body")
 
 
-def _history(spark, sf_dir):
+def _history(lines):
     """Template history per job: every derived log is one build of job ``job-<user % 20>``."""
-    lines = T.annotate(A.log_lines(spark, sf_dir))
     uid = F.expr("substring(log_id, 2)").cast("bigint")
     return lines.withColumn("job_name", F.concat(F.lit("job-"), (uid % 20).cast("string"))).withColumn(
         "stage_name", F.lit("build")).withColumn("build_id", F.col("log_id"))
@@ -104,7 +102,7 @@ GROUP BY h.job_name, h.template, t.builds"""
 
 @register("a10_counter_sketch", oracle="WITH " + _SKETCH_SQL)
 def a10_counter_sketch(spark, sf_dir):
-    return B.counter_sketch(_history(spark, sf_dir)).withColumn("fraction", F.round("fraction", 6))
+    return B.counter_sketch(_history(T.annotate(A.log_lines(spark, sf_dir)))).withColumn("fraction", F.round("fraction", 6))
 
 
 @register("j7_baseline_counter", oracle=filter_sql("""SELECT log_id, baseline_version, baseline_dropped, baseline_novel, confidence, selected_count::BIGINT AS selected_count
@@ -112,11 +110,13 @@ FROM results""", counter=True))
 def j7_baseline_counter(spark, sf_dir):
     """Filter with the cross-build counter sketch instead of the self-baseline."""
     ll = A.log_lines(spark, sf_dir)
-    sketch = B.counter_sketch(_history(spark, sf_dir))
     uid = F.expr("substring(log_id, 2)").cast("bigint")
-    meta = ll.select("log_id").distinct().select("log_id", F.concat(F.lit("job-"), (uid % 20).cast("string")).alias("job_name"),
-                                                 F.lit("build").alias("stage_name"))
-    res, _ = filter_lines(annotated_lines(ll), detectors="auto", sketch=sketch, logs_meta=meta)
+
+    def meta(lines):
+        return lines.select("log_id").distinct().select("log_id", F.concat(F.lit("job-"), (uid % 20).cast("string")).alias("job_name"),
+                                                        F.lit("build").alias("stage_name"))
+
+    res, _ = filter_lines(annotated_lines(ll), detectors="auto", sketch=lambda lines: B.counter_sketch(_history(lines)), logs_meta=meta)
     return res.select("log_id", "baseline_version", "baseline_dropped", "baseline_novel", "confidence", "selected_count")
 
 
