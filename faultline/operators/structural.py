@@ -31,6 +31,12 @@ def _count_char(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
+def _balance() -> Column:
+    """Brackets that a line opens less those that it closes."""
+    t = F.col("text")
+    return F.when(t == "", 0).otherwise(_count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]"))
+
+
 def init_state(lines: DataFrame) -> DataFrame:
     return (lines.withColumn("drop", F.lit(False)).withColumn("reason", F.lit(""))
             .withColumn("note", F.lit("")).withColumn("score", F.lit(0)))
@@ -50,9 +56,7 @@ def prepared(df: DataFrame, size: int = BK.BLOCK, spans: bool = True) -> DataFra
     segment begins at the first line of a block that is neither a stack frame nor a progress line, so no run of
     these is cut, and windows by (log, segment) see whole runs and about one block.
     """
-    t = F.col("text")
-    delta = _count_char(t, "{") + _count_char(t, "[") - _count_char(t, "}") - _count_char(t, "]")
-    df = BK.with_blocks(df, size).withColumn("_delta", F.when(t == "", 0).otherwise(delta))
+    df = BK.with_blocks(df, size).withColumn("_delta", _balance())
     loose = F.when(~F.col("kind").isin(P.KIND_STACK, P.KIND_PROGRESS), F.col("idx"))
     opens = F.min(loose).over(Window.partitionBy(LOG, BK.BLK))
     df = df.withColumn("_opens", F.when(opens == F.col("idx"), F.col("idx")))
@@ -288,11 +292,12 @@ def collapse(lines: DataFrame, reuse=_same, size: int = BK.BLOCK) -> DataFrame:
     lines in a block.
     """
     blocked = BK.with_blocks(lines, size)
-    spans = BK.several(blocked)
+    # Two numbers to the driver: whether a log has a second block, and whether a line may open a JSON block (else none is folded).
+    spans, opens = (bool(x) for x in blocked.agg(F.max(BK.BLK) > 0, F.max((F.col("kind") == P.KIND_JSON) & (_balance() > 0))).first())
     df = blocked if "_seg" in blocked.columns else prepared(blocked, size, spans)
     df = drop_banners(init_state(df))
     df = collapse_stacks(df, size=size)
-    df = fold_json(df, reuse=reuse, size=size, spans=spans)
+    df = fold_json(df, reuse=reuse, size=size, spans=spans) if opens else df
     df = collapse_progress(df, size=size)
     df = dedupe_repeats(df, reuse=reuse, size=size, spans=spans)
     return df.drop(*[c for c in ("_delta", "_D", "_seg", BK.BLK) if c not in lines.columns])

@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 def _utc(fn: QueryFn) -> QueryFn:
     """Timestamps in the driver tables are zone-less: pin the session zone to UTC.
+    Shuffled data is read by about four tasks a core: as many tasks as cores leave one over, for which all others wait.
     Intermediates persisted by the previous query are released first."""
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,7 @@ def _utc(fn: QueryFn) -> QueryFn:
         release()  # caches of the previous query
         ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(4 * spark.sparkContext.defaultParallelism))
         return fn(spark, sf_dir)
     return run
 
